@@ -91,26 +91,21 @@ def coverage(aligned: DataFrame) -> DataFrame:
 def reduce_resolution(df: DataFrame, freq: str, max_points: int, keys: list[str] | None = None) -> DataFrame:
     """Mean-aggregate each series on the first ladder rung that leaves at most `max_points` slots.
 
-    Adds `step` (seconds of the chosen rung). Grid slots are counted, gaps included.
+    Grid slots are counted, gaps included. Adds `step` (seconds of the rung), the
+    dense position `i`, the slot count `n` and the raw mean `level`.
     """
     keys = KEYS if keys is None else keys
     step = freq_seconds(freq)
     rungs = [step, *[freq_seconds(f) for f in LADDER]]
-    size = df.groupBy(*keys).agg(F.min(F.unix_seconds("ts")).alias("_a"), F.max(F.unix_seconds("ts")).alias("_b"))
+    t = F.unix_seconds("ts")
+    size = df.groupBy(*keys).agg(F.min(t).alias("_a"), F.max(t).alias("_b"), F.avg("value").alias("level"))
     slots = lambda s: F.floor(F.col("_b") / s) - F.floor(F.col("_a") / s) + 1
     pick = F.coalesce(*[F.when(slots(s) <= max_points, F.lit(s)) for s in rungs], F.lit(86400)).cast("long")
-    chosen = size.select(*keys, pick.alias("step"))
-    cut = df.join(chosen, keys)
-    return (cut.withColumn("ts", F.timestamp_seconds(F.floor(F.unix_seconds("ts") / F.col("step")) * F.col("step")))
-            .groupBy(*keys, "step", "ts").agg(F.avg("value").alias("value")))
-
-
-def reindex(df: DataFrame, keys: list[str], step: Column | str = "step") -> DataFrame:
-    """Dense position `i` per series from the first slot."""
-    step = F.col(step) if isinstance(step, str) else step
-    first = df.groupBy(*keys).agg(F.min(F.unix_seconds("ts")).alias("_first"))
-    return (df.join(first, keys)
-            .withColumn("i", ((F.unix_seconds("ts") - F.col("_first")) / step).cast("long")).drop("_first"))
+    chosen = (size.where(F.col("level").isNotNull()).withColumn("step", pick)
+              .select(*keys, "step", "level", F.floor(F.col("_a") / F.col("step")).alias("_first"), slots(F.col("step")).alias("n")))
+    slot = F.floor(t / F.col("step"))
+    cut = df.join(chosen, keys).withColumn("i", slot - F.col("_first")).withColumn("ts", F.timestamp_seconds(slot * F.col("step")))
+    return cut.groupBy(*keys, "step", "n", "level", "ts", "i").agg(F.avg("value").alias("value"))
 
 
 def fill_linear(df: DataFrame, keys: list[str] | None = None, order: str = "i", chunk: int | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return plain_times(fn(Tables(spark, sf_dir)))
-        run.__name__, run.__doc__ = name, fn.__doc__
+        run.__name__, run.__doc__, run.__module__ = name, fn.__doc__, fn.__module__
         assert name not in QUERIES, name
         QUERIES[name] = run
         if sql is not None:
@@ -54,13 +54,19 @@ class Tables:
     def aligned(self) -> DataFrame:
         """Hourly grid of every market with `purchase` as the target.
 
-        Persisted: a study prepares this frame once and runs all its functions
-        over it. Lost blocks are rebuilt from the lineage.
+        Kept: a study prepares this frame once and runs all its functions over it.
         """
-        return al.align(self.hourly(), TARGET, "1h").persist(StorageLevel.MEMORY_AND_DISK)
+        return self.keep(al.align(self.hourly(), TARGET, "1h"))
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Persist a frame that several steps of one study read. Lost blocks are rebuilt from the lineage."""
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def pairs(self) -> DataFrame:
+        return self.keep(al.pair_with_target(self.aligned(), TARGET))
 
     def filled_target(self) -> DataFrame:
-        return al.fill_linear(self.aligned().where(F.col("name") == TARGET)).drop("name")
+        return self.keep(al.fill_linear(self.aligned().where(F.col("name") == TARGET)).drop("name"))
 
     def daily_orders(self) -> DataFrame:
         """Daily order value per priority, on the days that have orders."""

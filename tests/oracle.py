@@ -15,7 +15,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def session():
     from pyspark.sql import SparkSession
     return (SparkSession.builder.master("local[8]").appName("slotwise-tests")
-            .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+            .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
             .config("spark.sql.adaptive.enabled", "true").getOrCreate())
 
