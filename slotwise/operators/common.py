@@ -197,3 +197,37 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank
     """First k rows per key; Spark cuts each task to k rows before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w).cast("long")).where(F.col(rank) <= k)
+
+
+def running(df: DataFrame, keys: list[str], at: str, tie: list[str], last: list[str] = (), max_before: dict[str, str] | None = None,
+            bucket_seconds: int = 30 * 86400) -> DataFrame:
+    """Running last known value (inclusive) and running maximum of earlier rows, scanned in time buckets.
+
+    `last` columns are replaced by their newest non-NULL value up to the row; `max_before` adds name -> maximum
+    of a column over strictly earlier rows. Buckets exchange one summary row each, so no key is scanned whole.
+    """
+    mb = max_before or {}
+    base = df.withColumn("_b", F.floor(F.unix_seconds(at) / bucket_seconds))
+    order = F.struct(at, *tie)
+    w = Window.partitionBy(*keys, "_b").orderBy(at, *tie)
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = base.select("*", *[F.last(c, True).over(upto).alias(f"_l_{c}") for c in last], *[F.max(c).over(before).alias(f"_m_{n}") for n, c in mb.items()])
+    ends = base.groupBy(*keys, "_b").agg(F.lit(1).alias("_one"), *[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"_e_{c}") for c in last], *[F.max(c).alias(f"_x_{n}") for n, c in mb.items()])
+    cw = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "_b", *[F.last(f"_e_{c}", True).over(cw).alias(f"_c_{c}") for c in last], *[F.max(f"_x_{n}").over(cw).alias(f"_y_{n}") for n in mb])
+    j = rows.join(ends, [*keys, "_b"])
+    keep = [c for c in df.columns if c not in last]
+    return j.select(*keep, *[F.coalesce(f"_l_{c}", f"_c_{c}").alias(c) for c in last], *[F.greatest(f"_m_{n}", f"_y_{n}").alias(n) for n in mb])
+
+
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, cols: list[str], tie: list[str]) -> DataFrame:
+    """Each left row with the newest right row of its key whose `right_at` is not after `at` (NULLs when there is none).
+
+    Both sides are put on one time line and scanned once, so the cost is linear and no pairs are built.
+    """
+    row = F.struct(*[F.col(c) for c in cols]).alias("_r")
+    r = right.select(*keys, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.struct(*tie).alias("_tie"), row)
+    l = left.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"))
+    u = r.unionByName(l, allowMissingColumns=True)
+    s = running(u, keys, "_at", ["_side", "_tie"], last=["_r"]).where(F.col("_side") == 1)
+    return s.select("_left.*", *[F.col(f"_r.{c}").alias(c) for c in cols])
