@@ -64,7 +64,7 @@ RANK_SQL = """rk AS (SELECT series_id, name, rank() OVER (PARTITION BY series_id
  rank() OVER (PARTITION BY series_id, name ORDER BY y) + (count(*) OVER (PARTITION BY series_id, name, y) - 1) / 2.0 AS ry FROM both_known)"""
 
 
-@query("spearman", f"""WITH {PAIR_SQL}, {RANK_SQL} SELECT series_id, name, {r('corr(rx, ry)')} AS correlation, count(*) AS observations FROM rk GROUP BY 1, 2""")
+@query("spearman", f"""WITH {PAIR_SQL}, {RANK_SQL} SELECT series_id, name, CASE WHEN count(*) >= 12 THEN {r('corr(rx, ry)')} END AS correlation, count(*) AS observations FROM rk GROUP BY 1, 2""")
 def _(t):
     return rel.spearman(t.pairs(), p_value=False)
 

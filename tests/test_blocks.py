@@ -41,7 +41,7 @@ def test_lags_do_not_depend_on_chunks(long, chunk, parts):
 def test_fill_linear_matches_pandas(long, chunk):
     pdf, df = long
     want = pdf.set_index("ts").value.interpolate(method="time", limit_direction="both").to_numpy()
-    np.testing.assert_allclose(sorted_pd(al.fill_linear(df, chunk=chunk)), want)
+    np.testing.assert_allclose(sorted_pd(al.fill_linear(df, chunk=chunk)), want, atol=1e-12)
 
 
 @pytest.mark.parametrize("chunk", [10, 8192])

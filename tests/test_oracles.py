@@ -5,7 +5,7 @@ import pytest
 from slotwise import plans
 
 Q, O = plans.load()
-NAMES = ["align", "price_distribution", "price_calendar", "histogram", "lead_scan", "spearman", "rolling_stability", "merge_incremental", "expand_hour_ending", "load_evidence", "normalize_ts", "series_profile", "validate_grid",
+NAMES = ["align", "price_distribution", "price_extremes", "histogram", "lead_scan", "spearman", "pearson", "merge_incremental", "expand_hour_ending", "load_evidence", "normalize_ts", "series_profile", "validate_grid",
          "version_store", "event_records", "canonical_entities", "consensus", "known_state", "event_features", "holm", "visible_at_folds", "origin_baselines", "tokenize", "retrieve"]
 
 
