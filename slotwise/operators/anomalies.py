@@ -11,17 +11,19 @@ from .common import latest, overlap_join, quantiles, top_k
 from .quality import previous_row, series_profile
 
 
-def daily_anomalies(df: DataFrame, per_day: int, kinds: tuple[str, ...] = ("high", "low", "negative"), limit: int = 5, keys: list[str] | None = None) -> DataFrame:
+def daily_anomalies(df: DataFrame, per_day: int, kinds: tuple[str, ...] = ("high", "low", "negative"), limit: int = 5, keys: list[str] | None = None, keep=lambda df: df) -> DataFrame:
     """Most unusual days: robust z of the daily mean (median and MAD over days with 80 % of their points)."""
     keys = KEYS if keys is None else keys
     x = df.where(F.col("ts").isNotNull() & F.col("value").isNotNull())
     x = latest(x.select(*keys, "ts", "value", "tie"), [*keys, "ts"], ["tie"])
     d = x.groupBy(*keys, F.to_date("ts").alias("day")).agg(
         F.count(F.lit(1)).alias("points"), r6(F.min("value")).alias("min"), r6(F.max("value")).alias("max"), F.avg("value").alias("_mean"), count_if(F.col("value") < 0).alias("negative_intervals"))
-    d = d.where(F.col("points") >= max(1, int(per_day * 0.8)))
+    d = keep(d.where(F.col("points") >= max(1, int(per_day * 0.8))))
     c = d.join(quantiles(d, keys, "_mean", {"med": .5}).drop("n"), keys).withColumn("_dev", F.abs(F.col("_mean") - F.col("med")))
+    c = keep(c)
     z = c.join(quantiles(c, keys, "_dev", {"mad": .5}).drop("n"), keys)
     z = z.withColumn("robust_z", F.when(F.col("mad") == 0, F.lit(0.0)).otherwise(r6((F.col("_mean") - F.col("med")) / (1.4826 * F.col("mad"))))).withColumn("mean", r6("_mean"))
+    z = keep(z)
     order = {"high": F.desc("robust_z"), "low": F.asc("robust_z"), "negative": F.desc("negative_intervals")}
     out = None
     for k in kinds:
@@ -55,9 +57,9 @@ def start_clusters(df: DataFrame, keys: list[str], begin: str, limit: int = 10)
     return top_k(d, keys, [F.desc("plan_count"), F.asc("day")], limit)
 
 
-def study_summary(df: DataFrame, per_day: int) -> DataFrame:
+def study_summary(df: DataFrame, per_day: int, keep=lambda df: df) -> DataFrame:
     """Profile of every frame of a study with its worst anomaly days alongside."""
-    a = daily_anomalies(df, per_day, limit=1).groupBy(*KEYS).agg(
+    a = daily_anomalies(df, per_day, limit=1, keep=keep).groupBy(*KEYS).agg(
         F.max(F.when(F.col("kind") == "high", F.col("day"))).alias("top_high_day"), F.max(F.when(F.col("kind") == "low", F.col("day"))).alias("top_low_day"),
         F.max(F.when(F.col("kind") == "negative", F.col("day"))).alias("top_negative_day"))
     return series_profile(df, per_day).join(a, KEYS, "left")

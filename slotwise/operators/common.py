@@ -7,9 +7,11 @@ halo of copied rows or as one summary row per chunk.
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK = 8192
@@ -231,3 +233,26 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, right
     u = r.unionByName(l, allowMissingColumns=True)
     s = running(u, keys, "_at", ["_side", "_tie"], last=["_r"]).where(F.col("_side") == 1)
     return s.select("_left.*", *[F.col(f"_r.{c}").alias(c) for c in cols])
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the shared folder the cluster names in spark.checkpoint.dir; make one only for a local master without it."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    sc.setCheckpointDir(folder)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a frame that several later steps read to the checkpoint folder and go on from there.
+
+    The plan behind it ends here, so later steps neither repeat its work nor carry its plan, and a lost
+    executor costs a re-read.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

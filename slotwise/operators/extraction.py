@@ -86,12 +86,14 @@ def resolve_times(docs: DataFrame, tz: str = "UTC") -> DataFrame:
     """
     at = lambda p: first_match(p, 1).try_cast("timestamp")
     d = docs.withColumn("_s", at(START)).withColumn("_e", at(END))
-    rs, re_ = _clock_instant(first_match(RANGE, 1), first_match(RANGE, 2), tz), _clock_instant(first_match(RANGE, 1), first_match(RANGE, 3), tz)
-    d = d.withColumn("_rs", rs).withColumn("_re", re_)
+    # Matches become columns before they are read several times.
+    for name, pattern, group in (("_rd", RANGE, 1), ("_r1", RANGE, 2), ("_r2", RANGE, 3), ("_pd", POINT, 1), ("_pc", POINT, 2)):
+        d = d.withColumn(name, first_match(pattern, group))
+    d = d.withColumn("_rs", _clock_instant(F.col("_rd"), F.col("_r1"), tz)).withColumn("_re", _clock_instant(F.col("_rd"), F.col("_r2"), tz))
     d = d.withColumn("_re", F.when(F.col("_re") < F.col("_rs"), F.col("_re") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("_re")))
     norm = lambda a: F.transform(a, lambda s: F.regexp_replace(F.regexp_replace(s, "：", ":"), r"\s", ""))
     points = F.array_distinct(F.concat(norm(F.regexp_extract_all("body", F.lit(POINT), F.lit(0))), norm(F.regexp_extract_all("title", F.lit(POINT), F.lit(0)))))
-    d = d.withColumn("_n", F.size(points)).withColumn("_ps", _clock_instant(first_match(POINT, 1), first_match(POINT, 2), tz))
+    d = d.withColumn("_n", F.size(points)).withColumn("_ps", _clock_instant(F.col("_pd"), F.col("_pc"), tz))
     stated, ranged = F.col("_s").isNotNull(), F.col("_rs").isNotNull() & F.col("_re").isNotNull()
     return d.select(
         *docs.columns,

@@ -78,14 +78,15 @@ def grid_limits(bounds: DataFrame, clock: MarketClock) -> DataFrame:
     return bounds.select("series_id", slot_of("lo", clock).alias("_f"), (slot_of("hi", clock) - 1).alias("_l"))
 
 
-def event_features(states: DataFrame, bounds: DataFrame, clock: MarketClock, cutoff: str | None = None) -> DataFrame:
+def event_features(states: DataFrame, bounds: DataFrame, clock: MarketClock, cutoff: str | None = None, keep=lambda df: df) -> DataFrame:
     """One row per market and interval of [lo, hi): active, announced and upcoming counts, MW totals, hours to the next start.
 
     With `cutoff`, rows after it know only the states that had arrived by the cutoff, and none is announced there.
+    `keep` cuts the plan at the state spans and the slot steps, which are read more than once.
     A total is NULL while any active event has no MW, and 0 while nothing is active.
     """
     step = clock.seconds
-    p = active_spans(pieces(states, cutoff), clock)
+    p = keep(active_spans(pieces(states, cutoff), clock))
     limits = grid_limits(bounds, clock)
     slot = lambda c: slot_of(c, clock)
     mw = F.col("capacity_mw").cast("decimal(18,6)").alias("mw")
@@ -104,7 +105,7 @@ def event_features(states: DataFrame, bounds: DataFrame, clock: MarketClock, cut
     sums |= {f"t_{t}": one(is_act & (F.col("event_type") == t)) for t in EVENT_TYPES}
     for x in EFFECTS:
         sums |= {f"u_{x}": one(is_act & (F.col("physical_effect") == x) & F.col("mw").isNull()), f"m_{x}": mws(is_act & (F.col("physical_effect") == x))}
-    steps = ends.groupBy("series_id", "slot").agg(*[v.alias(k) for k, v in sums.items()])
+    steps = keep(ends.groupBy("series_id", "slot").agg(*[v.alias(k) for k, v in sums.items()]))
     grid = clock.grid(bounds, "lo", "hi").select("series_id", "ts").withColumn("slot", F.floor(F.unix_seconds("ts") / step))
     steps = steps.join(limits, "series_id").where(F.col("slot") <= F.col("_l")).withColumn("slot", F.greatest("slot", "_f")).groupBy("series_id", "slot").agg(*[F.sum(k).alias(k) for k in sums])
     j = grid.join(steps, ["series_id", "slot"], "left")
@@ -125,8 +126,8 @@ def event_features(states: DataFrame, bounds: DataFrame, clock: MarketClock, cut
         r6((F.unix_micros("_next") - F.unix_micros("ts")) / 3.6e9).alias("next_effective_in_hours"), *[total("r_n", f"r_u_{x}", f"r_m_{x}").alias(f"capacity_{x}_mw") for x in EFFECTS])
 
 
-def forecast_event_features(states: DataFrame, bounds: DataFrame, clock: MarketClock, cutoff: str) -> DataFrame:
-    return event_features(states, bounds, clock, cutoff)
+def forecast_event_features(states: DataFrame, bounds: DataFrame, clock: MarketClock, cutoff: str, keep=lambda df: df) -> DataFrame:
+    return event_features(states, bounds, clock, cutoff, keep)
 
 
 def active_events(states: DataFrame, bounds: DataFrame, clock: MarketClock, cutoff: str | None = None) -> DataFrame:

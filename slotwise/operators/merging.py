@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hours_between, r6
-from .common import running
+from .common import ensure_checkpoint_dir, running
 
 FIELDS = ("region_key", "asset_key", "capacity_mw", "effective_start_at", "effective_end_at")
 RECORD = ("relevance", "event_type", "direction", "status", "physical_effect", "review_status", "eligibility", "market_key")
@@ -24,19 +24,6 @@ def authority(tier) -> Column:
     return F.when(t.startswith("primary_") | t.rlike("operator|regulator|government|official"), 0).when(t.rlike("secondary|media|repost|aggregator"), 2).otherwise(1)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; set one only where the session names none (tests)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-    sc.setCheckpointDir(folder)
-
-
 def link_edges(records: DataFrame) -> DataFrame:
     """Pairs (src, dst) of candidates that state the same event; every group links to its first member only."""
     keys = ["event_type", "asset_key", "region_key", "market_key"]
@@ -111,13 +98,13 @@ def merge_fields(linked: DataFrame) -> DataFrame:
     return m.withColumn("effective_end_at", F.when(F.col("effective_start_at").isNotNull(), F.col("effective_end_at")))
 
 
-def state_history(linked: DataFrame) -> DataFrame:
+def state_history(linked: DataFrame, keep=lambda df: df) -> DataFrame:
     """State of every event at each instant a member arrived, without pairing members with instants.
 
     Authority has three levels, so the leading lineage changes at most twice: the first lineage of each level.
     A value from outside it comes from some lineage's newest row; ordered by arrival, a row leads its level from
     the moment all earlier rows have been replaced until it is replaced itself, which is a running maximum of
-    replacement times. Both kinds of leader go on one time line per event and are scanned once.
+    replacement times. Both kinds of leader go on one time line per event (`keep` cuts the plan there) and are scanned once.
     """
     far = F.lit("9999-01-01").cast("timestamp")
     nxt = Window.partitionBy("component", "document_id").orderBy("available_at", "version", "row_id")     # versions of one document
@@ -143,7 +130,7 @@ def state_history(linked: DataFrame) -> DataFrame:
             line.append(win.where(start < far).select("component", start.alias("at"), F.lit(1).alias("_o"), F.col("row_id").alias("_t"), F.struct(F.col("_v.v").alias("v"), F.col("_until").alias("until")).alias(f"other{a}_{f}")))
             cols.append(f"other{a}_{f}")
     tl = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), line)
-    s = running(tl, ["component"], "at", ["_o", "_t"], last=cols).where(F.col("_o") == 2)
+    s = running(keep(tl), ["component"], "at", ["_o", "_t"], last=cols).where(F.col("_o") == 2)
     level = F.when(F.col("lead0"), 0).when(F.col("lead1"), 1).otherwise(2)
     pick = lambda prefix, tail="": F.when(level == 0, F.col(f"{prefix}0{tail}")).when(level == 1, F.col(f"{prefix}1{tail}")).otherwise(F.col(f"{prefix}2{tail}"))
     s = s.withColumn("_rec", pick("rec"))

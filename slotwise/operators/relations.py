@@ -160,7 +160,7 @@ def pearson_by_month(pairs: DataFrame, min_obs: int = 12, p_value: bool = True)
     return pearson_table(p, [*KEYS, "grp"], min_obs, p_value).where(F.col("correlation").isNotNull())
 
 
-def quartile_response(pairs: DataFrame, min_obs: int = 12) -> DataFrame:
+def quartile_response(pairs: DataFrame, min_obs: int = 12, keep=lambda df: df) -> DataFrame:
     """Target mean and median per driver quartile: right-closed buckets, equal edges merged."""
     p = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull())
     q = quantiles(p, KEYS, "x", {"e0": 0.0, "e1": .25, "e2": .5, "e3": .75, "e4": 1.0})
@@ -171,6 +171,7 @@ def quartile_response(pairs: DataFrame, min_obs: int = 12) -> DataFrame:
     j = p.join(edges, KEYS).where(F.size("_e") >= 2)
     bucket = F.size(F.filter(upper, lambda e: e < F.col("x"))) + 1
     b = j.withColumn("bucket", F.least(bucket, F.size("_e") - 1).cast("long"))
+    b = keep(b)
     keys = [*KEYS, "bucket"]
     base = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("observations"), r6(F.min("x")).alias("feature_min"),
                                 r6(F.max("x")).alias("feature_max"), r6(F.avg("y")).alias("target_mean"))
@@ -178,11 +179,11 @@ def quartile_response(pairs: DataFrame, min_obs: int = 12) -> DataFrame:
     return base.join(med, keys)
 
 
-def mutual_information(pairs: DataFrame, max_lag: int, min_obs: int = 12) -> DataFrame:
+def mutual_information(pairs: DataFrame, max_lag: int, min_obs: int = 12, keep=lambda df: df) -> DataFrame:
     """MI over 12 x 12 equal-frequency rank bins for every lag, ranks taken over the paired rows of that lag."""
     keys = [*KEYS, "lag"]
     p = lagged_pairs(pairs, max_lag).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    joint = p.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("_w"))
+    joint = keep(p.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("_w")))
     for c in ("x", "y"):
         twice = 2 * F.col("_before") + F.col("_cnt") + 1                     # 2 * average rank, an integer
         bins = F.floor((MI_BINS * (twice - 1) + 2 * F.col("_n") - 1) / (2 * F.col("_n"))) - 1

@@ -154,12 +154,13 @@ def runs(df: DataFrame, keys: list[str], flag: str) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("length")).drop("_run"))
 
 
-def spike_regime(aligned: DataFrame, target: str, k: float = 3.0) -> DataFrame:
+def spike_regime(aligned: DataFrame, target: str, k: float = 3.0, keep=lambda df: df) -> DataFrame:
     x = only(aligned, target)
     f = fences(x, SID, k).select("series_id", "lower", "upper")
     s = (with_sequence(x, SID).join(f, "series_id")
          .withColumn("high", F.col("value") > F.col("upper")).withColumn("low", F.col("value") < F.col("lower"))
          .withColumn("calm", ~(F.col("high") | F.col("low"))))
+    s = keep(s)
     nxt = drop_halo(with_halo(s, SID, ahead=1, order="seq")
                     .withColumn("_next", F.lead("high", 1).over(halo_window(SID, "seq"))))
     n = F.count(F.lit(1))
@@ -255,10 +256,11 @@ def naive_baselines(aligned: DataFrame, target: str, freq: str) -> DataFrame:
     return m.join(near, "series_id").withColumn("percentage_errors_reliable", F.col("near_zero_share") < 0.01)
 
 
-def variance_stabilization(aligned: DataFrame, target: str) -> DataFrame:
+def variance_stabilization(aligned: DataFrame, target: str, keep=lambda df: df) -> DataFrame:
     x = only(aligned, target).where(F.col("value").isNotNull())
     med = quantiles(x, SID, "value", {"center": .5}).drop("n")
     d = x.join(med, "series_id").withColumn("_dev", F.abs(F.col("value") - F.col("center")))
+    d = keep(d)
     mad = quantiles(d, SID, "_dev", {"mad": .5}).where((F.col("n") >= 8) & (F.col("mad") > 0)).select(
         "series_id", (F.col("mad") * MAD_TO_SD).alias("scale"))
     z = d.join(mad, "series_id").withColumn("raw", (F.col("value") - F.col("center")) / F.col("scale"))
@@ -274,8 +276,8 @@ def variance_stabilization(aligned: DataFrame, target: str) -> DataFrame:
         "recommended_transform", F.when(F.abs("asinh_kurtosis") < F.abs("raw_kurtosis") * 0.8, F.lit("asinh_median_mad")).otherwise(F.lit("none")))
 
 
-def segment_stats(aligned: DataFrame, target: str, segments: list[Segment], min_obs: int = 3, tz: str = "UTC") -> DataFrame:
-    s = explode_segments(only(aligned, target), segments, tz)
+def segment_stats(aligned: DataFrame, target: str, segments: list[Segment], min_obs: int = 3, tz: str = "UTC", keep=lambda df: df) -> DataFrame:
+    s = keep(explode_segments(only(aligned, target), segments, tz))
     keys = ["series_id", "segment_id"]
     base = s.groupBy(*keys, "kind", "ord").agg(
         F.count(F.lit(1)).alias("selected_rows"), F.count("value").alias("observations"),
@@ -295,9 +297,9 @@ def overlaps(rows: DataFrame, keys: list[str], segments: list[Segment], tz: str
                 .agg(F.sum("_p.both").alias("overlap_rows")))
 
 
-def compare_price_segments(aligned: DataFrame, target: str, segments: list[Segment], min_obs: int = 3, tz: str = "UTC") -> DataFrame:
+def compare_price_segments(aligned: DataFrame, target: str, segments: list[Segment], min_obs: int = 3, tz: str = "UTC", keep=lambda df: df) -> DataFrame:
     """Contrasts left - right for every pair of segments of one kind."""
-    s = segment_stats(aligned, target, segments, min_obs, tz)
+    s = keep(segment_stats(aligned, target, segments, min_obs, tz, keep))
     l = s.select("series_id", "kind", F.col("segment_id").alias("left_id"), F.col("ord").alias("_lo"),
                  *[F.col(c).alias(f"_l_{c}") for c in ("mean", "median", "std")])
     r = s.select("series_id", "kind", F.col("segment_id").alias("right_id"), F.col("ord").alias("_ro"),

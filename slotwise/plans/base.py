@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import plain_times
 from ..operators import align as al
+from ..operators.common import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +38,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.sf_dir = spark, sf_dir
+        self._kept: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -56,17 +57,23 @@ class Tables:
 
         Kept: a study prepares this frame once and runs all its functions over it.
         """
-        return self.keep(al.align(self.hourly(), TARGET, "1h"))
+        return self.once("aligned", lambda: al.align(self.hourly(), TARGET, "1h"))
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """Persist a frame that several steps of one study read. Lost blocks are rebuilt from the lineage."""
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        """Checkpoint a frame that several steps of one study read."""
+        return cut(df)
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Build and keep a named frame the first time a query asks for it."""
+        if name not in self._kept:
+            self._kept[name] = self.keep(build())
+        return self._kept[name]
 
     def pairs(self) -> DataFrame:
-        return self.keep(al.pair_with_target(self.aligned(), TARGET))
+        return self.once("pairs", lambda: al.pair_with_target(self.aligned(), TARGET))
 
     def filled_target(self) -> DataFrame:
-        return self.keep(al.fill_linear(self.aligned().where(F.col("name") == TARGET)).drop("name"))
+        return self.once("filled_target", lambda: al.fill_linear(self.aligned().where(F.col("name") == TARGET)).drop("name"))
 
     def daily_orders(self) -> DataFrame:
         """Daily order value per priority, on the days that have orders."""

@@ -70,7 +70,7 @@ def candidates(t):
 
 
 def linked(t):
-    return t.keep(mg.link_events(t.keep(candidates(t))))
+    return t.once("linked", lambda: mg.link_events(t.keep(candidates(t))))
 
 
 @query("link_events", f"WITH RECURSIVE {REC_SQL} SELECT row_id, event_id, component FROM lk")
@@ -91,7 +91,7 @@ STATE = ["component", "event_id", "announcement_available_at", *mg.RECORD, *mg.F
 
 @query("state_history", f"{ALL_SQL} SELECT inst AS available_at, {', '.join(STATE)} FROM mo")
 def _(t):
-    return mg.state_history(linked(t)).select("available_at", *STATE)
+    return mg.state_history(linked(t), t.keep).select("available_at", *STATE)
 
 
 @query("lead_times", f"""{LAST_SQL} SELECT event_id, component, {r('(epoch_us(effective_start_at) - epoch_us(announcement_available_at)) / 3600000000.0')} AS lead_hours, coalesce(effective_start_at < announcement_available_at, false) AS after_the_fact,
@@ -136,7 +136,7 @@ def states(t):
         F.when(e % 3 == 0, "up").when(e % 3 == 1, "down").otherwise("unknown").alias("direction"), F.when(e % 17 == 0, "cancelled").otherwise("active").alias("status"), pick(ft.EFFECTS, u % 8).alias("physical_effect"), F.lit("unreviewed").alias("review_status"),
         F.when(e % 23 == 0, "needs_time_review").otherwise("eligible").alias("eligibility"), F.lit("short_term").alias("relevance"))
     first = d.groupBy("event_id").agg(F.min("available_at").alias("announcement_available_at"))
-    return t.keep(d.join(first, "event_id"))
+    return t.once("states", lambda: d.join(first, "event_id"))
 
 
 CLOCK = al.MarketClock("m", "UTC", 60)
@@ -193,12 +193,12 @@ def _(t):
 
 @query("event_features", f"WITH {feature_sql()} SELECT * FROM fe")
 def _(t):
-    return ft.event_features(states(t), bounds(t), CLOCK)
+    return ft.event_features(states(t), bounds(t), CLOCK, keep=t.keep)
 
 
 @query("forecast_event_features", f"WITH {feature_sql(CUTOFF)} SELECT * FROM fe")
 def _(t):
-    return ft.forecast_event_features(states(t), bounds(t), CLOCK, CUTOFF)
+    return ft.forecast_event_features(states(t), bounds(t), CLOCK, CUTOFF, t.keep)
 
 
 @query("leak_check", f"""WITH {feature_sql()}, rf AS (SELECT series_id, event_id, ts FROM ac WHERE act UNION ALL SELECT series_id, 'nobody', TIMESTAMP '{LO}' FROM (SELECT DISTINCT series_id FROM st)), ev AS (SELECT event_id, min(announcement_available_at) AS a FROM st GROUP BY 1)
@@ -216,13 +216,13 @@ FCOLS = ["active_event_count", "active_capacity_mw", "direction_up_count", "next
 s AS (SELECT series_id, i.name AS name, count(*) AS n, count(i.value) AS observations, coalesce(min(i.value) < max(i.value), false) AS v FROM u GROUP BY 1, 2)
 SELECT series_id, name, observations, {r('observations / n')} AS coverage, observations >= 96 AND v AS selected, CASE WHEN observations < 96 THEN 'too_few_observations' WHEN NOT v THEN 'constant' END AS reason FROM s""")
 def _(t):
-    return ft.select_features(ft.forecast_event_features(states(t), bounds(t), CLOCK, CUTOFF), FCOLS, CUTOFF)
+    return ft.select_features(ft.forecast_event_features(states(t), bounds(t), CLOCK, CUTOFF, t.keep), FCOLS, CUTOFF)
 
 
 @query("attach_features", f"""WITH {RAW_SQL}, {feature_sql(CUTOFF)} SELECT raw.series_id, raw.ts, {r('raw.value')} AS value, fe.active_event_count AS news_active_event_count, fe.active_capacity_mw AS news_active_capacity_mw FROM raw LEFT JOIN fe ON fe.series_id = raw.series_id AND fe.ts = raw.ts AND fe.available_at <= TIMESTAMP '2024-01-15'
 WHERE raw.name = 'purchase'""")
 def _(t):
-    f = ft.forecast_event_features(states(t), bounds(t), CLOCK, CUTOFF)
+    f = ft.forecast_event_features(states(t), bounds(t), CLOCK, CUTOFF, t.keep)
     model = t.hourly().where(F.col("name") == TARGET).drop("name")
     return ft.attach_features(model, f, "2024-01-15", ["active_event_count", "active_capacity_mw"]).select("series_id", "ts", r6("value").alias("value"), "news_active_event_count", "news_active_capacity_mw")
 
@@ -277,22 +277,22 @@ HALF = al.MarketClock("m", "UTC", 30)
 
 def study_prices(t):
     half = al.resample(t.events().where(F.col("name") == TARGET), "30min")
-    return t.keep(al.fill_linear(al.align(half, TARGET, "30min")).select("series_id", "ts", "value"))
+    return t.once("study_prices", lambda: al.fill_linear(al.align(half, TARGET, "30min")).select("series_id", "ts", "value"))
 
 
 def study_events(t):
     from ..operators.common import top_k
     e, ts = F.col("event_id"), F.col("ts")
     top = top_k(t.events().where(F.col("name") == "error"), ["series_id"], [F.desc("value"), F.asc("event_id")], 6)
-    return t.keep(top.select("series_id", "event_id", shift_ts(ts, -(e % 3) * 3600).alias("announcement_available_at"), ts.alias("effective_start_at"), F.when(e % 2 == 0, shift_ts(ts, 7200)).alias("effective_end_at"),
+    return t.once("study_events", lambda: top.select("series_id", "event_id", shift_ts(ts, -(e % 3) * 3600).alias("announcement_available_at"), ts.alias("effective_start_at"), F.when(e % 2 == 0, shift_ts(ts, 7200)).alias("effective_end_at"),
                              F.when(e % 3 == 0, "up").when(e % 3 == 1, "down").otherwise("unknown").alias("direction")))
 
 
 def study_parts(t):
     p, e = study_prices(t), study_events(t)
-    occ = sd.occupied(e, HALF, "announcement", max(HOURS))
+    occ = t.keep(sd.occupied(e, HALF, "announcement", max(HOURS)))
     ref = t.keep(sd.reference(p, sd.baseline(sd.free_prices(p, occ)), occ))
-    return p, e, occ, ref, sd.event_starts(e, p, HALF, "announcement", HOURS)
+    return p, e, occ, ref, t.keep(sd.event_starts(e, p, HALF, "announcement", HOURS))
 
 
 @query("occupied", f"WITH {PRICE_SQL} SELECT * FROM oc")
@@ -374,7 +374,7 @@ def _(t):
 
 
 def _records(t):
-    return t.keep(ex.event_records(bulletins(t), TZ).withColumn("review_status", F.lit("unreviewed")))
+    return t.once("records", lambda: ex.event_records(bulletins(t), TZ).withColumn("review_status", F.lit("unreviewed")))
 
 
 QREC_SQL = TIME_SQL + """, kk AS (SELECT *, event_type NOT IN ('irrelevant', 'unknown') AS carries FROM tm),

@@ -38,7 +38,7 @@ def folds(t):
     cut = [(1, "2024-01-13 06:00:00"), (2, "2024-01-20 06:00:00"), (3, "2024-01-27 06:00:00")]
     f = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("fold_id"), F.lit(a).cast("timestamp").alias("as_of")) for i, a in cut]))
     d = _versions(t).select("series_id").distinct().select("series_id", f.alias("_f")).select("series_id", "_f.*")
-    return t.keep(d.withColumn("target_start", shift_ts("as_of", 18 * 3600)).withColumn("target_end", shift_ts("as_of", 42 * 3600)))
+    return t.once("folds", lambda: d.withColumn("target_start", shift_ts("as_of", 18 * 3600)).withColumn("target_end", shift_ts("as_of", 42 * 3600)))
 
 
 def sources(t):
@@ -51,7 +51,7 @@ def sources(t):
 
 
 def snapshot(t):
-    return t.keep(fc.snapshots(*sources(t), folds(t), "1h"))
+    return t.once("snapshot", lambda: fc.snapshots(*sources(t), folds(t), "1h"))
 
 
 SNAP = ["rt_price", "actual_load", "fcst_load_type_11", "fcst_re_total", "fcst_net_load", "wx_temperature"]

@@ -208,7 +208,7 @@ def _(t):
 @query("monotonic", f"""WITH {QUARTILE_SQL}, s AS (SELECT *, target_mean - lag(target_mean) OVER (PARTITION BY series_id, name ORDER BY bucket) AS d FROM qr)
 SELECT series_id, name, count(*) AS buckets, count(*) < 3 OR bool_and(coalesce(d >= 0, true)) OR bool_and(coalesce(d <= 0, true)) AS monotonic FROM s GROUP BY 1, 2""")
 def _(t):
-    return ev.monotonic(rel.quartile_response(t.pairs()))
+    return ev.monotonic(rel.quartile_response(t.pairs(), keep=t.keep))
 
 
 @query("group_spread", f"""WITH {PAIR_SQL}, h AS (SELECT series_id, name, hour(ts) AS g, round(corr(x, y), 6) AS c FROM both_known GROUP BY 1, 2, 3 HAVING count(*) >= 12),
@@ -289,11 +289,11 @@ def _shifted(t):
 
 @query("daily_anomalies", f"WITH {DAILY_SQL} SELECT * FROM dk WHERE rank <= 5")
 def _(t):
-    return an.daily_anomalies(_shifted(t), 12)
+    return an.daily_anomalies(_shifted(t), 12, keep=t.keep)
 
 
 def _candidates(t):
-    return an.candidate_windows(an.daily_anomalies(_shifted(t), 12), "2024-01-05", "2024-01-25", ETYPES)
+    return an.candidate_windows(an.daily_anomalies(_shifted(t), 12, keep=t.keep), "2024-01-05", "2024-01-25", ETYPES)
 
 
 @query("candidate_windows", f"WITH {CAND_SQL} SELECT * FROM cw")
@@ -341,7 +341,7 @@ def _(t):
 tp AS (SELECT series_id, name, max(day) FILTER (kind = 'high') AS top_high_day, max(day) FILTER (kind = 'low') AS top_low_day, max(day) FILTER (kind = 'negative') AS top_negative_day FROM dk WHERE rank = 1 GROUP BY 1, 2)
 SELECT * FROM prof LEFT JOIN tp USING (series_id, name)""")
 def _(t):
-    return an.study_summary(versions(t).where(F.col("ts").isNotNull()), 20)
+    return an.study_summary(versions(t).where(F.col("ts").isNotNull()), 20, t.keep)
 
 
 EX_SQL = ALIGNED_SQL + ", x AS (SELECT series_id, ts, i, value FROM aligned WHERE name = 'purchase'), xv AS (SELECT * FROM x WHERE value IS NOT NULL)" + FENCE_SQL + """,

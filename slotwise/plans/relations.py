@@ -109,7 +109,7 @@ qr AS (SELECT series_id, name, {big('CASE WHEN x <= e1 THEN 1 WHEN x <= e2 THEN
 
 @query("quartile_response", f"WITH {QUARTILE_SQL} SELECT * FROM qr")
 def _(t):
-    return rel.quartile_response(t.pairs())
+    return rel.quartile_response(t.pairs(), keep=t.keep)
 
 
 def mi_sql(max_lag):
@@ -126,7 +126,7 @@ mi AS (SELECT series_id, name, {big('lag')} AS lag, {big('n')} AS observations,
 
 @query("mutual_information", f"WITH {mi_sql(12)} SELECT * FROM mi")
 def _(t):
-    return rel.mutual_information(t.pairs(), 12)
+    return rel.mutual_information(t.pairs(), 12, keep=t.keep)
 
 
 @query("mutual_information_summary", f"""WITH {mi_sql(6)},
@@ -134,7 +134,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY series_id, name ORDER BY coalesc
 SELECT b.series_id, b.name, evaluated_lags, b.lag, normalized, abs(correlation) AS absolute_pearson, coalesce(normalized >= 0.05 AND abs(correlation) < 0.1, false) AS nonlinear FROM b LEFT JOIN sc USING (series_id, name, lag) WHERE rn = 1""")
 def _(t):
     a = t.pairs()
-    return rel.mutual_information_summary(rel.mutual_information(a, 6), rel.lead_scan(a, 6))
+    return rel.mutual_information_summary(rel.mutual_information(a, 6, keep=t.keep), rel.lead_scan(a, 6))
 
 
 @query("granger")

@@ -26,11 +26,11 @@ def conversations(t):
 
 
 def turns(t):
-    return t.keep(rt.group_turns(conversations(t)))
+    return t.once("turns", lambda: rt.group_turns(conversations(t)))
 
 
 def queries(t):
-    return t.keep(conversations(t).where(F.col("role") == "user").groupBy(F.col("conv_id").alias("query_id"), "conv_id").agg(F.max_by("text", "turn").alias("text")))
+    return t.once("queries", lambda: conversations(t).where(F.col("role") == "user").groupBy(F.col("conv_id").alias("query_id"), "conv_id").agg(F.max_by("text", "turn").alias("text")))
 
 
 @query("tokenize", f"WITH {TURN_SQL} SELECT conv_id, turn, {big('count(term)')} AS terms, {big('count(DISTINCT term)')} AS distinct_terms, min(term) AS first_term FROM {terms_sql('cv', 'conv_id, turn')} GROUP BY 1, 2")
@@ -55,7 +55,7 @@ ga AS (SELECT query_id, turn_id, conv_id, {r('score')} AS score, matched AS matc
 
 
 def matches(t):
-    return t.keep(rt.bm25_matches(turns(t), queries(t), t.keep))
+    return t.once("matches", lambda: rt.bm25_matches(turns(t), queries(t), t.keep))
 
 
 @query("bm25", f"WITH {MATCH_SQL} SELECT query_id, turn_id, {r('sum(part)')} AS score, count(*) AS matched_terms FROM ma GROUP BY 1, 2")

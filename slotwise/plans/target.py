@@ -118,7 +118,7 @@ SELECT b.*, CASE WHEN high_spike_share > 0 THEN {r('spike_follows_spike / high_s
 FROM b LEFT JOIN rs h ON h.series_id = b.series_id AND h.flag = 'high' LEFT JOIN rs l ON l.series_id = b.series_id AND l.flag = 'low'
  LEFT JOIN rs c ON c.series_id = b.series_id AND c.flag = 'calm'""")
 def _(t):
-    return tg.spike_regime(t.aligned(), TARGET)
+    return tg.spike_regime(t.aligned(), TARGET, keep=t.keep)
 
 
 @query("spike_concentration", f"""WITH {TARGET_SQL}{FENCE_SQL},
@@ -174,7 +174,7 @@ SELECT series_id, {big('n')} AS observations, {r('center')} AS robust_center, {r
  {r('exp(-(n / 6 * (sr * sr + kr * kr / 4)) / 2)')} AS raw_p_value, {r('br')} AS raw_share_beyond_5, {r('sa')} AS asinh_skewness, {r('ka')} AS asinh_kurtosis, {r('n / 6 * (sa * sa + ka * ka / 4)', 4)} AS asinh_jarque_bera,
  {r('exp(-(n / 6 * (sa * sa + ka * ka / 4)) / 2)')} AS asinh_p_value, {r('ba')} AS asinh_share_beyond_5, CASE WHEN abs(round(ka, 6)) < abs(round(kr, 6)) * 0.8 THEN 'asinh_median_mad' ELSE 'none' END AS recommended_transform FROM q WHERE n >= 8""")
 def _(t):
-    return tg.variance_stabilization(t.aligned(), TARGET)
+    return tg.variance_stabilization(t.aligned(), TARGET, t.keep)
 
 
 SEG_STATS_SQL = f"""{SEGMENTS_SQL},
@@ -195,7 +195,7 @@ SELECT a.series_id, a.kind, a.segment_id AS left_id, b.segment_id AS right_id, {
  {r('a.median - b.median')} AS median_difference, {r('a.std - b.std')} AS std_difference FROM st a JOIN st b ON a.series_id = b.series_id AND a.kind = b.kind AND a.ord < b.ord
  LEFT JOIN o ON o.series_id = a.series_id AND o.l = a.segment_id AND o.rr = b.segment_id""")
 def _(t):
-    return tg.compare_price_segments(t.aligned(), TARGET, SEGMENTS)
+    return tg.compare_price_segments(t.aligned(), TARGET, SEGMENTS, keep=t.keep)
 
 
 @query("histogram", f"""WITH {ALIGNED_SQL},
