@@ -126,3 +126,9 @@ def validate_grid(df: DataFrame, clock: MarketClock, keys: list[str] | None = No
         count_if(F.unix_micros("ts") - F.unix_micros("prev_ts") != step).alias("not_contiguous"), F.sum("_bad").alias("not_finite"))
     rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).cast("long").alias("rows")) for r in ("duplicate_times", "off_grid", "not_contiguous", "not_finite")])
     return a.select(*keys, F.explode(rules).alias("_r")).select(*keys, "_r.rule", "_r.rows").where(F.col("rows") > 0)
+
+
+def data_quality(evidence: DataFrame, loaded: DataFrame, aligned: DataFrame, specs: DataFrame, freq: str, target: str, keep=lambda df: df) -> dict[str, DataFrame]:
+    """The quality evidence of a study in one call: series reports, ordered issues and the alignment report."""
+    report = keep(series_quality(evidence, loaded, aligned, specs, freq))
+    return {"series": report, "issues": quality_issues(report, target), "alignment": alignment_quality(aligned, target)}
