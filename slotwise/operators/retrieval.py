@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_if, r6
-from .common import top_k
+from .common import prefix_sums, top_k
 
 # Ranking constants and the wordings that stand for one concept.
 K1, B = 1.5, 0.75
@@ -37,8 +37,7 @@ def tokenize(df: DataFrame, text: str = "text") -> DataFrame:
 
 def group_turns(messages: DataFrame) -> DataFrame:
     """A user message with the replies that follow it is one turn; replies before any user message are turn 0."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)          # messages of one conversation
-    m = messages.withColumn("turn_no", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w).cast("long"))
+    m = prefix_sums(messages, ["conv_id"], "turn", {"turn_no": (F.col("role") == "user").cast("long")})
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n")
     return m.groupBy("conv_id", "turn_no").agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("messages"), joined.alias("text")).withColumn("turn_id", F.concat_ws(":", "conv_id", "turn_no"))
 
@@ -50,18 +49,20 @@ def term_counts(turns: DataFrame) -> DataFrame:
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
+    return queries.select("query_id", "conv_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
 
 
 def bm25_matches(turns: DataFrame, queries: DataFrame, keep=lambda df: df) -> DataFrame:
-    """One row per query, turn and shared term with its score part; `keep` persists the index read three times."""
+    """One row per query, turn of its conversation and shared term, with its score part.
+
+    The corpus of a query is its own conversation, so queries never meet the turns of others however common a
+    word is. `keep` cuts the plan at the index, which is read twice.
+    """
     index = keep(term_counts(turns))
-    size = turns.select("turn_id", F.size(tokens("text")).alias("n")).agg(F.count(F.lit(1)).alias("_docs"), F.avg("n").alias("_avg")).withColumn("_k", F.lit(1))
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = df.withColumn("_k", F.lit(1)).join(size, "_k").drop("_k")              # one-row corpus totals
-    q = query_terms(queries)
-    qt = q.join(stats, "term")
-    m = qt.join(index, "term")
+    size = turns.select("conv_id", F.size(tokens("text")).alias("n")).groupBy("conv_id").agg(F.count(F.lit(1)).alias("_docs"), F.avg("n").alias("_avg"))
+    qt = query_terms(queries).join(size, "conv_id")
+    df = index.groupBy("conv_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    m = qt.join(df, ["conv_id", "term"]).join(index, ["conv_id", "term"])
     idf = F.log(1 + (F.col("_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("_avg")))
     return m.select("query_id", "turn_id", "conv_id", "term", part.alias("part"), "df", F.col("_docs").alias("docs"))

@@ -46,8 +46,8 @@ def _(t):
 
 MATCH_SQL = TURN_SQL + f""",
 ix AS (SELECT turn_id, term, count(*) AS tf FROM {terms_sql('tu', 'turn_id')} GROUP BY 1, 2), ln AS (SELECT tu.turn_id, coalesce(n, 0) AS length FROM tu LEFT JOIN (SELECT turn_id, sum(tf) AS n FROM ix GROUP BY 1) USING (turn_id)),
-tot AS (SELECT count(*) AS docs, avg(length) AS av FROM ln), dc AS (SELECT term, count(*) AS df FROM ix GROUP BY 1), qt AS (SELECT DISTINCT query_id, term FROM {terms_sql('qs', 'query_id')}),
-ma AS (SELECT query_id, ix.turn_id, conv_id, term, ln(1 + (docs - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * length / av)) AS part, df, docs FROM qt JOIN dc USING (term) JOIN ix USING (term) JOIN ln ON ln.turn_id = ix.turn_id JOIN tu ON tu.turn_id = ix.turn_id CROSS JOIN tot),
+tot AS (SELECT conv_id, count(*) AS docs, avg(length) AS av FROM ln JOIN tu USING (turn_id) GROUP BY 1), dc AS (SELECT conv_id, term, count(*) AS df FROM ix JOIN tu USING (turn_id) GROUP BY 1, 2), qt AS (SELECT DISTINCT query_id, conv_id, term FROM {terms_sql('qs', 'query_id, conv_id')}),
+ma AS (SELECT query_id, ix.turn_id, tu.conv_id, ix.term, ln(1 + (docs - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * length / av)) AS part, df, docs FROM qt JOIN tu ON tu.conv_id = qt.conv_id JOIN ix ON ix.turn_id = tu.turn_id AND ix.term = qt.term JOIN dc ON dc.conv_id = qt.conv_id AND dc.term = qt.term JOIN ln ON ln.turn_id = ix.turn_id JOIN tot ON tot.conv_id = qt.conv_id),
 qn AS (SELECT query_id, count(*) AS q, count_if(starts_with(term, '@concept.')) AS qc FROM qt GROUP BY 1),
 g0 AS (SELECT query_id, turn_id, conv_id, sum(part) AS score, count(*) AS matched, count_if(starts_with(term, '@concept.')) AS c, max(CASE WHEN NOT starts_with(term, '@concept.') AND ord(term[1]) < 128 AND regexp_matches(term, '[-_0-9]') THEN 1 ELSE 0 END) AS ident, count_if(NOT (docs >= 4 AND df / docs > 0.65)) AS rare FROM ma GROUP BY 1, 2, 3),
 ga AS (SELECT query_id, turn_id, conv_id, {r('score')} AS score, matched AS matched_terms, {r('CASE WHEN c >= 2 AND c / qc >= 0.5 THEN c / qc WHEN ident = 1 THEN 1.0 ELSE matched / q END')} AS coverage,
