@@ -119,13 +119,16 @@ def empirical_p(metrics: DataFrame, controls: DataFrame) -> DataFrame:
     return j.select(*keys, "controls", p.alias("p"), r6(F.coalesce("_a", F.lit(0.0))).alias("control_mean"), r6(F.when(F.col("controls") > 1, F.col("_s")).otherwise(F.lit(0.0))).alias("control_std"))
 
 
-def holm(df: DataFrame, p: str = "p", keys: list[str] | None = None, tie: list[str] | None = None) -> DataFrame:
-    """Holm-adjusted p per study (all tests of a market); one row per test."""
+def holm(df: DataFrame, p: str = "p", keys: list[str] | None = None) -> DataFrame:
+    """Holm-adjusted p per study (all tests of a market).
+
+    Tests with one p share the adjustment of the first of them, so the step-down runs over distinct p-values,
+    which empirical tails keep few, and never over the tests themselves.
+    """
     keys = ["series_id"] if keys is None else keys
-    w = Window.partitionBy(*keys)
-    o = w.orderBy(p, *(tie or ["event_id", "hours"]))
-    adj = F.least(F.lit(1.0), (F.count(F.lit(1)).over(w) - F.row_number().over(o) + 1) * F.col(p))
-    return df.withColumn("_a", adj).withColumn("corrected_p", r6(F.max("_a").over(o.rowsBetween(Window.unboundedPreceding, 0)))).drop("_a")
+    rv = ranked_values(df, keys, p).withColumn("_a", F.least(F.lit(1.0), (F.col("_n") - F.col("_before")) * F.col("_v")))
+    upto = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    return df.join(rv.select(*keys, F.col("_v").alias(p), r6(F.max("_a").over(upto)).alias("corrected_p")), [*keys, p])
 
 
 def placebos(starts: DataFrame, ref: DataFrame, clock: MarketClock, days: tuple[int, ...] = PLACEBO_DAYS) -> DataFrame:
@@ -167,7 +170,7 @@ def event_study(prices: DataFrame, events: DataFrame, clock: MarketClock, axis:
     m = keep(window_metrics(starts, ref, clock, ["event_id", "direction", "anchor"]).drop("busy"))
     ids = ["series_id", "event_id", "hours"]
     t = m.join(empirical_p(m, control_windows(starts, ref, clock)), ids)
-    t = holm(t)
+    t = holm(keep(t))
     pl = placebos(starts, ref, clock).select(*ids, F.col("deviation").alias("_p"))
     pl = m.select(*ids, "deviation").join(pl, ids, "left").groupBy(*ids).agg(F.count("_p").alias("placebos"), count_if(F.abs("_p") >= F.abs("deviation")).alias("placebos_at_least"))
     t = t.join(pl, ids, "left").join(confounders(starts, occ, clock), ids, "left").na.fill({"placebos": 0, "placebos_at_least": 0, "confounders": 0, "confounding_event_ids": ""})

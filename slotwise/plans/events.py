@@ -330,7 +330,7 @@ def _(t):
 SELECT series_id, name, {r('p')} AS p, {r('max(a) OVER (PARTITION BY series_id ORDER BY p, name ROWS UNBOUNDED PRECEDING)')} AS corrected_p FROM h""")
 def _(t):
     g = t.events().groupBy("series_id", "name").agg(((1 + F.count(F.when(F.col("value") > 50, 1))) / (1 + F.count(F.lit(1)))).alias("p"))
-    return sd.holm(g, tie=["name"]).withColumn("p", r6("p"))
+    return sd.holm(g).withColumn("p", r6("p"))
 
 
 @query("placebos", f"WITH {STUDY_SQL} SELECT series_id, event_id, hours, offset_days, start_at, deviation FROM pl")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import r6
 from ..operators import align as al
 from ..operators import target as tg
-from .base import ALIGNED_SQL, FILLED_SQL, RAW_SQL, TARGET, TARGET_SQL, big, query, r
+from .base import ALIGNED_SQL, FILLED_SQL, TARGET, TARGET_SQL, big, query, r
 
 SEGMENTS = [
     al.Segment("peak", "hours", hours=(9, 10, 11, 18, 19, 20)), al.Segment("valley", "hours", hours=(0, 1, 2, 3, 4, 5)),
