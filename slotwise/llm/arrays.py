@@ -114,3 +114,6 @@ def window_anchors(x: np.ndarray, length: int, k: int, powers: Powers):
         anchor = low[first].astype(np.int64)
         out.append((first + lo, last + lo, grams[anchor].view(np.int64), span_hash(p, first, last + length, powers).view(np.int64)))
     return tuple(np.concatenate(c) for c in zip(*out))
+
+
+COEF3 = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)

@@ -1,9 +1,13 @@
 """Registered queries of the subpackage, with oracle SQL where SQL can express them."""
 
-from . import packing, urls
+from . import decontamination, line_crf, packing, toxicity, urls, weak_labels
 
 QUERIES = {
+    "op1_line_crf": line_crf.op1_line_crf,
+    "op2_noisy_channel_toxicity": toxicity.op2_noisy_channel_toxicity,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op8_association_rules": urls.op8_association_rules,
+    "op9_weak_label_quality": weak_labels.op9_weak_label_quality,
+    "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
 }
 ORACLES = {"op8_association_rules": urls.OP8_SQL}
