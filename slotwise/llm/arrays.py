@@ -90,16 +90,17 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def window_anchors(x: np.ndarray, length: int, k: int, powers: Powers):
-    """Anchors of all windows of `length` symbols: arrays (first, last, anchor hash, cell hash).
+    """Anchors of all windows of `length` symbols: arrays (first, last, anchor place, anchor hash, cell hash).
 
     The anchor of a window is its k-gram with the smallest hash, the leftmost of equal ones. Windows first..last of
-    one text have the same anchor; their cell is x[first : last + length]. Equal windows have equal anchor hashes.
+    one text have the same anchor; their cell is x[first : last + length]. Equal windows have equal anchor hashes, at
+    the same distance from their start.
     """
     n = len(x)
     w = length - k + 1
     none = np.empty(0, dtype=np.int64)
     if n < length:
-        return none, none, none, none
+        return none, none, none, none, none
     out = []
     for lo in range(0, n - length + 1, BLOCK):
         part = x[lo:lo + BLOCK + length - 1]
@@ -112,7 +113,7 @@ def window_anchors(x: np.ndarray, length: int, k: int, powers: Powers):
         first = np.concatenate(([0], cut))
         last = np.concatenate((cut - 1, [len(low) - 1]))
         anchor = low[first].astype(np.int64)
-        out.append((first + lo, last + lo, grams[anchor].view(np.int64), span_hash(p, first, last + length, powers).view(np.int64)))
+        out.append((first + lo, last + lo, anchor + lo, grams[anchor].view(np.int64), span_hash(p, first, last + length, powers).view(np.int64)))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 

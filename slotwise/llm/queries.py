@@ -1,11 +1,13 @@
 """Registered queries of the subpackage, with oracle SQL where SQL can express them."""
 
-from . import decontamination, line_crf, line_dedup, near_dup, packing, toxicity, urls, weak_labels
+from . import decontamination, line_crf, line_dedup, near_dup, packing, substring_dedup, suffix_dedup, toxicity, urls, weak_labels
 
 QUERIES = {
     "op1_line_crf": line_crf.op1_line_crf,
     "op2_noisy_channel_toxicity": toxicity.op2_noisy_channel_toxicity,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_suffix_automaton": substring_dedup.op4_suffix_automaton,
+    "op5_suffix_merge_sort": suffix_dedup.op5_suffix_merge_sort,
     "op6_line_chunks": line_dedup.op6_line_chunks,
     "op7_weighted_near_dup": near_dup.op7_weighted_near_dup,
     "op8_association_rules": urls.op8_association_rules,
