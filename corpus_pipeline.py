@@ -1,11 +1,59 @@
-"""The training-data pipeline over `documents`: classifier, line dedup, near-dedup, decontamination, packing."""
+"""The training-data pipeline over `documents`: classifier, line dedup, near-duplicates, decontamination, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next one's
+docs; all but the last return the columns of documents. Rows without doc_id go through the text stages and are kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from slotwise.llm import decontamination, line_dedup, near_dup, packing, weak_labels
+from slotwise.llm.store import keep, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label classifier keeps."""
+    verdicts = weak_labels.classify(docs, with_columns=COLUMNS)
+    return verdicts.where("kept").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without line chunks that an earlier document has; those with nothing left go."""
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+    return out.where((F.col("_removed") == 0) | (F.trim("text") != "")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class: the one with the smallest id."""
+    classes, _ = near_dup.near_duplicates(docs)
+    gone = classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id")).where(F.col("class_id") != F.col("doc_id")).select("doc_id")
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    repeated = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("doc_id").isNotNull()).select("doc_id")
+    once = kept.join(repeated, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that copy no benchmark item."""
+    leaks = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.select(*COLUMNS).join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of the documents that are left."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality_classifier", quality), ("line_dedup", lines), ("near_dedup", near_duplicates), ("decontamination", decontaminate), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

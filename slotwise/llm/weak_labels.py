@@ -124,29 +124,50 @@ def fit_scorer(rows: list[tuple[list[int], list[float], float]]) -> np.ndarray:
     return w
 
 
-def classify(docs: DataFrame, keep_score: float = KEEP_SCORE, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Per document row: doc_id, votes, posterior of the weak labels, score, kept."""
+def weak_model(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[dict[str, float], np.ndarray]:
+    """(posterior of good by vote pattern, scorer weights) learned from the documents."""
     def vote(batches):
+        hashes = WordHashes()
+        for pdf in batches:
+            yield pd.DataFrame({"h": pdf["h"], "votes": [votes(statistics(t, hashes)[0]) for t in pdf["text"]]})
+
+    def describe(batches):
         hashes, shapes = WordHashes(), Shapes()
         for pdf in batches:
             out = []
-            for doc, text, h in zip(pdf["doc_id"].array, pdf["text"].array, pdf["h"]):
-                stats, tokens = statistics("" if text is None or text is pd.NA else text, hashes)
-                out.append((doc, h, votes(stats), *features(stats, tokens, shapes)))
-            yield pd.DataFrame(out, columns=["doc_id", "h", "votes", "at", "val"]).astype({"doc_id": "Int64"})
-    voted = keep(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
-                     .mapInPandas(vote, "doc_id long, h long, votes string, at array<int>, val array<float>"))
+            for text in pdf["text"]:
+                stats, tokens = statistics(text, hashes)
+                out.append((votes(stats), *features(stats, tokens, shapes)))
+            yield pd.DataFrame(out, columns=["votes", "at", "val"])
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    voted = keep(rows.mapInPandas(vote, "h long, votes string"))
     counts = dict(voted.groupBy("votes").count().collect())            # at most 3 ** labellers rows
     post, _, _ = estimate(counts)
-    sample = voted.orderBy("h").limit(sample_docs).select("at", "val", "votes").collect()
-    weights = fit_scorer([(r[0], r[1], post[r[2]]) for r in sample])
+    last = voted.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    if last is None:
+        return post, fit_scorer([])
+    sample = rows.where(F.col("h") <= last).dropDuplicates(["h"]).mapInPandas(describe, "votes string, at array<int>, val array<float>").collect()
+    return post, fit_scorer([(r[1], r[2], post[r[0]]) for r in sample])
+
+
+def classify(docs: DataFrame, keep_score: float = KEEP_SCORE, sample_docs: int = SAMPLE_DOCS, with_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per document row: the columns asked for, votes, posterior of the weak labels, score, kept."""
+    post, weights = weak_model(docs, sample_docs)
+    picked = docs.select(*with_columns)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields)
 
     def score(batches):
+        hashes, shapes = WordHashes(), Shapes()
         for pdf in batches:
-            z = np.array([float(weights[a] @ v) for a, v in zip(pdf["at"], pdf["val"])]) + weights[-1]
-            s = 1 / (1 + np.exp(-z))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "votes": pdf["votes"], "posterior": pdf["votes"].map(post), "score": s, "kept": s >= keep_score})
-    return voted.mapInPandas(score, "doc_id long, votes string, posterior double, score double, kept boolean")
+            seen, z = [], []
+            for text in pdf["_text"]:
+                stats, tokens = statistics(text, hashes)
+                at, val = features(stats, tokens, shapes)
+                seen.append(votes(stats))
+                z.append(float(weights[at] @ val) + weights[-1])
+            s = 1 / (1 + np.exp(-np.array(z, dtype=float)))
+            yield pdf.drop(columns=["_text"]).assign(votes=seen, posterior=[post[v] for v in seen], score=s, kept=s >= keep_score)
+    return docs.select(*with_columns, F.coalesce("text", F.lit("")).alias("_text")).mapInPandas(score, fields + ", votes string, posterior double, score double, kept boolean")
 
 
 def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
