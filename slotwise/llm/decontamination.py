@@ -10,11 +10,11 @@ from chance and match nothing; repeated document rows give repeated result rows;
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import CACHE, mix
+from .batches import emit
 from .store import keep, table
 
 GRAM = 4                 # words of a seed
@@ -153,18 +153,16 @@ def _block_leaks(docs: DataFrame, block: Block, min_score: float) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(block)
 
-    def seed(batches):
+    def seed():
         own = shared.value
         ids_of = WordIds(own.vocabulary)
-        for pdf in batches:
-            out = []
-            for n, (doc, text) in enumerate(zip(pdf["doc_id"].array, pdf["text"].array)):
-                if text:
-                    out += [(doc, n, item, lo, ids, seeds) for item, lo, ids, seeds in own.passages(ids_of.of(text))]
-            yield pd.DataFrame(out, columns=["doc_id", "row", "item_id", "at", "words", "seeds"]).astype({"doc_id": "Int64"})
-
-    hits = keep(docs.select("doc_id", "text").where(F.col("text").isNotNull())
-                    .mapInPandas(seed, "doc_id long, row int, item_id long, at int, words array<int>, seeds array<int>"))
+
+        def one(doc, text):
+            for item, at, ids, seeds in own.passages(ids_of.of(text)):
+                yield doc, item, at, ids, seeds
+        return one
+
+    hits = keep(emit(docs.select("doc_id", "text").where(F.col("text").isNotNull()), seed, "doc_id long, item_id long, at int, words array<int>, seeds array<int>"))
     counts = dict(hits.select(F.explode("seeds").alias("s")).groupBy("s").count().collect())    # at most one row per seed of the block
     seen = np.array([counts.get(k, 0) for k in range(len(block.seeds))])
     of_item: dict[int, list[int]] = {}
@@ -174,22 +172,21 @@ def _block_leaks(docs: DataFrame, block: Block, min_score: float) -> DataFrame:
     limit = {i: max(RARE_FLOOR, RARE_FACTOR * float(np.median(seen[ks]))) for i, ks in of_item.items()}
     rare = spark.sparkContext.broadcast((seen, limit))
 
-    def align(batches):
+    def align():
         own, (n_seen, most) = shared.value, rare.value
-        for pdf in batches:
-            out = []
-            for doc, item, at, words, seeds in zip(pdf["doc_id"].array, pdf["item_id"], pdf["at"], pdf["words"], pdf["seeds"]):
-                if n_seen[np.asarray(seeds)].min() > most[item]:
-                    continue
-                x, p = own.items[item], np.asarray(words)
-                score, end = smith_waterman(x, p)
-                share = score / (MATCH * len(x))
-                if share >= min_score:
-                    _, back = smith_waterman(x[::-1], p[:end][::-1])
-                    out.append((doc, item, share, at + end - back, at + end))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "start", "end"]).astype({"doc_id": "Int64"})
-
-    return hits.mapInPandas(align, "doc_id long, item_id long, score double, start long, end long")
+
+        def one(doc, item, at, passage, seeds):
+            if n_seen[np.asarray(seeds)].min() > most[item]:
+                return
+            x, p = own.items[item], np.asarray(passage)
+            score, end = smith_waterman(x, p)
+            share = score / (MATCH * len(x))
+            if share >= min_score:
+                _, back = smith_waterman(x[::-1], p[:end][::-1])
+                yield doc, item, share, at + end - back, at + end
+        return one
+
+    return emit(hits, align, "doc_id long, item_id long, score double, start long, end long")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

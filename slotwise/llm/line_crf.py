@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import WordHashes
+from .batches import extend
 from .store import table
 from .textstats import SPACES, SYMBOLS, base_counts, base_failed
 
@@ -163,23 +164,21 @@ def label_lines(docs: DataFrame, keep_share: float = KEEP_SHARE, sample_docs: in
     """Per document row: base counts, labels (one digit a line, 1 content), content_share, base_failed, kept."""
     weights, trans = train(sample_sequences(docs, sample_docs))
 
-    def run(batches):
+    def make():
         cache = WordHashes()
-        for pdf in batches:
-            out = []
-            for doc, text in zip(pdf["doc_id"].array, pdf["text"].array):
-                text = "" if text is None or text is pd.NA else text
-                c = base_counts(text, cache)
-                bits, sizes = line_bits(text)
-                share, labels = 0.0, ""
-                if len(bits):
-                    state = viterbi(matrix(bits) @ weights, trans)
-                    share, labels = float((state * sizes).sum() / max(1, sizes.sum())), "".join(map(str, state.tolist()))
-                failed = base_failed(c)
-                out.append((doc, *c, failed, not failed and share >= keep_share, share, labels))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share", "labels"]).astype({"doc_id": "Int64"})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double, labels string")
+
+        def one(text):
+            c = base_counts(text, cache)
+            bits, sizes = line_bits(text or "")
+            share, labels = 0.0, ""
+            if len(bits):
+                state = viterbi(matrix(bits) @ weights, trans)
+                share, labels = float((state * sizes).sum() / max(1, sizes.sum())), "".join(map(str, state.tolist()))
+            failed = base_failed(c)
+            return (*c, failed, not failed and share >= keep_share, share, labels)
+        return one
+
+    return extend(docs.select("doc_id", "text"), make, "text", "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double, labels string", drop=("text",))
 
 
 def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,12 +12,12 @@ columns pass through untouched, and names of the helper columns start with an un
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import mix
+from .batches import emit, extend
 from .store import keep, table
 
 DIVISOR = 3              # a boundary before every third line on average
@@ -45,56 +45,41 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     """`docs` with text shortened, and columns _lines, _removed (lines), _chunks (removed)."""
     keyed = docs.withColumn("_key", F.xxhash64("text"))
 
-    def chunk(batches):
-        for pdf in batches:
-            out = []
-            for doc, key, text in zip(pdf["doc_id"].array, pdf["_key"], pdf["text"]):
-                out += [(doc, key, k, xxhash.xxh64_intdigest(b) - (1 << 63)) for k, _, _, b in long_chunks(text, divisor)]
-            yield pd.DataFrame(out, columns=["doc_id", "_key", "_k", "_h"]).astype({"doc_id": "Int64"})
+    def chunk():
+        return lambda doc, key, text: ((doc, key, k, xxhash.xxh64_intdigest(b) - (1 << 63)) for k, _, _, b in long_chunks(text, divisor))
     slim = keyed.select("doc_id", "_key", "text").where(F.col("text").isNotNull())
-    rows = keep(slim.mapInPandas(chunk, "doc_id long, _key long, _k int, _h long").distinct())
+    rows = keep(emit(slim, chunk, "doc_id long, _key long, _k int, _h long").distinct())
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "_key", "_k")
     repeated = keep(rows.groupBy("_h").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("_h", "_first"))
 
-    def fetch(batches):
-        for pdf in batches:
-            out = []
-            for text, wanted in zip(pdf["text"], pdf["_wanted"]):
-                want = {w["_k"]: w["_h"] for w in wanted}
-                out += [(want[k], b) for k, _, _, b in long_chunks(text, divisor) if k in want]
-            yield pd.DataFrame(out, columns=["_h", "_bytes"])
+    def fetch():
+        def one(text, wanted):
+            want = {w["_k"]: w["_h"] for w in wanted}
+            return ((want[k], b) for k, _, _, b in long_chunks(text, divisor) if k in want)
+        return one
     owners = repeated.select("_h", "_first.doc_id", "_first._key", "_first._k").groupBy("doc_id", "_key").agg(F.collect_list(F.struct("_h", "_k")).alias("_wanted"))
     one = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_key"] == b["_key"])
-    firsts = slim.join(owners, one(slim, owners)).select("text", "_wanted").mapInPandas(fetch, "_h long, _bytes binary").dropDuplicates(["_h"])
+    firsts = emit(slim.join(owners, one(slim, owners)).select("text", "_wanted"), fetch, "_h long, _bytes binary").dropDuplicates(["_h"])
     later = (rows.join(repeated, "_h").where(place != F.col("_first")).join(firsts, "_h")
                  .groupBy("doc_id", "_key").agg(F.collect_list(F.struct("_k", "_bytes")).alias("_later")))
-    fields = docs.schema.fields
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _lines int, _removed int, _chunks int"
-
-    def cut(batches):
-        for pdf in batches:
-            texts, n_lines, removed, chunks = [], [], [], []
-            for text, later_ones in zip(pdf["text"].array, pdf["_later"]):
-                if text is None or text is pd.NA:
-                    texts.append(None), n_lines.append(0), removed.append(0), chunks.append(0)
-                    continue
-                lines = text.split("\n")
-                n_lines.append(len(lines))
-                gone: list[tuple[int, int]] = []
-                if later_ones is not None:
-                    known: dict[int, bytes] = {x["_k"]: x["_bytes"] for x in later_ones}
-                    gone = [(lo, hi) for k, lo, hi, b in long_chunks(text, divisor) if known.get(k) == b]
-                kept, at = [], 0
-                for lo, hi in gone:
-                    kept += lines[at:lo]
-                    at = hi
-                kept += lines[at:]
-                texts.append("\n".join(kept)), removed.append(len(lines) - len(kept)), chunks.append(len(gone))
-            pdf = pdf.drop(columns=["_later"])
-            pdf["text"] = pd.Series(texts, dtype=object, index=pdf.index)
-            yield pdf.assign(_lines=np.array(n_lines, np.int32), _removed=np.array(removed, np.int32), _chunks=np.array(chunks, np.int32))
-    joined = keyed.join(later, one(keyed, later), "left").select(*[keyed[f"`{f.name}`"] for f in fields], later["_later"])
-    return joined.mapInPandas(cut, schema)
+    def cut():
+        def one(text, later_ones):
+            if text is None:
+                return None, 0, 0, 0
+            lines, gone = text.split("\n"), []
+            if later_ones:
+                known = {x["_k"]: x["_bytes"] for x in later_ones}
+                gone = [(lo, hi) for k, lo, hi, b in long_chunks(text, divisor) if known.get(k) == b]
+            kept, at = [], 0
+            for lo, hi in gone:
+                kept += lines[at:lo]
+                at = hi
+            kept += lines[at:]
+            return "\n".join(kept), len(lines), len(lines) - len(kept), len(gone)
+        return one
+    joined = keyed.join(later, one(keyed, later), "left").select(*[keyed[f"`{c}`"] for c in docs.columns], later["_later"])
+    out = extend(joined, cut, ["text", "_later"], "_text string, _lines int, _removed int, _chunks int", drop=("text", "_later"))
+    return out.withColumnRenamed("_text", "text").select(*[F.col(f"`{c}`") for c in docs.columns], "_lines", "_removed", "_chunks")
 
 
 def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import extend
 from .repeats import Words, covered, keyed, repeated_windows, with_marks
 from .store import table
 
@@ -130,18 +131,17 @@ def remove_repeated_words(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     marks = repeated_windows(rows, Words, automaton_masks)
 
-    def cut(batches):
+    def cut():
         own = Words()
-        for pdf in batches:
-            out = []
-            for doc, text, m in zip(pdf["doc_id"].array, pdf["text"].array, pdf["marks"]):
-                units = own.units(None if text is pd.NA else text)
-                gone = covered(len(units), m, own.length)
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-                kept = b" ".join([u for u, g in zip(units, gone.tolist()) if not g]) if gone.any() else b" ".join(units)
-                out.append((doc, len(units), int(gone.sum()), edge.tolist(), kept))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "spans", "kept"]).astype({"doc_id": "Int64"})
-    return with_marks(rows, marks).select("doc_id", "text", "marks").mapInPandas(cut, "doc_id long, n_words long, n_removed long, spans array<int>, kept binary")
+
+        def one(text, marked):
+            units = own.units(text)
+            gone = covered(len(units), marked, own.length)
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
+            return len(units), int(gone.sum()), edge.tolist(), b" ".join([u for u, g in zip(units, gone.tolist()) if not g])
+        return one
+    joined = with_marks(rows, marks).select("doc_id", "text", "marks")
+    return extend(joined, cut, ["text", "marks"], "n_words long, n_removed long, spans array<int>, kept binary", drop=("text", "marks"))
 
 
 def op4_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

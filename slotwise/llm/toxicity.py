@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import CACHE
+from .batches import extend
 from .store import keep, table
 
 SAMPLE_DOCS = 20_000     # labelled documents that teach the scorer; chosen by hash
@@ -147,17 +148,16 @@ class Restored(dict):
     def __init__(self, logp: np.ndarray):
         self.logp = logp
 
+    def read(self, token: str) -> tuple[str, ...]:
+        w = bare(token)
+        if w.isalpha() and not TRIPLE.search(w):
+            return (w,)
+        return tuple(decode(w, self.logp).split()) if any(map(str.isalpha, w)) else ()
+
     def __missing__(self, token):
         if len(self) >= CACHE:
             self.clear()
-        w = bare(token)
-        if w.isalpha() and not TRIPLE.search(w):
-            out = (w,)
-        elif any(map(str.isalpha, w)):
-            out = tuple(x for x in decode(w, self.logp).split() if x)
-        else:
-            out = ()
-        self[token] = out
+        self[token] = out = self.read(token)
         return out
 
 
@@ -209,6 +209,19 @@ class Lexicon:
         return [s[0] if s else 0.0, s[1] if len(s) > 1 else 0.0, float(np.log1p(len(s)))]
 
 
+class Marked(dict):
+    """token -> its surely toxic words."""
+
+    def __init__(self, restored: Restored, lexicon: Lexicon):
+        self.restored, self.lexicon = restored, lexicon
+
+    def __missing__(self, token):
+        if len(self) >= CACHE:
+            self.clear()
+        self[token] = out = tuple(w for w in self.restored.read(token) if self.lexicon.score(w))
+        return out
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
     """Weights of a logistic curve that rises in every feature, last one the constant."""
     w = np.zeros(x.shape[1] + 1)
@@ -260,35 +273,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE
     rows = sample.mapInPandas(summarize, "x array<double>, toxic int").collect()
     curve = fit_curve(np.array([r[0] for r in rows]).reshape(-1, 3), np.array([float(r[1] == 1) for r in rows]))
 
-    def score(batches):
+    def make():
         restored, own = Restored(model.value), shared.value
-        marked: dict[str, tuple[str, ...]] = {}
-
-        class Marked(dict):
-            """token -> its surely toxic words."""
-
-            def __missing__(self, token):
-                if len(self) >= CACHE:
-                    self.clear()
-                self[token] = out = tuple(w for w in restored.__missing__(token) if own.score(w))
-                restored.clear()
-                return out
-        marked = Marked()
-        for pdf in batches:
-            xs = []
-            for text in pdf["text"].array:
-                found: set[str] = set()
-                if text is not None and text is not pd.NA:
-                    found = {w for ws in filter(None, map(marked.__getitem__, set(text.split()))) for w in ws}
-                    for m in SPACED.finditer(text):
-                        if sum(map(str.isalpha, m[0])) >= 2:
-                            found.update(w for w in decode(m[0].lower(), restored.logp).split() if own.score(w))
-                xs.append(own.summary(found))
-            x = np.array(xs).reshape(-1, 3)
-            s = 1 / (1 + np.exp(-(x @ curve[:-1] + curve[-1])))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "score": s, "predicted": (s >= threshold).astype(np.int32)})
-    return (docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-                .mapInPandas(score, "doc_id long, held_out boolean, score double, predicted int"))
+        marked = Marked(restored, own)
+
+        def one(text):
+            found = {w for ws in filter(None, map(marked.__getitem__, set((text or "").split()))) for w in ws}
+            for m in SPACED.finditer(text or ""):
+                if sum(map(str.isalpha, m[0])) >= 2:
+                    found.update(w for w in decode(m[0].lower(), restored.logp).split() if own.score(w))
+            s = float(1 / (1 + np.exp(-(np.dot(own.summary(found), curve[:-1]) + curve[-1]))))
+            return s, int(s >= threshold)
+        return one
+
+    return extend(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), make, "text", "score double, predicted int", drop=("text",))
 
 
 def op2_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

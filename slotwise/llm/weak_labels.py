@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import CACHE, WordHashes, hashed
+from .batches import extend
 from .store import keep, table
 from .textstats import SPACES, SYMBOLS, repeated_words
 
@@ -153,21 +154,18 @@ def weak_model(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[dict[st
 def classify(docs: DataFrame, keep_score: float = KEEP_SCORE, sample_docs: int = SAMPLE_DOCS, with_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per document row: the columns asked for, votes, posterior of the weak labels, score, kept."""
     post, weights = weak_model(docs, sample_docs)
-    picked = docs.select(*with_columns)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields)
-
-    def score(batches):
+    def make():
         hashes, shapes = WordHashes(), Shapes()
-        for pdf in batches:
-            seen, z = [], []
-            for text in pdf["_text"]:
-                stats, tokens = statistics(text, hashes)
-                at, val = features(stats, tokens, shapes)
-                seen.append(votes(stats))
-                z.append(float(weights[at] @ val) + weights[-1])
-            s = 1 / (1 + np.exp(-np.array(z, dtype=float)))
-            yield pdf.drop(columns=["_text"]).assign(votes=seen, posterior=[post[v] for v in seen], score=s, kept=s >= keep_score)
-    return docs.select(*with_columns, F.coalesce("text", F.lit("")).alias("_text")).mapInPandas(score, fields + ", votes string, posterior double, score double, kept boolean")
+
+        def one(text):
+            stats, tokens = statistics(text, hashes)
+            at, val = features(stats, tokens, shapes)
+            v = votes(stats)
+            s = 1 / (1 + np.exp(-(float(weights[at] @ val) + weights[-1])))
+            return v, post[v], s, bool(s >= keep_score)
+        return one
+
+    return extend(docs.select(*with_columns, F.coalesce("text", F.lit("")).alias("_text")), make, "_text", "votes string, posterior double, score double, kept boolean", drop=("_text",))
 
 
 def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
