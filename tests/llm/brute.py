@@ -35,3 +35,48 @@ def byte_strings(rows, length=200):
         kept = bytes(x for x, g in zip(b, gone) if not g)
         out.append((d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def line_chunks(rows, divisor):
+    """[(doc_id, kept text)] of rows in the operator's order: a chunk stays at its first place only."""
+    from slotwise.llm import line_dedup
+    docs = sorted({(d, t) for d, t in rows if t is not None}, key=lambda r: r[0])
+    chunks = [(d, t, [tuple(t.split("\n")[lo:hi]) for lo, hi in line_dedup.line_chunks(t, divisor)]) for d, t in docs]
+    seen, out = set(), {}
+    for d, t, cs in chunks:
+        kept = []
+        for c in cs:
+            if len(c) >= line_dedup.MIN_LINES:
+                if c in seen:
+                    continue
+                seen.add(c)
+            kept += c
+        out[(d, t)] = "\n".join(kept)
+    return [(d, out.get((d, t))) for d, t in rows]
+
+
+def weighted_jaccard_classes(rows, similarity=0.8):
+    """{doc_id: smallest doc_id of its class} from all pairs of texts."""
+    import math
+    docs = [(d, WORD.findall(t or "")) for d, t in rows if d is not None]
+    texts = [WORD.findall(t) for _, t in rows if t is not None]
+    df = Counter(w for t in texts for w in set(t))
+    idf = lambda w: 1 + math.log((len(texts) + 1 + 0) / (df[w] + 1))
+    bags = []
+    for d, w in docs:
+        c = Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
+        bags.append((d, " ".join(w), {s: n * sum(map(idf, s)) / 5 for s, n in c.items()}))
+    root = {d: d for d, _, _ in bags}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for i, (a, ta, x) in enumerate(bags):
+        for b, tb, y in bags[:i]:
+            shared = sum(min(v, y[k]) for k, v in x.items() if k in y)
+            both = sum(x.values()) + sum(y.values()) - shared
+            if ta == tb or both and shared / both >= similarity:
+                lo, hi = sorted((find(a), find(b)))
+                root[hi] = lo
+    return {d: find(d) for d, _, _ in bags}
