@@ -168,22 +168,31 @@ def canonical_entities(df: DataFrame, regions: str = "regions", assets: str = "a
 
 # Parents that name no plant.
 UNNAMED_PARENTS = ("powerstation", "powerplant", "plant", "station", "thepowerstation", "theplant", "thepowerplant", "thisplant", "电厂", "电站", "该电厂", "某电厂", "本电厂", "该电站", "某电站")
-EN_UNITS = r"(?i)^(.+?)\s+(?:generating\s+)?units\s+(\d+(?:\s*,\s*\d+)*(?:\s*,?\s*(?:and|&)\s*\d+)?)$"
-CN_UNITS = r"^(.+?(?:电厂|电站))\s*(\d+(?:号)?(?:[、,，和及]\s*\d+(?:号)?)+)机组$"
-EN_UNIT = r"(?i)^(.+?)\s+(?:generating\s+)?unit\s+(\d+)$"
+# Patterns of unit lists and single units under a named plant.
+EN_UNITS = r"(?i)^(.+?(?:Power Station|Power Plant|Plant|Station))\s+(?:Generating\s+)?Units\s+(\d+(?:\s*(?:,\s*(?:and\s+)?|and\s+)\d+)+)$"
+CN_UNITS = r"^(.+?(?:电厂|电站))\s*(\d+(?:\s*[、,，及和]\s*\d+)+)号机组$"
+EN_UNIT = r"(?i)^(.+?(?:Power Station|Power Plant|Plant|Station))\s+(?:Generating\s+)?Unit\s+(\d+)$"
+CN_UNIT = r"^(.+?(?:电厂|电站))\s*(\d+)号机组$"
+# Folded names of collections and the group they are.
+GROUPS = {
+    "agrs": "AGR", "agr": "AGR", "advancedgascooledreactorstations": "AGR", "advancedgascooledreactornuclearpowerstations": "AGR", "advancedgascooledreactors": "AGR",
+    "coalfleet": "coal_fleet", "coalplants": "coal_fleet", "windgeneration": "wind_generation", "windfarms": "wind_generation", "solargeneration": "solar_generation",
+    "燃煤机组": "coal_fleet", "煤电机组": "coal_fleet", "风电": "wind_generation",
+}
 
 
 def expand_assets(df: DataFrame, mention: str = "mention") -> DataFrame:
     """Explicit unit lists become single units; anything that cannot be split safely gets a reject reason.
 
-    Adds `assets` (array), `reject_reason` and `group_key` (the mention without its leading count).
+    Adds `assets` (array), `reject_reason` and `group_key` (the mention without its leading count, or its known group).
     """
     m = F.trim(F.col(mention))
     en, cn, single = m.rlike(EN_UNITS), m.rlike(CN_UNITS), m.rlike(EN_UNIT)
     base = F.when(en, F.regexp_extract(m, EN_UNITS, 1)).when(cn, F.regexp_extract(m, CN_UNITS, 1)).when(single, F.regexp_extract(m, EN_UNIT, 1))
     ids = F.regexp_extract_all(F.when(en, F.regexp_extract(m, EN_UNITS, 2)).otherwise(F.regexp_extract(m, CN_UNITS, 2)), F.lit(r"(\d+)"), F.lit(1))
     listed = en | cn
-    unnamed = (listed | single) & fold(base).isin(*UNNAMED_PARENTS)
+    parent = F.coalesce(base, F.when(m.rlike(CN_UNIT), F.regexp_extract(m, CN_UNIT, 1)))
+    unnamed = parent.isNotNull() & fold(parent).isin(*UNNAMED_PARENTS)
     bare = m.rlike(r"(?i)^(?:unit\s+\d+|\d+号机组)$")
     ranged = m.rlike(r"(?i)\bunits\b|\d+\s*[-–/、和及或至到~]\s*\d+")
     fleet = m.rlike(r"(?i)\b(?:fleet|generation|plants|reactors|stations)\b|^\d+\s*(?:台|座)")
@@ -191,6 +200,7 @@ def expand_assets(df: DataFrame, mention: str = "mention") -> DataFrame:
     parts = F.when(en, F.transform(ids, lambda k: F.concat(base, F.lit(" Unit "), k))).when(cn, F.transform(ids, lambda k: F.concat(base, k, F.lit("号机组")))).when(
         single, F.array(F.concat(base, F.lit(" Unit "), F.regexp_extract(m, EN_UNIT, 2)))).otherwise(F.array(m))
     group = fold(F.regexp_replace(F.regexp_replace(m, r"^\d+\s+", ""), r"^\d+(?:[.,，]\d+)?\s*(?:座|台|家|个|处|所|套)\s*", ""))
+    group = F.coalesce(*[F.when(group == name, F.lit(key)) for name, key in GROUPS.items()], group)
     return df.withColumn("reject_reason", reason).withColumn("assets", F.when(F.col("reject_reason").isNull(), parts)).withColumn("group_key", group)
 
 

@@ -24,16 +24,29 @@ def authority(tier) -> Column:
     return F.when(t.startswith("primary_") | t.rlike("operator|regulator|government|official"), 0).when(t.rlike("secondary|media|repost|aggregator"), 2).otherwise(1)
 
 
+def identity(records: DataFrame, column: str):
+    """A key as text for grouping and joining: NULL and empty lists are the same empty key, lists are compared in order."""
+    kind = dict(records.dtypes).get(column)
+    if kind is None:
+        return F.lit("")
+    c = F.col(column)
+    return F.coalesce(F.array_join(F.array_sort(c.cast("array<string>")), "\x1f") if kind.startswith("array") else c.cast("string"), F.lit(""))
+
+
 def link_edges(records: DataFrame) -> DataFrame:
-    """Pairs (src, dst) of candidates that state the same event; every group links to its first member only."""
-    keys = ["event_type", "asset_key", "region_key", "market_key"]
+    """Pairs (src, dst) of candidates that state the same event; every group links to its first member only.
+
+    Keys may be single values or lists, and may be missing; `group_keys` is part of the lineage where the candidates have it.
+    """
+    keys = ["event_type", "_asset", "_region", "_market"]
+    records = records.select("*", *[identity(records, c).alias(n) for c, n in (("asset_key", "_asset"), ("region_key", "_region"), ("market_key", "_market"), ("group_keys", "_group"))])
     first = records.groupBy("event_id").agg(F.min("row_id").alias("dst"))
     by_id = records.join(first, "event_id").select(F.col("row_id").alias("src"), "dst")
     far = F.lit("9999-12-31").cast("timestamp")
     near = F.lit("0001-01-01").cast("timestamp")
-    w = Window.partitionBy("document_version_id", *keys).orderBy(F.coalesce("effective_start_at", near), F.coalesce("effective_end_at", far), "event_id", "row_id")
+    w = Window.partitionBy("document_version_id", *keys, "_group").orderBy(F.coalesce("effective_start_at", near), F.coalesce("effective_end_at", far), "event_id", "row_id")
     sib = records.withColumn("ordinal", F.row_number().over(w))       # siblings inside one document version
-    lineage = ["document_id", *keys, "ordinal"]
+    lineage = ["document_id", *keys, "_group", "ordinal"]
     owner = sib.groupBy(*lineage).agg(F.min_by(F.struct("row_id", "document_version_id"), "row_id").alias("_o"))
     by_line = sib.join(owner, lineage).where(F.col("_o.document_version_id") != F.col("document_version_id")).select(F.col("row_id").alias("src"), F.col("_o.row_id").alias("dst"))
     cleared = records.where(F.array_contains("cleared_fields", "asset_groups")).select("row_id", "document_id", *keys, F.col("available_at").alias("_at"), F.col("document_version_id").alias("_ver"))
@@ -42,7 +55,7 @@ def link_edges(records: DataFrame) -> DataFrame:
     return by_id.unionByName(by_line).unionByName(withdrawn).where(F.col("src") != F.col("dst")).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components: (row_id, component) with the smallest member as the component.
 
     Smallest-label propagation with pointer jumping; each round is written to the
@@ -52,7 +65,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     ensure_checkpoint_dir(spark)
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
     lab = nodes.select(F.col("row_id").alias("id"), F.col("row_id").alias("label")).checkpoint()
-    for _ in range(max_rounds):
+    while True:
         near = both.join(lab, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("label").alias("near"))
         step = lab.join(near, F.col("id") == F.col("src"), "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         root = step.select(F.col("id").alias("rid"), F.col("label").alias("root"))
@@ -60,7 +73,6 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
         lab = nxt.select("id", "label")
         if nxt.where(F.col("old") != F.col("label")).isEmpty():
             return lab.select(F.col("id").alias("row_id"), F.col("label").alias("component"))
-    raise RuntimeError("components did not settle")
 
 
 def link_events(records: DataFrame, as_of=None) -> DataFrame:

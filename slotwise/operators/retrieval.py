@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_if, r6
-from .common import prefix_sums, top_k
+from .common import prefix_sums
 
 # Ranking constants and the wordings that stand for one concept.
 K1, B = 1.5, 0.75
@@ -89,17 +89,32 @@ def relevance_gate(matches: DataFrame, queries: DataFrame) -> DataFrame:
                     r6(F.when(by_concept, F.col("_c") / F.col("_qc")).when(F.col("_id") == 1, F.lit(1.0)).otherwise(lex)).alias("coverage"), (by_concept | (F.col("_id") == 1) | (enough & ~only_common)).alias("relevant"))
 
 
-def retrieve(gated: DataFrame, turns: DataFrame, queries: DataFrame, recent: DataFrame, k: int = 3, budget: int = 6000) -> DataFrame:
-    """Best k relevant turns of the query's own conversation, recent turns left out, as long as they fit the budget, in time order.
+def without_recent(turns: DataFrame, recent: DataFrame) -> DataFrame:
+    """The corpus that is searched: turns already in view, (turn_id) of `recent`, neither match nor count in its statistics."""
+    return turns.join(recent.select("turn_id").distinct(), "turn_id", "left_anti")
 
-    `recent`: (query_id, turn_id) already in view. Whole turns are kept or skipped.
+
+def retrieve(gated: DataFrame, turns: DataFrame, queries: DataFrame, k: int = 3, budget: int = 6000) -> DataFrame:
+    """Best k relevant turns of the query's own conversation that fit the budget, in time order.
+
+    The ranking is walked down: a turn longer than what is left of the budget is passed over, not the end of the walk.
+    Since room only shrinks, the next pick is the best turn behind the last one that fits; each is one aggregate per query.
     """
-    g = gated.where("relevant").join(queries.select("query_id", "conv_id"), ["query_id", "conv_id"]).join(recent, ["query_id", "turn_id"], "left_anti")
-    g = g.join(turns.select("turn_id", "first_turn", F.length("text").alias("characters")), "turn_id")
-    t = top_k(g, ["query_id"], [F.desc("score"), F.desc("coverage"), F.desc("first_turn"), F.asc("turn_id")], k)
-    w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)          # at most k rows
-    t = t.withColumn("_used", F.sum("characters").over(w)).where(F.col("_used") <= budget)
-    return t.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("first_turn", "turn_id")).cast("long")).select("query_id", "turn_id", "position", "rank", "score", "coverage", F.col("characters").cast("long").alias("characters"))
+    g = gated.where(F.col("relevant") & (F.col("score") > 0)).join(queries.select("query_id", "conv_id"), ["query_id", "conv_id"])
+    g = g.join(turns.select("turn_id", "first_turn", F.length("text").cast("long").alias("characters")), "turn_id")
+    place = F.struct((-F.col("score")).alias("a"), (-F.col("coverage")).alias("b"), (-F.col("first_turn")).alias("c"), F.col("turn_id").alias("d"))
+    g = g.where(F.col("characters") <= budget).withColumn("_place", place)
+    row = F.struct("turn_id", "first_turn", "score", "coverage", "characters")
+    picks, state = None, None
+    for n in range(1, k + 1):
+        left = g if state is None else g.join(state, "query_id").where((F.col("_place") > F.col("_last")) & (F.col("characters") <= F.col("_room")))
+        room = F.lit(budget).cast("long") if state is None else F.max("_room")
+        pick = left.groupBy("query_id").agg(F.min_by(row, F.col("_place")).alias("_r"), F.min("_place").alias("_last"), room.alias("_had"))
+        state = pick.select("query_id", "_last", (F.col("_had") - F.col("_r.characters")).alias("_room"))
+        one = pick.select("query_id", F.lit(n).cast("long").alias("rank"), "_r.*")
+        picks = one if picks is None else picks.unionByName(one)
+    w = Window.partitionBy("query_id").orderBy("first_turn", "turn_id")                                     # at most k rows
+    return picks.withColumn("position", F.row_number().over(w).cast("long")).select("query_id", "turn_id", "position", "rank", "score", "coverage", "characters")
 
 
 def score_retrieval(found: DataFrame, gold: DataFrame) -> DataFrame:

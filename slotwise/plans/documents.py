@@ -229,14 +229,23 @@ def _(t):
     return ex.canonical_entities(d).select("event_id", F.array_join("region_keys", ",").alias("region_keys"), F.array_join("asset_keys", ",").alias("asset_keys"))
 
 
-@query("expand_assets", """WITH m AS (SELECT event_id, event_id % 10 AS k, CAST(user_id AS VARCHAR) AS u FROM events)
-SELECT event_id, CASE k WHEN 1 THEN 'repeated_unit' WHEN 2 THEN 'unnamed_parent' WHEN 3 THEN 'not_splittable' WHEN 4 THEN 'collection' WHEN 5 THEN 'unnamed_parent' END AS reject_reason,
- CASE k WHEN 0 THEN 'Plant A' || u || ' Unit 1|Plant A' || u || ' Unit 2|Plant A' || u || ' Unit 3' WHEN 6 THEN '石洞口电厂1号机组|石洞口电厂2号机组' WHEN 7 THEN 'Plant B' || u || ' Unit 4' WHEN 8 THEN 'Line ' || u WHEN 9 THEN '新型储能电站' || u END AS assets FROM m""")
+@query("expand_assets", r"""WITH m AS (SELECT event_id, CASE event_id % 13 WHEN 0 THEN 'A' || user_id || ' Plant Units 1, 2 and 3' WHEN 1 THEN 'A' || user_id || ' Power Station Units 1 and 1' WHEN 2 THEN 'The Power Station Units 1 and 2' WHEN 3 THEN 'A' || user_id || ' Plant Units 1-3'
+  WHEN 4 THEN user_id || ' nuclear fleet' WHEN 5 THEN 'Unit 7' WHEN 6 THEN '石洞口电厂1、2号机组' WHEN 7 THEN 'B' || user_id || ' Station Generating Unit 4' WHEN 8 THEN 'Line ' || user_id WHEN 9 THEN user_id || '座新型储能电站' WHEN 10 THEN 'Plant A' || user_id || ' Units 1, 2 and 3'
+  WHEN 11 THEN 'Torness Units 7' ELSE '12 Coal Plants' END AS m FROM events),
+x AS (SELECT *, '(?i)^(.+?(?:Power Station|Power Plant|Plant|Station))\s+(?:Generating\s+)?' AS en, '^(.+?(?:电厂|电站))\s*' AS cn FROM m),
+y AS (SELECT *, regexp_matches(m, en || 'Units\s+\d+(?:\s*(?:,\s*(?:and\s+)?|and\s+)\d+)+$') AS le, regexp_matches(m, cn || '\d+(?:\s*[、,，及和]\s*\d+)+号机组$') AS lc, regexp_matches(m, en || 'Unit\s+\d+$') AS se, regexp_matches(m, cn || '\d+号机组$') AS sc FROM x),
+z AS (SELECT *, CASE WHEN le OR se THEN regexp_extract(m, en, 1) WHEN lc OR sc THEN regexp_extract(m, cn, 1) END AS base, CASE WHEN le THEN regexp_extract_all(regexp_extract(m, '(?i)\sUnits\s+(.*)$', 1), '\d+') WHEN lc THEN regexp_extract_all(m, '\d+') END AS ids FROM y),
+v AS (SELECT *, CASE WHEN lower(replace(base, ' ', '')) IN ('thepowerstation', 'powerstation', 'plant', 'station') OR regexp_matches(m, '(?i)^(unit\s+\d+|\d+号机组)$') THEN 'unnamed_parent' WHEN (le OR lc) AND len(list_distinct(ids)) < len(ids) THEN 'repeated_unit'
+  WHEN NOT (le OR lc) AND regexp_matches(m, '(?i)\bunits\b|\d+\s*[-–/、和及或至到~]\s*\d+') THEN 'not_splittable' WHEN NOT (le OR lc) AND regexp_matches(m, '(?i)\b(fleet|generation|plants|reactors|stations)\b|^\d+\s*(台|座)') THEN 'collection' END AS reject_reason FROM z)
+SELECT event_id, reject_reason, CASE WHEN reject_reason IS NOT NULL THEN NULL WHEN le THEN array_to_string(list_transform(ids, lambda k: base || ' Unit ' || k), '|') WHEN lc THEN array_to_string(list_transform(ids, lambda k: base || k || '号机组'), '|')
+  WHEN se THEN base || ' Unit ' || regexp_extract(m, '(\d+)$', 1) ELSE m END AS assets,
+ CASE WHEN m = '12 Coal Plants' THEN 'coal_fleet' ELSE regexp_replace(lower(regexp_replace(regexp_replace(m, '^\d+\s+', ''), '^\d+(?:[.,，]\d+)?\s*(?:座|台|家|个|处|所|套)\s*', '')), '[ ,、-]', '', 'g') END AS group_key FROM v""")
 def _(t):
-    k, u = F.col("event_id") % 10, F.col("user_id").cast("string")
-    m = (F.when(k == 0, F.concat(F.lit("Plant A"), u, F.lit(" Units 1, 2 and 3"))).when(k == 1, F.concat(F.lit("Plant A"), u, F.lit(" Units 1 and 1"))).when(k == 2, "The Power Station Units 1 and 2").when(k == 3, F.concat(F.lit("Plant A"), u, F.lit(" Units 1-3")))
-          .when(k == 4, F.concat(F.lit("nuclear fleet "), u)).when(k == 5, "Unit 7").when(k == 6, "石洞口电厂1、2号机组").when(k == 7, F.concat(F.lit("Plant B"), u, F.lit(" Generating Unit 4"))).when(k == 8, F.concat(F.lit("Line "), u)).otherwise(F.concat(F.lit("新型储能电站"), u)))
-    return ex.expand_assets(t.read("events").select("event_id", m.alias("mention"))).select("event_id", "reject_reason", F.array_join("assets", "|").alias("assets"))
+    k, u = F.col("event_id") % 13, F.col("user_id").cast("string")
+    said = {0: ("A", " Plant Units 1, 2 and 3"), 1: ("A", " Power Station Units 1 and 1"), 2: ("The Power Station Units 1 and 2", None), 3: ("A", " Plant Units 1-3"), 4: ("", " nuclear fleet"), 5: ("Unit 7", None), 6: ("石洞口电厂1、2号机组", None),
+            7: ("B", " Station Generating Unit 4"), 8: ("Line ", ""), 9: ("", "座新型储能电站"), 10: ("Plant A", " Units 1, 2 and 3"), 11: ("Torness Units 7", None), 12: ("12 Coal Plants", None)}
+    m = F.coalesce(*[F.when(k == i, F.lit(a) if b is None else F.concat(F.lit(a), u, F.lit(b))) for i, (a, b) in said.items()])
+    return ex.expand_assets(t.read("events").select("event_id", m.alias("mention"))).select("event_id", "reject_reason", F.array_join("assets", "|").alias("assets"), "group_key")
 
 
 @query("matches_market", """SELECT event_id, CASE user_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false ELSE true END AS matches_market FROM events""")

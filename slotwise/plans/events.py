@@ -25,9 +25,11 @@ REC_SQL = """rec AS (SELECT event_id AS row_id, 'e' || (event_id // 15) || '_' |
  'supply_down' AS physical_effect, CASE WHEN event_id % 29 = 0 THEN 'rejected' ELSE 'unreviewed' END AS review_status, CASE WHEN event_id % 23 = 0 THEN 'needs_time_review' ELSE 'eligible' END AS eligibility FROM events WHERE event_type = 'error'),
 sb AS (SELECT *, row_number() OVER (PARTITION BY document_version_id, event_type, asset_key, region_key, market_key ORDER BY effective_start_at, effective_end_at NULLS LAST, event_id, row_id) AS ordinal FROM rec),
 e1 AS (SELECT a.row_id AS s, b.m AS d FROM rec a JOIN (SELECT event_id, min(row_id) AS m FROM rec GROUP BY 1) b USING (event_id)),
-ow AS (SELECT document_id, event_type, asset_key, region_key, market_key, ordinal, min(row_id) AS m, arg_min(document_version_id, row_id) AS v FROM sb WHERE region_key IS NOT NULL GROUP BY ALL),
-e2 AS (SELECT a.row_id AS s, b.m AS d FROM sb a JOIN ow b USING (document_id, event_type, asset_key, region_key, market_key, ordinal) WHERE b.v <> a.document_version_id),
-e3 AS (SELECT c.row_id AS s, p.m AS d FROM rec c JOIN (SELECT document_id, event_type, asset_key, region_key, market_key, document_version_id, available_at, min(row_id) AS m FROM rec GROUP BY ALL HAVING count(*) = 1) p USING (document_id, event_type, asset_key, region_key, market_key)
+ow AS (SELECT document_id, event_type, asset_key, region_key, market_key, ordinal, min(row_id) AS m, arg_min(document_version_id, row_id) AS v FROM sb GROUP BY ALL),
+e2 AS (SELECT a.row_id AS s, b.m AS d FROM sb a JOIN ow b ON a.document_id = b.document_id AND a.event_type = b.event_type AND a.asset_key = b.asset_key AND a.region_key IS NOT DISTINCT FROM b.region_key
+  AND a.market_key = b.market_key AND a.ordinal = b.ordinal WHERE b.v <> a.document_version_id),
+e3 AS (SELECT c.row_id AS s, p.m AS d FROM rec c JOIN (SELECT document_id, event_type, asset_key, region_key, market_key, document_version_id, available_at, min(row_id) AS m FROM rec GROUP BY ALL HAVING count(*) = 1) p
+ ON c.document_id = p.document_id AND c.event_type = p.event_type AND c.asset_key = p.asset_key AND c.region_key IS NOT DISTINCT FROM p.region_key AND c.market_key = p.market_key
  WHERE list_contains(c.cleared_fields, 'asset_groups') AND p.available_at < c.available_at AND p.document_version_id <> c.document_version_id),
 ed AS (SELECT s, d FROM e1 UNION SELECT s, d FROM e2 UNION SELECT s, d FROM e3), eb AS (SELECT s, d FROM ed UNION SELECT d, s FROM ed),
 cc AS (SELECT row_id AS s, row_id AS l FROM rec UNION SELECT eb.d, cc.l FROM cc JOIN eb ON eb.s = cc.s),

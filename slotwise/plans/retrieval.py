@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from ..operators import retrieval as rt
 from .base import big, query, r
 
+BUDGET = 1500            # small enough that some turns do not fit and are passed over
+
 CASES = ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{c}' END" for c, ws in rt.CONCEPTS.items())
 
 
@@ -44,7 +46,8 @@ def _(t):
     return turns(t).select("conv_id", "turn_no", "first_turn", "messages", F.md5("text").alias("text_md5"), "turn_id")
 
 
-MATCH_SQL = TURN_SQL + f""",
+MATCH_SQL = TURN_SQL.replace("tu AS (", "al AS (") + f""",
+rc AS (SELECT conv_id || ':' || max(turn_no) AS turn_id FROM al GROUP BY conv_id), tu AS (SELECT * FROM al ANTI JOIN rc USING (turn_id)),
 ix AS (SELECT turn_id, term, count(*) AS tf FROM {terms_sql('tu', 'turn_id')} GROUP BY 1, 2), ln AS (SELECT tu.turn_id, coalesce(n, 0) AS length FROM tu LEFT JOIN (SELECT turn_id, sum(tf) AS n FROM ix GROUP BY 1) USING (turn_id)),
 tot AS (SELECT conv_id, count(*) AS docs, avg(length) AS av FROM ln JOIN tu USING (turn_id) GROUP BY 1), dc AS (SELECT conv_id, term, count(*) AS df FROM ix JOIN tu USING (turn_id) GROUP BY 1, 2), qt AS (SELECT DISTINCT query_id, conv_id, term FROM {terms_sql('qs', 'query_id, conv_id')}),
 ma AS (SELECT query_id, ix.turn_id, tu.conv_id, ix.term, ln(1 + (docs - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * length / av)) AS part, df, docs FROM qt JOIN tu ON tu.conv_id = qt.conv_id JOIN ix ON ix.turn_id = tu.turn_id AND ix.term = qt.term JOIN dc ON dc.conv_id = qt.conv_id AND dc.term = qt.term JOIN ln ON ln.turn_id = ix.turn_id JOIN tot ON tot.conv_id = qt.conv_id),
@@ -54,8 +57,14 @@ ga AS (SELECT query_id, turn_id, conv_id, {r('score')} AS score, matched AS matc
  (c >= 2 AND c / qc >= 0.5) OR ident = 1 OR (matched >= CASE WHEN q <= 2 THEN 1 ELSE 2 END AND matched / q >= 0.25 AND NOT (rare = 0 AND (q <= 2 OR matched / q < 0.75))) AS relevant FROM g0 JOIN qn USING (query_id))"""
 
 
+def corpus(t):
+    """Turns of each conversation but its last, which is in view."""
+    last = turns(t).groupBy("conv_id").agg(F.max_by("turn_id", "turn_no").alias("turn_id"))
+    return t.once("corpus", lambda: rt.without_recent(turns(t), last))
+
+
 def matches(t):
-    return t.once("matches", lambda: rt.bm25_matches(turns(t), queries(t), t.keep))
+    return t.once("matches", lambda: rt.bm25_matches(corpus(t), queries(t), t.keep))
 
 
 @query("bm25", f"WITH {MATCH_SQL} SELECT query_id, turn_id, {r('sum(part)')} AS score, count(*) AS matched_terms FROM ma GROUP BY 1, 2")
@@ -69,16 +78,15 @@ def _(t):
 
 
 RETRIEVE_SQL = MATCH_SQL + f""",
-rc AS (SELECT query_id, conv_id || ':' || max(turn_no) AS turn_id FROM tu JOIN qs USING (conv_id) GROUP BY query_id, conv_id),
-rk AS (SELECT ga.*, first_turn, length(tu.text) AS characters, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coverage DESC, first_turn DESC, ga.turn_id) AS rank FROM ga JOIN qs USING (query_id, conv_id) JOIN tu ON tu.turn_id = ga.turn_id ANTI JOIN rc ON rc.query_id = ga.query_id AND rc.turn_id = ga.turn_id WHERE relevant),
-bu AS (SELECT *, sum(characters) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM rk WHERE rank <= 3),
-re AS (SELECT query_id, turn_id, row_number() OVER (PARTITION BY query_id ORDER BY first_turn, turn_id) AS position, rank, score, coverage, {big('characters')} AS characters FROM bu WHERE used <= 6000)"""
+rk AS (SELECT ga.*, first_turn, length(tu.text) AS characters, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coverage DESC, first_turn DESC, ga.turn_id) AS place FROM ga JOIN qs USING (query_id, conv_id) JOIN tu ON tu.turn_id = ga.turn_id WHERE relevant AND score > 0),
+p1 AS (SELECT query_id, min(place) AS place FROM rk WHERE characters <= {BUDGET} GROUP BY 1), q1 AS (SELECT rk.*, 1 AS rank, {BUDGET} - characters AS room FROM rk JOIN p1 USING (query_id, place)),
+p2 AS (SELECT rk.query_id, min(rk.place) AS place FROM rk JOIN q1 ON q1.query_id = rk.query_id AND rk.place > q1.place AND rk.characters <= room GROUP BY 1), q2 AS (SELECT rk.*, 2 AS rank, q1.room - rk.characters AS room FROM rk JOIN p2 USING (query_id, place) JOIN q1 ON q1.query_id = rk.query_id),
+p3 AS (SELECT rk.query_id, min(rk.place) AS place FROM rk JOIN q2 ON q2.query_id = rk.query_id AND rk.place > q2.place AND rk.characters <= room GROUP BY 1), q3 AS (SELECT rk.*, 3 AS rank, 0 AS room FROM rk JOIN p3 USING (query_id, place)),
+re AS (SELECT query_id, turn_id, row_number() OVER (PARTITION BY query_id ORDER BY first_turn, turn_id) AS position, {big('rank')} AS rank, score, coverage, {big('characters')} AS characters FROM (SELECT * FROM q1 UNION ALL SELECT * FROM q2 UNION ALL SELECT * FROM q3))"""
 
 
 def retrieved(t):
-    tu, q = turns(t), queries(t)
-    recent = tu.join(q.select("query_id", "conv_id"), "conv_id").groupBy("query_id").agg(F.max_by("turn_id", "turn_no").alias("turn_id"))
-    return rt.retrieve(rt.relevance_gate(matches(t), q), tu, q, recent)
+    return rt.retrieve(rt.relevance_gate(matches(t), queries(t)), corpus(t), queries(t), budget=BUDGET)
 
 
 @query("retrieve", f"WITH {RETRIEVE_SQL} SELECT * FROM re")
@@ -86,7 +94,7 @@ def _(t):
     return retrieved(t)
 
 
-@query("score_retrieval", f"""WITH {RETRIEVE_SQL}, gd AS (SELECT query_id, turn_id FROM qs JOIN tu USING (conv_id) WHERE turn_no = 1), j AS (SELECT re.turn_id IS NOT NULL AS f, gd.turn_id IS NOT NULL AS g FROM re FULL JOIN gd ON re.query_id = gd.query_id AND re.turn_id = gd.turn_id)
+@query("score_retrieval", f"""WITH {RETRIEVE_SQL}, gd AS (SELECT query_id, turn_id FROM qs JOIN al USING (conv_id) WHERE turn_no = 1), j AS (SELECT re.turn_id IS NOT NULL AS f, gd.turn_id IS NOT NULL AS g FROM re FULL JOIN gd ON re.query_id = gd.query_id AND re.turn_id = gd.turn_id)
 SELECT {big('count_if(f)')} AS found, {big('count_if(g)')} AS relevant, {big('count_if(f AND g)')} AS hits, {r('count_if(f AND g) / count_if(f)')} AS precision, {r('count_if(f AND g) / count_if(g)')} AS recall FROM j""")
 def _(t):
     gold = turns(t).where(F.col("turn_no") == 1).join(queries(t).select("query_id", "conv_id"), "conv_id").select("query_id", "turn_id")
