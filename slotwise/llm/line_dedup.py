@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .arrays import mix
 from .batches import emit, extend
-from .store import keep, table
+from .store import keep, split_by_keys, table
 
 DIVISOR = 3              # a boundary before every third line on average
 MIN_LINES = 2            # shorter chunks are never removed
@@ -57,10 +57,11 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
             want = {w["_k"]: w["_h"] for w in wanted}
             return ((want[k], b) for k, _, _, b in long_chunks(text, divisor) if k in want)
         return one
-    owners = repeated.select("_h", "_first.doc_id", "_first._key", "_first._k").groupBy("doc_id", "_key").agg(F.collect_list(F.struct("_h", "_k")).alias("_wanted"))
+    owners = keep(repeated.select("_h", "_first.doc_id", "_first._key", "_first._k").groupBy("doc_id", "_key").agg(F.collect_list(F.struct("_h", "_k")).alias("_wanted")))
     one = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_key"] == b["_key"])
-    firsts = emit(slim.join(owners, one(slim, owners)).select("text", "_wanted"), fetch, "_h long, _bytes binary").dropDuplicates(["_h"])
-    later = (rows.join(repeated, "_h").where(place != F.col("_first")).join(firsts, "_h")
+    possible, _ = split_by_keys(slim, "_key", owners)
+    firsts = emit(possible.join(owners, one(possible, owners)).select("text", "_wanted"), fetch, "_h long, _bytes binary").dropDuplicates(["_h"])
+    later = keep(rows.join(repeated, "_h").where(place != F.col("_first")).join(firsts, "_h")
                  .groupBy("doc_id", "_key").agg(F.collect_list(F.struct("_k", "_bytes")).alias("_later")))
     def cut():
         def one(text, later_ones):
@@ -77,7 +78,9 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
             kept += lines[at:]
             return "\n".join(kept), len(lines), len(lines) - len(kept), len(gone)
         return one
-    joined = keyed.join(later, one(keyed, later), "left").select(*[keyed[f"`{c}`"] for c in docs.columns], later["_later"])
+    possible, rest = split_by_keys(keyed, "_key", later)
+    joined = possible.join(later, one(possible, later), "left").select(*[possible[f"`{c}`"] for c in docs.columns], later["_later"])
+    joined = joined.unionByName(rest.select(*docs.columns), allowMissingColumns=True)
     out = extend(joined, cut, ["text", "_later"], "_text string, _lines int, _removed int, _chunks int", drop=("text", "_later"))
     return out.withColumnRenamed("_text", "text").select(*[F.col(f"`{c}`") for c in docs.columns], "_lines", "_removed", "_chunks")
 

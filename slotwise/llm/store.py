@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,3 +31,21 @@ def keep(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+FILTER_BITS = 24
+
+
+def split_by_keys(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among `keys`, rows whose key surely is not).
+
+    The keys set bits of a bitmap of 2 ** FILTER_BITS bits, which is a broadcast table of at most 2 ** (FILTER_BITS - 6)
+    rows however many keys there are. Rows without a bit need no shuffle to meet the keys. With very many keys the bitmap
+    fills up and all rows take the first way; results never depend on it.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    bit = F.expr("shiftleft(1L, cast(_slot & 63 AS int))")
+    words = keep(keys.select(slot(column).alias("_slot")).groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits")))
+    marked = df.withColumn("_slot", slot(column)).withColumn("_word", F.shiftright("_slot", 6)).join(F.broadcast(words), "_word", "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return tuple(marked.where(c).select(*df.columns) for c in (hit, ~hit))
