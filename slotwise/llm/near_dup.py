@@ -1,12 +1,13 @@
 """Near-duplicates by improved consistent weighted sampling of TF-IDF word shingles.
 
-A shingle is five words in a row; its weight is its count in the text times the mean inverse document frequency of its
-words. Document frequencies of words are counted over all documents into a table of fixed size. Each text gives SAMPLES
+A shingle is five words in a row; its weight is its count in the text times the mean damped inverse document frequency
+of its words. Document frequencies of words are counted over all documents into a table of fixed size. Each text gives SAMPLES
 consistent weighted samples in bands of ROWS; texts that agree in a band are candidates, and the weighted Jaccard
 similarity of the full shingle sets decides.
 
-Texts are compared once per distinct text. Within a band bucket every text meets the bucket's smallest text first; only
-texts that fail there meet the others of the bucket, so a large group of copies costs one comparison a member.
+Texts are compared once per distinct text. Within a band bucket every text meets the bucket's head first; only texts that
+end in another class than the head meet the bucket's other classes, so a large group of copies costs one comparison a
+member.
 
 Defined results: a null text counts as empty; texts of fewer than five words are only equal to the same text; a row
 without doc_id gets no class; rows that share a doc_id are one document; an empty table gives no rows; other columns are
@@ -21,13 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import WordHashes, hashed, mix, words
+from .batches import emit
 from .components import components
-from .store import keep, table
+from .store import keep, split_by_keys, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
 AGREE = 12               # samples of SAMPLES that a pair must share to be compared; at 0.8 fewer has odds of 3 in 10 million
+BLOCK_TEXTS, BLOCK_BYTES = 256, 4 << 20   # texts, and bytes of shingle sets, of a block
 DF_BITS = 18             # document frequencies are counted in 2 ** DF_BITS buckets of word hashes
 TABLE_BITS = 16          # stored random draws; every sample picks from them by its own multiplier
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -38,6 +41,14 @@ MULTIPLIERS = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2)
 COEFS = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def damped(n, df):
+    """Inverse document frequency, damped by a second logarithm: a rare word weighs about twice a common one.
+
+    Undamped, the new words of an edited copy would outweigh the words it shares with its source.
+    """
+    return 1.0 + np.log1p(np.log((n + 1) / (df + 1)))
+
+
 def word_buckets(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(64 - DF_BITS)).astype(np.int64)
 
@@ -95,7 +106,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     for b, counts, m in rows:
         total[b * block:(b + 1) * block] = np.frombuffer(counts, np.int64)
         n += m
-    return np.round(1024 * (1.0 + np.log((n + 1) / (total + 1)))).astype(np.int64)
+    return np.round(1024 * damped(n, total)).astype(np.int64)
 
 
 def signatures(docs: DataFrame, idf) -> DataFrame:
@@ -120,67 +131,135 @@ def agreeing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(same >= AGREE).select("a", "b")
 
 
+def bags(docs: DataFrame, nodes: DataFrame, idf) -> DataFrame:
+    """(node, bag): the full shingle set of the texts of `nodes`, as sorted hashes and weights in one binary."""
+    def sets():
+        cache = WordHashes()
+
+        def one(node, text):
+            h, w = shingles(text, cache, idf.value)
+            yield node, h.tobytes() + w.tobytes()
+        return one
+    nodes = keep(nodes.distinct())
+    possible, _ = split_by_keys(docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("node"), "text"), "node", nodes)
+    # rows that share a doc_id are one document: any of its texts stands for it, always the same one
+    return emit(possible.join(nodes, "node"), sets, "node long, bag binary").groupBy("node").agg(F.max("bag").alias("bag"))
+
+
+def split_bag(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(bag) // 12
+    return np.frombuffer(bag, np.uint64, n), np.frombuffer(bag, np.float32, n, 8 * n)
+
+
+def weighted_jaccard(x, y) -> float:
+    (h, w), (g, v) = x, y
+    if not len(h) or not len(g):
+        return 0.0
+    at = np.searchsorted(g, h)
+    at[at == len(g)] = 0
+    hit = g[at] == h
+    shared = float(np.minimum(w[hit], v[at[hit]]).sum(dtype=np.float64))
+    return shared / (float(w.sum(dtype=np.float64) + v.sum(dtype=np.float64)) - shared)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, idf, similarity: float) -> DataFrame:
     """Links (a, b, similarity) among `pairs`, by the weighted Jaccard similarity of the full shingle sets."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = keep(bags(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), idf))
 
-    def sets(batches):
-        cache = WordHashes()
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                h, w = shingles(text, cache, idf.value)
-                out.append(h.tobytes() + w.tobytes())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "bag": out})
-    one = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(nodes, "doc_id")
-    bags = keep(one.mapInPandas(sets, "doc_id long, bag binary"))
+    def compare():
+        def one(a, b, x, y):
+            s = weighted_jaccard(split_bag(x), split_bag(y))
+            if s >= similarity:
+                yield a, b, s
+        return one
+    side = lambda n: sets.select(F.col("node").alias(n), F.col("bag").alias(f"bag_{n}"))
+    return emit(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "bag_a", "bag_b"), compare, "a long, b long, similarity double")
 
-    def split(bag):
-        n = len(bag) // 12
-        return np.frombuffer(bag, np.uint64, n), np.frombuffer(bag, np.float32, n, 8 * n)
 
-    def compare(batches):
-        for pdf in batches:
-            out = []
-            for x, y in zip(pdf["bag_a"], pdf["bag_b"]):
-                (h, w), (g, v) = split(x), split(y)
-                at = np.searchsorted(g, h)
-                at[at == len(g)] = 0
-                hit = g[at] == h if len(g) else np.zeros(len(h), bool)
-                shared = float(np.minimum(w[hit], v[at[hit]]).sum(dtype=np.float64))
-                both = float(w.sum(dtype=np.float64) + v.sum(dtype=np.float64)) - shared
-                out.append(shared / both if both else 0.0)
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": out})
-    rows = pairs.join(bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b")), "b")
-    return rows.mapInPandas(compare, "a long, b long, similarity double").where(F.col("similarity") >= similarity).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+def remaining_links(star: DataFrame, first: DataFrame, texts: DataFrame, docs: DataFrame, idf, similarity: float) -> DataFrame:
+    """Links between classes of texts that share a band, beyond the links with heads.
+
+    Texts are grouped by the connected groups of `star`, which hold every pair that shares a band. Texts outside a
+    group's largest class meet the texts of other classes, block by block: a task gets two blocks of bounded size,
+    compares samples as matrices, and reads the full sets only for pairs that share a band and agree often enough. Only
+    links that join two classes come out, so a group never becomes a table of its pairs.
+    """
+    groups = keep(components(star).select("node", F.col("root").alias("grp")))
+    own = components(first.select("a", "b"))
+    placed = keep(groups.join(own, "node", "left").select("node", "grp", F.coalesce("root", "node").alias("own")))
+    main = (placed.groupBy("grp", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max_by("own", F.struct("n", "own")).alias("main"), F.count(F.lit(1)).alias("classes"))
+                  .where("classes > 1").select("grp", "main"))
+    todo = keep(placed.join(main, "grp"))
+    full = keep(todo.join(texts.select("node", "samples"), "node").join(bags(docs, todo.select("node"), idf), "node"))
+    row = F.struct("node", "own", "samples", "bag")
+
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        size = side.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum(F.length("bag")) / BLOCK_BYTES)).alias("n"))
+        return (side.join(size, "grp").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("n"))).groupBy("grp", "blk")
+                    .agg(F.collect_list(row).alias(name), F.first("main").alias("main")))
+    apart = blocks(full.where(F.col("own") != F.col("main")), "left").select("grp", "main", "left")
+    met = apart.join(blocks(full, "right").select("grp", "right"), "grp")
+
+    def compare():
+        def one(main, left, right):
+            a, b = (np.array([r["samples"] for r in side]) for side in (left, right))
+            na, nb = (np.array([r["node"] for r in side]) for side in (left, right))
+            oa, ob = (np.array([r["own"] for r in side]) for side in (left, right))
+            same = a[:, None, :] == b[None, :, :]
+            # two texts outside the main class meet in one order only
+            ok = (oa[:, None] != ob[None, :]) & ((ob == main)[None, :] | (na[:, None] < nb[None, :])) & same.reshape(len(a), len(b), BANDS, ROWS).all(axis=3).any(axis=2)
+            agree = same.sum(axis=2)
+            ok &= agree >= AGREE
+            at = np.argwhere(ok)
+            at = at[np.argsort(-agree[ok], kind="stable")]
+            root: dict[int, int] = {}
+
+            def find(x):
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+            sets: dict[int, tuple] = {}
+            for i, j in at.tolist():
+                x, y = find(int(oa[i])), find(int(ob[j]))
+                if x == y:
+                    continue
+                s = weighted_jaccard(*(sets.setdefault(r["node"], split_bag(r["bag"])) for r in (left[i], right[j])))
+                if s >= similarity:
+                    root[max(x, y)] = min(x, y)
+                    yield min(na[i], nb[j]).item(), max(na[i], nb[j]).item(), s
+        return one
+    return emit(met.select("main", "left", "right"), compare, "a long, b long, similarity double")
+
+
+def buckets(texts: DataFrame) -> DataFrame:
+    """(bucket, node, head) of every text that shares a band with another.
+
+    The head of a bucket is the text that shares bands with most others, the smallest of equal ones. In a group of copies
+    that is the text they were made from, or the one closest to it.
+    """
+    bands = F.array(*[F.xxhash64(F.lit(i), *[F.col("samples")[ROWS * i + j] for j in range(ROWS)]) for i in range(BANDS)])
+    members = keep(texts.select("node", F.explode(bands).alias("bucket")))
+    shared = keep(members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket"))
+    known = shared.groupBy("node").agg(F.sum("n").alias("known"))
+    heads = shared.join(known, "node").groupBy("bucket").agg(F.max_by("node", F.struct("known", -F.col("node"))).alias("head"))
+    return shared.join(heads, "bucket").select("bucket", "node", "head")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): classes has doc_id, text_id (smallest document of the same text), class_id, n_links of the text."""
+    """(classes, links): classes has doc_id, text_id (smallest document of the same text) and class_id; links the verified pairs.
+
+    Links connect every class; pairs that are connected already are not compared again.
+    """
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(document_frequencies(docs))
     rows = keep(signatures(docs, idf))
-    same = rows.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.first("samples").alias("samples"))
-    texts = keep(same)
+    texts = keep(rows.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.first("samples").alias("samples")))
     usable = texts.where(F.col("samples").isNotNull())
-    bands = F.array(*[F.xxhash64(F.lit(i), *[F.col("samples")[ROWS * i + j] for j in range(ROWS)]) for i in range(BANDS)])
-    members = usable.select("node", F.explode(bands).alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "head")
-    grouped = keep(members.join(heads, "bucket").where(F.col("node") != F.col("head")))
-    star = grouped.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    first = keep(verified(keep(agreeing(star, usable)), docs, idf, similarity))
-    # those not similar to the head of a bucket meet everyone else in it
-    failed = grouped.join(first.select(F.col("a").alias("head"), F.col("b").alias("node")), ["head", "node"], "left_anti")
-    others = grouped.select("bucket", F.col("node").alias("other"))
-    rest = failed.select("bucket", "node").join(others, "bucket").where(F.col("node") != F.col("other"))
-    rest = rest.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    links = keep(first.unionByName(verified(keep(agreeing(rest, usable)), docs, idf, similarity)))
-    roots = components(links.select("a", "b"))
-    counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    by_text = texts.select("text_key", "node").join(roots, "node", "left").join(counts, "node", "left")
-    # a document whose rows hold several texts is one document: its smallest class counts
-    out = (rows.select("doc_id", "text_key").join(by_text, "text_key")
-               .select("doc_id", F.col("node").alias("text_id"), F.coalesce("root", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    star = keep(buckets(usable).where(F.col("node") != F.col("head")).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct())
+    first = keep(verified(agreeing(star, usable), docs, idf, similarity))
+    links = keep(first.unionByName(remaining_links(star, first, usable, docs, idf, similarity)))
+    by_text = texts.select("text_key", "node").join(components(links.select("a", "b")), "node", "left")
+    out = rows.select("doc_id", "text_key").join(by_text, "text_key").select("doc_id", F.col("node").alias("text_id"), F.coalesce("root", "node").alias("class_id"))
     return out, links
 
 
