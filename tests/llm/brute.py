@@ -61,7 +61,7 @@ def weighted_jaccard_classes(rows, similarity=0.8):
     docs = [(d, WORD.findall(t or "")) for d, t in rows if d is not None]
     texts = [WORD.findall(t) for _, t in rows if t is not None]
     df = Counter(w for t in texts for w in set(t))
-    idf = lambda w: 1 + math.log((len(texts) + 1 + 0) / (df[w] + 1))
+    idf = lambda w: 1 + math.log1p(math.log((len(texts) + 2) / (df[w] + 1)))
     bags = []
     for d, w in docs:
         c = Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
