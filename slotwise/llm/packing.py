@@ -7,57 +7,44 @@ as they occur; an empty table gives no rows; other columns of `documents` are ne
 from __future__ import annotations
 
 import zlib
+from itertools import count
 
 import numpy as np
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import emit, extend
 from .store import keep, table
 
 LENGTH = 2048            # tokens of a sequence
 OPEN_BINS = 512          # sequences a task keeps open
 END_ID = b"\0\0\0\0"     # the id that ends a document, little-endian
-CACHE = 400_000          # pieces of text whose ids a task remembers
 
 
 class Ids:
     """Token ids of texts as little-endian bytes.
 
-    The pre-tokenizer of this vocabulary always cuts before a single space that is followed by a non-space, so the ids
-    of a text without two white-space characters in a row are those of its space-separated pieces; each piece is
-    tokenized once and remembered. Other texts are tokenized as a whole.
+    The vocabulary comes in two forms. Its rank file gives the same ids as the tokenizers file for texts of ASCII and
+    Latin letters without the special string, and is several times faster; all other texts go through tokenizers itself.
     """
 
     def __init__(self, path: str):
+        import base64
         import re
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
-        self.encoder = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.double_space = re.compile(r"\s\s")
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+        self.whole = Tokenizer.from_file(path)
+        with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.other = re.compile("[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u017e\\u2018-\\u201f]|<\\|endoftext")
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if text[0].isspace() or self.double_space.search(text):
-            return self._encode([text])[0]
-        known = self.known
-        head, *rest = text.split(" ")
-        # pieces after the first carry the space in front of them; the first is kept under a key that no piece can have
-        try:
-            return known["  " + head] + b"".join([known[p] for p in rest])
-        except KeyError:
-            pass
-        if len(known) >= CACHE:
-            known.clear()
-        new = list({p for p in rest if p not in known})
-        known.update(zip(new, self._encode([" " + p for p in new])))
-        known["  " + head] = self._encode([head])[0]
-        return known["  " + head] + b"".join([known[p] for p in rest])
+        if self.other.search(text):
+            return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.asarray(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
 
 
 class BestFit:
@@ -104,25 +91,19 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataF
     `copy` numbers the rows of a task, to tell repeated documents apart. A piece of full length is a sequence of its own
     and gets a negative sequence_id here; the others have none yet.
     """
-    def run(batches):
+    def make():
         ids_of = Ids(tokenizer)
-        row = full = 0
-        base = TaskContext.get().partitionId() << 40
-        for pdf in batches:
-            out = []
-            for doc, text in zip(pdf["doc_id"].array, pdf["text"].array):
-                ids = (b"" if text is None or text is pd.NA else ids_of(text)) + END_ID
-                n = len(ids) >> 2
-                first = n % length or length
-                at, piece = 0, 0
-                while at < n:
-                    end = at + (first if at == 0 else length)
-                    full += end - at == length
-                    out.append((doc, base + row, piece, at, end - at, zlib.crc32(ids[4 * at:4 * end]), -base - full if end - at == length else None))
-                    at, piece = end, piece + 1
-                row += 1
-            yield pd.DataFrame(out, columns=["doc_id", "copy", "piece", "start", "length", "ids_crc32", "sequence_id"]).astype({"doc_id": "Int64", "sequence_id": "Int64"})
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, copy long, piece int, start long, length long, ids_crc32 long, sequence_id long")
+        base, rows, full = TaskContext.get().partitionId() << 40, count(), count(1)
+
+        def one(doc, text):
+            ids = (ids_of(text) if text else b"") + END_ID
+            n, row = len(ids) >> 2, base + next(rows)
+            at, end, piece = 0, (len(ids) >> 2) % length or length, 0
+            while at < n:
+                yield doc, row, piece, at, end - at, zlib.crc32(ids[4 * at:4 * end]), -base - next(full) if end - at == length else None
+                at, end, piece = end, end + length, piece + 1
+        return one
+    return emit(docs.select("doc_id", "text"), make, "doc_id long, copy long, piece int, start long, length long, ids_crc32 long, sequence_id long")
 
 
 def pack(pieces: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS) -> DataFrame:
@@ -131,16 +112,15 @@ def pack(pieces: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS) ->
     Rows reach a partition by hash and are sorted there, so a task that is run again packs alike. Partitions are sized by
     Spark from the bytes they hold; each wastes at most its open bins at the end.
     """
-    def run(batches):
-        fit = BestFit(length, open_bins)
-        base = TaskContext.get().partitionId() << 40
-        for pdf in batches:
-            places = [fit.place(n) for n in pdf["length"].tolist()]
-            pdf["sequence_id"] = np.array([b for b, _ in places], dtype=np.int64) + base
-            pdf["offset"] = np.array([o for _, o in places], dtype=np.int64)
-            yield pdf
-    schema = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    rest = pieces.where(F.col("sequence_id").isNull()).repartition("copy", "piece").sortWithinPartitions("copy", "piece").mapInPandas(run, schema)
+    def make():
+        fit, base = BestFit(length, open_bins), TaskContext.get().partitionId() << 40
+
+        def one(n):
+            b, offset = fit.place(n)
+            return base + b, offset
+        return one
+    todo = pieces.where(F.col("sequence_id").isNull()).drop("sequence_id").repartition("copy", "piece").sortWithinPartitions("copy", "piece")
+    rest = extend(todo, make, "length", "sequence_id long, offset long")
     return rest.unionByName(pieces.where(F.col("sequence_id").isNotNull()).withColumn("offset", F.lit(0).cast("long")))
 
 
