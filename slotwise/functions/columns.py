@@ -23,19 +23,26 @@ def per_day(freq: str) -> int:
     return max(1, round(86400 / freq_seconds(freq)))
 
 
+def tie_shift(places: int) -> float:
+    return 2.5 * 10.0 ** (-places - 3)
+
+
 def r6(c, places: int = 6) -> Column:
-    """Round for reporting; NaN and infinities become NULL."""
+    """Round for reporting; NaN and infinities become NULL, and there is no negative zero.
+
+    Values within a few billionths of a tie go up, so that the order in which a sum was taken does not show.
+    """
     c = F.col(c) if isinstance(c, str) else c
     c = c.cast("double")
     bad = F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
-    return F.when(~bad, F.round(c, places))
+    return F.when(~bad, F.round(c + F.lit(tie_shift(places)), places) + F.lit(0.0))
 
 
 def share(part, total) -> Column:
     """part/total rounded to 6 places, 0.0 when total is 0."""
     part = F.col(part) if isinstance(part, str) else part
     total = F.col(total) if isinstance(total, str) else total
-    return F.when(total > 0, F.round(part / total, 6)).otherwise(F.lit(0.0))
+    return F.when(total > 0, F.round(part / total + F.lit(tie_shift(6)), 6)).otherwise(F.lit(0.0))
 
 
 def no_nan(c) -> Column:

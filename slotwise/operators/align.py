@@ -88,10 +88,10 @@ def coverage(aligned: DataFrame) -> DataFrame:
         r6(F.avg(F.col("value").isNotNull().cast("double"))).alias("coverage"))
 
 
-def reduce_resolution(df: DataFrame, freq: str, max_points: int, keys: list[str] | None = None) -> DataFrame:
+def reduce_resolution(df: DataFrame, freq: str, max_points: int | None, keys: list[str] | None = None) -> DataFrame:
     """Mean-aggregate each series on the first ladder rung that leaves at most `max_points` slots.
 
-    Grid slots are counted, gaps included. Adds `step` (seconds of the rung), the
+    Without `max_points` every series keeps its own step. Grid slots are counted, gaps included. Adds `step` (seconds of the rung), the
     dense position `i`, the slot count `n` and the raw mean `level`.
     """
     keys = KEYS if keys is None else keys
@@ -100,7 +100,7 @@ def reduce_resolution(df: DataFrame, freq: str, max_points: int, keys: list[str]
     t = F.unix_seconds("ts")
     size = df.groupBy(*keys).agg(F.min(t).alias("_a"), F.max(t).alias("_b"), F.avg("value").alias("level"))
     slots = lambda s: F.floor(F.col("_b") / s) - F.floor(F.col("_a") / s) + 1
-    pick = F.coalesce(*[F.when(slots(s) <= max_points, F.lit(s)) for s in rungs], F.lit(86400)).cast("long")
+    pick = F.coalesce(*[F.when(slots(s) <= max_points, F.lit(s)) for s in rungs], F.lit(86400)).cast("long") if max_points else F.lit(step).cast("long")
     chosen = (size.where(F.col("level").isNotNull()).withColumn("step", pick)
               .select(*keys, "step", "level", F.floor(F.col("_a") / F.col("step")).alias("_first"), slots(F.col("step")).alias("n")))
     slot = F.floor(t / F.col("step"))

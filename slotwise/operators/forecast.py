@@ -260,8 +260,11 @@ def similar_day_prior(snapshot: DataFrame, days: DataFrame, slots: int = 96) ->
         (F.sum(F.col("_v") * F.col("weight")) / F.sum("weight")).alias("prior"), F.stddev_pop("_v").alias("spread"), F.count(F.lit(1)).alias("days"))
 
 
-def training_windows(features: DataFrame, value: str = "rt_price", back: int = 96, ahead: int = 96, stride: int = 2, limit: int = 4500) -> DataFrame:
-    """Start positions of complete training windows before the cutoff, evenly thinned to `limit`, with history and future arrays."""
+def training_windows(features: DataFrame, value: str = "rt_price", back: int = 96, ahead: int = 96, stride: int = 2, limit: int | None = None) -> DataFrame:
+    """Start positions of all complete training windows before the cutoff, with history and future arrays.
+
+    Only a caller who gives `limit` gets them evenly thinned to that many.
+    """
     train = features.where(F.col("ts") <= F.col("as_of"))
     last = train.groupBy(*KEYS).agg((F.max("i") + 1).alias("_end"))
     h = with_halo(train.select(*KEYS, "ts", "i", F.col(value).alias("v")), KEYS, back=back, ahead=ahead)
@@ -270,6 +273,8 @@ def training_windows(features: DataFrame, value: str = "rt_price", back: int = 9
     h = drop_halo(h.withColumn("_n", F.count("v").over(w.rowsBetween(0, ahead - 1))).withColumn("history", arr(-back, -1)).withColumn("future", arr(0, ahead - 1)))
     s = h.join(last, KEYS).where((F.col("i") >= back) & ((F.col("i") - back) % stride == 0) & (F.col("i") + ahead <= F.col("_end")) & (F.col("_n") == ahead))
     s = prefix_sums(s, KEYS, "i", {"_k": F.lit(1)}).withColumn("_k", F.col("_k") - 1)
+    if limit is None:
+        return s.select(*KEYS, F.col("_k").alias("sample"), F.col("i").alias("start_i"), F.col("ts").alias("start_at"), "history", "future")
     m = s.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_m"))
     keep = m.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_m"), F.lit(limit)) - 1)))
     at = F.when(F.col("_m") <= limit, F.col("_j")).otherwise(F.bround(F.col("_j") * ((F.col("_m") - 1) / F.lit(float(max(1, limit - 1)))), 0)).cast("long")

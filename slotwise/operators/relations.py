@@ -226,7 +226,7 @@ def _nested_rss(g: pd.Series, lag: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["rss_restricted", "rss_full"])
 
 
-def granger(pairs: DataFrame, freq: str, max_lag: int = 72, min_obs: int = 12) -> DataFrame:
+def granger(pairs: DataFrame, freq: str, max_lag: int = 72, min_obs: int = 12, ceiling: int = GRANGER_CEILING) -> DataFrame:
     """Does the driver's history improve the target's autoregression? F test at lags 1, 2, one day and the ceiling.
 
     Positions run over the paired rows. Each lag's two regressions come from one
@@ -236,9 +236,11 @@ def granger(pairs: DataFrame, freq: str, max_lag: int = 72, min_obs: int = 12) -
     known = F.col("x").isNotNull() & F.col("y").isNotNull()
     s = prefix_sums(p, KEYS, "i", {"seq": known.cast("long")}).where(known)
     stats = s.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), *[f(c).alias(f"_{t}{c}") for c in ("x", "y") for t, f in (("m", F.avg), ("s", F.stddev_pop))])
-    top = min(max_lag, GRANGER_CEILING)
-    ceiling = F.least(F.lit(top), F.greatest(F.lit(1), F.floor(F.col("_n") / 20))).cast("int")
-    stats = stats.where(F.col("_n") >= min_obs).withColumn("_ceil", ceiling).withColumn(
+    if max_lag > ceiling:
+        raise ValueError(f"max_lag {max_lag} is beyond the ceiling of {ceiling}: a regression has 2 * max_lag + 1 terms")
+    top = max_lag
+    reach = F.least(F.lit(top), F.greatest(F.lit(1), F.floor(F.col("_n") / 20))).cast("int")
+    stats = stats.where(F.col("_n") >= min_obs).withColumn("_ceil", reach).withColumn(
         "_lags", F.filter(F.array_distinct(F.array(F.lit(1), F.lit(2), F.lit(per_day(freq)), F.col("_ceil"))), lambda k: k <= F.col("_ceil")))
     z = s.join(stats, KEYS)
     for c in ("x", "y"):

@@ -12,15 +12,17 @@ from ..functions.tails import adf_p_udf, kpss_p_udf
 from .align import KEYS, fill_linear, reduce_resolution
 from .common import drop_halo, gram, halo_window, lag_table, prefix_sums, with_halo, with_lags
 
-MAX_POINTS = 8760
 MIN_POINTS = 32
 LAG_CAP = 48
 # MacKinnon (2010) 5 % critical value of the unit-root statistic with a constant.
 ADF_CRITICAL_5 = (-2.86154, -2.8903, -4.234, -40.040)
 
 
-def prepare(df: DataFrame, freq: str, keys: list[str] | None = None, max_points: int = MAX_POINTS) -> DataFrame:
-    """Coarsened, gap-filled, densely numbered series with at least 32 points: (keys, step, ts, i, value, n)."""
+def prepare(df: DataFrame, freq: str, keys: list[str] | None = None, max_points: int | None = None) -> DataFrame:
+    """Gap-filled, densely numbered series with at least 32 points on their own grid: (keys, step, ts, i, value, n).
+
+    The tests run on the whole grid however long it is; only a caller who gives `max_points` gets a coarser one.
+    """
     keys = KEYS if keys is None else keys
     return fill_linear(reduce_resolution(df, freq, max_points, keys), keys).where(F.col("n") >= MIN_POINTS)
 
@@ -95,7 +97,8 @@ def kpss(forms: DataFrame, keys: list[str]) -> DataFrame:
     k = [*keys, "form"]
     st = forms.groupBy(*k).agg(F.avg("value").alias("_mu"))
     e = forms.join(st, k).withColumn("e", F.col("value") - F.col("_mu")).withColumnRenamed("n", "_n")
-    cov_top = int(MAX_POINTS ** (2 / 9)) + 1
+    longest = e.agg(F.max("_n")).first()[0] or 1          # one number; sets how many lags are summed
+    cov_top = int(longest ** (2 / 9) + 1e-9) + 1
     cov = F.floor(F.pow(F.col("_n"), F.lit(2.0 / 9.0)) + F.lit(1e-9))
     half = F.col("_n") / 2.0
     auto = (lag_table(e, k, "e", cov_top).where(F.col("lag") <= cov).groupBy(*k).agg(

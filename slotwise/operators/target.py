@@ -381,8 +381,17 @@ def autocovariances(filled: DataFrame, keys: list[str], max_lag: int) -> DataFra
             .agg(F.sum(F.col("_e") * F.col("lagged")).alias("s"), F.first("n").alias("n")))
 
 
+LAG_CEILING = 400         # longest lag of the recursions that run over the sums of one series
+
+
+def checked_lag(max_lag: int, ceiling: int = LAG_CEILING) -> int:
+    if max_lag > ceiling:
+        raise ValueError(f"max_lag {max_lag} is beyond the ceiling of {ceiling}")
+    return max_lag
+
+
 def lag_limit(n, max_lag: int):
-    return F.least(F.lit(min(max_lag, 400)), F.greatest(F.lit(1), F.floor(n / 2) - 1))
+    return F.least(F.lit(checked_lag(max_lag)), F.greatest(F.lit(1), F.floor(n / 2) - 1))
 
 
 def price_pacf(filled: DataFrame, max_lag: int, keys: list[str] | None = None) -> DataFrame:
@@ -390,7 +399,7 @@ def price_pacf(filled: DataFrame, max_lag: int, keys: list[str] | None = None) -
     import numpy as np
     import pandas as pd
     keys = SID if keys is None else keys
-    s = autocovariances(filled, keys, min(max_lag, 400)).where(F.col("lag") <= lag_limit(F.col("n"), max_lag))
+    s = autocovariances(filled, keys, checked_lag(max_lag)).where(F.col("lag") <= lag_limit(F.col("n"), max_lag))
 
     def levinson(key, pdf):
         pdf = pdf.sort_values("lag")
@@ -412,7 +421,7 @@ def price_pacf(filled: DataFrame, max_lag: int, keys: list[str] | None = None) -
 def ljung_box(filled: DataFrame, freq: str, max_lag: int, keys: list[str] | None = None) -> DataFrame:
     """Ljung-Box statistic and p at lags 1, 2, one day, one week and the limit."""
     keys = SID if keys is None else keys
-    s = autocovariances(filled, keys, min(max_lag, 400))
+    s = autocovariances(filled, keys, checked_lag(max_lag))
     w = Window.partitionBy(*keys)                             # at most 401 sums per series
     day = per_day(freq)
     r = s.withColumn("_r", F.col("s") / F.max(F.when(F.col("lag") == 0, F.col("s"))).over(w)).where(F.col("lag") >= 1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import plain_times
+from ..functions.columns import plain_times, tie_shift
 from ..operators import align as al
 from ..operators.common import cut
 
@@ -43,10 +43,10 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def events(self) -> DataFrame:
-        """Raw observations (series_id, name, ts, value, event_id): two markets, one series per event type."""
+    def events(self, by_user: bool = False) -> DataFrame:
+        """Raw observations (series_id, name, ts, value, event_id): one series per event type, two markets or one per user."""
         return self.read("events").select(
-            F.concat(F.lit("m"), (F.col("user_id") % 2).cast("string")).alias("series_id"), F.col("event_type").alias("name"),
+            F.concat(F.lit("m"), (F.col("user_id") if by_user else F.col("user_id") % 2).cast("string")).alias("series_id"), F.col("event_type").alias("name"),
             F.col("ts").cast("timestamp").alias("ts"), "value", "event_id", "user_id")
 
     def hourly(self) -> DataFrame:
@@ -108,8 +108,8 @@ filled AS (SELECT n.series_id, n.ts, n.i, n.value IS NULL AS filled,
 
 
 def r(expr: str, places: int = 6) -> str:
-    """Oracle rounding that never yields a negative zero."""
-    return f"(round(CAST({expr} AS DOUBLE), {places}) + 0.0)"
+    """Oracle rounding, as `r6` does it: ties up, never a negative zero."""
+    return f"(round(CAST({expr} AS DOUBLE) + {tie_shift(places)!r}, {places}) + 0.0)"
 
 
 def big(expr: str) -> str:

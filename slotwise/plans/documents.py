@@ -63,17 +63,17 @@ pc AS (SELECT count(*) AS n FROM pages),
 co AS (SELECT doc_id AS record_id, CASE WHEN doc_id % 29 = 0 THEN '' ELSE source END AS source_name, p.url AS source_url, CASE doc_id % 4 WHEN 0 THEN 'aggregator' WHEN 1 THEN 'meteorological' WHEN 2 THEN 'authoritative_media' ELSE 'grid_market_operator' END AS source_type,
  'Title ' || (doc_id % 7) AS title, text AS content, strftime(TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id AS INTEGER)), '%Y-%m-%dT%H:%M:%S') || CASE WHEN doc_id % 31 = 0 THEN '' ELSE 'Z' END AS published_at,
  strftime(TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id + 60 - CASE WHEN doc_id % 37 = 0 THEN 90 ELSE 0 END AS INTEGER)), '%Y-%m-%dT%H:%M:%SZ') AS fetched_at, 'q' || (doc_id % 12) AS search_query_id, CASE WHEN doc_id % 41 = 0 THEN 'page' WHEN doc_id % 2 = 0 THEN 'full_text' END AS content_scope
- FROM documents JOIN u1 ON u1.page_id = doc_id % 250 JOIN (SELECT page_id, raw AS url FROM u1) p ON p.page_id = u1.page_id),
+ FROM documents JOIN pc ON true JOIN u1 ON u1.page_id = doc_id % pc.n JOIN (SELECT page_id, raw AS url FROM u1) p ON p.page_id = u1.page_id),
 va AS (SELECT *, CASE WHEN source_name = '' THEN 'missing fields: source_name' WHEN search_query_id IN ('q10', 'q11') THEN 'unknown search_query_id' WHEN published_at NOT LIKE '%Z' THEN 'timestamps require an offset' WHEN fetched_at < published_at THEN 'fetched before published'
  WHEN coalesce(content_scope, 'excerpt') NOT IN ('full_text', 'excerpt', 'summary') THEN 'unsupported content scope' END AS reason FROM co)"""
 
 
 def _collected(t):
-    d, i = t.read("documents"), F.col("doc_id")
+    d, i, n_pages = t.read("documents"), F.col("doc_id"), max(1, t.read("pages").count())
     at = lambda m: shift_ts(F.lit("2024-01-01").cast("timestamp"), m * 60)
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     kind = F.when(i % 4 == 0, "aggregator").when(i % 4 == 1, "meteorological").when(i % 4 == 2, "authoritative_media").otherwise("grid_market_operator")
-    c = d.select(i.alias("record_id"), F.when(i % 29 == 0, "").otherwise(F.col("source")).alias("source_name"), (i % 250).alias("page_id"), kind.alias("source_type"), F.concat(F.lit("Title "), (i % 7).cast("string")).alias("title"),
+    c = d.select(i.alias("record_id"), F.when(i % 29 == 0, "").otherwise(F.col("source")).alias("source_name"), (i % n_pages).alias("page_id"), kind.alias("source_type"), F.concat(F.lit("Title "), (i % 7).cast("string")).alias("title"),
                  F.col("text").alias("content"), F.concat(iso(at(i)), F.when(i % 31 == 0, "").otherwise("Z")).alias("published_at"), F.concat(iso(at(i + 60 - F.when(i % 37 == 0, 90).otherwise(0))), F.lit("Z")).alias("fetched_at"),
                  F.concat(F.lit("q"), (i % 12).cast("string")).alias("search_query_id"), F.when(i % 41 == 0, "page").when(i % 2 == 0, "full_text").alias("content_scope"))
     c = c.join(_urls(t).select("page_id", F.col("url").alias("source_url")), "page_id").drop("page_id")

@@ -142,32 +142,36 @@ def states(t):
 
 
 CLOCK = al.MarketClock("m", "UTC", 60)
-LO, HI, CUTOFF = "2024-01-03", "2024-01-28", "2024-01-20 06:00:00"
+CUTOFF = "2024-01-20 06:00:00"
+# The grid covers the whole table.
+LO, HI = "(SELECT date_trunc('hour', min(ts)) FROM events)", "(SELECT date_trunc('hour', max(ts)) + INTERVAL 1 HOUR FROM events)"
 
 
 def bounds(t):
-    return states(t).select("series_id").distinct().select("series_id", F.lit(LO).cast("timestamp").alias("lo"), F.lit(HI).cast("timestamp").alias("hi"))
+    hour = lambda c: F.date_trunc("hour", c.cast("timestamp"))
+    lo, hi = t.read("events").agg(hour(F.min("ts")), shift_ts(hour(F.max("ts")), 3600)).first()
+    return states(t).select("series_id").distinct().select("series_id", F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
 
 
 def feature_sql(cutoff=None):
     cap = f"WHERE available_at <= TIMESTAMP '{cutoff}'" if cutoff else ""
     kn = f"least(g.ts, TIMESTAMP '{cutoff}')" if cutoff else "g.ts"
-    counts = ", ".join(f"{big(f'count_if(act AND event_type = {chr(39)}{k}{chr(39)})')} AS count_{k}" for k in ft.EVENT_TYPES)
+    counts = ", ".join(f"{big(f'coalesce(count_if(act AND event_type = {chr(39)}{k}{chr(39)}), 0)')} AS count_{k}" for k in ft.EVENT_TYPES)
     effects = ", ".join(f"CASE WHEN count_if(act AND physical_effect = '{k}' AND capacity_mw IS NULL) > 0 THEN NULL ELSE {r(f'coalesce(sum(capacity_mw) FILTER (act AND physical_effect = {chr(39)}{k}{chr(39)}), 0)')} END AS capacity_{k}_mw" for k in ft.EFFECTS)
     ann = f"g.ts <= TIMESTAMP '{cutoff}' AND" if cutoff else ""
     return f"""{STATE_SQL},
 vs AS (SELECT *, coalesce(lead(available_at) OVER (PARTITION BY event_id ORDER BY available_at), TIMESTAMP '9999-01-01') AS ku FROM st {cap}),
 us AS (SELECT * FROM vs WHERE relevance = 'short_term' AND eligibility = 'eligible' AND status <> 'cancelled' AND review_status <> 'rejected'),
-g AS (SELECT DISTINCT series_id, unnest(generate_series(TIMESTAMP '{LO}', TIMESTAMP '{HI}' - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS ts FROM (SELECT DISTINCT series_id FROM st)),
-kn AS (SELECT g.series_id, g.ts, {kn} AS at, u.* EXCLUDE (series_id) FROM g JOIN us u ON u.series_id = g.series_id AND u.available_at <= {kn} AND u.ku > {kn}),
-re AS (SELECT series_id, ts, asset_key, effective_start_at AS rs, greatest(effective_start_at, available_at) AS e FROM kn WHERE event_type = 'generation_restore'),
-rz AS (SELECT o.series_id, o.ts, o.event_id, min(re.e) AS restored_at FROM kn o JOIN re ON re.series_id = o.series_id AND re.ts = o.ts AND re.asset_key = o.asset_key AND re.rs >= o.effective_start_at WHERE o.event_type = 'generation_outage' GROUP BY 1, 2, 3),
-ac AS (SELECT kn.*, CASE WHEN event_type IN ('generation_restore', 'demand_shock', 'storage_dispatch') AND effective_end_at IS NULL THEN CASE WHEN event_type = 'generation_restore' THEN greatest(effective_start_at, available_at) <= kn.ts AND kn.ts < greatest(effective_start_at, available_at) + INTERVAL 1 HOUR
+g AS (SELECT DISTINCT series_id, unnest(generate_series({LO}, {HI} - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS ts FROM (SELECT DISTINCT series_id FROM st)),
+kn AS MATERIALIZED (SELECT g.series_id, g.ts, {kn} AS at, u.* EXCLUDE (series_id) FROM g JOIN us u ON u.series_id = g.series_id AND u.available_at <= {kn} AND u.ku > {kn}),
+re AS MATERIALIZED (SELECT series_id, ts, asset_key, effective_start_at AS rs, greatest(effective_start_at, available_at) AS e FROM kn WHERE event_type = 'generation_restore'),
+rz AS MATERIALIZED (SELECT o.series_id, o.ts, o.event_id, min(re.e) AS restored_at FROM kn o JOIN re ON re.series_id = o.series_id AND re.ts = o.ts AND re.asset_key = o.asset_key AND re.rs >= o.effective_start_at WHERE o.event_type = 'generation_outage' GROUP BY 1, 2, 3),
+ac AS MATERIALIZED (SELECT kn.*, CASE WHEN event_type IN ('generation_restore', 'demand_shock', 'storage_dispatch') AND effective_end_at IS NULL THEN CASE WHEN event_type = 'generation_restore' THEN greatest(effective_start_at, available_at) <= kn.ts AND kn.ts < greatest(effective_start_at, available_at) + INTERVAL 1 HOUR
   ELSE available_at <= kn.ts AND kn.ts <= effective_start_at AND effective_start_at < kn.ts + INTERVAL 1 HOUR END
   ELSE effective_start_at < kn.ts + INTERVAL 1 HOUR AND coalesce(effective_end_at > kn.ts, true) AND coalesce(restored_at > kn.ts, true) END AS act,
  effective_start_at > kn.ts AS ahead, {ann.replace('g.ts', 'kn.ts')} announcement_available_at > kn.ts - INTERVAL 1 HOUR AND announcement_available_at <= kn.at AS ann FROM kn LEFT JOIN rz USING (series_id, ts, event_id)),
-fe AS (SELECT g.series_id, g.ts, {kn} AS available_at, {big('count_if(act)')} AS active_event_count, CASE WHEN count_if(act AND capacity_mw IS NULL) > 0 THEN NULL ELSE {r('coalesce(sum(capacity_mw) FILTER (act), 0)')} END AS active_capacity_mw,
- {big("count_if(act AND direction = 'up')")} AS direction_up_count, {big("count_if(act AND direction = 'down')")} AS direction_down_count, {counts}, {big('count_if(ann)')} AS new_announcement_count, {big('count_if(ahead)')} AS upcoming_event_count,
+fe AS (SELECT g.series_id, g.ts, {kn} AS available_at, {big('coalesce(count_if(act), 0)')} AS active_event_count, CASE WHEN count_if(act AND capacity_mw IS NULL) > 0 THEN NULL ELSE {r('coalesce(sum(capacity_mw) FILTER (act), 0)')} END AS active_capacity_mw,
+ {big("coalesce(count_if(act AND direction = 'up'), 0)")} AS direction_up_count, {big("coalesce(count_if(act AND direction = 'down'), 0)")} AS direction_down_count, {counts}, {big('coalesce(count_if(ann), 0)')} AS new_announcement_count, {big('coalesce(count_if(ahead), 0)')} AS upcoming_event_count,
  {r('min(epoch_us(effective_start_at) - epoch_us(g.ts)) FILTER (ahead) / 3600000000.0')} AS next_effective_in_hours, {effects} FROM g LEFT JOIN ac ON ac.series_id = g.series_id AND ac.ts = g.ts GROUP BY g.series_id, g.ts)"""
 
 
@@ -203,7 +207,7 @@ def _(t):
     return ft.forecast_event_features(states(t), bounds(t), CLOCK, CUTOFF, t.keep)
 
 
-@query("leak_check", f"""WITH {feature_sql()}, rf AS (SELECT series_id, event_id, ts FROM ac WHERE act UNION ALL SELECT series_id, 'nobody', TIMESTAMP '{LO}' FROM (SELECT DISTINCT series_id FROM st)), ev AS (SELECT event_id, min(announcement_available_at) AS a FROM st GROUP BY 1)
+@query("leak_check", f"""WITH {feature_sql()}, rf AS (SELECT series_id, event_id, ts FROM ac WHERE act UNION ALL SELECT series_id, 'nobody', {LO} FROM (SELECT DISTINCT series_id FROM st)), ev AS (SELECT event_id, min(announcement_available_at) AS a FROM st GROUP BY 1)
 SELECT series_id, count(*) AS "references", {big('count_if(a > ts)')} AS leaked_rows, {big('count_if(ev.event_id IS NULL)')} AS unknown_events FROM rf LEFT JOIN ev USING (event_id) GROUP BY 1""")
 def _(t):
     s, b = states(t), bounds(t)
@@ -229,16 +233,16 @@ def _(t):
     return ft.attach_features(model, f, "2024-01-15", ["active_event_count", "active_capacity_mw"]).select("series_id", "ts", r6("value").alias("value"), "news_active_event_count", "news_active_capacity_mw")
 
 
-# ---- event study: half-hour `purchase` prices per market, the six largest `error` events of each market as events
+# ---- event study: every user is a market with half-hour `purchase` prices; all `error` events are its events
 
-PRICE_SQL = RAW_SQL.replace("date_trunc('hour', ts) AS ts", "date_trunc('hour', ts) + to_minutes(CAST(minute(ts) // 30 * 30 AS INTEGER)) AS ts") + """,
+PRICE_SQL = RAW_SQL.replace("CAST(user_id % 2 AS VARCHAR)", "CAST(user_id AS VARCHAR)").replace("date_trunc('hour', ts) AS ts", "date_trunc('hour', ts) + to_minutes(CAST(minute(ts) // 30 * 30 AS INTEGER)) AS ts") + """,
 pb AS (SELECT series_id, min(ts) AS lo, max(ts) AS hi FROM raw WHERE name = 'purchase' GROUP BY 1),
 ps AS (SELECT series_id, unnest(generate_series(lo, hi, INTERVAL 30 MINUTE)) AS ts FROM pb),
 px AS (SELECT s.series_id, s.ts, r.value, row_number() OVER (PARTITION BY s.series_id ORDER BY s.ts) AS i FROM ps s LEFT JOIN raw r ON r.series_id = s.series_id AND r.ts = s.ts AND r.name = 'purchase'),
 pn AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY i) AS pi, first_value(CASE WHEN value IS NOT NULL THEN i END IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ni FROM px),
 price AS (SELECT n.series_id, n.ts, n.i, CASE WHEN n.value IS NOT NULL THEN n.value ELSE a.value + (b.value - a.value) * ((n.i - a.i) / (b.i - a.i)) END AS value FROM pn n JOIN px a ON a.series_id = n.series_id AND a.i = n.pi JOIN px b ON b.series_id = n.series_id AND b.i = n.ni),
-ek AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY value DESC, event_id) AS rk FROM obs WHERE name = 'error'),
-ev AS (SELECT series_id, event_id, ts - to_hours(CAST(event_id % 3 AS INTEGER)) AS announcement_available_at, ts AS effective_start_at, CASE WHEN event_id % 2 = 0 THEN ts + INTERVAL 2 HOUR END AS effective_end_at, CASE event_id % 3 WHEN 0 THEN 'up' WHEN 1 THEN 'down' ELSE 'unknown' END AS direction FROM ek WHERE rk <= 6),
+ek AS (SELECT * FROM obs WHERE name = 'error'),
+ev AS (SELECT series_id, event_id, ts - to_hours(CAST(event_id % 3 AS INTEGER)) AS announcement_available_at, ts AS effective_start_at, CASE WHEN event_id % 2 = 0 THEN ts + INTERVAL 2 HOUR END AS effective_end_at, CASE event_id % 3 WHEN 0 THEN 'up' WHEN 1 THEN 'down' ELSE 'unknown' END AS direction FROM ek),
 flr AS (SELECT *, announcement_available_at AS a FROM ev),
 sp AS (SELECT series_id, event_id, unnest([{'s': a, 'e': a + INTERVAL 4 HOUR}, {'s': effective_start_at, 'e': coalesce(effective_end_at, effective_start_at + INTERVAL 4 HOUR) + INTERVAL 4 HOUR}]) AS x FROM flr),
 oc AS (SELECT DISTINCT series_id, event_id, unnest(generate_series(make_timestamp((epoch_us(x.s) // 1800000000 * 1800000000)::BIGINT), make_timestamp((ceil(epoch_us(x.e) / 1800000000.0) * 1800000000 - 1800000000)::BIGINT), INTERVAL 30 MINUTE)) AS ts FROM sp),
@@ -268,7 +272,7 @@ h0 AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY series_id) - row_number
 hm AS (SELECT * EXCLUDE (a), {r('max(a) OVER (PARTITION BY series_id ORDER BY p, event_id, hours ROWS UNBOUNDED PRECEDING)')} AS corrected_p FROM h0),
 pls AS (SELECT series_id, event_id, hours, o AS offset_days, make_timestamp((ceil(epoch_us(anchor + to_days(CAST(o AS INTEGER))) / 1800000000.0) * 1800000000)::BIGINT) AS start_at FROM es CROSS JOIN (SELECT unnest([-14, -7, 7, 14]) AS o)),
 {window_sql('pl0', 'pls', ['event_id', 'offset_days'])}, pl AS (SELECT * FROM pl0 WHERE busy = 0),
-pk AS (SELECT m.series_id, m.event_id, m.hours, count(pl.deviation) AS placebos, {big('count_if(abs(pl.deviation) >= abs(m.deviation))')} AS placebos_at_least FROM wm m LEFT JOIN pl ON pl.series_id = m.series_id AND pl.event_id = m.event_id AND pl.hours = m.hours GROUP BY 1, 2, 3),
+pk AS (SELECT m.series_id, m.event_id, m.hours, count(pl.deviation) AS placebos, {big('coalesce(count_if(abs(pl.deviation) >= abs(m.deviation)), 0)')} AS placebos_at_least FROM wm m LEFT JOIN pl ON pl.series_id = m.series_id AND pl.event_id = m.event_id AND pl.hours = m.hours GROUP BY 1, 2, 3),
 cf AS (SELECT series_id, event_id, hours, count(*) AS confounders, string_agg(CAST(other AS VARCHAR), ',' ORDER BY CAST(other AS VARCHAR)) AS confounding_event_ids FROM (SELECT DISTINCT es.series_id, es.event_id, es.hours, oc.event_id AS other FROM es JOIN oc ON oc.series_id = es.series_id AND oc.ts >= es.start_at AND oc.ts < es.start_at + to_hours(es.hours) AND oc.event_id <> es.event_id) GROUP BY 1, 2, 3),
 r0 AS (SELECT wm.* EXCLUDE (busy), controls, p, control_mean, control_std, corrected_p, placebos, placebos_at_least, coalesce(confounders, 0) AS confounders, coalesce(confounding_event_ids, '') AS confounding_event_ids,
  (direction = 'up' AND deviation > 0) OR (direction = 'down' AND deviation < 0) AS agrees FROM wm JOIN hm USING (series_id, event_id, hours) JOIN pk USING (series_id, event_id, hours) LEFT JOIN cf USING (series_id, event_id, hours)),
@@ -278,14 +282,13 @@ HALF = al.MarketClock("m", "UTC", 30)
 
 
 def study_prices(t):
-    half = al.resample(t.events().where(F.col("name") == TARGET), "30min")
+    half = al.resample(t.events(by_user=True).where(F.col("name") == TARGET), "30min")
     return t.once("study_prices", lambda: al.fill_linear(al.align(half, TARGET, "30min")).select("series_id", "ts", "value"))
 
 
 def study_events(t):
-    from ..operators.common import top_k
     e, ts = F.col("event_id"), F.col("ts")
-    top = top_k(t.events().where(F.col("name") == "error"), ["series_id"], [F.desc("value"), F.asc("event_id")], 6)
+    top = t.events(by_user=True).where(F.col("name") == "error")
     return t.once("study_events", lambda: top.select("series_id", "event_id", shift_ts(ts, -(e % 3) * 3600).alias("announcement_available_at"), ts.alias("effective_start_at"), F.when(e % 2 == 0, shift_ts(ts, 7200)).alias("effective_end_at"),
                              F.when(e % 3 == 0, "up").when(e % 3 == 1, "down").otherwise("unknown").alias("direction")))
 

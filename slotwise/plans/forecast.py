@@ -183,11 +183,10 @@ def _(t):
 
 @query("training_windows", f"""WITH {SRC_SQL}, tn AS (SELECT series_id, fold_id, ts, i, rt_price AS v, max(i) OVER (PARTITION BY series_id, fold_id) + 1 AS n FROM sn WHERE ts <= as_of),
 w AS (SELECT *, count(v) OVER (PARTITION BY series_id, fold_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS c, sum(v) OVER (PARTITION BY series_id, fold_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS fs, sum(coalesce(v, 0)) OVER (PARTITION BY series_id, fold_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS hs FROM tn),
-s AS (SELECT *, row_number() OVER (PARTITION BY series_id, fold_id ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY series_id, fold_id) AS m FROM w WHERE i >= 12 AND (i - 12) % 2 = 0 AND i + 12 <= n AND c = 12),
-j AS (SELECT series_id, fold_id, unnest(generate_series(0, least(max(m), 40) - 1)) AS j, max(m) AS m FROM s GROUP BY 1, 2), q AS (SELECT *, CAST(CASE WHEN m <= 40 THEN j ELSE round_even(j * ((m - 1) / 39.0::DOUBLE), 0) END AS BIGINT) AS k FROM j)
-SELECT s.series_id, s.fold_id, q.j AS sample, s.i AS start_i, s.ts AS start_at, {r('s.fs')} AS future_sum, {r('s.hs')} AS history_sum FROM s JOIN q USING (series_id, fold_id, k)""")
+s AS (SELECT *, row_number() OVER (PARTITION BY series_id, fold_id ORDER BY i) - 1 AS k FROM w WHERE i >= 12 AND (i - 12) % 2 = 0 AND i + 12 <= n AND c = 12)
+SELECT series_id, fold_id, k AS sample, i AS start_i, ts AS start_at, {r('fs')} AS future_sum, {r('hs')} AS history_sum FROM s""")
 def _(t):
-    w = fc.training_windows(snapshot(t), back=12, ahead=12, stride=2, limit=40)
+    w = fc.training_windows(snapshot(t), back=12, ahead=12, stride=2)
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
     return w.select("series_id", "fold_id", "sample", "start_i", "start_at", r6(total("future")).alias("future_sum"), r6(total("history")).alias("history_sum"))
 

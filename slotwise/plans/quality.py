@@ -12,7 +12,7 @@ from ..operators import target as tg
 from .base import ALIGNED_SQL, DRIVERS, PAIR_SQL, RAW_SQL, TARGET, big, query, r
 from .relations import QUARTILE_SQL, RANK_SQL, scan_sql, BEST_SQL
 from .sources import CLOCK_SQL, versions
-from .target import FENCE_SQL, SEGMENTS
+from .target import FENCE_SQL, SEGMENTS, CONTRAST_SQL
 
 KEYS = al.KEYS
 
@@ -261,9 +261,11 @@ def _(t):
     return ev.rank_relationships(rels, rel.lead_scan_best(rel.lead_scan(p, 24)))
 
 
-@query("rank_contrasts")
+@query("rank_contrasts", f"""WITH cp AS ({CONTRAST_SQL}), b AS (SELECT *, row_number() OVER (PARTITION BY series_id, kind ORDER BY abs(mean_difference) DESC, left_id, right_id) AS k,
+ count(*) OVER (PARTITION BY series_id, kind) AS contrasts, count_if(overlap_rows > 0) OVER (PARTITION BY series_id, kind) AS over FROM cp WHERE mean_difference IS NOT NULL)
+SELECT series_id, kind, left_id, right_id, mean_difference, CAST(over AS BIGINT) AS overlapping_pairs, contrasts FROM b WHERE k = 1""")
 def _(t):
-    """Largest segment contrast per comparison (its input is checked by `compare_price_segments`)."""
+    """Largest segment contrast per comparison."""
     return ev.rank_contrasts(tg.compare_price_segments(t.aligned(), TARGET, SEGMENTS))
 
 

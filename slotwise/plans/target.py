@@ -188,12 +188,15 @@ def _(t):
     return tg.segment_stats(t.aligned(), TARGET, SEGMENTS)
 
 
-@query("compare_price_segments", f"""WITH {TARGET_SQL}{SEG_STATS_SQL},
+CONTRAST_SQL = f"""WITH {TARGET_SQL}{SEG_STATS_SQL},
 mem AS (SELECT t.series_id, t.i, g.segment_id FROM x t JOIN segs g ON {SEGMENT_TEST}),
 o AS (SELECT a.series_id, a.segment_id AS l, b.segment_id AS rr, count(*) AS n FROM mem a JOIN mem b ON a.series_id = b.series_id AND a.i = b.i GROUP BY 1, 2, 3)
 SELECT a.series_id, a.kind, a.segment_id AS left_id, b.segment_id AS right_id, {big('coalesce(o.n, 0)')} AS overlap_rows, {r('a.mean - b.mean')} AS mean_difference,
  {r('a.median - b.median')} AS median_difference, {r('a.std - b.std')} AS std_difference FROM st a JOIN st b ON a.series_id = b.series_id AND a.kind = b.kind AND a.ord < b.ord
- LEFT JOIN o ON o.series_id = a.series_id AND o.l = a.segment_id AND o.rr = b.segment_id""")
+ LEFT JOIN o ON o.series_id = a.series_id AND o.l = a.segment_id AND o.rr = b.segment_id"""
+
+
+@query("compare_price_segments", CONTRAST_SQL)
 def _(t):
     return tg.compare_price_segments(t.aligned(), TARGET, SEGMENTS, keep=t.keep)
 

@@ -5,7 +5,9 @@ import pytest
 from slotwise import plans
 
 Q, O = plans.load()
-NAMES = ["align", "price_distribution", "lead_scan", "merge_incremental", "load_evidence", "series_profile", "version_store", "event_records", "known_state", "holm", "origin_baselines", "retrieve"]
+NAMES = ["align", "price_distribution", "lead_scan", "spearman", "mutual_information", "rolling_stability", "merge_incremental", "load_evidence", "series_profile", "similar_day_prior",
+         "version_store", "event_records", "tokenize", "canonical_entities", "expand_assets", "consensus", "link_events", "known_state", "event_features", "restored_slots", "active_events", "event_study",
+         "confounders", "rank_contrasts", "holm", "origin_baselines", "training_windows", "retrieve"]
 
 
 @pytest.mark.parametrize("name", NAMES)
