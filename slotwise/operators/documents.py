@@ -134,10 +134,11 @@ def _ranges(text: pd.Series, budget: pd.Series) -> pd.Series:
 
 def chunk_documents(docs: DataFrame, budget: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Cut whole texts at blank lines, newlines or full stops into pieces of at most `budget` characters, with offsets."""
-    d = docs.withColumn("_r", _ranges(F.col(text), F.lit(budget)))
-    e = d.select(id_col, F.col(text).alias("_x"), F.posexplode("_r").alias("chunk", "_c"))
-    return e.select(id_col, F.col("chunk").cast("long").alias("chunk"), F.col("_c.start").alias("start_char"), F.col("_c.end").alias("end_char"),
-                    F.substring(F.col("_x"), F.col("_c.start").cast("int") + 1, (F.col("_c.end") - F.col("_c.start")).cast("int")).alias("text"))
+    # cut before the rows are opened, so that a piece does not carry the whole text
+    piece = lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), F.substring(F.col(text), r["start"].cast("int") + 1, (r["end"] - r["start"]).cast("int")).alias("text"))
+    d = docs.select(id_col, F.transform(_ranges(F.col(text), F.lit(budget)), piece).alias("_r"))
+    e = d.select(id_col, F.posexplode("_r").alias("chunk", "_c"))
+    return e.select(id_col, F.col("chunk").cast("long").alias("chunk"), F.col("_c.start").alias("start_char"), F.col("_c.end").alias("end_char"), F.col("_c.text").alias("text"))
 
 
 def apply_reviews(versions: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -153,18 +153,26 @@ REQUIRED_ARTICLE_FIELDS = ("source_name", "source_document_id", "title", "body",
 
 
 def parse_articles(lines: DataFrame) -> DataFrame:
-    """Lines (line_no, value) to articles; `reason` is NULL on good lines, else why the line was set aside."""
+    """Lines (line_no, value, and file if known) to articles; `reason` is NULL on good lines, else why the line was set aside."""
     a = lines.withColumn("_j", F.from_json("value", ARTICLE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     missing = F.array_compact(F.array(*[F.when(F.coalesce(F.col(f"_j.{c}"), F.lit("")) == "", F.lit(c)) for c in REQUIRED_ARTICLE_FIELDS]))
     reason = (F.when(F.trim("value") == "", "blank line").when(F.col("_j._bad").isNotNull() | F.col("_j").isNull(), "invalid json")
                .when(F.size(missing) > 0, F.concat(F.lit("missing fields: "), F.array_join(missing, ", "))))
-    return a.select("line_no", reason.alias("reason"), *[F.col(f"_j.{f.name}") for f in ARTICLE_SCHEMA.fields if f.name != "_bad"])
+    return a.select(*[c for c in ("file",) if c in lines.columns], "line_no", reason.alias("reason"), *[F.col(f"_j.{f.name}") for f in ARTICLE_SCHEMA.fields if f.name != "_bad"])
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """JSON-lines articles with the byte-ordered line number within each file."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no"))
-    return parse_articles(lines)
+    """JSON-lines articles with `file` and their line number in it, from 1."""
+    return parse_articles(numbered_lines(spark, path))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value) of text files, however they are split: lines are counted per block and blocks added up."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
+    blocks = raw.groupBy("file", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)          # one row per block
+    blocks = blocks.select("file", "_at", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return raw.join(blocks, ["file", "_at"]).select("file", (F.col("_base") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "value")
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:

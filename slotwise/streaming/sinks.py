@@ -31,6 +31,8 @@ def read_generation(spark: SparkSession, path: str) -> DataFrame:
 def upsert_batch(batch: DataFrame, batch_id: int, path: str, keys: list[str], fields: list[str], lookback_days: int = 30) -> None:
     """Publish a whole new generation: rows inside the lookback are merged cell by cell, older ones carried over.
 
+    Arriving rows older than the lookback are not merged; they are written to `path`/rejected/batch=<id> (see
+    `read_rejected`), so none goes unseen.
     Writing the same batch id again replaces the same directory, so a retried batch changes nothing.
     """
     spark = batch.sparkSession
@@ -42,12 +44,19 @@ def upsert_batch(batch: DataFrame, batch_id: int, path: str, keys: list[str], fi
     else:
         old = spark.read.parquet(f"{path}/generation={prev}")
         edge = old.agg(F.max("ts").alias("_m")).withColumn("_m", F.col("_m") - F.expr(f"INTERVAL {lookback_days} DAYS")).head()["_m"]
+        new.where((F.col("ts") < F.lit(edge)) | F.col("ts").isNull()).write.mode("overwrite").parquet(f"{path}/rejected/batch={batch_id}")
         fresh = old.where(F.col("ts") >= F.lit(edge))
         merged = merge_incremental(fresh, new.where(F.col("ts") >= F.lit(edge)), keys, fields)
         out = old.where(F.col("ts") < F.lit(edge)).select(*merged.columns).unionByName(merged)
     out.write.mode("overwrite").parquet(f"{path}/generation={batch_id}")
 
 
+def read_rejected(spark: SparkSession, path: str) -> DataFrame | None:
+    """Rows that arrived too late for their lookback, with their `batch`; None while there are none."""
+    fs, p = _fs(spark, path)
+    return spark.read.parquet(f"{path}/rejected") if fs.exists(p(f"{path}/rejected")) else None
+
+
 def _published(spark: SparkSession, path: str, g: int) -> bool:
     fs, p = _fs(spark, path)
     return fs.exists(p(f"{path}/generation={g}/_SUCCESS"))

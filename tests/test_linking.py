@@ -59,3 +59,33 @@ def test_turns_in_view_do_not_count(spark):
 def test_lags_beyond_the_ceiling_are_refused():
     with pytest.raises(ValueError):
         tg.checked_lag(401)
+
+
+def test_line_numbers_across_files_and_blocks(spark, tmp_path):
+    from slotwise.sources import readers
+    for f, n in (("a.jsonl", 400), ("b.jsonl", 3)):
+        (tmp_path / f).write_text("".join(f'{{"title": "{f} {i}"}}\n' for i in range(1, n + 1)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        got = [(r.file.rsplit("/", 1)[1], r.line_no, r.title) for r in readers.read_articles(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 403 and all(title == f"{f} {n}" for f, n, title in got)
+
+
+def test_late_rows_are_set_aside(spark, tmp_path):
+    from slotwise.streaming import sinks
+    schema, out = "series_id string, ts timestamp, value double, available_at timestamp, tie long", str(tmp_path / "out")
+    make = lambda *rows: spark.createDataFrame([(s, spark.sql(f"SELECT timestamp'{t}' t").first().t, v, spark.sql(f"SELECT timestamp'{a}' t").first().t, k) for s, t, v, a, k in rows], schema)
+    sinks.upsert_batch(make(("a", "2024-03-01", 1.0, "2024-03-01", 1)), 0, out, ["series_id", "ts"], ["value"])
+    sinks.upsert_batch(make(("a", "2024-01-01", 7.0, "2024-03-02", 2), ("a", "2024-03-02", 2.0, "2024-03-02", 3)), 1, out, ["series_id", "ts"], ["value"])
+    assert [(r.value, r.batch) for r in sinks.read_rejected(spark, out).collect()] == [(7.0, 1)]
+    assert sinks.read_generation(spark, out).count() == 2
+
+
+def test_chunks_hold_their_own_text(spark):
+    from slotwise.operators import documents as dc
+    text = "One sentence here. Another one follows. " * 20
+    got = dc.chunk_documents(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), 100).orderBy("chunk").collect()
+    assert "".join(r.text for r in got) == text and all(r.text == text[r.start_char:r.end_char] and len(r.text) <= 100 for r in got)
