@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import BYTE_CODES, Powers, WordHashes, hashed, prefix, span_hash, window_anchors, words
-from .store import keep
+from .store import keep, split_by_keys
 
 HOT_CELLS = 2000         # distinct cells of an anchor that one task compares; more are counted window by window
 
@@ -104,7 +104,8 @@ def cell_contents(rows: DataFrame, wanted: DataFrame, kind: type[Words]) -> Data
                     out.append((w["h"], w["c"], w["m"], w["n_cells"], offset, n, own.pack(units[first:first + n - 1 + own.length])))
             yield pd.DataFrame(out, columns=["h", "c", "m", "n_cells", "offset", "windows", "content"])
     by_row = wanted.groupBy("_row").agg(F.collect_list(F.struct("h", "c", "m", "n_cells", "place")).alias("_cells"))
-    one = rows.where(F.col("text").isNotNull()).join(by_row, "_row")
+    possible, _ = split_by_keys(rows.where(F.col("text").isNotNull()), "_row", wanted)
+    one = possible.join(by_row, "_row")
     return one.select("text", "_cells").mapInPandas(run, "h long, c long, m long, n_cells long, offset int, windows int, content binary")
 
 
@@ -167,4 +168,7 @@ def covered(n: int, marks, length: int) -> np.ndarray:
 
 
 def with_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    return rows.join(marks, "_row", "left")
+    """Rows with their `marks`; rows that surely have none are not shuffled."""
+    marks = keep(marks)
+    possible, rest = split_by_keys(rows, "_row", marks)
+    return possible.join(marks, "_row", "left").unionByName(rest, allowMissingColumns=True)
