@@ -10,12 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.llm import decontamination, line_dedup, near_dup, packing, weak_labels
-from slotwise.llm.store import keep, table
+from slotwise.llm.store import keep, split_by_keys, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents whose doc_id is not in `gone`; most rows need no shuffle to know."""
+    possible, rest = split_by_keys(docs, "doc_id", gone)
+    gone = gone.select(F.col("doc_id").alias("_gone"))
+    return possible.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").unionByName(rest)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier keeps."""
     verdicts = weak_labels.classify(docs, with_columns=COLUMNS)
@@ -31,17 +38,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: the one with the smallest id."""
     classes, _ = near_dup.near_duplicates(docs)
-    gone = classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id")).where(F.col("class_id") != F.col("doc_id")).select("doc_id")
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    repeated = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("doc_id").isNotNull()).select("doc_id")
-    once = kept.join(repeated, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    gone = keep(classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id")).where(F.col("class_id") != F.col("doc_id")).select("doc_id"))
+    kept = without(docs.select(*COLUMNS), gone)
+    # rows that share an id are one document: one of them stays
+    repeated = keep(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("doc_id").isNotNull()).select("doc_id"))
+    possible, rest = split_by_keys(kept, "doc_id", repeated)
+    once = possible.join(repeated, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
+    return possible.join(repeated, "doc_id", "left_anti").unionByName(rest).unionByName(once)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that copy no benchmark item."""
-    leaks = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.select(*COLUMNS).join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    leaks = keep(decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    return without(docs.select(*COLUMNS), leaks)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
