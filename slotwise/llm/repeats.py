@@ -137,7 +137,8 @@ def repeated_windows(rows: DataFrame, kind: type[Words], method: Callable[[DataF
     A null mask in `marks` stands for all windows of the cell.
     """
     found = anchors(rows, kind)
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # written first, so that the join below has two plain shuffles and Spark can split a hot anchor's rows
+    twice = keep(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     hits = keep(found.join(twice, "h", "left_semi"))
     cells = hits.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("_row", "place")).alias("rep"))
     per_anchor = cells.groupBy("h").agg(F.count(F.lit(1)).alias("n_cells"))
