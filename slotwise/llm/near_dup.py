@@ -29,7 +29,7 @@ from .store import keep, split_by_keys, table
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
-AGREE = 12               # samples of SAMPLES that a pair must share to be compared; at 0.8 fewer has odds of 3 in 10 million
+AGREE = 15               # samples of SAMPLES that a pair must share to be compared; at 0.8 fewer has odds of 5 in 100,000
 BLOCK_TEXTS, BLOCK_BYTES = 256, 4 << 20   # texts, and bytes of shingle sets, of a block
 DF_BITS = 18             # document frequencies are counted in 2 ** DF_BITS buckets of word hashes
 TABLE_BITS = 16          # stored random draws; every sample picks from them by its own multiplier
@@ -197,8 +197,9 @@ def remaining_links(star: DataFrame, first: DataFrame, texts: DataFrame, docs: D
         size = side.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum(F.length("bag")) / BLOCK_BYTES)).alias("n"))
         return (side.join(size, "grp").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("n"))).groupBy("grp", "blk")
                     .agg(F.collect_list(row).alias(name), F.first("main").alias("main")))
-    apart = blocks(full.where(F.col("own") != F.col("main")), "left").select("grp", "main", "left")
-    met = apart.join(blocks(full, "right").select("grp", "right"), "grp")
+    apart = blocks(full.where(F.col("own") != F.col("main")), "left").select("grp", "main", "left", F.col("blk").alias("left_blk"))
+    # the pairs of blocks of one group are dealt over the tasks
+    met = apart.join(blocks(full, "right").select("grp", "right", "blk"), "grp").repartition("grp", "left_blk", "blk")
 
     def compare():
         def one(main, left, right):
