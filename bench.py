@@ -13,15 +13,18 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ["align", "price_distribution", "price_rolling", "price_autocorr", "price_calendar", "lead_scan_best", "spearman", "mutual_information", "rolling_stability", "granger",
-            "normalize_series", "series_profile", "event_records", "link_events", "merge_fields", "event_features", "control_windows", "visible_at_folds", "snapshots", "similar_day_prior", "forecast_metrics", "bm25", "retrieve"]
+            "stationarity", "normalize_series", "series_profile", "event_records", "link_events", "merge_fields", "event_features", "restored_slots", "control_windows", "visible_at_folds",
+            "snapshots", "similar_day_prior", "forecast_metrics", "bm25", "retrieve"]
 
 
 def main() -> None:
     from pyspark.sql import SparkSession
     from slotwise import plans
     sf, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
-    spark = (SparkSession.builder.master(f"local[{cpus}]").appName("slotwise-bench").config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-             .config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").getOrCreate())
+    spark = (SparkSession.builder.master(f"local[{cpus}]").appName("slotwise-bench").config("spark.sql.shuffle.partitions", cpus)
+             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "16g")
+             .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").config("spark.sql.session.timeZone", "UTC")
+             .config("spark.sql.adaptive.enabled", "true").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     q, _ = plans.load()
     names = sys.argv[1:] or HEADLINE
