@@ -1,6 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds pick passages of training documents, Smith-Waterman scores them.
+"""Benchmark decontamination: n-gram seeds pick passages of training documents, Smith-Waterman scores them.
 
 Words are compared lower-cased and without leading or trailing marks, so that edits of case and punctuation cost nothing.
+Every passage with a seed is aligned, however many documents share the seed, so the result of a document does not depend
+on the rest of the corpus. Passages whose words cannot reach the score by their number alone are left out first.
 The benchmark goes to the tasks in blocks of a bounded number of words, each block against all documents.
 
 Defined results: null and empty texts and items match nothing; items under MIN_WORDS words are too short to tell a leak
@@ -15,15 +17,15 @@ from pyspark.sql import functions as F
 
 from .arrays import CACHE, mix
 from .batches import emit
-from .store import keep, table
+from .store import table
 
 GRAM = 4                 # words of a seed
 MIN_WORDS = 8            # shortest item that is searched
 MIN_SCORE = 0.4          # share of the best possible alignment score from which a passage counts as a copy
 MATCH, MISS, GAP = 2, -1, -1
-RARE_FACTOR, RARE_FLOOR = 4, 20   # a seed is rare up to RARE_FLOOR hits, or RARE_FACTOR times the median of its item's seeds
 BLOCK_WORDS = 1_000_000  # benchmark words per broadcast block
 BITS = 22
+MEMO_PASSAGES, MEMO_WORDS = 4096, 4096    # alignments a task remembers, and the longest passage among them
 COEF = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 
 
@@ -93,21 +95,21 @@ class Block:
         return at[ok], k[ok]
 
     def passages(self, ids: np.ndarray):
-        """(item, start, word numbers, seed numbers) for every stretch of a document with seeds of one item."""
+        """(item, start, word numbers) for every stretch of a document with seeds of one item."""
         at, seed = self.hits(ids)
-        by_item: dict[int, list[tuple[int, int]]] = {}
+        by_item: dict[int, list[int]] = {}
         for p, k in zip(at.tolist(), seed.tolist()):
             for item in self.holders[k]:
-                by_item.setdefault(item, []).append((p, k))
+                by_item.setdefault(item, []).append(p)
         for item, found in by_item.items():
             reach = 2 * len(self.items[item])
             group = [found[0]]
             for hit in found[1:] + [None]:
-                if hit is not None and hit[0] - group[-1][0] <= reach:
+                if hit is not None and hit - group[-1] <= reach:
                     group.append(hit)
                     continue
-                lo, hi = max(0, group[0][0] - reach), group[-1][0] + GRAM + reach
-                yield item, lo, ids[lo:hi], sorted({k for _, k in group})
+                lo, hi = max(0, group[0] - reach), group[-1] + GRAM + reach
+                yield item, lo, ids[lo:hi]
                 group = [hit]
 
 
@@ -127,6 +129,37 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+class Aligned:
+    """Alignments of passages with items; equal passages, as in copies, are aligned once while they are remembered."""
+
+    def __init__(self, block: Block, min_score: float):
+        self.items, self.min_score, self.memo = block.items, min_score, {}
+
+    def of(self, item: int, passage: np.ndarray) -> tuple[float, int, int] | None:
+        """(score, start, end in the passage) of a copy; None below min_score."""
+        if len(passage) > MEMO_WORDS:
+            return self.align(item, passage)
+        key = item, passage.tobytes()
+        if key not in self.memo:
+            if len(self.memo) >= MEMO_PASSAGES:
+                self.memo.clear()
+            self.memo[key] = self.align(item, passage)
+        return self.memo[key]
+
+    def align(self, item: int, passage: np.ndarray) -> tuple[float, int, int] | None:
+        x = self.items[item]
+        full = MATCH * len(x)
+        # no alignment has more matches than words that both sides know
+        most = MATCH * int(min(np.isin(x, passage).sum(), np.isin(passage, x).sum()))
+        if most / full < self.min_score:
+            return None
+        score, end = smith_waterman(x, passage)
+        if score / full < self.min_score:
+            return None
+        _, back = smith_waterman(x[::-1], passage[:end][::-1])
+        return score / full, end - back, end
+
+
 def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
     """Items in blocks of about `block_words` words; a block is all that the driver holds at once."""
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
@@ -153,40 +186,19 @@ def _block_leaks(docs: DataFrame, block: Block, min_score: float) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(block)
 
-    def seed():
+    def align():
         own = shared.value
-        ids_of = WordIds(own.vocabulary)
+        ids_of, known = WordIds(own.vocabulary), Aligned(own, min_score)
 
         def one(doc, text):
-            for item, at, ids, seeds in own.passages(ids_of.of(text)):
-                yield doc, item, at, ids, seeds
-        return one
-
-    hits = keep(emit(docs.select("doc_id", "text").where(F.col("text").isNotNull()), seed, "doc_id long, item_id long, at int, words array<int>, seeds array<int>"))
-    counts = dict(hits.select(F.explode("seeds").alias("s")).groupBy("s").count().collect())    # at most one row per seed of the block
-    seen = np.array([counts.get(k, 0) for k in range(len(block.seeds))])
-    of_item: dict[int, list[int]] = {}
-    for k, items in enumerate(block.holders):
-        for i in items:
-            of_item.setdefault(i, []).append(k)
-    limit = {i: max(RARE_FLOOR, RARE_FACTOR * float(np.median(seen[ks]))) for i, ks in of_item.items()}
-    rare = spark.sparkContext.broadcast((seen, limit))
-
-    def align():
-        own, (n_seen, most) = shared.value, rare.value
-
-        def one(doc, item, at, passage, seeds):
-            if n_seen[np.asarray(seeds)].min() > most[item]:
-                return
-            x, p = own.items[item], np.asarray(passage)
-            score, end = smith_waterman(x, p)
-            share = score / (MATCH * len(x))
-            if share >= min_score:
-                _, back = smith_waterman(x[::-1], p[:end][::-1])
-                yield doc, item, share, at + end - back, at + end
+            for item, at, ids in own.passages(ids_of.of(text)):
+                if (found := known.of(item, ids)) is not None:
+                    score, start, end = found
+                    yield doc, item, score, at + start, at + end
         return one
 
-    return emit(hits, align, "doc_id long, item_id long, score double, start long, end long")
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    return emit(rows, align, "doc_id long, item_id long, score double, start long, end long")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
