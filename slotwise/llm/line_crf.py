@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .arrays import WordHashes
 from .batches import extend
 from .store import table
-from .textstats import SPACES, SYMBOLS, base_counts, base_failed
+from .textstats import SPACES, SYMBOLS, base_counts, base_failed, case_counts
 
 SAMPLE_DOCS = 1500       # documents of the training sample
 SAMPLE_LINES = 48        # consecutive lines that a document gives to the sample
@@ -42,8 +42,7 @@ def line_bits(text: str) -> tuple[np.ndarray, np.ndarray]:
         if not line.strip(SPACES):
             continue
         n, chars = len(ws), len(line)
-        letters_up = sum(map(str.isupper, line)) if chars <= 400 else sum(map(str.isupper, line[::8])) * 8
-        letters = sum(map(str.isalpha, line)) if chars <= 400 else sum(map(str.isalpha, line[::8])) * 8
+        letters_up, letters = case_counts(line)
         symbols = sum(map(line.count, SYMBOLS))
         distinct = len(set(ws))
         digits = sum(map(line.count, "0123456789"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 import numpy as np
@@ -10,6 +11,9 @@ from .arrays import COEF3, WordHashes, hashed, mix, words
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+WIDE = re.compile("[^\0-\x7f]+")
+NOT_UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
+NOT_LETTER = bytes(b for b in range(256) if not (65 <= b <= 90 or 97 <= b <= 122))
 
 
 class Counts(NamedTuple):
@@ -20,6 +24,13 @@ class Counts(NamedTuple):
     n_repeat_words: int
 
 
+def case_counts(text: str) -> tuple[int, int]:
+    """(upper-case characters, letters) of a whole text: ASCII by bytes, other characters one by one."""
+    raw = text.encode("utf-8", "surrogatepass")
+    wide = "" if len(raw) == len(text) else "".join(WIDE.findall(text))
+    return (len(raw.translate(None, NOT_UPPER)) + sum(map(str.isupper, wide)), len(raw.translate(None, NOT_LETTER)) + sum(map(str.isalpha, wide)))
+
+
 def repeated_words(x: np.ndarray) -> int:
     """Words inside a 3-word window whose words occur at another place of the text too, in order."""
     n = len(x) - 2

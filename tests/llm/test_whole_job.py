@@ -1,7 +1,7 @@
 """Results over whole inputs: no part of a text, group or rule set is left out by size or frequency."""
 
 from conftest import prose
-from slotwise.llm import decontamination
+from slotwise.llm import decontamination, line_crf, textstats
 
 
 def test_leaks_shared_by_many_documents_are_found(spark):
@@ -17,3 +17,12 @@ def test_leaks_shared_by_many_documents_are_found(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     leaks = decontamination.find_leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in leaks} == {(100 + k, 0) for k in range(25)} | {(200 + k, 1) for k in range(25)}
+
+
+def test_case_of_a_long_line_is_counted_over_all_of_it():
+    """Seven-letter words and single spaces: every eighth character is a capital."""
+    upper = 1 << line_crf.FEATURES.index("upper>=60%"), 1 << line_crf.FEATURES.index("upper<20%")
+    bits, _ = line_crf.line_bits("\n".join([" ".join(["Boulder"] * 60), " ".join(["bOULDER"] * 60)]))
+    assert [[bool(b & u) for u in upper] for b in bits.tolist()] == [[False, True], [True, False]]
+    for text in ("", "aBC 1", "Ärger Ünd ß ǅ Ⅷ ⓐ", "日本 A", "x\ud800Y", "İI\u0345"):
+        assert textstats.case_counts(text) == (sum(map(str.isupper, text)), sum(map(str.isalpha, text)))
