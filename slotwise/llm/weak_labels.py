@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .arrays import CACHE, WordHashes, hashed
 from .batches import extend
 from .store import keep, table
-from .textstats import SPACES, SYMBOLS, repeated_words
+from .textstats import SPACES, SYMBOLS, case_counts, repeated_words
 
 SAMPLE_DOCS = 6000       # documents that train the scorer
 BUCKETS = 1 << 12        # hashed features of the scorer
@@ -43,7 +43,7 @@ class Shapes(dict):
         w = word.decode("utf-8", "replace")
         w = re.sub(r"[^\W\d_]+", lambda m: "X" if m[0].isupper() and len(m[0]) > 1 else "Xx" if m[0][0].isupper() else "x", w)
         w = re.sub(r"\d+", "0", w)
-        self[word] = b = zlib.crc32(w[:24].encode()) % BUCKETS
+        self[word] = b = zlib.crc32(w.encode()) % BUCKETS
         return b
 
 
@@ -52,11 +52,10 @@ def statistics(text: str, hashes: WordHashes) -> tuple[dict[str, float], list[by
     n, chars = len(tokens), max(1, len(text))
     x = hashed(tokens, hashes)
     lines = [l for l in text.split("\n") if l.strip(SPACES)]
-    some = text if chars <= 4000 else text[:: chars // 4000 + 1]
-    letters = max(1, sum(map(str.isalpha, some)))
+    upper, letters = case_counts(text)
     marks = sum(map(text.count, "!?*#$%&|<>{}[]()=+~^_\\/"))
     return {
-        "symbols": sum(map(text.count, SYMBOLS)) / chars, "upper": sum(map(str.isupper, some)) / letters, "pipes": text.count("|") / max(1, n),
+        "symbols": sum(map(text.count, SYMBOLS)) / chars, "upper": upper / max(1, letters), "pipes": text.count("|") / max(1, n),
         "repeats": max(0, repeated_words(x) - 30) / max(1, n), "dup_lines": max(0, len(lines) - len(set(lines)) - 1) / max(1, len(lines)),
         "sentence_ends": sum(l.rstrip()[-1:] in ".?!…»\"'" for l in lines) / max(1, len(lines)),
         "distinct": len(np.unique(x)) / max(1.0, min(n, 10.0 + 6 * n ** 0.6)), "marks": marks / max(1, n), "runs": float((x[1:] == x[:-1]).mean()) if n > 1 else 0.0, "words": n,

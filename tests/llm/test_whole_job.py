@@ -1,7 +1,7 @@
 """Results over whole inputs: no part of a text, group or rule set is left out by size or frequency."""
 
 from conftest import prose
-from slotwise.llm import decontamination, line_crf, textstats
+from slotwise.llm import arrays, decontamination, line_crf, textstats, weak_labels
 
 
 def test_leaks_shared_by_many_documents_are_found(spark):
@@ -26,3 +26,10 @@ def test_case_of_a_long_line_is_counted_over_all_of_it():
     assert [[bool(b & u) for u in upper] for b in bits.tolist()] == [[False, True], [True, False]]
     for text in ("", "aBC 1", "Ärger Ünd ß ǅ Ⅷ ⓐ", "日本 A", "x\ud800Y", "İI\u0345"):
         assert textstats.case_counts(text) == (sum(map(str.isupper, text)), sum(map(str.isalpha, text)))
+
+
+def test_weak_label_statistics_and_shapes_are_those_of_whole_texts():
+    text = "aB" * 4000
+    assert weak_labels.statistics(text, arrays.WordHashes())[0]["upper"] == 0.5
+    shapes = weak_labels.Shapes()
+    assert shapes[b"a-" * 12 + b"1"] != shapes[b"a-" * 12 + b"?"]
