@@ -2,7 +2,8 @@
 
 Disguised tokens (look-alike digits and marks, letters set apart by spaces or marks, repeated letters) become character
 lattices; Viterbi decoding under a character trigram model of the corpus picks the word. A token with one path, which is
-what a plain word is, needs no decoding. Words and their beginnings are scored by how surely they mark labelled toxic
+what a plain word is, needs no decoding. A token with a doubled character is read twice, with both kept and with one
+offered, and both readings count, as plain words have doubles too. Words and their beginnings are scored by how surely they mark labelled toxic
 documents, and a logistic curve over a document's surest words gives the score.
 
 Defined results: a null or empty text has no words and gets the score of a text without marked words; a null doc_id is
@@ -36,7 +37,8 @@ APART = ".-_*~'`^,/\\"   # marks that may set letters apart
 LOOK_COST, DROP_COST, SAME_COST, SPLIT_COST = 0.7, 0.4, 0.7, 3.0
 STRIP = re.compile(r"^[\W_]*[\"'.,;:?()\[\]{}<>*_~-]+(?=\w)|[.,;:?\"')\]}>]+$|([%&$#*!|+])\1+$")
 TRIPLE = re.compile(r"(.)\1\1")
-SPACED = re.compile(r"(?<!\S)(?:[^\s|] ){2,}[^\s|](?!\S)")
+TWICE = re.compile(r"(.)\1")
+SPACED = re.compile(r"(?<!\S)(?:[^\s|]{1,2}\s+){2,}[^\s|]{1,2}(?!\S)")   # at least three pieces
 
 
 def code(ch: str) -> int:
@@ -103,8 +105,8 @@ def log_probabilities(counts: np.ndarray, k: float = 5.0) -> np.ndarray:
 
 # ---- decoding -------------------------------------------------------------------------------------------------------
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """Per place of a token, the strings it may stand for with their channel costs."""
+def lattice(token: str, undouble: bool = False) -> list[list[tuple[str, float]]]:
+    """Per place of a token, the strings it may stand for with their channel costs; `undouble` offers one beside two equal."""
     places, i = [], 0
     while i < len(token):
         ch, j = token[i], i + 1
@@ -114,9 +116,9 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         if ch == " ":
             places.append([("", 0.0), (" ", SPLIT_COST)])
         elif ch.isalpha():
-            places.append([(ch * run, 0.0)] if run < 3 else [(ch, SAME_COST), (ch * 2, SAME_COST)])
+            places.append([(ch, SAME_COST), (ch * 2, SAME_COST)] if run > 2 else [(ch * run, 0.0), (ch, SAME_COST)] if run == 2 and undouble else [(ch * run, 0.0)])
         else:
-            options = [(x * m, LOOK_COST) for x in LOOKS.get(ch, "") for m in ((run,) if run < 3 else (1, 2))]
+            options = [(x * m, LOOK_COST) for x in LOOKS.get(ch, "") for m in ((1, 2) if run > 2 or run == 2 and undouble else (run,))]
             if ch in APART or not options:
                 options.append(("", DROP_COST))
             places.append(options)
@@ -124,10 +126,10 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return places
 
 
-def decode(token: str, logp: np.ndarray) -> str:
+def decode(token: str, logp: np.ndarray, undouble: bool = False) -> str:
     """Cheapest reading of a token under channel and language model; spaces in it split words."""
     best = {(0, 0): (0.0, "")}
-    for options in [*lattice(token), [(" ", 0.0)]]:
+    for options in [*lattice(token, undouble), [(" ", 0.0)]]:
         new: dict = {}
         for (a, b), (cost, text) in best.items():
             for string, extra in options:
@@ -150,9 +152,11 @@ class Restored(dict):
 
     def read(self, token: str) -> tuple[str, ...]:
         w = bare(token)
-        if w.isalpha() and not TRIPLE.search(w):
-            return (w,)
-        return tuple(decode(w, self.logp).split()) if any(map(str.isalpha, w)) else ()
+        if not any(map(str.isalpha, w)):
+            return ()
+        plain = w.isalpha() and not TRIPLE.search(w)
+        out = (w,) if plain else tuple(decode(w, self.logp).split())
+        return tuple(dict.fromkeys((*out, *decode(w, self.logp, True).split()))) if TWICE.search(w) else out
 
     def __missing__(self, token):
         if len(self) >= CACHE:
@@ -161,15 +165,24 @@ class Restored(dict):
         return out
 
 
+def spaced_words(text: str, logp: np.ndarray) -> set[str]:
+    """Words of the stretches of a text whose letters or pairs of letters are set apart by white space."""
+    out: set[str] = set()
+    for m in SPACED.finditer(text):
+        if sum(map(str.isalpha, m[0])) >= 2:
+            token = " ".join(m[0].lower().split())
+            out.update(decode(token, logp).split())
+            if TWICE.search(token):
+                out.update(decode(token, logp, True).split())
+    return out
+
+
 def restored_words(text: str, restored: Restored) -> set[str]:
     """Distinct words of a text after restoring."""
     out: set[str] = set()
     for token in set(text.split()):
         out.update(restored[token])
-    for m in SPACED.finditer(text):
-        if sum(map(str.isalpha, m[0])) >= 2:
-            out.update(decode(m[0].lower(), restored.logp).split())
-    return out
+    return out | spaced_words(text, restored.logp)
 
 
 # ---- scoring --------------------------------------------------------------------------------------------------------
@@ -279,9 +292,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE
 
         def one(text):
             found = {w for ws in filter(None, map(marked.__getitem__, set((text or "").split()))) for w in ws}
-            for m in SPACED.finditer(text or ""):
-                if sum(map(str.isalpha, m[0])) >= 2:
-                    found.update(w for w in decode(m[0].lower(), restored.logp).split() if own.score(w))
+            found.update(w for w in spaced_words(text or "", restored.logp) if own.score(w))
             s = float(1 / (1 + np.exp(-(np.dot(own.summary(found), curve[:-1]) + curve[-1]))))
             return s, int(s >= threshold)
         return one

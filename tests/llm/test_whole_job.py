@@ -1,7 +1,9 @@
 """Results over whole inputs: no part of a text, group or rule set is left out by size or frequency."""
 
+import pytest
 from conftest import prose
-from slotwise.llm import arrays, decontamination, line_crf, textstats, weak_labels
+from slotwise.llm import arrays, decontamination, line_crf, textstats, toxicity, weak_labels
+from test_methods import language_model  # noqa: F401
 
 
 def test_leaks_shared_by_many_documents_are_found(spark):
@@ -33,3 +35,8 @@ def test_weak_label_statistics_and_shapes_are_those_of_whole_texts():
     assert weak_labels.statistics(text, arrays.WordHashes())[0]["upper"] == 0.5
     shapes = weak_labels.Shapes()
     assert shapes[b"a-" * 12 + b"1"] != shapes[b"a-" * 12 + b"?"]
+
+
+@pytest.mark.parametrize("seen,word", [("iddiot", "idiot"), ("stuupid", "stupid"), ("mm0ron", "moron"), ("i  d\ti\no\u00a0t", "idiot"), ("lo se r", "loser"), ("worthless", "worthless")])
+def test_doubled_letters_and_any_spacing_are_restored(language_model, seen, word):  # noqa: F811
+    assert word in toxicity.restored_words(f"the {seen} thing", toxicity.Restored(language_model))
