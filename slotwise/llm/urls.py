@@ -18,7 +18,6 @@ from .store import keep, table
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 MIN_SUPPORT = 0.005      # share of labelled urls that must carry the tokens and the block label
 MIN_CONFIDENCE = 0.6     # share of the urls with the tokens that carry the block label
-MAX_TOKENS = 3           # longest antecedent kept: a longer one only narrows rules that matched already or failed
 BLOCKED = "!blocked"     # the class item; no token looks like it
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,11 +55,14 @@ def match_lists(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
     return best["rule"], best["verdict"]
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Rules (tokens, confidence) that predict a block from `labelled` (tokens array, blocked boolean), mined by FP-growth."""
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Rules (tokens, confidence) that predict a block from `labelled` (tokens array, blocked boolean), mined by FP-growth.
+
+    Rules of every length stay: a combination can reach the confidence where none of its parts does.
+    """
     items = labelled.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCKED)))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    return (model.associationRules.where((F.col("consequent")[0] == BLOCKED) & (F.size("antecedent") <= max_tokens))
+    return (model.associationRules.where(F.col("consequent")[0] == BLOCKED)
                  .select(F.col("antecedent").alias("tokens"), "confidence"))
 
 

@@ -1,8 +1,10 @@
 """Results over whole inputs: no part of a text, group or rule set is left out by size or frequency."""
 
+from itertools import combinations
+
 import pytest
 from conftest import prose
-from slotwise.llm import arrays, decontamination, line_crf, textstats, toxicity, weak_labels
+from slotwise.llm import arrays, decontamination, line_crf, textstats, toxicity, urls, weak_labels
 from test_methods import language_model  # noqa: F401
 
 
@@ -40,3 +42,17 @@ def test_weak_label_statistics_and_shapes_are_those_of_whole_texts():
 @pytest.mark.parametrize("seen,word", [("iddiot", "idiot"), ("stuupid", "stupid"), ("mm0ron", "moron"), ("i  d\ti\no\u00a0t", "idiot"), ("lo se r", "loser"), ("worthless", "worthless")])
 def test_doubled_letters_and_any_spacing_are_restored(language_model, seen, word):  # noqa: F811
     assert word in toxicity.restored_words(f"the {seen} thing", toxicity.Restored(language_model))
+
+
+def test_rules_of_every_length_are_mined(spark):
+    """Four tokens that block together only: every three of them are common on allowed pages. Against brute force."""
+    four = ["p:a", "p:b", "p:c", "p:d"]
+    pages = [(four, True)] * 3 + [(list(t) + ["p:e"], False) for t in combinations(four, 3)] * 4
+    want = {}
+    for n in range(1, 6):
+        for s in combinations([*four, "p:e"], n):
+            votes = [b for t, b in pages if set(s) <= set(t)]
+            if sum(votes) and sum(votes) / len(votes) >= 0.6:
+                want[s] = sum(votes) / len(votes)
+    got = urls.mine_rules(spark.createDataFrame(pages, "tokens array<string>, blocked boolean"))
+    assert {tuple(sorted(r.tokens)): r.confidence for r in got.collect()} == want == {tuple(four): 1.0}
