@@ -1,10 +1,11 @@
 """Results over whole inputs: no part of a text, group or rule set is left out by size or frequency."""
 
+import math
 from itertools import combinations
 
 import pytest
 from conftest import prose
-from slotwise.llm import arrays, decontamination, line_crf, textstats, toxicity, urls, weak_labels
+from slotwise.llm import arrays, decontamination, line_crf, near_dup, textstats, toxicity, urls, weak_labels
 from test_methods import language_model  # noqa: F401
 
 
@@ -56,3 +57,8 @@ def test_rules_of_every_length_are_mined(spark):
                 want[s] = sum(votes) / len(votes)
     got = urls.mine_rules(spark.createDataFrame(pages, "tokens array<string>, blocked boolean"))
     assert {tuple(sorted(r.tokens)): r.confidence for r in got.collect()} == want == {tuple(four): 1.0}
+
+
+def test_agreement_loses_next_to_no_similar_pair():
+    s, n = near_dup.SIMILARITY, near_dup.SAMPLES
+    assert sum(math.comb(n, k) * s ** k * (1 - s) ** (n - k) for k in range(near_dup.AGREE)) < 1e-6
