@@ -15,6 +15,17 @@ def _fields(fields: str) -> list[tuple[str, pa.DataType]]:
     return [(name, TYPES[kind]) for name, kind in (f.strip().split(" ") for f in fields.split(","))]
 
 
+SLICE_BYTES = 1 << 20    # Arrow bytes that are Python objects at once
+
+
+def slices(batches: Iterable[pa.RecordBatch]):
+    """Record batches cut into pieces of about SLICE_BYTES, so that few rows are Python objects at a time."""
+    for b in batches:
+        step = max(1, min(b.num_rows, SLICE_BYTES * b.num_rows // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 def extend(df: DataFrame, make: Callable[[], Callable], reads: str | list[str], fields: str, drop: tuple[str, ...] = ()) -> DataFrame:
     """Add columns row by row. make() runs once a task and returns a function from one row's `reads` to the new values.
 

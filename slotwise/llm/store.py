@@ -49,3 +49,20 @@ def split_by_keys(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFram
     marked = df.withColumn("_slot", slot(column)).withColumn("_word", F.shiftright("_slot", 6)).join(F.broadcast(words), "_word", "left")
     hit = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
     return tuple(marked.where(c).select(*df.columns) for c in (hit, ~hit))
+
+
+HEAVY = 1000             # a key with more than 1 / HEAVY of all rows is heavy; there are fewer than HEAVY such keys
+
+
+def with_values(df: DataFrame, values: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """Rows of `df` with the columns of `values`, a table of one row per key; left join.
+
+    `sizes` is (key, n) with the rows of `df` by key. Heavy keys meet their rows by a broadcast of fewer than HEAVY rows, so
+    that no task gets all rows of a key; the others are shuffled.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    new = [c for c in values.columns if c != key]
+    heavy = keep(values.join(sizes.where(F.col("n") > total // HEAVY).select(key), key))
+    marked = df.join(F.broadcast(heavy.select(key, F.struct(*new).alias("_heavy"))), key, "left")
+    light = marked.where(F.col("_heavy").isNull()).select(*df.columns).join(values, key, "left").select(*df.columns, *new)
+    return marked.where(F.col("_heavy").isNotNull()).select(*df.columns, *[F.col(f"_heavy.{c}").alias(c) for c in new]).unionByName(light)
