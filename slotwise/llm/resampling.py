@@ -31,8 +31,8 @@ MAX_RUN = 1              # longest run of words that is a feature
 SEED = 2024
 MIN_WORDS, PERCENT = 20, 10
 SEGMENT_ROWS, MAX_SEGMENTS = 1_000_000, 20_000    # rows aimed at in a segment, and most segments
-MIN_SEGMENTS = 32
-SAMPLES, MIN_SAMPLES = 200_000, 4                 # regular samples of all runs together, and least of one run
+MIN_SEGMENTS = 512
+SAMPLES, MIN_SAMPLES = 32, 4                      # regular samples of all runs for a segment, and least of one run
 CACHE = 50_000           # words a task remembers
 ORDER = ("neg", "no_id", "doc_id", "n_features", "row")
 #: A-Z to a-z; bytes that end a word to a space.
@@ -145,7 +145,7 @@ def rank_drawn(rows: DataFrame, percent: int = PERCENT, segment_rows: int = SEGM
     total, n_runs = runs.select(F.spark_partition_id().alias("run")).agg(F.count(F.lit(1)), F.max("run") + 1).first()
     drawn = percent * total // 100
     segments = max(min_segments, min(MAX_SEGMENTS, -(-total // segment_rows)))
-    cuts = spark.sparkContext.broadcast(splitters([tuple(r) for r in regular_samples(runs, max(MIN_SAMPLES, SAMPLES // (n_runs or 1))).collect()], segments))
+    cuts = spark.sparkContext.broadcast(splitters([tuple(r) for r in regular_samples(runs, max(MIN_SAMPLES, SAMPLES * segments // (n_runs or 1))).collect()], segments))
 
     def find():
         own = cuts.value
