@@ -8,22 +8,28 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE = 400_000          # words a task remembers; the cache is emptied beyond it, which changes no value
+CACHE = 100_000          # words a task remembers; the cache is emptied beyond it, which changes no value
+LONG = 64                # bytes or characters of a word beyond which it is not remembered, so that a cache has a bounded size
 BLOCK = 1 << 19          # positions handled at once, so that a very long text needs bounded memory
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
 
+def remember(cache: dict, word, value):
+    """Value of a word, stored in the task's cache unless the word is long."""
+    if len(word) <= LONG:
+        if len(cache) >= CACHE:
+            cache.clear()
+        cache[word] = value
+    return value
+
+
 class WordHashes(dict):
     """word bytes -> signed 64-bit hash, computed when first met."""
 
     def __missing__(self, word):
-        if len(self) >= CACHE:
-            self.clear()
         h = xxhash.xxh64_intdigest(word)
-        h = h - (1 << 64) if h >> 63 else h
-        self[word] = h
-        return h
+        return remember(self, word, h - (1 << 64) if h >> 63 else h)
 
 
 def words(text: str | None) -> list[bytes]:

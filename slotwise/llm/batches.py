@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-TYPES = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+TYPES = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()),
+         "array<float>": pa.list_(pa.float32()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
 
 
 def _fields(fields: str) -> list[tuple[str, pa.DataType]]:
@@ -37,7 +38,7 @@ def extend(df: DataFrame, make: Callable[[], Callable], reads: str | list[str],
 
     def run(batches):
         one = make()
-        for b in batches:
+        for b in slices(batches):
             values = [one(*row) for row in zip(*(b.column(c).to_pylist() for c in reads))]
             columns = list(zip(*values)) or [()] * len(new)
             arrays = [b.column(c) for c in kept] + [pa.array(v, type=t) for v, (_, t) in zip(columns, new)]
@@ -52,7 +53,7 @@ def emit(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], fiel
 
     def run(batches):
         rows_of = make()
-        for b in batches:
+        for b in slices(batches):
             rows = [out for row in zip(*(b.column(c).to_pylist() for c in reads)) for out in rows_of(*row)]
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(columns, types)], names=list(names))

@@ -15,12 +15,11 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import CACHE, WordHashes, hashed
-from .batches import extend
+from .arrays import WordHashes, hashed, remember
+from .batches import emit, extend
 from .store import keep, table
 from .textstats import SPACES, SYMBOLS, case_counts, repeated_words
 
@@ -38,13 +37,10 @@ class Shapes(dict):
     """word bytes -> bucket of its shape: letters as x, X or é, digits as 0, runs collapsed, marks as they are."""
 
     def __missing__(self, word):
-        if len(self) >= CACHE:
-            self.clear()
         w = word.decode("utf-8", "replace")
         w = re.sub(r"[^\W\d_]+", lambda m: "X" if m[0].isupper() and len(m[0]) > 1 else "Xx" if m[0][0].isupper() else "x", w)
         w = re.sub(r"\d+", "0", w)
-        self[word] = b = zlib.crc32(w.encode()) % BUCKETS
-        return b
+        return remember(self, word, zlib.crc32(w.encode()) % BUCKETS)
 
 
 def statistics(text: str, hashes: WordHashes) -> tuple[dict[str, float], list[bytes]]:
@@ -126,27 +122,25 @@ def fit_scorer(rows: list[tuple[list[int], list[float], float]]) -> np.ndarray:
 
 def weak_model(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[dict[str, float], np.ndarray]:
     """(posterior of good by vote pattern, scorer weights) learned from the documents."""
-    def vote(batches):
+    def vote():
         hashes = WordHashes()
-        for pdf in batches:
-            yield pd.DataFrame({"h": pdf["h"], "votes": [votes(statistics(t, hashes)[0]) for t in pdf["text"]]})
+        return lambda text: (votes(statistics(text, hashes)[0]),)
 
-    def describe(batches):
+    def describe():
         hashes, shapes = WordHashes(), Shapes()
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                stats, tokens = statistics(text, hashes)
-                out.append((votes(stats), *features(stats, tokens, shapes)))
-            yield pd.DataFrame(out, columns=["votes", "at", "val"])
+
+        def one(text):
+            stats, tokens = statistics(text, hashes)
+            yield votes(stats), *features(stats, tokens, shapes)
+        return one
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    voted = keep(rows.mapInPandas(vote, "h long, votes string"))
+    voted = keep(extend(rows, vote, "text", "votes string", drop=("text",)))
     counts = dict(voted.groupBy("votes").count().collect())            # at most 3 ** labellers rows
     post, _, _ = estimate(counts)
     last = voted.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
     if last is None:
         return post, fit_scorer([])
-    sample = rows.where(F.col("h") <= last).dropDuplicates(["h"]).mapInPandas(describe, "votes string, at array<int>, val array<float>").collect()
+    sample = emit(rows.where(F.col("h") <= last).dropDuplicates(["h"]).select("text"), describe, "votes string, at array<int>, val array<float>").collect()
     return post, fit_scorer([(r[1], r[2], post[r[0]]) for r in sample])
 
 
