@@ -19,6 +19,7 @@ from .store import keep, table
 
 LENGTH = 2048            # tokens of a sequence
 OPEN_BINS = 512          # sequences a task keeps open
+RUN = 500                # length of a run of characters from which a text goes through tokenizers
 END_ID = b"\0\0\0\0"     # the id that ends a document, little-endian
 
 
@@ -26,7 +27,8 @@ class Ids:
     """Token ids of texts as little-endian bytes.
 
     The vocabulary comes in two forms. Its rank file gives the same ids as the tokenizers file for texts of ASCII and
-    Latin letters without the special string, and is several times faster; all other texts go through tokenizers itself.
+    Latin letters without the special string, and is several times faster; all other texts go through tokenizers itself,
+    and so do texts with long runs without or of white space, which the fast way's pattern matcher cannot hold.
     """
 
     def __init__(self, path: str):
@@ -41,8 +43,14 @@ class Ids:
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.other = re.compile("[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u017e\\u2018-\\u201f]|<\\|endoftext")
 
+    @staticmethod
+    def long_runs(text: str) -> bool:
+        """Whether a text may have a run of RUN characters of one kind; never wrongly false."""
+        sizes = list(map(len, text.split()))
+        return max(sizes, default=0) >= RUN or len(text) - sum(sizes) - len(sizes) >= RUN
+
     def __call__(self, text: str) -> bytes:
-        if self.other.search(text):
+        if self.other.search(text) or self.long_runs(text):
             return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return np.asarray(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
 
