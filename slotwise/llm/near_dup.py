@@ -10,21 +10,22 @@ end in another class than the head meet the bucket's other classes, so a large g
 member.
 
 Defined results: a null text counts as empty; texts of fewer than five words are only equal to the same text; a row
-without doc_id gets no class; rows that share a doc_id are one document; an empty table gives no rows; other columns are
-never read.
+without doc_id gets no class; rows that share a doc_id are compared each by its own text, and only equal rows are one
+document; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import WordHashes, hashed, mix, words
-from .batches import emit
+from .batches import emit, extend, slices
 from .components import components
-from .store import keep, split_by_keys, table
+from .store import keep, split_by_keys, table, with_values
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
@@ -90,18 +91,18 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 
     def run(batches):
         cache, total, n = WordHashes(), np.zeros(size, dtype=np.int64), 0
-        for pdf in batches:
-            for text in pdf["text"]:
+        for b in slices(batches):
+            for text in b.column(0).to_pylist():
                 total[np.unique(word_buckets(hashed(words(text), cache)))] += 1
                 n += 1
         rows = [(i, total[i * block:(i + 1) * block].tobytes(), n if i == 0 else 0) for i in range(size // block)]
-        yield pd.DataFrame(rows, columns=["block", "counts", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.int64()))], names=["block", "counts", "n"])
 
     def add(pdf):
         return pd.DataFrame({"block": [pdf["block"][0]], "counts": [np.sum([np.frombuffer(c, np.int64) for c in pdf["counts"]], axis=0).tobytes()], "n": [int(pdf["n"].sum())]})
     schema = "block int, counts binary, n long"
     # one block of each task meets in a group: as many short rows as there are tasks
-    rows = docs.where(F.col("text").isNotNull()).select("text").mapInPandas(run, schema).groupBy("block").applyInPandas(add, schema).collect()
+    rows = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(run, schema).groupBy("block").applyInPandas(add, schema).collect()
     total, n = np.zeros(size), 1
     for b, counts, m in rows:
         total[b * block:(b + 1) * block] = np.frombuffer(counts, np.int64)
@@ -109,18 +110,27 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     return np.round(1024 * damped(n, total)).astype(np.int64)
 
 
+def text_key(text) -> Column:
+    """Key of a text: 128 bits of its SHA-256."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def row_key(doc_id, text) -> Column:
+    """Key of a document: 128 bits of the SHA-256 of its id and text; the same for rows equal in both."""
+    return text_key(F.concat_ws(":", F.col(doc_id).cast("string"), F.coalesce(text, F.lit(""))))
+
+
 def signatures(docs: DataFrame, idf) -> DataFrame:
-    """(doc_id, text_key, samples) of every row with a doc_id; samples are null for texts without shingles."""
-    def run(batches):
+    """(doc_id, row_key, text_key, samples) of every row with a doc_id; samples are null for texts without shingles."""
+    def sign():
         cache = WordHashes()
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                h, w = shingles(text, cache, idf.value)
-                out.append(samples(h, w).view(np.int64) if len(h) else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "samples": out})
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select("doc_id", "text", F.sha2("text", 256).alias("text_key")).mapInPandas(run, "doc_id long, text_key string, samples array<long>")
+
+        def one(text):
+            h, w = shingles(text, cache, idf.value)
+            return (samples(h, w).view(np.int64) if len(h) else None,)
+        return one
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
+    return extend(rows.select("doc_id", "row_key", text_key("text").alias("text_key"), "text"), sign, "text", "samples array<long>", drop=("text",))
 
 
 def agreeing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -141,9 +151,8 @@ def bags(docs: DataFrame, nodes: DataFrame, idf) -> DataFrame:
             yield node, h.tobytes() + w.tobytes()
         return one
     nodes = keep(nodes.distinct())
-    possible, _ = split_by_keys(docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("node"), "text"), "node", nodes)
-    # rows that share a doc_id are one document: any of its texts stands for it, always the same one
-    return emit(possible.join(nodes, "node"), sets, "node long, bag binary").groupBy("node").agg(F.max("bag").alias("bag"))
+    possible, _ = split_by_keys(docs.where(F.col("text").isNotNull()).select(text_key("text").alias("node"), "text"), "node", nodes)
+    return emit(possible.dropDuplicates(["node"]).join(nodes, "node"), sets, "node binary, bag binary")
 
 
 def split_bag(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +182,7 @@ def verified(pairs: DataFrame, docs: DataFrame, idf, similarity: float) -> DataF
                 yield a, b, s
         return one
     side = lambda n: sets.select(F.col("node").alias(n), F.col("bag").alias(f"bag_{n}"))
-    return emit(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "bag_a", "bag_b"), compare, "a long, b long, similarity double")
+    return emit(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "bag_a", "bag_b"), compare, "a binary, b binary, similarity double")
 
 
 def remaining_links(star: DataFrame, first: DataFrame, texts: DataFrame, docs: DataFrame, idf, similarity: float) -> DataFrame:
@@ -204,11 +213,13 @@ def remaining_links(star: DataFrame, first: DataFrame, texts: DataFrame, docs: D
     def compare():
         def one(main, left, right):
             a, b = (np.array([r["samples"] for r in side]) for side in (left, right))
-            na, nb = (np.array([r["node"] for r in side]) for side in (left, right))
-            oa, ob = (np.array([r["own"] for r in side]) for side in (left, right))
+            # keys as numbers in the order of the keys
+            number = {k: i for i, k in enumerate(sorted({k for side in (left, right) for r in side for k in (r["node"], r["own"])} | {main}))}
+            na, nb = (np.array([number[r["node"]] for r in side]) for side in (left, right))
+            oa, ob = (np.array([number[r["own"]] for r in side]) for side in (left, right))
             same = a[:, None, :] == b[None, :, :]
             # two texts outside the main class meet in one order only
-            ok = (oa[:, None] != ob[None, :]) & ((ob == main)[None, :] | (na[:, None] < nb[None, :])) & same.reshape(len(a), len(b), BANDS, ROWS).all(axis=3).any(axis=2)
+            ok = (oa[:, None] != ob[None, :]) & ((ob == number[main])[None, :] | (na[:, None] < nb[None, :])) & same.reshape(len(a), len(b), BANDS, ROWS).all(axis=3).any(axis=2)
             agree = same.sum(axis=2)
             ok &= agree >= AGREE
             at = np.argwhere(ok)
@@ -227,9 +238,9 @@ def remaining_links(star: DataFrame, first: DataFrame, texts: DataFrame, docs: D
                 s = weighted_jaccard(*(sets.setdefault(r["node"], split_bag(r["bag"])) for r in (left[i], right[j])))
                 if s >= similarity:
                     root[max(x, y)] = min(x, y)
-                    yield min(na[i], nb[j]).item(), max(na[i], nb[j]).item(), s
+                    yield *sorted((left[i]["node"], right[j]["node"])), s
         return one
-    return emit(met.select("main", "left", "right"), compare, "a long, b long, similarity double")
+    return emit(met.select("main", "left", "right"), compare, "a binary, b binary, similarity double")
 
 
 def buckets(texts: DataFrame) -> DataFrame:
@@ -242,27 +253,35 @@ def buckets(texts: DataFrame) -> DataFrame:
     members = keep(texts.select("node", F.explode(bands).alias("bucket")))
     shared = keep(members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket"))
     known = shared.groupBy("node").agg(F.sum("n").alias("known"))
-    heads = shared.join(known, "node").groupBy("bucket").agg(F.max_by("node", F.struct("known", -F.col("node"))).alias("head"))
+    heads = shared.join(known, "node").groupBy("bucket").agg(F.min_by("node", F.struct(-F.col("known"), "node")).alias("head"))
     return shared.join(heads, "bucket").select("bucket", "node", "head")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): classes has doc_id, text_id (smallest document of the same text) and class_id; links the verified pairs.
+    """(classes, links): links the verified pairs of text keys; classes has per document row
 
+    doc_id, row_key, text_id (smallest document of the same text), class_id (smallest document of the class), n_links (links
+    of its text), kept (true for one document of each class: equal rows are one document).
     Links connect every class; pairs that are connected already are not compared again.
     """
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(document_frequencies(docs))
     rows = keep(signatures(docs, idf))
-    texts = keep(rows.groupBy("text_key").agg(F.min("doc_id").alias("node"), F.first("samples").alias("samples")))
+    texts = keep(rows.groupBy("text_key").agg(F.min("doc_id").alias("text_id"), F.count(F.lit(1)).alias("n"), F.first("samples").alias("samples")).withColumnRenamed("text_key", "node"))
     usable = texts.where(F.col("samples").isNotNull())
     star = keep(buckets(usable).where(F.col("node") != F.col("head")).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct())
     first = keep(verified(agreeing(star, usable), docs, idf, similarity))
     links = keep(first.unionByName(remaining_links(star, first, usable, docs, idf, similarity)))
-    by_text = texts.select("text_key", "node").join(components(links.select("a", "b")), "node", "left")
-    out = rows.select("doc_id", "text_key").join(by_text, "text_key").select("doc_id", F.col("node").alias("text_id"), F.coalesce("root", "node").alias("class_id"))
-    return out, links
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    placed = (texts.select("node", "text_id", "n").join(components(links.select("a", "b")), "node", "left").join(degree, "node", "left")
+                   .select("node", "text_id", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "node").alias("root")))
+    placed = keep(placed)
+    of_class = placed.groupBy("root").agg(F.min(F.struct("text_id", "node")).alias("least"), F.count(F.lit(1)).alias("texts"))
+    of_text = keep(with_values(placed, of_class.select("root", "least"), "root", of_class.select("root", F.col("texts").alias("n")))
+                   .select(F.col("node").alias("text_key"), "text_id", "n_links", F.col("least.text_id").alias("class_id"), (F.col("node") == F.col("least.node")).alias("chosen")))
+    out = with_values(rows.select("doc_id", "row_key", "text_key"), of_text, "text_key", texts.select(F.col("node").alias("text_key"), "n"))
+    return out.select("doc_id", "row_key", "text_id", "class_id", "n_links", (F.col("chosen") & (F.col("doc_id") == F.col("class_id"))).alias("kept")), links
 
 
 def op7_weighted_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))[0]
+    return near_duplicates(table(spark, sf_dir, "documents"))[0].select("doc_id", "text_id", "class_id", "n_links")
