@@ -1,26 +1,32 @@
-"""Benchmark decontamination: n-gram seeds pick passages of training documents, Smith-Waterman scores them.
+"""Benchmark decontamination: n-gram seeds join passages of training documents to test items, Smith-Waterman scores them.
 
 Words are compared lower-cased and without leading or trailing marks, so that edits of case and punctuation cost nothing.
-Every passage with a seed is aligned, however many documents share the seed, so the result of a document does not depend
-on the rest of the corpus. Passages whose words cannot reach the score by their number alone are left out first.
+Seeds are three or four words within five places, some with a gap, so that a copy with every third word changed has seeds.
+How often a seed occurs in all documents is counted; passages with a seed that is rare for its item are aligned first, the
+others only where their words in common could still give a better alignment. Rarity saves work and decides nothing: a
+passage is left out only if its longest common subsequence with the item shows that it cannot reach the score.
 The benchmark goes to the tasks in blocks of a bounded number of words, each block against all documents.
 
-Defined results: null and empty texts and items match nothing; items under MIN_WORDS words are too short to tell a leak
-from chance and match nothing; repeated document rows give repeated result rows; other columns are never read.
+Defined results: null and empty texts and items match nothing; items of one or two words hold no seed and match nothing;
+items under MIN_WORDS words match only whole, as a part of them may be chance; repeated document rows give repeated result
+rows; other columns are never read.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import CACHE, mix
-from .batches import emit
-from .store import table
+from .arrays import mix, remember
+from .batches import emit, slices
+from .store import keep, table
 
-GRAM = 4                 # words of a seed
-MIN_WORDS = 8            # shortest item that is searched
+#: Places of the words of a seed.
+PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 3, 4))
+SPAN = 5                 # places of the longest seed
+MIN_WORDS = 8            # shortest item of which a part counts as a copy
 MIN_SCORE = 0.4          # share of the best possible alignment score from which a passage counts as a copy
 MATCH, MISS, GAP = 2, -1, -1
 BLOCK_WORDS = 1_000_000  # benchmark words per broadcast block
@@ -46,11 +52,8 @@ class WordIds(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, word):
-        if len(self) >= CACHE:
-            self.clear()
         w = normal(word)
-        self[word] = n = self.vocabulary.get(w, 0) if w else -1
-        return n
+        return remember(self, word, self.vocabulary.get(w, 0) if w else -1)
 
     def of(self, text: str) -> np.ndarray:
         tokens = text.encode("utf-8", "surrogatepass").split()
@@ -58,12 +61,13 @@ class WordIds(dict):
         return ids[ids >= 0] if len(ids) and ids.min() < 0 else ids
 
 
-def grams(ids: np.ndarray) -> np.ndarray:
-    n = len(ids) - GRAM + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
+def seeds_of(ids: np.ndarray):
+    """(place, seed hash) arrays of all seeds of a sequence of word numbers."""
     x = ids.astype(np.uint64)
-    return mix(sum(x[j:j + n] * COEF[j] for j in range(GRAM)))
+    for i, pattern in enumerate(PATTERNS):
+        n = len(x) - pattern[-1]
+        if n > 0:
+            yield np.arange(n), mix(sum(x[j:j + n] * COEF[k] for k, j in enumerate(pattern)) + np.uint64(i))
 
 
 class Block:
@@ -72,45 +76,60 @@ class Block:
     def __init__(self, rows: list[tuple[int, str]]):
         self.vocabulary: dict[str, int] = {}
         self.items: dict[int, np.ndarray] = {}
-        holders: dict[int, list[int]] = {}
+        self.rare: dict[int, set[int]] = {}
+        holders: dict[int, set[int]] = {}
         for item, text in rows:
             ws = [w for w in map(normal, (text or "").encode("utf-8", "surrogatepass").split()) if w]
-            if len(ws) < MIN_WORDS:
+            if len(ws) < 3:
                 continue
             self.items[item] = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], dtype=np.int32)
-            for g in set(grams(self.items[item]).tolist()):
-                holders.setdefault(g, []).append(item)
+            for _, h in seeds_of(self.items[item]):
+                for g in h.tolist():
+                    holders.setdefault(g, set()).add(item)
         self.seeds = np.array(sorted(holders), dtype=np.uint64)
         self.holders = [sorted(holders[g]) for g in self.seeds.tolist()]
         self.bits = np.zeros(1 << BITS, dtype=bool)
         self.bits[(self.seeds >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
-    def hits(self, ids: np.ndarray):
-        """(position, seed number) of every seed in a document."""
-        g = grams(ids)
-        at = np.flatnonzero(self.bits[(g >> np.uint64(64 - BITS)).astype(np.int64)])
-        k = np.searchsorted(self.seeds, g[at])
-        k[k == len(self.seeds)] = 0
-        ok = self.seeds[k] == g[at] if len(self.seeds) else np.zeros(0, bool)
-        return at[ok], k[ok]
-
-    def passages(self, ids: np.ndarray):
-        """(item, start, word numbers) for every stretch of a document with seeds of one item."""
-        at, seed = self.hits(ids)
-        by_item: dict[int, list[int]] = {}
-        for p, k in zip(at.tolist(), seed.tolist()):
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, seed number) of every seed in a document, by place."""
+        places, numbers = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for place, h in seeds_of(ids) if len(self.seeds) else ():
+            at = np.flatnonzero(self.bits[(h >> np.uint64(64 - BITS)).astype(np.int64)])
+            k = np.searchsorted(self.seeds, h[at])
+            k[k == len(self.seeds)] = 0
+            ok = self.seeds[k] == h[at]
+            places.append(place[at[ok]])
+            numbers.append(k[ok])
+        place, number = np.concatenate(places), np.concatenate(numbers)
+        order = np.argsort(place, kind="stable")
+        return place[order], number[order]
+
+    def set_counts(self, counts: np.ndarray) -> None:
+        """Call seeds rare that occur no more often than half of the occurring seeds of their item."""
+        of_item: dict[int, list[int]] = {}
+        for k in np.flatnonzero(counts).tolist():
             for item in self.holders[k]:
-                by_item.setdefault(item, []).append(p)
+                of_item.setdefault(item, []).append(k)
+        self.rare = {item: set(np.array(ks)[counts[ks] <= np.median(counts[ks])].tolist()) for item, ks in of_item.items()}
+
+    def passages(self, ids: np.ndarray, places: np.ndarray, numbers: np.ndarray):
+        """(item, passages) for every item with seeds in a document; a passage is (no rare seed?, start, word numbers)."""
+        by_item: dict[int, list[tuple[int, int]]] = {}
+        for p, k in zip(places.tolist(), numbers.tolist()):
+            for item in self.holders[k]:
+                by_item.setdefault(item, []).append((p, k))
         for item, found in by_item.items():
-            reach = 2 * len(self.items[item])
-            group = [found[0]]
-            for hit in found[1:] + [None]:
-                if hit is not None and hit - group[-1] <= reach:
-                    group.append(hit)
-                    continue
-                lo, hi = max(0, group[0] - reach), group[-1] + GRAM + reach
-                yield item, lo, ids[lo:hi]
-                group = [hit]
+            reach, rare, out = 2 * len(self.items[item]), self.rare.get(item, ()), []
+            first = last = found[0][0]
+            common = True
+            for p, k in [*found, (None, None)]:
+                if p is None or p - last > reach:
+                    lo = max(0, first - reach)
+                    out.append((common, lo, ids[lo:last + SPAN + reach]))
+                    first, common = p, True
+                last, common = p, common and k not in rare
+            yield item, out
 
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -133,10 +152,42 @@ class Aligned:
     """Alignments of passages with items; equal passages, as in copies, are aligned once while they are remembered."""
 
     def __init__(self, block: Block, min_score: float):
-        self.items, self.min_score, self.memo = block.items, min_score, {}
+        self.items, self.min_score, self.memo, self.places = block.items, min_score, {}, {}
+
+    def needed(self, item: int) -> float:
+        return self.min_score if len(self.items[item]) >= MIN_WORDS else 1.0
+
+    def bound(self, item: int, passage: np.ndarray) -> float:
+        """No alignment scores higher: every match is a step of a common subsequence. One big-integer step a known word."""
+        if item not in self.places:
+            if len(self.places) >= MEMO_PASSAGES:
+                self.places.clear()
+            at: dict[int, int] = {}
+            for i, w in enumerate(self.items[item].tolist()):
+                at[w] = at.get(w, 0) | 1 << i
+            self.places[item] = at
+        at, n = self.places[item], len(self.items[item])
+        full = (1 << n) - 1
+        free = full
+        for m in filter(None, map(at.get, passage.tolist())):
+            used = free & m
+            free = ((free + used) | (free - used)) & full
+        return (n - free.bit_count()) / n
+
+    def best(self, item: int, passages) -> tuple[float, int, int] | None:
+        """(score, start, end) of the best copy among the passages of an item, the first of equal ones; None if there is none."""
+        best = None
+        for _, at, ids in sorted(passages, key=lambda p: p[:2]):
+            bound = self.bound(item, ids)
+            if bound < self.needed(item) or best is not None and bound < best[0]:
+                continue
+            score, start, end = self.of(item, ids)
+            if score >= self.needed(item) and (best is None or (score, -at - start) > (best[0], -best[1])):
+                best = score, at + start, at + end
+        return best
 
-    def of(self, item: int, passage: np.ndarray) -> tuple[float, int, int] | None:
-        """(score, start, end in the passage) of a copy; None below min_score."""
+    def of(self, item: int, passage: np.ndarray) -> tuple[float, int, int]:
+        """(score, start, end in the passage) of the best alignment."""
         if len(passage) > MEMO_WORDS:
             return self.align(item, passage)
         key = item, passage.tobytes()
@@ -146,18 +197,11 @@ class Aligned:
             self.memo[key] = self.align(item, passage)
         return self.memo[key]
 
-    def align(self, item: int, passage: np.ndarray) -> tuple[float, int, int] | None:
+    def align(self, item: int, passage: np.ndarray) -> tuple[float, int, int]:
         x = self.items[item]
-        full = MATCH * len(x)
-        # no alignment has more matches than words that both sides know
-        most = MATCH * int(min(np.isin(x, passage).sum(), np.isin(passage, x).sum()))
-        if most / full < self.min_score:
-            return None
         score, end = smith_waterman(x, passage)
-        if score / full < self.min_score:
-            return None
         _, back = smith_waterman(x[::-1], passage[:end][::-1])
-        return score / full, end - back, end
+        return score / (MATCH * len(x)), end - back, end
 
 
 def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
@@ -182,23 +226,54 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
     return found
 
 
-def _block_leaks(docs: DataFrame, block: Block, min_score: float) -> DataFrame:
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(block)
+def seed_hits(docs: DataFrame, block: Block) -> DataFrame:
+    """(doc_id, ids, places, numbers) of the documents with a seed: word numbers, and places and numbers of the seeds, as bytes."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
 
-    def align():
+    def find():
         own = shared.value
-        ids_of, known = WordIds(own.vocabulary), Aligned(own, min_score)
+        ids_of = WordIds(own.vocabulary)
 
         def one(doc, text):
-            for item, at, ids in own.passages(ids_of.of(text)):
-                if (found := known.of(item, ids)) is not None:
-                    score, start, end = found
-                    yield doc, item, score, at + start, at + end
+            ids = ids_of.of(text)
+            places, numbers = own.hits(ids)
+            if len(places):
+                yield doc, ids.astype("<i4").tobytes(), places.astype("<i8").tobytes(), numbers.astype("<i4").tobytes()
         return one
-
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    return emit(rows, align, "doc_id long, item_id long, score double, start long, end long")
+    return emit(rows, find, "doc_id long, ids binary, places binary, numbers binary")
+
+
+def seed_counts(hits: DataFrame, seeds: int) -> np.ndarray:
+    """How often each seed of a block occurs in all documents."""
+    def run(batches):
+        total = np.zeros(seeds, np.int64)
+        for b in slices(batches):
+            for numbers in b.column(0).to_pylist():
+                np.add.at(total, np.frombuffer(numbers, "<i4"), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["seed", "n"])
+    out = np.zeros(seeds, np.int64)
+    for k, n in hits.select("numbers").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n")).collect():
+        out[k] = n
+    return out
+
+
+def _block_leaks(docs: DataFrame, block: Block, min_score: float) -> DataFrame:
+    hits = keep(seed_hits(docs, block))
+    block.set_counts(seed_counts(hits, len(block.seeds)))
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def align():
+        own = shared.value
+        known = Aligned(own, min_score)
+
+        def one(doc, ids, places, numbers):
+            for item, passages in own.passages(np.frombuffer(ids, "<i4"), np.frombuffer(places, "<i8"), np.frombuffer(numbers, "<i4")):
+                if (found := known.best(item, passages)) is not None:
+                    yield doc, item, *found
+        return one
+    return emit(hits, align, "doc_id long, item_id long, score double, start long, end long")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
