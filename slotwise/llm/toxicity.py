@@ -18,14 +18,16 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import CACHE
-from .batches import extend
+from .arrays import remember
+from .batches import extend, slices
 from .store import keep, table
 
 SAMPLE_DOCS = 20_000     # labelled documents that teach the scorer; chosen by hash
+COUNTED = 200_000        # distinct tokens a task counts before it passes them on
 THRESHOLD = 0.7
 SURE = 0.5               # word scores below it carry no evidence
 Z = 1.64                 # width of the confidence bound of a word's share of toxic documents
@@ -38,7 +40,7 @@ LOOK_COST, DROP_COST, SAME_COST, SPLIT_COST = 0.7, 0.4, 0.7, 3.0
 STRIP = re.compile(r"^[\W_]*[\"'.,;:?()\[\]{}<>*_~-]+(?=\w)|[.,;:?\"')\]}>]+$|([%&$#*!|+])\1+$")
 TRIPLE = re.compile(r"(.)\1\1")
 TWICE = re.compile(r"(.)\1")
-SPACED = re.compile(r"(?<!\S)(?:[^\s|]{1,2}\s+){2,}[^\s|]{1,2}(?!\S)")   # at least three pieces
+PIECES = re.compile(b"\1{3,}")          # at least three tokens in a row of one or two characters
 
 
 def code(ch: str) -> int:
@@ -67,14 +69,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 if w.isalpha():
                     words[w] += n
             seen.clear()
-            return pd.DataFrame({"word": list(words.keys()), "n": list(words.values())}).astype({"word": object, "n": "int64"})
-        for pdf in batches:
-            for text in pdf["text"]:
+            return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
+        for b in slices(batches):
+            for text in b.column(0).to_pylist():
                 seen.update(text.split())
-                if len(seen) > CACHE:
+                if len(seen) > COUNTED:
                     yield out()
         yield out()
-    return docs.where(F.col("text").isNotNull()).select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.where(F.col("text").isNotNull()).select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def trigram_counts(words: DataFrame) -> np.ndarray:
@@ -159,30 +161,30 @@ class Restored(dict):
         return tuple(dict.fromkeys((*out, *decode(w, self.logp, True).split()))) if TWICE.search(w) else out
 
     def __missing__(self, token):
-        if len(self) >= CACHE:
-            self.clear()
-        self[token] = out = self.read(token)
-        return out
-
-
-def spaced_words(text: str, logp: np.ndarray) -> set[str]:
-    """Words of the stretches of a text whose letters or pairs of letters are set apart by white space."""
-    out: set[str] = set()
-    for m in SPACED.finditer(text):
-        if sum(map(str.isalpha, m[0])) >= 2:
-            token = " ".join(m[0].lower().split())
-            out.update(decode(token, logp).split())
-            if TWICE.search(token):
-                out.update(decode(token, logp, True).split())
-    return out
+        return remember(self, token, self.read(token))
+
+
+def spaced_stretches(tokens: list[str]):
+    """Stretches of at least three tokens of one or two characters, lower-cased, with single spaces; bars end a stretch."""
+    for m in PIECES.finditer(bytes([len(t) < 3 and "|" not in t for t in tokens])):
+        stretch = " ".join(tokens[m.start():m.end()]).lower()
+        if sum(map(str.isalpha, stretch)) >= 2:
+            yield stretch
+
+
+def stretch_words(stretch: str, logp: np.ndarray) -> set[str]:
+    out = set(decode(stretch, logp).split())
+    return out | set(decode(stretch, logp, True).split()) if TWICE.search(stretch) else out
 
 
 def restored_words(text: str, restored: Restored) -> set[str]:
     """Distinct words of a text after restoring."""
-    out: set[str] = set()
-    for token in set(text.split()):
+    tokens, out = text.split(), set()
+    for token in set(tokens):
         out.update(restored[token])
-    return out | spaced_words(text, restored.logp)
+    for stretch in spaced_stretches(tokens):
+        out |= stretch_words(stretch, restored.logp)
+    return out
 
 
 # ---- scoring --------------------------------------------------------------------------------------------------------
@@ -222,17 +224,58 @@ class Lexicon:
         return [s[0] if s else 0.0, s[1] if len(s) > 1 else 0.0, float(np.log1p(len(s)))]
 
 
+def skeleton(token: str) -> str:
+    """What all readings of a lower-cased token share: letters and look-alikes as one letter each, runs as one, no marks."""
+    out = ""
+    for ch in token:
+        ch = LOOKS[ch][0] if ch in LOOKS else ch
+        ch = "i" if ch == "l" else ch                       # 1, | read as either
+        if ch.isalpha() and ch != out[-1:]:
+            out += ch
+    return out
+
+
 class Marked(dict):
-    """token -> its surely toxic words."""
+    """token -> its surely toxic words.
+
+    Only tokens that can be read as a sure word or beginning are decoded: skeletons of all readings are alike.
+    """
 
     def __init__(self, restored: Restored, lexicon: Lexicon):
         self.restored, self.lexicon = restored, lexicon
+        self.words = {skeleton(k[1:]) for k in lexicon.sure if k[0] == "="}
+        self.beginnings = {skeleton(k) for k in lexicon.sure if k[0] != "="}
+        self.lengths = sorted({len(k) for k in self.beginnings})
+        self.joined = {k[1:] for k in lexicon.sure if k[0] == "="}
+        self.parts = self.words | self.beginnings
+        self.part_lengths = sorted({len(k) for k in self.parts})
+
+    def reachable(self, token: str) -> bool:
+        s = skeleton(token)
+        return s in self.words or any(s[:n] in self.beginnings for n in self.lengths)
 
     def __missing__(self, token):
-        if len(self) >= CACHE:
-            self.clear()
-        self[token] = out = tuple(w for w in self.restored.read(token) if self.lexicon.score(w))
-        return out
+        w, score = bare(token), self.lexicon.score
+        if w.isalpha() and not TWICE.search(w):
+            out = (w,) if score(w) else ()
+        else:
+            out = tuple(filter(score, self.restored.read(token))) if self.reachable(w) else ()
+        return remember(self, token, out)
+
+    def of(self, text: str) -> set[str]:
+        """Surely toxic words of a text, disguised ones restored."""
+        tokens = text.split()
+        found = {w for ws in filter(None, map(self.__getitem__, set(tokens))) for w in ws}
+        for stretch in spaced_stretches(tokens):
+            s = skeleton(stretch)
+            # a word may begin and end at any piece
+            if any(s[i:i + n] in self.parts for i in range(len(s)) for n in self.part_lengths):
+                found.update(filter(self.lexicon.score, stretch_words(stretch, self.restored.logp)))
+        lowered = text.lower().split()
+        for word in self.joined.intersection(map(str.__add__, lowered, lowered[1:])):
+            # two pieces: the language model must prefer the whole word
+            found.update(w for a, b in zip(lowered, lowered[1:]) if a + b == word for w in decode(f"{a} {b}", self.restored.logp).split() if w == word)
+        return found
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
@@ -287,13 +330,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE
     curve = fit_curve(np.array([r[0] for r in rows]).reshape(-1, 3), np.array([float(r[1] == 1) for r in rows]))
 
     def make():
-        restored, own = Restored(model.value), shared.value
-        marked = Marked(restored, own)
+        own = shared.value
+        marked = Marked(Restored(model.value), own)
 
         def one(text):
-            found = {w for ws in filter(None, map(marked.__getitem__, set((text or "").split()))) for w in ws}
-            found.update(w for w in spaced_words(text or "", restored.logp) if own.score(w))
-            s = float(1 / (1 + np.exp(-(np.dot(own.summary(found), curve[:-1]) + curve[-1]))))
+            s = float(1 / (1 + np.exp(-(np.dot(own.summary(marked.of(text or "")), curve[:-1]) + curve[-1]))))
             return s, int(s >= threshold)
         return one
 
