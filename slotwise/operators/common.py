@@ -167,25 +167,49 @@ def gram(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
                                                       lambda s: s["_x"]).alias("g")))
 
 
+SPAN_BASE = 32           # buckets of one level of `span_buckets` that make a bucket of the next
+SPAN_LEVELS = 5          # 32 ** 5 days are longer than all dates
+
+
+def span_buckets(first: Column, last: Column) -> Column:
+    """Array of (level, bucket) that cover the whole numbers first..last once: at most 2 * SPAN_BASE a level.
+
+    Level l holds runs of SPAN_BASE ** l numbers; a long span is long runs inside and short ones at its ends.
+    """
+    parts, a, b, open_ = [], first, last, F.lit(True)
+    for level in range(SPAN_LEVELS):
+        up_a, up_b = F.ceil(a / SPAN_BASE), F.floor((b + 1) / SPAN_BASE) - 1
+        goes_up = (up_a <= up_b) & F.lit(level < SPAN_LEVELS - 1)
+        run = lambda lo, hi, ok: F.when(open_ & ok & (lo <= hi), F.transform(F.sequence(lo, hi), lambda x: F.struct(F.lit(level).alias("level"), x.cast("long").alias("bucket"))))
+        parts += [run(a, b, ~goes_up), run(a, up_a * SPAN_BASE - 1, goes_up), run((up_b + 1) * SPAN_BASE, b, goes_up)]
+        open_, a, b = open_ & goes_up, up_a, up_b
+    return F.flatten(F.array_compact(F.array(*parts)))
+
+
+def point_buckets(at: Column) -> Column:
+    """Array of the (level, bucket) that hold a whole number."""
+    return F.array(*[F.struct(F.lit(level).alias("level"), F.floor(at / SPAN_BASE ** level).alias("bucket")) for level in range(SPAN_LEVELS)])
+
+
 def overlap_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str,
-                 closed_end: bool = False, bucket_seconds: int = 86400, how: str = "inner") -> DataFrame:
+                 closed_end: bool = False, bucket_seconds: int = 86400) -> DataFrame:
     """Join each point to the spans of its key that hold it.
 
-    Spans are copied into every time bucket they touch and joined by equality
-    on (keys, bucket); a point lies in exactly one bucket, so no pair appears twice.
+    Spans are copied into the time buckets that cover them and joined by equality on (keys, level, bucket). Buckets come in
+    levels, so a span of any length has a bounded number of copies; a span holds a point in one of them, so no pair
+    appears twice.
     """
     def bucket(c):
         return F.floor(F.unix_seconds(F.col(c)) / bucket_seconds)
-    p = points.withColumn("_bk", bucket(at))
-    s = spans.where(F.col(start) <= F.col(end)).withColumn("_bk", F.explode(F.sequence(bucket(start), bucket(end))))
+    p = points.withColumn("_bk", F.explode(point_buckets(bucket(at))))
+    s = spans.where(F.col(start) <= F.col(end)).withColumn("_bk", F.explode(span_buckets(bucket(start), bucket(end))))
     s = s.select(*[F.col(c).alias(f"_s_{c}") for c in s.columns])
-    cond = F.col("_bk") == F.col("_s__bk")
+    cond = (F.col("_bk.level") == F.col("_s__bk.level")) & (F.col("_bk.bucket") == F.col("_s__bk.bucket"))
     for k in keys:
         cond &= F.col(k) == F.col(f"_s_{k}")
     upper = F.col(at) <= F.col(f"_s_{end}") if closed_end else F.col(at) < F.col(f"_s_{end}")
     cond &= (F.col(at) >= F.col(f"_s_{start}")) & upper
-    j = p.join(s, cond, how).drop("_bk", "_s__bk", *[f"_s_{k}" for k in keys])
-    return j.select(*points.columns, *[F.col(f"_s_{c}").alias(c) for c in spans.columns if c not in keys])
+    return p.join(s, cond).select(*points.columns, *[F.col(f"_s_{c}").alias(c) for c in spans.columns if c not in keys])
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -2,6 +2,10 @@
 
 Prices: (series_id, ts, value) on a gap-free grid. Events: series_id, event_id, announcement_available_at,
 effective_start_at, effective_end_at, direction. Windows are whole hours of at most a day.
+
+The metrics of the window that starts at a slot are columns of that slot (`slot_windows`), computed in one pass over chunks
+of the grid; event windows, controls and placebos look them up by their start, so no window is opened into its slots.
+Hours and weekdays are those of the market's zone.
 """
 
 from __future__ import annotations
@@ -9,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import count_if, r6, shift_ts
+from ..functions.columns import count_if, r6, shift_ts, to_local
 from .align import MarketClock
-from .common import quantiles, ranked_values, with_lags
+from .common import drop_halo, halo_window, overlap_join, prefix_sums, quantiles, ranked_values, with_halo, with_lags
 
 PLACEBO_DAYS = (-14, -7, 7, 14)
 MIN_INTERVALS = 2
@@ -22,8 +26,12 @@ def zero_point(axis: str):
     return F.col("announcement_available_at") if axis == "announcement" else F.col("effective_start_at")
 
 
-def occupied(events: DataFrame, clock: MarketClock, axis: str, max_hours: float) -> DataFrame:
-    """Distinct (series_id, event_id, ts) slots an event could touch; each span runs on for the longest window."""
+def event_spans(events: DataFrame, clock: MarketClock, axis: str, max_hours: float, prices: DataFrame | None = None) -> DataFrame:
+    """(series_id, event_id, s, z): first and last slot of the stretches an event could touch, up to three an event.
+
+    Each stretch runs on for the longest window. With `prices` stretches are cut to the price range of their market, so
+    that an end date far away costs nothing.
+    """
     pad = int(max_hours * 3600)
     a = zero_point(axis)
     end = F.coalesce("effective_end_at", shift_ts("effective_start_at", pad))
@@ -31,60 +39,84 @@ def occupied(events: DataFrame, clock: MarketClock, axis: str, max_hours: float)
         F.when(a.isNotNull(), F.struct(a.alias("s"), shift_ts(a, pad).alias("e"))),
         F.when(F.col("effective_start_at").isNotNull(), F.struct(F.col("effective_start_at").alias("s"), shift_ts(end, pad).alias("e"))),
         F.struct(F.col("announcement_available_at").alias("s"), shift_ts("announcement_available_at", pad).alias("e"))))
-    x = events.withColumn("_x", F.explode(spans)).select("series_id", "event_id", clock.floor("_x.s").alias("_s"), shift_ts(clock.ceil("_x.e"), -clock.seconds).alias("_z"))
-    return x.where(F.col("_s") <= F.col("_z")).select("series_id", "event_id", F.explode(F.sequence("_s", "_z", F.expr(f"INTERVAL {clock.seconds} SECONDS"))).alias("ts")).distinct()
+    x = events.withColumn("_x", F.explode(F.array_distinct(spans))).select("series_id", "event_id", clock.floor("_x.s").alias("s"), shift_ts(clock.ceil("_x.e"), -clock.seconds).alias("z"))
+    if prices is not None:
+        span = prices.groupBy("series_id").agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"))
+        x = x.join(span, "series_id").select("series_id", "event_id", F.greatest("s", "_lo").alias("s"), F.least("z", "_hi").alias("z"))
+    return x.where(F.col("s") <= F.col("z"))
+
 
+def occupied(events: DataFrame, clock: MarketClock, axis: str, max_hours: float, prices: DataFrame | None = None) -> DataFrame:
+    """Distinct (series_id, event_id, ts) slots an event could touch; inside the price range if `prices` are given."""
+    spans = event_spans(events, clock, axis, max_hours, prices)
+    return spans.select("series_id", "event_id", F.explode(F.sequence("s", "z", F.expr(f"INTERVAL {clock.seconds} SECONDS"))).alias("ts")).distinct()
 
-def hour_of_week(ts="ts"):
-    return (F.weekday(ts) * 24 + F.hour(ts)).cast("long")
 
+def hour_of_week(ts="ts", tz: str = "UTC"):
+    local = to_local(ts, tz)
+    return (F.weekday(local) * 24 + F.hour(local)).cast("long")
 
-def free_prices(prices: DataFrame, occ: DataFrame) -> DataFrame:
-    return prices.join(occ.select("series_id", "ts").distinct(), ["series_id", "ts"], "left_anti")
 
+def grid_slots(prices: DataFrame, spans: DataFrame, clock: MarketClock) -> DataFrame:
+    """Prices with their position `i` on the grid and `busy`: stretches raise and lower a running count along the grid."""
+    first = prices.groupBy("series_id").agg(F.min(F.unix_seconds("ts")).alias("_t0"))
+    p = prices.join(first, "series_id").withColumn("i", F.floor((F.unix_seconds("ts") - F.col("_t0")) / clock.seconds).cast("long")).drop("_t0")
+    step = F.explode(F.array(F.struct(F.col("s").alias("ts"), F.lit(1).alias("d")), F.struct(shift_ts("z", clock.seconds).alias("ts"), F.lit(-1).alias("d"))))
+    steps = spans.select("series_id", step.alias("_x")).groupBy("series_id", F.col("_x.ts").alias("ts")).agg(F.sum("_x.d").alias("_d"))
+    p = p.join(steps, ["series_id", "ts"], "left")
+    return prefix_sums(p, ["series_id"], "i", {"_open": F.coalesce("_d", F.lit(0))}).withColumn("busy", F.col("_open") > 0).select("series_id", "ts", "i", "value", "busy")
 
-def baseline(free: DataFrame, spike_quantile: float = 0.95) -> DataFrame:
+
+def baseline(free: DataFrame, spike_quantile: float = 0.95, tz: str = "UTC") -> DataFrame:
     """Event-free level per hour of week, the overall level and the spike threshold of each market."""
     spike = quantiles(free, ["series_id"], "value", {"spike_threshold": spike_quantile}).drop("n")
     overall = free.groupBy("series_id").agg(F.avg("value").alias("overall"))
-    how = free.groupBy("series_id", hour_of_week().alias("how")).agg(F.avg("value").alias("level"), F.count(F.lit(1)).alias("slots"))
+    how = free.groupBy("series_id", hour_of_week("ts", tz).alias("how")).agg(F.avg("value").alias("level"), F.count(F.lit(1)).alias("slots"))
     return how.join(overall, "series_id").join(spike, "series_id")
 
 
-def reference(prices: DataFrame, base: DataFrame, occ: DataFrame) -> DataFrame:
+def reference(slots: DataFrame, base: DataFrame, tz: str = "UTC") -> DataFrame:
     """Every slot with its expected level, spike flag, change from the slot before and whether it is event-free."""
     how = base.select("series_id", "how", "level")
     per = base.groupBy("series_id").agg(F.first("overall").alias("_o"), F.first("spike_threshold").alias("_s"))
-    occ = occ.select("series_id", "ts").distinct().withColumn("busy", F.lit(True))
-    first = prices.groupBy("series_id").agg(F.min(F.unix_seconds("ts")).alias("_t0"), (F.max(F.unix_seconds("ts")) - F.min(F.unix_seconds("ts"))).alias("_span"), F.count(F.lit(1)).alias("_n"))
-    step = F.col("_span") / F.greatest(F.col("_n") - 1, F.lit(1))
-    p = prices.join(first, "series_id").withColumn("i", F.round((F.unix_seconds("ts") - F.col("_t0")) / step).cast("long")).drop("_t0", "_span", "_n")
-    p = with_lags(p, ["series_id"], ["value"], [1]).withColumn("how", hour_of_week())
-    p = p.join(how, ["series_id", "how"], "left").join(per, "series_id").join(occ, ["series_id", "ts"], "left")
-    return p.select("series_id", "ts", "value", F.coalesce("level", "_o").alias("expected"), (F.col("value") > F.col("_s")).alias("spike"), (F.col("value") - F.col("value_lag1")).alias("change"), F.coalesce("busy", F.lit(False)).alias("busy"))
+    p = with_lags(slots, ["series_id"], ["value"], [1]).withColumn("how", hour_of_week("ts", tz))
+    p = p.join(how, ["series_id", "how"], "left").join(per, "series_id")
+    return p.select("series_id", "ts", "i", "value", F.coalesce("level", "_o").alias("expected"), (F.col("value") > F.col("_s")).alias("spike"), (F.col("value") - F.col("value_lag1")).alias("change"), "busy")
 
 
-def window_metrics(starts: DataFrame, ref: DataFrame, clock: MarketClock, keys: list[str]) -> DataFrame:
-    """Metrics of complete windows (series_id, start_at, hours): mean, baseline, deviation, volatility, spike rate.
+def slot_windows(ref: DataFrame, clock: MarketClock, hours: tuple[int, ...]) -> DataFrame:
+    """Metrics of every complete window by its first slot: series_id, start_at, hours, mean, baseline, deviation, volatility,
+    spike rate, and `busy`, the event slots inside. Chunks of the grid see a halo of the longest window."""
+    need = {h: h * 3600 // clock.seconds for h in hours if h * 3600 // clock.seconds >= MIN_INTERVALS}
+    g = with_halo(ref, ["series_id"], ahead=max(need.values(), default=1))
+    per_hour = []
+    for h, n in need.items():
+        w, inner = halo_window(["series_id"]).rowsBetween(0, n - 1), halo_window(["series_id"]).rowsBetween(1, n - 1)
+        g = g.withColumn(f"_w{h}", F.struct(
+            F.lit(h).cast("int").alias("hours"), F.count(F.lit(1)).over(w).alias("intervals"), F.avg("value").over(w).alias("m"), F.avg("expected").over(w).alias("b"), F.stddev_pop("change").over(inner).alias("v"),
+            F.count("change").over(inner).alias("d"), F.sum(F.col("spike").cast("long")).over(w).alias("s"), F.sum(F.col("busy").cast("long")).over(w).alias("busy")))
+        per_hour.append(F.when(F.col(f"_w{h}.intervals") == n, F.col(f"_w{h}")))
+    x = drop_halo(g).select("series_id", F.col("ts").alias("start_at"), F.explode(F.array_compact(F.array(*per_hour))).alias("_w"))
+    m, b = F.col("_w.m"), F.col("_w.b")
+    return x.select("series_id", "start_at", "_w.hours", "_w.intervals", r6(m).alias("mean_price"), r6(b).alias("baseline_price"), r6(m - b).alias("deviation"), r6(F.abs(m - b)).alias("absolute_deviation"),
+                    r6(F.when(F.col("_w.d") > 1, F.col("_w.v")).otherwise(F.lit(0.0))).alias("volatility"), r6(F.col("_w.s") / F.col("_w.intervals")).alias("spike_rate"), F.coalesce("_w.busy", F.lit(0)).alias("busy"))
+
+
+def window_metrics(starts: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
+    """Metrics of complete windows (series_id, start_at, hours), one lookup each. `busy` counts event slots inside."""
+    at = ["series_id", "start_at", "hours"]
+    return starts.select(*keys, *at).join(windows, at).select(*keys, *windows.columns)
 
-    Windows open into their slots and meet prices by equality on (series_id, ts). `busy` counts event slots inside.
-    """
-    need = (F.col("hours") * 3600 / clock.seconds).cast("long")
-    w = starts.where(need >= MIN_INTERVALS).withColumn("_need", need)
-    w = w.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_need") - 1))).withColumn("ts", shift_ts("start_at", F.col("_k") * clock.seconds))
-    j = w.join(ref, ["series_id", "ts"])
-    inner = F.when(F.col("_k") > 0, F.col("change"))
-    n = F.count(F.lit(1))
-    a = j.groupBy(*keys, "series_id", "start_at", "hours").agg(
-        n.alias("intervals"), F.max("_need").alias("_need"), F.avg("value").alias("_m"), F.avg("expected").alias("_b"), F.stddev_pop(inner).alias("_v"), F.count(inner).alias("_d"),
-        r6(count_if(F.col("spike")) / n).alias("spike_rate"), count_if(F.col("busy")).alias("busy"))
-    a = a.where(F.col("intervals") == F.col("_need"))
-    return a.select(*keys, "series_id", "start_at", "hours", "intervals", r6("_m").alias("mean_price"), r6("_b").alias("baseline_price"), r6(F.col("_m") - F.col("_b")).alias("deviation"),
-                    r6(F.abs(F.col("_m") - F.col("_b"))).alias("absolute_deviation"), r6(F.when(F.col("_d") > 1, F.col("_v")).otherwise(F.lit(0.0))).alias("volatility"), "spike_rate", "busy")
 
+MATCHING = ("same_clock_day_type", "same_clock_weekday")
 
-def _clock_key():
-    return [F.hour("start_at").alias("hour"), F.minute("start_at").alias("minute"), (F.weekday("start_at") >= 5).alias("weekend")]
+
+def _clock_key(clock: MarketClock, matching: str):
+    if matching not in MATCHING:
+        raise ValueError(f"unknown control matching: {matching}")
+    local = to_local("start_at", clock.tz)
+    day = F.weekday(local) if matching == "same_clock_weekday" else (F.weekday(local) >= 5).cast("int")
+    return [F.hour(local).alias("hour"), F.minute(local).alias("minute"), day.alias("day")]
 
 
 def event_starts(events: DataFrame, prices: DataFrame, clock: MarketClock, axis: str, hours: tuple[int, ...]) -> DataFrame:
@@ -95,28 +127,40 @@ def event_starts(events: DataFrame, prices: DataFrame, clock: MarketClock, axis:
     return e.withColumn("start_at", clock.ceil("anchor")).withColumn("hours", F.explode(F.array(*[F.lit(h) for h in hours]))).select("series_id", "event_id", "direction", "anchor", "start_at", "hours")
 
 
-def control_windows(starts: DataFrame, ref: DataFrame, clock: MarketClock) -> DataFrame:
-    """Complete event-free windows at the same clock time and day type as some event window.
+def control_windows(starts: DataFrame, windows: DataFrame, clock: MarketClock, matching: str = "same_clock_day_type") -> DataFrame:
+    """Complete event-free windows at the same local clock time, and day type or weekday, as some event window.
 
-    Same-clock starts are at least a day apart, so windows of at most a day never overlap and no pick order is needed.
+    Same-clock starts are a day apart but for clock changes, so only a start too soon after the one before it is left out.
     """
-    wanted = starts.select("series_id", "hours", *_clock_key()).distinct()
-    free = ref.where(~F.col("busy")).select("series_id", F.col("ts").alias("start_at")).select("series_id", "start_at", *_clock_key())
-    c = free.join(wanted, ["series_id", "hour", "minute", "weekend"])
-    return window_metrics(c, ref, clock, ["hour", "minute", "weekend"]).where(F.col("busy") == 0)
+    key = ["series_id", "hours", "hour", "minute", "day"]
+    wanted = starts.select("series_id", "hours", *_clock_key(clock, matching)).distinct()
+    free = windows.where(F.col("busy") == 0).select("*", *_clock_key(clock, matching)).join(wanted, key, "left_semi")
+    # a key holds at most a start a day of its market, twice where the clock is set back
+    before = F.lag("start_at").over(Window.partitionBy(*key).orderBy("start_at"))
+    c = free.withColumn("_before", before).where(F.col("_before").isNull() | (shift_ts("_before", F.col("hours") * 3600) <= F.col("start_at")))
+    return c.select("hour", "minute", "day", *windows.columns)
+
 
+def empirical_p(metrics: DataFrame, controls: DataFrame, clock: MarketClock, matching: str = "same_clock_day_type") -> DataFrame:
+    """Tail share of control deviations at least as extreme as the event's, one-sided when a direction is expected.
 
-def empirical_p(metrics: DataFrame, controls: DataFrame) -> DataFrame:
-    """Tail share of control deviations at least as extreme as the event's, one-sided when a direction is expected."""
-    m = metrics.select("*", *_clock_key())
-    c = controls.select("series_id", "hours", "hour", "minute", "weekend", F.col("deviation").alias("_c"))
-    keys = ["series_id", "event_id", "hours"]
+    Events and controls of a key stand on one line by deviation, and on one by its size; running counts of controls from
+    both ends answer every event at once, so no event meets its controls.
+    """
+    key, keys = ["series_id", "hours", "hour", "minute", "day"], ["series_id", "event_id", "hours"]
+    m = metrics.select("event_id", "direction", "deviation", *_clock_key(clock, matching), "series_id", "hours", F.lit(0).alias("_c"))
+    c = controls.select("deviation", *key, F.lit(1).alias("_c"))
+    line = Window.partitionBy(*key)
+    upto = lambda *order: F.sum("_c").over(line.orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     d = F.col("deviation")
-    extreme = F.when(F.col("direction") == "up", F.col("_c") >= d).when(F.col("direction") == "down", F.col("_c") <= d).otherwise(F.abs("_c") >= F.abs(d))
-    j = m.join(c, ["series_id", "hours", "hour", "minute", "weekend"], "left").groupBy(*keys).agg(
-        F.count("_c").alias("controls"), count_if(extreme).alias("_x"), F.avg("_c").alias("_a"), F.stddev_pop("_c").alias("_s"))
-    p = F.when(F.col("controls") == 0, F.lit(1.0)).otherwise((F.col("_x") + 1) / (F.col("controls") + 1))
-    return j.select(*keys, "controls", p.alias("p"), r6(F.coalesce("_a", F.lit(0.0))).alias("control_mean"), r6(F.when(F.col("controls") > 1, F.col("_s")).otherwise(F.lit(0.0))).alias("control_std"))
+    x = m.unionByName(c, allowMissingColumns=True).select(
+        "*", upto(d).alias("_below"), upto(d.desc()).alias("_above"), upto(F.abs(d).desc()).alias("_beyond")).where(F.col("_c") == 0)
+    spread = controls.groupBy(*key).agg(F.count("deviation").alias("_n"), F.avg("deviation").alias("_a"), F.stddev_pop("deviation").alias("_s"))
+    j = x.join(spread, key, "left")
+    n = F.coalesce("_n", F.lit(0))
+    extreme = F.when(F.col("direction") == "up", F.col("_above")).when(F.col("direction") == "down", F.col("_below")).otherwise(F.col("_beyond"))
+    p = F.when(n == 0, F.lit(1.0)).otherwise((extreme + 1) / (n + 1))
+    return j.select(*keys, n.alias("controls"), p.alias("p"), r6(F.coalesce("_a", F.lit(0.0))).alias("control_mean"), r6(F.when(n > 1, F.col("_s")).otherwise(F.lit(0.0))).alias("control_std"))
 
 
 def holm(df: DataFrame, p: str = "p", keys: list[str] | None = None) -> DataFrame:
@@ -131,18 +175,22 @@ def holm(df: DataFrame, p: str = "p", keys: list[str] | None = None) -> DataFram
     return df.join(rv.select(*keys, F.col("_v").alias(p), r6(F.max("_a").over(upto)).alias("corrected_p")), [*keys, p])
 
 
-def placebos(starts: DataFrame, ref: DataFrame, clock: MarketClock, days: tuple[int, ...] = PLACEBO_DAYS) -> DataFrame:
+def placebos(starts: DataFrame, windows: DataFrame, clock: MarketClock, days: tuple[int, ...] = PLACEBO_DAYS) -> DataFrame:
     """The same windows whole weeks away, where they are complete and event-free."""
     s = starts.withColumn("offset_days", F.explode(F.array(*[F.lit(d) for d in days]))).withColumn("start_at", clock.ceil(shift_ts("anchor", F.col("offset_days") * 86400)))
-    return window_metrics(s, ref, clock, ["event_id", "offset_days"]).where(F.col("busy") == 0)
+    return window_metrics(s, windows, ["event_id", "offset_days"]).where(F.col("busy") == 0)
+
 
+def confounders(starts: DataFrame, spans: DataFrame, clock: MarketClock) -> DataFrame:
+    """Other events that occupy part of a window: their stretches (see `event_spans`) overlap it.
 
-def confounders(starts: DataFrame, occ: DataFrame, clock: MarketClock) -> DataFrame:
-    """Other events that occupy part of a window."""
-    n = (F.col("hours") * 3600 / clock.seconds).cast("long")
-    w = starts.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).withColumn("ts", shift_ts("start_at", F.col("_k") * clock.seconds)).select("series_id", "event_id", "hours", "ts")
-    o = occ.select("series_id", "ts", F.col("event_id").alias("other"))
-    hit = w.join(o, ["series_id", "ts"]).where(F.col("other") != F.col("event_id")).select("series_id", "event_id", "hours", "other").distinct()
+    A stretch overlaps a window if it begins inside, or holds the window's first slot.
+    """
+    w = starts.select("series_id", "event_id", "hours", "start_at", shift_ts("start_at", F.col("hours") * 3600 - clock.seconds).alias("_last"))
+    other = spans.select("series_id", F.col("event_id").alias("other"), "s", "z")
+    begins = overlap_join(other, w.withColumnRenamed("start_at", "_first"), ["series_id"], "s", "_first", "_last", closed_end=True).select("series_id", "event_id", "hours", "other")
+    holds = overlap_join(w, other, ["series_id"], "start_at", "s", "z", closed_end=True).select("series_id", "event_id", "hours", "other")
+    hit = begins.unionByName(holds).where(F.col("other") != F.col("event_id")).distinct()
     return hit.groupBy("series_id", "event_id", "hours").agg(F.count(F.lit(1)).alias("confounders"), F.array_join(F.array_sort(F.collect_list(F.col("other").cast("string"))), ",").alias("confounding_event_ids"))
 
 
@@ -157,23 +205,30 @@ def classify_results(r: DataFrame, significance: float = 0.05) -> DataFrame:
     return r.withColumn("conclusion", c)
 
 
-def event_study(prices: DataFrame, events: DataFrame, clock: MarketClock, axis: str = "announcement", hours: tuple[int, ...] = (1, 6, 24), keep=lambda df: df) -> DataFrame:
+def study_frames(prices: DataFrame, events: DataFrame, clock: MarketClock, axis: str, hours: tuple[int, ...], keep=lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(spans, windows, starts) that all parts of a study read."""
+    spans = keep(event_spans(events, clock, axis, max(hours), prices))
+    slots = keep(grid_slots(prices, spans, clock))
+    ref = reference(slots, baseline(slots.where(~F.col("busy")), tz=clock.tz), clock.tz)
+    return spans, keep(slot_windows(ref, clock, hours)), keep(event_starts(events, prices, clock, axis, hours))
+
+
+def event_study(prices: DataFrame, events: DataFrame, clock: MarketClock, axis: str = "announcement", hours: tuple[int, ...] = (1, 6, 24), keep=lambda df: df,
+                matching: str = "same_clock_day_type") -> DataFrame:
     """The whole study: one row per event and complete window with its test and conclusion.
 
-    `keep` persists the reference frame that metrics, controls and placebos all read.
+    `keep` persists the frames that metrics, controls and placebos all read.
     """
     if max(hours) > 24:
         raise ValueError("windows longer than a day need a pick order for overlapping controls")
-    occ = keep(occupied(events, clock, axis, max(hours)))
-    ref = keep(reference(prices, baseline(free_prices(prices, occ)), occ))
-    starts = keep(event_starts(events, prices, clock, axis, hours))
-    m = keep(window_metrics(starts, ref, clock, ["event_id", "direction", "anchor"]).drop("busy"))
+    spans, windows, starts = study_frames(prices, events, clock, axis, hours, keep)
+    m = keep(window_metrics(starts, windows, ["event_id", "direction", "anchor"]).drop("busy"))
     ids = ["series_id", "event_id", "hours"]
-    t = m.join(empirical_p(m, control_windows(starts, ref, clock)), ids)
+    t = m.join(empirical_p(m, control_windows(starts, windows, clock, matching), clock, matching), ids)
     t = holm(keep(t))
-    pl = placebos(starts, ref, clock).select(*ids, F.col("deviation").alias("_p"))
+    pl = placebos(starts, windows, clock).select(*ids, F.col("deviation").alias("_p"))
     pl = m.select(*ids, "deviation").join(pl, ids, "left").groupBy(*ids).agg(F.count("_p").alias("placebos"), count_if(F.abs("_p") >= F.abs("deviation")).alias("placebos_at_least"))
-    t = t.join(pl, ids, "left").join(confounders(starts, occ, clock), ids, "left").na.fill({"placebos": 0, "placebos_at_least": 0, "confounders": 0, "confounding_event_ids": ""})
+    t = t.join(pl, ids, "left").join(confounders(starts, spans, clock), ids, "left").na.fill({"placebos": 0, "placebos_at_least": 0, "confounders": 0, "confounding_event_ids": ""})
     return classify_results(t).withColumn("p", r6("p"))
 
 

@@ -245,7 +245,8 @@ ek AS (SELECT * FROM obs WHERE name = 'error'),
 ev AS (SELECT series_id, event_id, ts - to_hours(CAST(event_id % 3 AS INTEGER)) AS announcement_available_at, ts AS effective_start_at, CASE WHEN event_id % 2 = 0 THEN ts + INTERVAL 2 HOUR END AS effective_end_at, CASE event_id % 3 WHEN 0 THEN 'up' WHEN 1 THEN 'down' ELSE 'unknown' END AS direction FROM ek),
 flr AS (SELECT *, announcement_available_at AS a FROM ev),
 sp AS (SELECT series_id, event_id, unnest([{'s': a, 'e': a + INTERVAL 4 HOUR}, {'s': effective_start_at, 'e': coalesce(effective_end_at, effective_start_at + INTERVAL 4 HOUR) + INTERVAL 4 HOUR}]) AS x FROM flr),
-oc AS (SELECT DISTINCT series_id, event_id, unnest(generate_series(make_timestamp((epoch_us(x.s) // 1800000000 * 1800000000)::BIGINT), make_timestamp((ceil(epoch_us(x.e) / 1800000000.0) * 1800000000 - 1800000000)::BIGINT), INTERVAL 30 MINUTE)) AS ts FROM sp),
+oa AS (SELECT DISTINCT series_id, event_id, unnest(generate_series(make_timestamp((epoch_us(x.s) // 1800000000 * 1800000000)::BIGINT), make_timestamp((ceil(epoch_us(x.e) / 1800000000.0) * 1800000000 - 1800000000)::BIGINT), INTERVAL 30 MINUTE)) AS ts FROM sp),
+oc AS (SELECT oa.* FROM oa JOIN pb USING (series_id) WHERE ts BETWEEN lo AND hi),
 ob AS (SELECT DISTINCT series_id, ts FROM oc), fr AS (SELECT p.* FROM price p ANTI JOIN ob USING (series_id, ts)),
 bl AS (SELECT series_id, (isodow(ts) - 1) * 24 + hour(ts) AS how, avg(value) AS level, count(*) AS slots FROM fr GROUP BY 1, 2), bo AS (SELECT series_id, avg(value) AS overall, quantile_cont(value, 0.95) AS spike FROM fr GROUP BY 1),
 rf AS (SELECT p.series_id, p.ts, p.i, p.value, coalesce(level, overall) AS expected, p.value > spike AS sp, p.value - lag(p.value) OVER (PARTITION BY p.series_id ORDER BY p.ts) AS ch, ob.ts IS NOT NULL AS busy FROM price p JOIN bo USING (series_id) LEFT JOIN bl ON bl.series_id = p.series_id AND bl.how = (isodow(p.ts) - 1) * 24 + hour(p.ts) LEFT JOIN ob ON ob.series_id = p.series_id AND ob.ts = p.ts)"""
@@ -294,41 +295,39 @@ def study_events(t):
 
 
 def study_parts(t):
-    p, e = study_prices(t), study_events(t)
-    occ = t.keep(sd.occupied(e, HALF, "announcement", max(HOURS)))
-    ref = t.keep(sd.reference(p, sd.baseline(sd.free_prices(p, occ)), occ))
-    return p, e, occ, ref, t.keep(sd.event_starts(e, p, HALF, "announcement", HOURS))
+    return sd.study_frames(study_prices(t), study_events(t), HALF, "announcement", HOURS, t.keep)
 
 
 @query("occupied", f"WITH {PRICE_SQL} SELECT * FROM oc")
 def _(t):
-    return sd.occupied(study_events(t), HALF, "announcement", max(HOURS))
+    return sd.occupied(study_events(t), HALF, "announcement", max(HOURS), study_prices(t))
 
 
 @query("baseline", f"WITH {PRICE_SQL} SELECT series_id, {big('how')} AS how, {r('level')} AS level, slots, {r('overall')} AS overall, {r('spike')} AS spike_threshold FROM bl JOIN bo USING (series_id)")
 def _(t):
-    p, e = study_prices(t), study_events(t)
-    b = sd.baseline(sd.free_prices(p, sd.occupied(e, HALF, "announcement", max(HOURS))))
+    p = study_prices(t)
+    slots = t.keep(sd.grid_slots(p, sd.event_spans(study_events(t), HALF, "announcement", max(HOURS), p), HALF))
+    b = sd.baseline(slots.where(~F.col("busy")))
     return b.select("series_id", "how", r6("level").alias("level"), "slots", r6("overall").alias("overall"), r6("spike_threshold").alias("spike_threshold"))
 
 
 @query("window_metrics", f"WITH {STUDY_SQL} SELECT * EXCLUDE (anchor) FROM wm")
 def _(t):
-    p, e, occ, ref, starts = study_parts(t)
-    return sd.window_metrics(starts, ref, HALF, ["event_id", "direction"])
+    spans, windows, starts = study_parts(t)
+    return sd.window_metrics(starts, windows, ["event_id", "direction"])
 
 
 @query("control_windows", f"WITH {STUDY_SQL} SELECT series_id, start_at, hours, deviation, volatility FROM cw")
 def _(t):
-    p, e, occ, ref, starts = study_parts(t)
-    return sd.control_windows(starts, ref, HALF).select("series_id", "start_at", "hours", "deviation", "volatility")
+    spans, windows, starts = study_parts(t)
+    return sd.control_windows(starts, windows, HALF).select("series_id", "start_at", "hours", "deviation", "volatility")
 
 
 @query("empirical_p", f"WITH {STUDY_SQL} SELECT series_id, event_id, hours, controls, {r('p')} AS p, control_mean, control_std FROM pv")
 def _(t):
-    p, e, occ, ref, starts = study_parts(t)
-    m = sd.window_metrics(starts, ref, HALF, ["event_id", "direction"])
-    return sd.empirical_p(m, sd.control_windows(starts, ref, HALF)).withColumn("p", r6("p"))
+    spans, windows, starts = study_parts(t)
+    m = sd.window_metrics(starts, windows, ["event_id", "direction"])
+    return sd.empirical_p(m, sd.control_windows(starts, windows, HALF), HALF).withColumn("p", r6("p"))
 
 
 @query("holm", f"""WITH {RAW_SQL}, g AS (SELECT series_id, name, (1 + count_if(value > 50)) / (1 + count(*)) AS p FROM obs GROUP BY 1, 2), h AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY series_id) - row_number() OVER o + 1) * p) AS a FROM g WINDOW o AS (PARTITION BY series_id ORDER BY p, name))
@@ -340,14 +339,14 @@ def _(t):
 
 @query("placebos", f"WITH {STUDY_SQL} SELECT series_id, event_id, hours, offset_days, start_at, deviation FROM pl")
 def _(t):
-    p, e, occ, ref, starts = study_parts(t)
-    return sd.placebos(starts, ref, HALF).select("series_id", "event_id", "hours", "offset_days", "start_at", "deviation")
+    spans, windows, starts = study_parts(t)
+    return sd.placebos(starts, windows, HALF).select("series_id", "event_id", "hours", "offset_days", "start_at", "deviation")
 
 
 @query("confounders", f"WITH {STUDY_SQL} SELECT * FROM cf")
 def _(t):
-    p, e, occ, ref, starts = study_parts(t)
-    return sd.confounders(starts, occ, HALF)
+    spans, windows, starts = study_parts(t)
+    return sd.confounders(starts, spans, HALF)
 
 
 @query("event_study", f"WITH {STUDY_SQL} SELECT * FROM rs")
@@ -357,9 +356,9 @@ def _(t):
 
 @query("study_exclusions", f"WITH {STUDY_SQL}, al AS (SELECT series_id, event_id, CAST(unnest([1, 2, 4]) AS INTEGER) AS hours FROM ev) SELECT al.*, CASE WHEN es.event_id IS NULL THEN 'outside_price_range' ELSE 'incomplete_window' END AS reason FROM al LEFT JOIN es USING (series_id, event_id, hours) ANTI JOIN wm USING (series_id, event_id, hours)")
 def _(t):
-    p, e, occ, ref, starts = study_parts(t)
-    m = sd.window_metrics(starts, ref, HALF, ["event_id"])
-    return sd.study_exclusions(e, p, m, HALF, "announcement", HOURS)
+    spans, windows, starts = study_parts(t)
+    m = sd.window_metrics(starts, windows, ["event_id"])
+    return sd.study_exclusions(study_events(t), study_prices(t), m, HALF, "announcement", HOURS)
 
 
 def _members(t):

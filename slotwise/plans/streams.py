@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6
-from ..operators.common import ensure_checkpoint_dir
+from ..operators.common import ensure_checkpoint_dir, latest
 from ..sources import business as bz
 from ..streaming import sinks
 from .base import query, r
@@ -53,13 +53,15 @@ def _(t):
     return t.spark.read.parquet(f"{root}/out").withColumn("value", r6("value"))
 
 
-@query("stream_versions", f"WITH {CLOCK_SQL} SELECT DISTINCT series_id, name, ts, available_at, {r('value')} AS value, tie FROM ser")
+@query("stream_versions", f"WITH {CLOCK_SQL} SELECT series_id, name, ts, available_at, {r('value')} AS value, tie FROM norm")
 def _(t):
-    """Every version once, although each row arrives twice."""
+    """Latest visible version of every timestamp, although each row arrives twice."""
     root = folder(t)
-    twice = observations(t).withColumn("_x", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_x")
+    good = observations(t).where(F.col("ts").isNotNull() & F.col("value").isNotNull())
+    twice = good.withColumn("_x", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_x")
     drain(_append(sinks.stream_versions(twice, ["series_id", "name"]), root))
-    return t.spark.read.parquet(f"{root}/out").select("series_id", "name", "ts", "available_at", r6("value").alias("value"), "tie")
+    emitted = t.spark.read.parquet(f"{root}/out").select("series_id", "name", "ts", "available_at", "value", "tie")
+    return latest(emitted, ["series_id", "name", "ts"], ["available_at", "tie"]).withColumn("value", r6("value"))
 
 
 @query("stream_upsert", f"WITH {CLOCK_SQL} SELECT series_id, name, ts, {r('value')} AS value, available_at FROM norm")

@@ -1,54 +1,87 @@
-"""Structured Streaming forms: late revisions upserted per batch, version keeping, tumbling resample."""
+"""Structured Streaming forms: late revisions upserted by day, latest versions kept as state, tumbling resample."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..operators.common import latest
 from ..sources.business import merge_incremental
 from ..sources.snapshot import _fs
 
+DAY = "_day"
+
+
+# ---- upsert ---------------------------------------------------------------------------------------------------------
+
+def _batches(spark: SparkSession, folder: str) -> list[int]:
+    """Finished batch ids under a folder, oldest first; a batch counts once its data is complete."""
+    fs, p = _fs(spark, folder)
+    if not fs.exists(p(folder)):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p(folder)) if s.isDirectory() and fs.exists(p(f"{folder}/{s.getPath().getName()}/_SUCCESS"))]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
+
 
 def current_generation(spark: SparkSession, path: str) -> int | None:
-    """Newest published batch id under `path`; a generation counts once its data is complete."""
-    fs, p = _fs(spark, path)
-    if not fs.exists(p(path)):
-        return None
-    done = [s.getPath().getName() for s in fs.listStatus(p(path)) if s.isDirectory() and fs.exists(p(f"{path}/{s.getPath().getName()}/_SUCCESS"))]
-    ids = [int(n.split("=")[1]) for n in done if n.startswith("generation=")]
-    return max(ids) if ids else None
+    """Newest published batch id under `path`."""
+    done = _batches(spark, f"{path}/manifest")
+    return done[-1] if done else None
+
 
+def manifest(spark: SparkSession, path: str, generation: int) -> list[tuple[str, int]]:
+    """(day, batch that wrote it) of every day of a generation: one row a day, however many rows a day has."""
+    return sorted(tuple(r) for r in spark.read.parquet(f"{path}/manifest/batch={generation}").select("day", "batch").collect())
 
-def read_generation(spark: SparkSession, path: str) -> DataFrame:
-    g = current_generation(spark, path)
+
+def _read_days(spark: SparkSession, path: str, days: list[tuple[str, int]], schema: StructType) -> DataFrame:
+    if not days:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/data/batch={b}/{DAY}={d}" for d, b in days])
+
+
+def read_generation(spark: SparkSession, path: str, generation: int | None = None) -> DataFrame:
+    """The table as the newest (or a named) batch published it: day folders are read where their last writer left them."""
+    g = current_generation(spark, path) if generation is None else generation
     if g is None:
         raise ValueError(f"nothing published under {path}")
-    return spark.read.parquet(f"{path}/generation={g}")
+    days = manifest(spark, path, g)
+    return spark.read.parquet(*[f"{path}/data/batch={b}/{DAY}={d}" for d, b in days]) if days else spark.read.parquet(f"{path}/data/batch={g}")
 
 
 def upsert_batch(batch: DataFrame, batch_id: int, path: str, keys: list[str], fields: list[str], lookback_days: int = 30) -> None:
-    """Publish a whole new generation: rows inside the lookback are merged cell by cell, older ones carried over.
+    """Merge a batch cell by cell into the days it touches and publish a manifest of all days last.
 
-    Arriving rows older than the lookback are not merged; they are written to `path`/rejected/batch=<id> (see
-    `read_rejected`), so none goes unseen.
-    Writing the same batch id again replaces the same directory, so a retried batch changes nothing.
+    Only days with arriving rows are read and written again, as new files; all other days keep their files, and the
+    manifest points to them. Days before the lookback (counted from the newest day of the table) are closed: rows for
+    them, and rows without a time, go to `path`/rejected/batch=<id> (see `read_rejected`), so none goes unseen. A retried
+    batch starts from the manifest before it and replaces its own files. Days are UTC days of `ts`.
     """
     spark = batch.sparkSession
-    new = latest(batch, keys, ["available_at", "tie"]).drop("tie")
-    prev = current_generation(spark, path)
-    prev = prev if prev is None or prev < batch_id else max((g for g in range(batch_id) if _published(spark, path, g)), default=None)
-    if prev is None:
-        out = new
-    else:
-        old = spark.read.parquet(f"{path}/generation={prev}")
-        edge = old.agg(F.max("ts").alias("_m")).withColumn("_m", F.col("_m") - F.expr(f"INTERVAL {lookback_days} DAYS")).head()["_m"]
-        new.where((F.col("ts") < F.lit(edge)) | F.col("ts").isNull()).write.mode("overwrite").parquet(f"{path}/rejected/batch={batch_id}")
-        fresh = old.where(F.col("ts") >= F.lit(edge))
-        merged = merge_incremental(fresh, new.where(F.col("ts") >= F.lit(edge)), keys, fields)
-        out = old.where(F.col("ts") < F.lit(edge)).select(*merged.columns).unionByName(merged)
-    out.write.mode("overwrite").parquet(f"{path}/generation={batch_id}")
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("ts") / 86400).cast("int")).cast("string")
+    new = latest(batch, keys, ["available_at", "tie"]).drop("tie").select(*keys, *fields, "available_at").withColumn(DAY, day)
+    earlier = [b for b in _batches(spark, f"{path}/manifest") if b < batch_id]
+    known = manifest(spark, path, earlier[-1]) if earlier else []
+    late = F.col("ts").isNull()
+    if known:
+        edge = F.date_sub(F.lit(max(known)[0]).cast("date"), lookback_days).cast("string")
+        late = late | (F.col(DAY) < edge)
+        new.where(late).drop(DAY).write.mode("overwrite").parquet(f"{path}/rejected/batch={batch_id}")
+    new = new.where(~late)
+    touched = {r[0] for r in new.select(DAY).distinct().collect()}         # days inside the lookback
+    schema = StructType([f for f in new.schema.fields if f.name != DAY])
+    old = _read_days(spark, path, [x for x in known if x[0] in touched], schema)
+    out = merge_incremental(old, new.drop(DAY), keys, fields).withColumn(DAY, day)
+    # a day of many rows is split over tasks, a day of few is one file
+    out.repartitionByRange(DAY, *keys).write.mode("overwrite").partitionBy(DAY).parquet(f"{path}/data/batch={batch_id}")
+    rows = [(d, b) for d, b in known if d not in touched] + [(d, batch_id) for d in touched]
+    spark.createDataFrame(rows, "day string, batch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/batch={batch_id}")
 
 
 def read_rejected(spark: SparkSession, path: str) -> DataFrame | None:
@@ -57,19 +90,68 @@ def read_rejected(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/rejected") if fs.exists(p(f"{path}/rejected")) else None
 
 
-def _published(spark: SparkSession, path: str, g: int) -> bool:
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Delete day folders and manifests that the newest `keep` generations do not need; returns what was deleted."""
     fs, p = _fs(spark, path)
-    return fs.exists(p(f"{path}/generation={g}/_SUCCESS"))
+    done = _batches(spark, f"{path}/manifest")
+    needed = {(b, d) for g in done[-keep:] for d, b in manifest(spark, path, g)}
+    gone = []
+    for b in _batches(spark, f"{path}/data"):
+        if done and b > done[-1]:
+            continue                                                        # written, not yet published
+        folder = f"{path}/data/batch={b}"
+        days = [s.getPath().getName().split("=")[1] for s in fs.listStatus(p(folder)) if s.isDirectory()]
+        unused = [d for d in days if (b, d) not in needed]
+        for f in [folder] if len(unused) == len(days) and b not in done[-keep:] else [f"{folder}/{DAY}={d}" for d in unused]:
+            fs.delete(p(f), True)
+            gone.append(f)
+    for g in done[:-keep]:
+        fs.delete(p(f"{path}/manifest/batch={g}"), True)
+        gone.append(f"{path}/manifest/batch={g}")
+    return gone
 
 
 def stream_upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], fields: list[str], lookback_days: int = 30) -> DataStreamWriter:
-    """Writer that folds arriving versions (keys, ts in keys, fields, available_at, tie) into generations of `path`."""
+    """Writer that folds arriving versions (keys, ts in keys, fields, available_at, tie) into the days of `path`."""
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: upsert_batch(df, i, path, keys, fields, lookback_days))
 
 
+# ---- latest versions ------------------------------------------------------------------------------------------------
+
 def stream_versions(stream: DataFrame, keys: list[str], delay: str = "1 day") -> DataFrame:
-    """Exact repeats (same keys, time and availability) dropped while the watermark remembers them."""
-    return stream.withWatermark("available_at", delay).dropDuplicatesWithinWatermark([*keys, "ts", "available_at", "tie"])
+    """Newest version per (keys, ts) as rows arrive: a row comes out when it is newer than all before it.
+
+    State holds (available_at, tie) of the newest version of a timestamp; equal times are decided by the larger tie, and a
+    row equal in both is a repeat. Rows later than the watermark (`delay` behind the newest `available_at`) are left out by
+    Spark, so state of versions the watermark has passed can go: whatever still arrives is newer. The newest row
+    per key of the output, by (available_at, tie), is the latest visible version.
+    """
+    by = [*keys, "ts"]
+    kept = [c for c in stream.columns if c not in by]
+
+    def newest(key, frames: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = state.get if state.exists else None
+        best = None
+        for pdf in frames:
+            rows = pdf.dropna(subset=["available_at", "tie"])
+            if len(rows):
+                row = rows.sort_values(["available_at", "tie"]).iloc[[-1]]
+                at = int(row["available_at"].iloc[0].value // 1000), int(row["tie"].iloc[0])
+                if best is None or at > best[0]:
+                    best = at, row
+        if best is not None and (held is None or best[0] > tuple(held)):
+            state.update(best[0])
+            held = best[0]
+            yield best[1][[f.name for f in schema.fields]]
+        if held is not None:
+            # never before the watermark, which the engine refuses
+            state.setTimeoutTimestamp(max(held[0] // 1000, state.getCurrentWatermarkMs()) + 1)
+    schema = StructType([stream.schema[c] for c in [*by, *kept]])
+    marked = stream.withWatermark("available_at", delay)
+    return marked.groupBy(*by).applyInPandasWithState(newest, schema, "at long, tie long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_resample(stream: DataFrame, freq: str, agg: str = "mean", delay: str = "1 hour") -> DataFrame:
