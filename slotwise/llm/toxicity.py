@@ -3,7 +3,8 @@
 Disguised tokens (look-alike digits and marks, letters set apart by spaces or marks, repeated letters) become character
 lattices; Viterbi decoding under a character trigram model of the corpus picks the word. A token with one path, which is
 what a plain word is, needs no decoding. A token with a doubled character is read twice, with both kept and with one
-offered, and both readings count, as plain words have doubles too. Words and their beginnings are scored by how surely they mark labelled toxic
+offered, and both readings count, as plain words have doubles too. A word broken into pieces is read from at least three
+pieces of one or two characters; two longer pieces in a row are two words. Words and their beginnings are scored by how surely they mark labelled toxic
 documents, and a logistic curve over a document's surest words gives the score.
 
 Defined results: a null or empty text has no words and gets the score of a text without marked words; a null doc_id is
@@ -38,6 +39,7 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
 APART = ".-_*~'`^,/\\"   # marks that may set letters apart
 LOOK_COST, DROP_COST, SAME_COST, SPLIT_COST = 0.7, 0.4, 0.7, 3.0
 STRIP = re.compile(r"^[\W_]*[\"'.,;:?()\[\]{}<>*_~-]+(?=\w)|[.,;:?\"')\]}>]+$|([%&$#*!|+])\1+$")
+ENDS = ".,;:?\"')]}>"      # what STRIP takes from the end of a word of letters
 TRIPLE = re.compile(r"(.)\1\1")
 TWICE = re.compile(r"(.)\1")
 PIECES = re.compile(b"\1{3,}")          # at least three tokens in a row of one or two characters
@@ -49,6 +51,9 @@ def code(ch: str) -> int:
 
 def bare(token: str) -> str:
     """Lower-cased token without outer punctuation and trailing runs of marks."""
+    plain = token.rstrip(ENDS)
+    if plain.isalpha():
+        return plain.lower()
     prev = None
     while prev != token:
         prev, token = token, STRIP.sub("", token)
@@ -83,15 +88,17 @@ def trigram_counts(words: DataFrame) -> np.ndarray:
     """Counts of character triples of all words, boundaries included; SYMBOLS ** 3 numbers."""
     def run(batches):
         total = np.zeros(SYMBOLS ** 3)
-        for pdf in batches:
-            for w, n in zip(pdf["word"], pdf["n"]):
-                c = [0, 0, *map(code, w), 0]
-                for i in range(len(c) - 2):
-                    total[(c[i] * SYMBOLS + c[i + 1]) * SYMBOLS + c[i + 2]] += n
+        for b in slices(batches):
+            text = b.column("word").to_pylist()
+            c = np.frombuffer("".join(f"\0\0{w}\0" for w in text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            c = np.where((c >= 97) & (c <= 122), c - 96, np.where(c == 0, 0, 27 + c % (SYMBOLS - 27)))
+            size = np.fromiter(map(len, text), np.int64, len(text)) + 1                # triples of each word
+            first = np.repeat(np.concatenate(([0], np.cumsum(size + 2)[:-1])), size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            total += np.bincount((c[first] * SYMBOLS + c[first + 1]) * SYMBOLS + c[first + 2], np.repeat(b.column("n").to_numpy(zero_copy_only=False), size), SYMBOLS ** 3)
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"at": at, "n": total[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
     out = np.zeros(SYMBOLS ** 3)
-    for at, n in words.mapInPandas(run, "at long, n double").groupBy("at").agg(F.sum("n")).collect():
+    for at, n in words.select("word", "n").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n")).collect():
         out[at] = n
     return out
 
@@ -166,10 +173,11 @@ class Restored(dict):
 
 def spaced_stretches(tokens: list[str]):
     """Stretches of at least three tokens of one or two characters, lower-cased, with single spaces; bars end a stretch."""
-    for m in PIECES.finditer(bytes([len(t) < 3 and "|" not in t for t in tokens])):
-        stretch = " ".join(tokens[m.start():m.end()]).lower()
-        if sum(map(str.isalpha, stretch)) >= 2:
-            yield stretch
+    for m in PIECES.finditer(bytes([n < 3 for n in map(len, tokens)])):
+        for part in "\n".join("" if "|" in t else t for t in tokens[m.start():m.end()]).split("\n\n"):
+            pieces = part.split()
+            if len(pieces) > 2 and sum(map(str.isalpha, part)) >= 2:
+                yield " ".join(pieces).lower()
 
 
 def stretch_words(stretch: str, logp: np.ndarray) -> set[str]:
@@ -224,57 +232,59 @@ class Lexicon:
         return [s[0] if s else 0.0, s[1] if len(s) > 1 else 0.0, float(np.log1p(len(s)))]
 
 
+#: What `skeleton` makes of a character: look-alikes and l, which 1 and | are read as beside i, as one letter.
+FOLD = str.maketrans({ch: letters[0] for ch, letters in LOOKS.items()} | {"l": "i"})
+RUN = re.compile(r"(.)\1+")
+
+
 def skeleton(token: str) -> str:
     """What all readings of a lower-cased token share: letters and look-alikes as one letter each, runs as one, no marks."""
-    out = ""
-    for ch in token:
-        ch = LOOKS[ch][0] if ch in LOOKS else ch
-        ch = "i" if ch == "l" else ch                       # 1, | read as either
-        if ch.isalpha() and ch != out[-1:]:
-            out += ch
-    return out
+    folded = token.translate(FOLD)
+    return RUN.sub(r"\1", folded if folded.isalpha() else "".join(filter(str.isalpha, folded)))
 
 
 class Marked(dict):
-    """token -> its surely toxic words.
+    """lower-cased token -> its surely toxic words.
 
-    Only tokens that can be read as a sure word or beginning are decoded: skeletons of all readings are alike.
+    Only tokens that can be read as a sure word or beginning are decoded: skeletons of all readings are alike. Longer
+    tokens whose first letters no sure word has are not stored, as they come once or twice.
     """
 
     def __init__(self, restored: Restored, lexicon: Lexicon):
         self.restored, self.lexicon = restored, lexicon
-        self.words = {skeleton(k[1:]) for k in lexicon.sure if k[0] == "="}
-        self.beginnings = {skeleton(k) for k in lexicon.sure if k[0] != "="}
-        self.lengths = sorted({len(k) for k in self.beginnings})
-        self.joined = {k[1:] for k in lexicon.sure if k[0] == "="}
+        whole = {k[1:] for k in lexicon.sure if k[0] == "="}
+        begin = {k for k in lexicon.sure if k[0] != "="}
+        self.heads = {k[:4] for k in whole | begin}
+        self.words, self.beginnings = set(map(skeleton, whole)), set(map(skeleton, begin))
         self.parts = self.words | self.beginnings
-        self.part_lengths = sorted({len(k) for k in self.parts})
+        self.part_heads = {k[:3] for k in self.parts}
+        self.lengths, self.part_lengths = (sorted({len(k) for k in x}) for x in (self.beginnings, self.parts))
 
     def reachable(self, token: str) -> bool:
         s = skeleton(token)
-        return s in self.words or any(s[:n] in self.beginnings for n in self.lengths)
+        return s[:3] in self.part_heads and (s in self.words or any(s[:n] in self.beginnings for n in self.lengths))
 
     def __missing__(self, token):
         w, score = bare(token), self.lexicon.score
         if w.isalpha() and not TWICE.search(w):
+            if w[:4] not in self.heads:
+                return remember(self, token, ()) if len(token) < 7 else ()
             out = (w,) if score(w) else ()
+        elif self.reachable(w):
+            out = tuple(filter(score, self.restored.read(token)))
         else:
-            out = tuple(filter(score, self.restored.read(token))) if self.reachable(w) else ()
+            return ()
         return remember(self, token, out)
 
     def of(self, text: str) -> set[str]:
         """Surely toxic words of a text, disguised ones restored."""
-        tokens = text.split()
+        tokens = text.lower().split()
         found = {w for ws in filter(None, map(self.__getitem__, set(tokens))) for w in ws}
         for stretch in spaced_stretches(tokens):
             s = skeleton(stretch)
             # a word may begin and end at any piece
-            if any(s[i:i + n] in self.parts for i in range(len(s)) for n in self.part_lengths):
+            if any(s[i:i + 3] in self.part_heads and any(s[i:i + n] in self.parts for n in self.part_lengths) for i in range(len(s))):
                 found.update(filter(self.lexicon.score, stretch_words(stretch, self.restored.logp)))
-        lowered = text.lower().split()
-        for word in self.joined.intersection(map(str.__add__, lowered, lowered[1:])):
-            # two pieces: the language model must prefer the whole word
-            found.update(w for a, b in zip(lowered, lowered[1:]) if a + b == word for w in decode(f"{a} {b}", self.restored.logp).split() if w == word)
         return found
 
 
