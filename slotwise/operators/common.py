@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 CHUNK = 8192
 RANK_BUCKETS = 65536
+RANK_ROWS = 100_000      # distinct values of a range that one task orders
 
 
 def with_halo(df: DataFrame, keys: list[str], back: int = 0, ahead: int = 0,
@@ -93,12 +94,13 @@ def value_counts(df: DataFrame, keys: list[str], col: str) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("_cnt")))
 
 
-def ranked_values(df: DataFrame, keys: list[str], col: str) -> DataFrame:
+def ranked_values(df: DataFrame, keys: list[str], col: str, rows: int = RANK_ROWS) -> DataFrame:
     """Distinct values per key with count `_cnt`, rows below `_before`, total `_n`.
 
-    Equal values are counted before anything is ordered. The order is then
-    built from value buckets (an even cut of the signed log between the key's
-    exact minimum and maximum), so no task sorts a whole key.
+    Equal values are counted before anything is ordered. Values are then dealt into ranges in two levels: an even cut of
+    the signed log between the key's exact extremes, and, inside ranges of more than `rows` distinct values, an even cut
+    between the exact extremes of the range. Only totals of ranges are summed in order per key, so values crowded far
+    from their key's extremes still spread over the tasks.
     """
     log = lambda c: F.signum(c) * F.log1p(F.abs(c))
     vc = value_counts(df, keys, col).withColumn("_u", log(F.col("_v").cast("double")))
@@ -106,17 +108,18 @@ def ranked_values(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     on = keys or ["_one"]
     if not keys:
         vc, ext = vc.withColumn("_one", F.lit(1)), ext.withColumn("_one", F.lit(1))
-    b = vc.join(ext, on).withColumn(
-        "_b", F.when(F.col("_hi") > F.col("_lo"),
-                     F.floor((F.col("_u") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * RANK_BUCKETS))
-        .otherwise(F.lit(0)))
-    inside = Window.partitionBy(*on, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    rows = b.withColumn("_in", F.coalesce(F.sum("_cnt").over(inside), F.lit(0)))
-    before = Window.partitionBy(*on).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = (b.groupBy(*on, "_b").agg(F.sum("_cnt").alias("_t"))
-             .select(*on, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base")))
-    return (rows.join(base, [*on, "_b"])
-                .select(*keys, "_v", "_cnt", (F.col("_base") + F.col("_in")).alias("_before"), "_n"))
+    place = lambda v, lo, hi, n: F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * n), n - 1)).otherwise(F.lit(0)).cast("long")
+    b = vc.join(ext, on).withColumn("_b", place(F.col("_u"), F.col("_lo"), F.col("_hi"), F.lit(RANK_BUCKETS)))
+    v = F.col("_v").cast("double")
+    crowd = b.groupBy(*on, "_b").agg(F.min(v).alias("_vl"), F.max(v).alias("_vh"), F.ceil(F.count(F.lit(1)) / rows).alias("_parts")).where("_parts > 1")
+    b = b.join(crowd, [*on, "_b"], "left").withColumn("_s", F.coalesce(place(v, F.col("_vl"), F.col("_vh"), F.col("_parts")), F.lit(0)))
+    inside = Window.partitionBy(*on, "_b", "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    rows_ = b.repartition(*on, "_b", "_s").withColumn("_in", F.coalesce(F.sum("_cnt").over(inside), F.lit(0)))
+    before = Window.partitionBy(*on).orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
+    base = (b.groupBy(*on, "_b", "_s").agg(F.sum("_cnt").alias("_t"))
+             .select(*on, "_b", "_s", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base")))
+    return (rows_.join(base, [*on, "_b", "_s"])
+                 .select(*keys, "_v", "_cnt", (F.col("_base") + F.col("_in")).alias("_before"), "_n"))
 
 
 def quantiles(df: DataFrame, keys: list[str], col: str, probs: dict[str, float]) -> DataFrame:

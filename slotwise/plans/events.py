@@ -1,5 +1,7 @@
 """Queries over event candidates, merged events, event features and the event-window price study."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6, shift_ts
@@ -186,7 +188,13 @@ def _(t):
     return ft.known_state(s, q).select("q", "event_id", F.col("at").alias("instant"), "state_available_at", "event_type", r6("capacity_mw").alias("capacity_mw"))
 
 
-@query("restored_slots", f"WITH {feature_sql()} SELECT kn.series_id, kn.event_id, kn.ts FROM kn JOIN rz USING (series_id, ts, event_id) WHERE restored_at <= kn.ts AND effective_start_at < kn.ts + INTERVAL 1 HOUR AND coalesce(effective_end_at > kn.ts, true)")
+@query("restored_slots", f"""WITH {STATE_SQL},
+vs AS (SELECT *, coalesce(lead(available_at) OVER (PARTITION BY event_id ORDER BY available_at), TIMESTAMP '9999-01-01') AS ku FROM st),
+us AS (SELECT * FROM vs WHERE relevance = 'short_term' AND eligibility = 'eligible' AND status <> 'cancelled' AND review_status <> 'rejected'),
+pr AS (SELECT o.series_id, o.event_id, greatest(o.available_at, q.available_at, q.effective_start_at) AS lo, o.effective_start_at - INTERVAL 1 HOUR AS past, max(least(o.ku, q.ku, coalesce(o.effective_end_at, TIMESTAMP '9999-01-01'))) AS hi
+  FROM us o JOIN us q ON q.series_id = o.series_id AND q.asset_key = o.asset_key AND q.effective_start_at >= o.effective_start_at WHERE o.event_type = 'generation_outage' AND q.event_type = 'generation_restore' GROUP BY 1, 2, 3, 4),
+g AS (SELECT unnest(generate_series({LO}, {HI} - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS ts)
+SELECT DISTINCT series_id, event_id, ts FROM pr JOIN g ON ts >= lo AND ts < hi AND ts > past WHERE lo < hi""")
 def _(t):
     spans = ft.active_spans(ft.pieces(states(t)), CLOCK)
     return ft.restored_slots(spans, ft.grid_limits(bounds(t), CLOCK), CLOCK).select("series_id", "event_id", F.timestamp_seconds(F.col("slot") * 3600).alias("ts"))
@@ -354,6 +362,38 @@ def _(t):
     return sd.event_study(study_prices(t), study_events(t), HALF, "announcement", HOURS, t.keep)
 
 
+# ---- the same study in a zone with a clock change: all times 75 days later, around the last Sunday of March
+
+ZONE, SHIFT_DAYS = "Europe/Berlin", 75
+ZONED = al.MarketClock("m", ZONE, 30)
+
+
+def zoned(sql: str) -> str:
+    """Study SQL with times moved, hours and weekdays in the zone, and controls on the same weekday."""
+    sql = sql.replace("event_type AS name, ts, value", f"event_type AS name, ts + to_days({SHIFT_DAYS}) AS ts, value")
+    sql = re.sub(r"\b(hour|minute|isodow)\(([a-z_.]+)\)", rf"\1((\2 AT TIME ZONE 'UTC') AT TIME ZONE '{ZONE}')", sql)
+    return sql.replace(" >= 6", "")
+
+
+def later(df):
+    times = [c for c in df.columns if c == "ts" or c.endswith("_at")]
+    return df.withColumns({c: shift_ts(c, SHIFT_DAYS * 86400) for c in times})
+
+
+@query("zone_baseline", f"WITH {zoned(PRICE_SQL)} SELECT series_id, {big('how')} AS how, {r('level')} AS level, slots FROM bl")
+def _(t):
+    """Hours of the week are local ones, before and after the clock change."""
+    p = t.keep(later(study_prices(t)))
+    slots = t.keep(sd.grid_slots(p, sd.event_spans(later(study_events(t)), ZONED, "announcement", max(HOURS), p), ZONED))
+    return sd.baseline(slots.where(~F.col("busy")), tz=ZONE).select("series_id", "how", r6("level").alias("level"), "slots")
+
+
+@query("zone_study", f"WITH {zoned(STUDY_SQL)} SELECT * FROM rs")
+def _(t):
+    """Controls at the same local clock time and weekday."""
+    return sd.event_study(t.keep(later(study_prices(t))), t.keep(later(study_events(t))), ZONED, "announcement", HOURS, t.keep, "same_clock_weekday")
+
+
 @query("study_exclusions", f"WITH {STUDY_SQL}, al AS (SELECT series_id, event_id, CAST(unnest([1, 2, 4]) AS INTEGER) AS hours FROM ev) SELECT al.*, CASE WHEN es.event_id IS NULL THEN 'outside_price_range' ELSE 'incomplete_window' END AS reason FROM al LEFT JOIN es USING (series_id, event_id, hours) ANTI JOIN wm USING (series_id, event_id, hours)")
 def _(t):
     spans, windows, starts = study_parts(t)

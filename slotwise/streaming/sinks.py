@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,37 +122,36 @@ def stream_upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str]
 def stream_versions(stream: DataFrame, keys: list[str], delay: str = "1 day") -> DataFrame:
     """Newest version per (keys, ts) as rows arrive: a row comes out when it is newer than all before it.
 
-    State holds (available_at, tie) of the newest version of a timestamp; equal times are decided by the larger tie, and a
-    row equal in both is a repeat. Rows later than the watermark (`delay` behind the newest `available_at`) are left out by
-    Spark, so state of versions the watermark has passed can go: whatever still arrives is newer. The newest row
-    per key of the output, by (available_at, tie), is the latest visible version.
+    State holds (available_at, tie) of the newest version of each timestamp, a day of timestamps together; equal times are
+    decided by the larger tie, and a row equal in both is a repeat. Rows later than the watermark (`delay` behind the
+    newest `available_at`) are left out by Spark, so what the watermark has passed can leave the state: whatever still
+    arrives is newer. The newest row per key of the output, by (available_at, tie), is the latest visible version. Rows
+    without ts, available_at or tie are left out.
     """
-    by = [*keys, "ts"]
-    kept = [c for c in stream.columns if c not in by]
+    columns = stream.columns
+    schema = stream.select(*columns).schema
 
     def newest(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
+        held = dict(zip(state.get[0], zip(*state.get[1:]))) if state.exists else {}
+        if not state.hasTimedOut:
+            for pdf in frames:
+                ts, at, tie = (pdf[c].to_numpy() for c in ("_ts", "_at", "tie"))
+                order = np.lexsort((tie, at, ts))
+                last = order[np.append(ts[order][1:] != ts[order][:-1], True)] if len(order) else order
+                fresh = [i for i, t, v in zip(last.tolist(), ts[last].tolist(), zip(at[last].tolist(), tie[last].tolist())) if t not in held or v > tuple(held[t])]
+                held.update((int(ts[i]), (int(at[i]), int(tie[i]))) for i in fresh)
+                if fresh:
+                    yield pdf.iloc[fresh][columns]
+        mark = state.getCurrentWatermarkMs()
+        held = {t: v for t, v in held.items() if v[0] // 1000 >= mark}
+        if held:
+            state.update((list(held), [v[0] for v in held.values()], [v[1] for v in held.values()]))
+            state.setTimeoutTimestamp(min(v[0] for v in held.values()) // 1000 + 1)
+        elif state.exists:
             state.remove()
-            return
-        held = state.get if state.exists else None
-        best = None
-        for pdf in frames:
-            rows = pdf.dropna(subset=["available_at", "tie"])
-            if len(rows):
-                row = rows.sort_values(["available_at", "tie"]).iloc[[-1]]
-                at = int(row["available_at"].iloc[0].value // 1000), int(row["tie"].iloc[0])
-                if best is None or at > best[0]:
-                    best = at, row
-        if best is not None and (held is None or best[0] > tuple(held)):
-            state.update(best[0])
-            held = best[0]
-            yield best[1][[f.name for f in schema.fields]]
-        if held is not None:
-            # never before the watermark, which the engine refuses
-            state.setTimeoutTimestamp(max(held[0] // 1000, state.getCurrentWatermarkMs()) + 1)
-    schema = StructType([stream.schema[c] for c in [*by, *kept]])
-    marked = stream.withWatermark("available_at", delay)
-    return marked.groupBy(*by).applyInPandasWithState(newest, schema, "at long, tie long", "append", GroupStateTimeout.EventTimeTimeout)
+    known = stream.where(F.col("ts").isNotNull() & F.col("available_at").isNotNull() & F.col("tie").isNotNull()).withWatermark("available_at", delay)
+    known = known.withColumns({"_ts": F.unix_micros("ts"), "_at": F.unix_micros("available_at"), "_day": F.floor(F.unix_seconds("ts") / 86400)})
+    return known.groupBy(*keys, "_day").applyInPandasWithState(newest, schema, "ts array<long>, at array<long>, tie array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_resample(stream: DataFrame, freq: str, agg: str = "mean", delay: str = "1 hour") -> DataFrame:

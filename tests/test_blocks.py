@@ -157,3 +157,29 @@ def test_pacf_matches_yule_walker(spark):
     r = np.array([e[k:] @ e[:len(e) - k] for k in range(7)]) / (e @ e)
     want = [np.linalg.solve(np.array([[r[abs(i - j)] for j in range(k)] for i in range(k)]), r[1:k + 1])[-1] for k in range(1, 7)]
     np.testing.assert_allclose(got, want, atol=1e-6)
+
+
+def test_crowded_values_spread_over_ranges(spark):
+    """Values near 1e9 beside a single 0: ranks are exact, and no task orders more than a few times the aim."""
+    df = spark.range(40_000).selectExpr("'a' AS k", "CASE WHEN id = 0 THEN 0.0 ELSE 1e9 + (id * 7919) % 40000 / 8.0 END AS x")
+    got = cm.ranked_values(df, ["k"], "x", rows=500)
+    rows = sorted((r._v, r._before) for r in got.collect())
+    assert [b for _, b in rows] == list(range(40_000)) and rows == sorted(rows)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")       # small partitions would be put together
+    try:
+        sizes = cm.ranked_values(df, ["k"], "x", rows=500).selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(r["count"] for r in sizes) < 40_000 / 2
+
+
+def test_long_spans_have_few_copies(spark):
+    """A span to the year 9999 meets its points once each, from a bounded number of copies."""
+    from pyspark.sql import functions as F
+    s = spark.sql("SELECT 1 AS sid, timestamp'2024-01-03 05:00:00' AS a, timestamp'9999-12-31' AS b UNION ALL SELECT 2, timestamp'1969-12-20', timestamp'2024-02-01 12:00:00'")
+    copies = s.select(F.size(cm.span_buckets(F.floor(F.unix_seconds("a") / 86400), F.floor(F.unix_seconds("b") / 86400))).alias("n")).collect()
+    assert max(r.n for r in copies) <= 2 * cm.SPAN_BASE * cm.SPAN_LEVELS
+    p = spark.sql("SELECT id, timestamp'2023-12-30' + make_dt_interval(id % 60, id % 24) AS t FROM range(500) UNION ALL SELECT 900, timestamp'7000-05-05' UNION ALL SELECT 901, timestamp'1969-12-25'")
+    got = sorted((r.id, r.sid) for r in cm.overlap_join(p, s, [], "t", "a", "b").collect())
+    want = sorted((r.id, r.sid) for r in p.crossJoin(s).where("t >= a AND t < b").select("id", "sid").collect())
+    assert got == want and len(got) > 700
