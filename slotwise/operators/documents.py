@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,11 +12,26 @@ from pyspark.sql import types as T
 from .common import latest, prefix_sums
 
 
+# Characters that no normal form composes or replaces; texts of these only are NFC as they are.
+PLAIN = r"\x00-\u02ff\u0400-\u0482\u048a-\u04ff\u2010-\u2027\u2030-\u205e\u3000-\u3098\u309d-\u30ff\u4e00-\u9fff\uac00-\ud7a3\uff00-\uffee"
+SPACES = r"\t\x0b\x0c\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+@F.pandas_udf(T.StringType())
+def _nfc(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
+
+
+def composed(c: Column) -> Column:
+    """Text in NFC. Only texts with a character outside PLAIN leave the JVM."""
+    return F.coalesce(_nfc(F.when(c.rlike(f"[^{PLAIN}]"), c)), c)
+
+
 def normalize_text(col) -> Column:
-    """One newline form, single spaces inside lines, no blank lines at the edges (text is taken as NFC)."""
-    c = F.col(col) if isinstance(col, str) else col
+    """NFC, one newline form, single spaces inside lines, no blank lines at the edges."""
+    c = composed(F.col(col) if isinstance(col, str) else col)
     t = F.regexp_replace(c, r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"[^\S\n]+", " ")
+    t = F.regexp_replace(t, f"[{SPACES}]+", " ")
     t = F.regexp_replace(t, r" ?\n ?", "\n")
     return F.regexp_replace(t, r"^[ \n]+|[ \n]+$", "")
 

@@ -6,8 +6,12 @@ Every rule is a built-in expression over the whole title and body.
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import count_if, to_utc
 from .documents import digest
@@ -114,7 +118,7 @@ def event_records(docs: DataFrame, tz: str = "UTC") -> DataFrame:
     reason = (F.when(F.col("quarantine_reason").isNotNull(), F.col("quarantine_reason")).when(carries & F.col("time_ambiguous"), "ambiguous_event_time")
                .when((F.col("relevance") == "short_term") & F.col("effective_start_at").isNull(), "missing_effective_start"))
     d = d.withColumn("quarantine_reason", reason)
-    d = d.withColumn("region_keys", region_keys("affected_regions", "affected_assets")).withColumn("asset_keys", asset_keys("affected_assets"))
+    d = canonical_entities(d, "affected_regions", "affected_assets")
     ident = digest(F.array_join("region_keys", ","), F.array_join("asset_keys", ","), F.date_format("effective_start_at", "yyyy-MM-dd'T'HH:mm:ss"), F.col("event_type"),
                    F.when(F.col("event_type").isin(*VALUELESS), F.col("document_id")))
     return d.withColumn("event_id", F.when(F.col("quarantine_reason").isNull(), F.concat(F.lit("evt_"), F.substring(ident, 1, 24))))
@@ -133,8 +137,36 @@ _FULL = "".join(chr(0xFF01 + j) for j in range(94)) + "　"
 _HALF = "".join(chr(0x21 + j) for j in range(94)) + " "
 
 
+# Characters that the JVM folds like NFKC and case folding do: ASCII, ideographs and full-width forms.
+SIMPLE = r"\x00-\x7f\u3000\u4e00-\u9fff\uff01-\uff5e"
+
+
+def _folded(s: str) -> str:
+    return unicodedata.normalize("NFKC", s).casefold()
+
+
+@F.pandas_udf(T.StringType())
+def _fold_text(text: pd.Series) -> pd.Series:
+    return text.map(_folded, na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _fold_texts(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda a: None if a is None else [None if s is None else _folded(s) for s in a])
+
+
+def narrowed(c: Column) -> Column:
+    """NFKC and folded case where a text has characters beyond SIMPLE; other texts stay in the JVM."""
+    return F.coalesce(_fold_text(F.when(c.rlike(f"[^{SIMPLE}]"), c)), c)
+
+
+def all_narrowed(c: Column) -> Column:
+    """`narrowed` for every text of an array."""
+    return F.coalesce(_fold_texts(F.when(F.exists(c, lambda s: s.rlike(f"[^{SIMPLE}]")), c)), c)
+
+
 def fold(c: Column) -> Column:
-    """Comparable characters only: full-width forms narrowed, punctuation and spaces dropped, lower case."""
+    """Comparable characters only, of narrowed text: full-width forms narrowed, punctuation and spaces dropped, lower case."""
     return F.lower(F.regexp_replace(F.translate(c, _FULL, _HALF), r"[^\p{L}\p{N}_]", ""))
 
 
@@ -151,19 +183,20 @@ def _known(key: Column) -> Column:
     return key.isin(*sorted(set(REGIONS.values())))
 
 
-def region_keys(regions: str, assets: str) -> Column:
+def region_keys(regions: Column, assets: Column) -> Column:
     """Sorted distinct region keys, with region names that were listed as assets moved in."""
-    from_assets = F.filter(F.transform(F.col(assets), canonical_region), _known)
-    return F.array_sort(F.array_distinct(F.filter(F.concat(F.transform(F.col(regions), canonical_region), from_assets), lambda k: k != "")))
+    from_assets = F.filter(F.transform(assets, canonical_region), _known)
+    return F.array_sort(F.array_distinct(F.filter(F.concat(F.transform(regions, canonical_region), from_assets), lambda k: k != "")))
 
 
-def asset_keys(assets: str) -> Column:
-    left = F.filter(F.col(assets), lambda a: ~_known(canonical_region(a)))
+def asset_keys(assets: Column) -> Column:
+    left = F.filter(assets, lambda a: ~_known(canonical_region(a)))
     return F.array_sort(F.array_distinct(F.filter(F.transform(left, fold), lambda k: k != "")))
 
 
 def canonical_entities(df: DataFrame, regions: str = "regions", assets: str = "assets") -> DataFrame:
-    return df.withColumn("region_keys", region_keys(regions, assets)).withColumn("asset_keys", asset_keys(assets))
+    named = df.withColumns({"_regions": all_narrowed(F.col(regions)), "_assets": all_narrowed(F.col(assets))})
+    return named.withColumns({"region_keys": region_keys(F.col("_regions"), F.col("_assets")), "asset_keys": asset_keys(F.col("_assets"))}).drop("_regions", "_assets")
 
 
 # Parents that name no plant.
@@ -192,14 +225,14 @@ def expand_assets(df: DataFrame, mention: str = "mention") -> DataFrame:
     ids = F.regexp_extract_all(F.when(en, F.regexp_extract(m, EN_UNITS, 2)).otherwise(F.regexp_extract(m, CN_UNITS, 2)), F.lit(r"(\d+)"), F.lit(1))
     listed = en | cn
     parent = F.coalesce(base, F.when(m.rlike(CN_UNIT), F.regexp_extract(m, CN_UNIT, 1)))
-    unnamed = parent.isNotNull() & fold(parent).isin(*UNNAMED_PARENTS)
+    unnamed = parent.isNotNull() & fold(narrowed(parent)).isin(*UNNAMED_PARENTS)
     bare = m.rlike(r"(?i)^(?:unit\s+\d+|\d+号机组)$")
     ranged = m.rlike(r"(?i)\bunits\b|\d+\s*[-–/、和及或至到~]\s*\d+")
     fleet = m.rlike(r"(?i)\b(?:fleet|generation|plants|reactors|stations)\b|^\d+\s*(?:台|座)")
     reason = (F.when(unnamed | bare, "unnamed_parent").when(listed & (F.size(F.array_distinct(ids)) != F.size(ids)), "repeated_unit").when(~listed & ranged, "not_splittable").when(~listed & fleet, "collection"))
     parts = F.when(en, F.transform(ids, lambda k: F.concat(base, F.lit(" Unit "), k))).when(cn, F.transform(ids, lambda k: F.concat(base, k, F.lit("号机组")))).when(
         single, F.array(F.concat(base, F.lit(" Unit "), F.regexp_extract(m, EN_UNIT, 2)))).otherwise(F.array(m))
-    group = fold(F.regexp_replace(F.regexp_replace(m, r"^\d+\s+", ""), r"^\d+(?:[.,，]\d+)?\s*(?:座|台|家|个|处|所|套)\s*", ""))
+    group = fold(F.regexp_replace(F.regexp_replace(narrowed(m), r"^\d+\s+", ""), r"^\d+(?:[.,，]\d+)?\s*(?:座|台|家|个|处|所|套)\s*", ""))
     group = F.coalesce(*[F.when(group == name, F.lit(key)) for name, key in GROUPS.items()], group)
     return df.withColumn("reject_reason", reason).withColumn("assets", F.when(F.col("reject_reason").isNull(), parts)).withColumn("group_key", group)
 

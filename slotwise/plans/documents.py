@@ -10,7 +10,14 @@ from .base import big, query, r
 US = "chr(31)"
 
 # Articles out of `documents`: the whole text as body, three documents share a source id (versions), tags from language.
-DOC_SQL = f"""nt AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[^\\S\\n]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g'), '') AS body FROM documents),
+BLANKS = r"[\t\x0b\x0c\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def body_sql(text: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize({text}), '\r\n?', chr(10), 'g'), '{BLANKS}', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+
+
+DOC_SQL = f"""nt AS (SELECT *, {body_sql('text')} AS body FROM documents),
 art AS (SELECT doc_id, source AS source_name, CAST(doc_id // 3 AS VARCHAR) AS source_document_id, CAST(1 + doc_id % 3 AS BIGINT) AS version, 'Bulletin ' || doc_id AS title, body, TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id AS INTEGER)) AS published_at,
  TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id AS INTEGER)) + to_hours(CAST(doc_id % 11 - 2 AS INTEGER)) AS collected_at, lang, list_sort(list_distinct([lang, 'm' || CAST(doc_id % 2 AS VARCHAR), lang])) AS market_tags FROM nt),
 dv0 AS (SELECT *, sha256(title || {US} || body) AS content_hash, 'doc_' || substr(sha256(source_name || {US} || source_document_id), 1, 24) AS document_id, greatest(published_at, collected_at) AS available_at FROM art),
@@ -35,6 +42,22 @@ def _(t):
     return t.read("documents").select("doc_id", F.md5(b).alias("body_md5"), F.length(b).cast("long").alias("chars"))
 
 
+FORMS_SQL = "replace(replace(replace(replace(text, chr(233), 'e' || chr(769)), chr(252), 'u' || chr(776)), 'a', chr(12288) || 'A' || chr(778)), 'K', chr(8490) || chr(133))"
+
+
+@query("normalize_forms", f"""WITH x AS (SELECT doc_id, {body_sql(FORMS_SQL)} AS body, {body_sql("replace(replace(text, 'a', chr(12288) || chr(197)), 'K', 'K ')")} AS composed FROM documents)
+SELECT doc_id, md5(body) AS body_md5, md5(composed) = md5(body) AS same_as_composed FROM x""")
+def _(t):
+    """Decomposed letters, compatibility singles and wide spaces in every text: the normal form is that of composed text."""
+    changed, composed = F.col("text"), F.col("text")
+    for old, new in (("\u00e9", "e\u0301"), ("\u00fc", "u\u0308"), ("a", "\u3000A\u030a"), ("K", "\u212a\x85")):
+        changed = F.replace(changed, F.lit(old), F.lit(new))
+    for old, new in (("a", "\u3000\u00c5"), ("K", "K ")):
+        composed = F.replace(composed, F.lit(old), F.lit(new))
+    d = t.read("documents").select("doc_id", F.md5(dc.normalize_text(changed)).alias("body_md5"), F.md5(dc.normalize_text(composed)).alias("_c"))
+    return d.select("doc_id", "body_md5", (F.col("_c") == F.col("body_md5")).alias("same_as_composed"))
+
+
 @query("normalize_documents", f"WITH {DOC_SQL} SELECT doc_id, document_id, document_version_id, version, content_hash, available_at, array_to_string(market_tags, ',') AS tags FROM dv")
 def _(t):
     return doc_versions(t).select("doc_id", "document_id", "document_version_id", "version", "content_hash", "available_at", F.array_join("market_tags", ",").alias("tags"))
@@ -216,15 +239,15 @@ def _(t):
     return ex.event_records(bulletins(t), TZ).select("document_version_id", "event_type", "quarantine_reason", "capacity_mw", "event_id")
 
 
-@query("canonical_entities", """WITH m AS (SELECT event_id, CASE user_id % 8 WHEN 0 THEN '辽宁电网' WHEN 1 THEN '江苏省电力公司' WHEN 2 THEN 'Great Britain' WHEN 3 THEN 'ＱＬＤ' WHEN 4 THEN '沙市' WHEN 5 THEN '未名地区电网' WHEN 6 THEN 'CN-EAST' ELSE '' END AS region,
- CASE user_id % 5 WHEN 0 THEN '天津电网' WHEN 1 THEN 'Unit  ' || user_id WHEN 2 THEN 'unit' || user_id ELSE '石洞口 电厂-' || (user_id % 7) END AS asset, user_id FROM events),
-k AS (SELECT event_id, CASE user_id % 8 WHEN 0 THEN 'CN-LIAONING' WHEN 1 THEN 'CN-JIANGSU' WHEN 2 THEN 'GB' WHEN 3 THEN 'NEM-QLD' WHEN 4 THEN '沙市' WHEN 5 THEN '未名' WHEN 6 THEN 'CN-EAST' END AS rk, CASE WHEN user_id % 5 = 0 THEN 'CN-TIANJIN' END AS promoted,
- CASE user_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'unit' || user_id WHEN 2 THEN 'unit' || user_id ELSE '石洞口电厂' || (user_id % 7) END AS ak FROM m)
+@query("canonical_entities", """WITH m AS (SELECT event_id, CASE user_id % 8 WHEN 0 THEN '辽宁电网' WHEN 1 THEN '江苏省电力公司' WHEN 2 THEN 'Great Britain' WHEN 3 THEN 'ＱＬＤ' WHEN 4 THEN '沙市' WHEN 5 THEN '未名地区电网' WHEN 6 THEN 'CN-EAST' ELSE 'Stra' || chr(223) || 'e Zu' || chr(776) || 'rich' END AS region,
+ CASE user_id % 5 WHEN 0 THEN '天津电网' WHEN 1 THEN 'Unit  ' || user_id WHEN 2 THEN 'unit' || user_id WHEN 3 THEN chr(64257) || 'eld Plant ' || chr(8470) || (user_id % 7) ELSE '石洞口 电厂-' || (user_id % 7) END AS asset, user_id FROM events),
+k AS (SELECT event_id, CASE user_id % 8 WHEN 0 THEN 'CN-LIAONING' WHEN 1 THEN 'CN-JIANGSU' WHEN 2 THEN 'GB' WHEN 3 THEN 'NEM-QLD' WHEN 4 THEN '沙市' WHEN 5 THEN '未名' WHEN 6 THEN 'CN-EAST' ELSE 'strassez' || chr(252) || 'rich' END AS rk, CASE WHEN user_id % 5 = 0 THEN 'CN-TIANJIN' END AS promoted,
+ CASE user_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'unit' || user_id WHEN 2 THEN 'unit' || user_id WHEN 3 THEN 'fieldplantno' || (user_id % 7) ELSE '石洞口电厂' || (user_id % 7) END AS ak FROM m)
 SELECT event_id, array_to_string(list_sort(list_distinct(list_filter([rk, promoted], lambda x: x IS NOT NULL))), ',') AS region_keys, ak AS asset_keys FROM k""")
 def _(t):
     u, k = F.col("user_id"), F.col("user_id") % 8
-    region = F.when(k == 0, "辽宁电网").when(k == 1, "江苏省电力公司").when(k == 2, "Great Britain").when(k == 3, "ＱＬＤ").when(k == 4, "沙市").when(k == 5, "未名地区电网").when(k == 6, "CN-EAST").otherwise("")
-    asset = F.when(u % 5 == 0, "天津电网").when(u % 5 == 1, F.concat(F.lit("Unit  "), u.cast("string"))).when(u % 5 == 2, F.concat(F.lit("unit"), u.cast("string"))).otherwise(F.concat(F.lit("石洞口 电厂-"), (u % 7).cast("string")))
+    region = F.when(k == 0, "辽宁电网").when(k == 1, "江苏省电力公司").when(k == 2, "Great Britain").when(k == 3, "ＱＬＤ").when(k == 4, "沙市").when(k == 5, "未名地区电网").when(k == 6, "CN-EAST").otherwise("Stra\u00dfe Zu\u0308rich")
+    asset = F.when(u % 5 == 0, "天津电网").when(u % 5 == 1, F.concat(F.lit("Unit  "), u.cast("string"))).when(u % 5 == 2, F.concat(F.lit("unit"), u.cast("string"))).when(u % 5 == 3, F.concat(F.lit("\ufb01eld Plant \u2116"), (u % 7).cast("string"))).otherwise(F.concat(F.lit("石洞口 电厂-"), (u % 7).cast("string")))
     d = t.read("events").select("event_id", F.array(region).alias("regions"), F.array(asset).alias("assets"))
     return ex.canonical_entities(d).select("event_id", F.array_join("region_keys", ",").alias("region_keys"), F.array_join("asset_keys", ",").alias("asset_keys"))
 
