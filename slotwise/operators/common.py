@@ -68,6 +68,54 @@ def lag_table(df: DataFrame, keys: list[str], col: str, max_lag: int, order: str
              .withColumn("lagged", F.col("_p.v")).drop("_past", "_k", "_p"))
 
 
+def lag_moments(df: DataFrame, keys: list[str], x: str, y: str, max_lag: int, order: str = "i", chunk: int | None = None) -> DataFrame:
+    """Moments of x[t - lag] with y[t] over complete pairs, for lag = 0..max_lag, one row per key and lag.
+
+    Columns: rows (slots with a slot `lag` before them), n, low and high of both sides, and sums sx, sy, sxx, syy, sxy about
+    the key's means mx and my. A task handles all lags of a chunk and its halo at once; only sums are shuffled.
+    """
+    means = df.groupBy(*keys).agg(F.coalesce(F.avg(x), F.lit(0.0)).alias("mx"), F.coalesce(F.avg(y), F.lit(0.0)).alias("my"), F.min(order).alias("_first"))
+    h = with_halo(df.select(*keys, order, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")), keys, back=max_lag, order=order, chunk=chunk)
+    h = h.join(means, keys)
+    sums = ["rows", "n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def moments(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf[order].to_numpy()
+        own = pdf["_own"].to_numpy()
+        if not own.any():
+            return pd.DataFrame(columns=[*keys, "lag", *sums, "x0", "x1", "y0", "y1"])
+        lo, size = at[own].min(), at[own].max() - at[own].min() + 1
+        xs, ys = np.full(size + max_lag, np.nan), np.full(size, np.nan)
+        there = np.zeros(size, bool)
+        near = at >= lo - max_lag
+        xs[at[near] - lo + max_lag] = pdf["_x"].to_numpy()[near] - pdf["mx"].iloc[0]
+        ys[at[own] - lo], there[at[own] - lo] = pdf["_y"].to_numpy()[own] - pdf["my"].iloc[0], True
+        w = np.lib.stride_tricks.sliding_window_view(xs, max_lag + 1)[:, ::-1]       # row t, column lag
+        vx, vy = ~np.isnan(w), ~np.isnan(ys)
+        x0, y0 = np.where(vx, w, 0.0), np.where(vy, ys, 0.0)
+        both, v = vx & vy[:, None], vy.astype(float)
+        yy = np.broadcast_to(y0[:, None], both.shape)
+        low = lambda a, fill, f: f(np.where(both, a, fill), axis=0)
+        since = lo + np.arange(size) - pdf["_first"].iloc[0]
+        out = {"lag": np.arange(max_lag + 1), "rows": (there[:, None] & (since[:, None] >= np.arange(max_lag + 1))).sum(axis=0), "n": both.sum(axis=0), "sx": x0.T @ v, "sy": vx.T.astype(float) @ y0,
+               "sxx": (x0 * x0).T @ v, "syy": vx.T.astype(float) @ (y0 * y0), "sxy": x0.T @ y0,
+               "x0": low(w, np.inf, np.min), "x1": low(w, -np.inf, np.max), "y0": low(yy, np.inf, np.min), "y1": low(yy, -np.inf, np.max)}
+        return pd.DataFrame({**dict(zip(keys, key)), **out})
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
+    schema = f"{kinds}, lag long, rows long, n long, sx double, sy double, sxx double, syy double, sxy double, x0 double, x1 double, y0 double, y1 double"
+    parts = h.groupBy(*keys, "_c").applyInPandas(lambda key, pdf: moments(key[:-1], pdf), schema)
+    agg = parts.groupBy(*keys, "lag").agg(*[F.sum(c).alias(c) for c in sums], F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    return agg.where("rows > 0").join(means.drop("_first"), keys)
+
+
+def moment_corr() -> Column:
+    """Correlation from the columns of `lag_moments`; NULL for a constant side."""
+    n = F.col("n")
+    part = lambda a, b, c: F.col(a) - F.col(b) * F.col(c) / n
+    r = part("sxy", "sx", "sy") / F.sqrt(part("sxx", "sx", "sx") * part("syy", "sy", "sy"))
+    return F.when((n > 1) & (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+
+
 def prefix_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column],
                 chunk: int | None = None, span: int = 1) -> DataFrame:
     """Inclusive running sums along `order` without a whole-series window.

@@ -15,7 +15,7 @@ from pyspark.sql.functions import pandas_udf
 from ..functions.columns import count_if, no_nan, per_day, r6, share
 from ..functions.tails import f_upper_udf, pearson_p_udf
 from .align import KEYS, Segment, explode_segments, widen
-from .common import (drop_halo, gram, halo_window, lag_table, prefix_sums, quantiles, ranked_values,
+from .common import (drop_halo, gram, halo_window, lag_moments, lag_table, moment_corr, prefix_sums, quantiles, ranked_values,
                      with_halo, with_lags)
 from .target import changes, iqr_outliers, overlaps, sample_skew
 
@@ -139,7 +139,8 @@ def lagged_pairs(pairs: DataFrame, max_lag: int) -> DataFrame:
 
 
 def lead_scan(pairs: DataFrame, max_lag: int = 72, min_obs: int = 12) -> DataFrame:
-    return pearson_table(lagged_pairs(pairs, max_lag), [*KEYS, "lag"], min_obs, p_value=False)
+    m = lag_moments(pairs, KEYS, "x", "y", max_lag)
+    return m.select(*KEYS, "lag", r6(F.when(F.col("n") >= min_obs, moment_corr())).alias("correlation"), F.col("n").alias("observations"))
 
 
 def lead_scan_best(scan: DataFrame, p_value: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import count_if, no_nan, per_day, r6, share
 from ..functions.tails import chi2_upper_udf
 from .align import Segment, explode_segments
-from .common import (drop_halo, halo_window, lag_table, prefix_sums, quantiles, ranked_values, top_k,
+from .common import (drop_halo, halo_window, lag_moments, moment_corr, prefix_sums, quantiles, ranked_values, top_k,
                      with_halo, with_lags)
 
 SID = ["series_id"]
@@ -109,10 +109,8 @@ def extreme_examples(aligned: DataFrame, target: str, k: float = 3.0, limit: int
 def price_autocorr(aligned: DataFrame, target: str, max_lag: int = 72) -> DataFrame:
     x = only(aligned, target)
     limit = x.groupBy("series_id").agg(F.greatest(F.count("value") - 2, F.lit(0)).alias("_max"))
-    lags = lag_table(x, SID, "value", max_lag, first=1)
-    both = F.col("value").isNotNull() & F.col("lagged").isNotNull()
-    return (lags.where(both).groupBy("series_id", "lag")
-            .agg(r6(no_nan(F.corr("value", "lagged"))).alias("correlation"), F.count(F.lit(1)).alias("pairs"))
+    m = lag_moments(x, SID, "value", "value", max_lag).where((F.col("lag") > 0) & (F.col("n") > 0))
+    return (m.select("series_id", "lag", r6(moment_corr()).alias("correlation"), F.col("n").alias("pairs"))
             .join(limit, "series_id").where(F.col("lag") <= F.col("_max")).drop("_max"))
 
 
@@ -375,10 +373,9 @@ def decomposition_summary(parts: DataFrame, keys: list[str] | None = None) -> Da
 
 def autocovariances(filled: DataFrame, keys: list[str], max_lag: int) -> DataFrame:
     """Sums of (x(t)-m)(x(t-k)-m) for k = 0..max_lag and n, one row per lag."""
-    mean = filled.groupBy(*keys).agg(F.avg("value").alias("_m"), F.count(F.lit(1)).alias("n"))
-    e = filled.join(mean, keys).withColumn("_e", F.col("value") - F.col("_m"))
-    return (lag_table(e, keys, "_e", max_lag).groupBy(*keys, "lag")
-            .agg(F.sum(F.col("_e") * F.col("lagged")).alias("s"), F.first("n").alias("n")))
+    n = filled.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    m = lag_moments(filled, keys, "value", "value", max_lag)
+    return m.select(*keys, "lag", F.col("sxy").alias("s")).join(n, keys)
 
 
 LAG_CEILING = 400         # longest lag of the recursions that run over the sums of one series
