@@ -116,7 +116,8 @@ def state_history(linked: DataFrame, keep=lambda df: df) -> DataFrame:
     Authority has three levels, so the leading lineage changes at most twice: the first lineage of each level.
     A value from outside it comes from some lineage's newest row; ordered by arrival, a row leads its level from
     the moment all earlier rows have been replaced until it is replaced itself, which is a running maximum of
-    replacement times. Both kinds of leader go on one time line per event (`keep` cuts the plan there) and are scanned once.
+    replacement times, taken for all fields and levels in one long table. Both kinds of leader go on one time line per
+    event (`keep` cuts the plan there) and are scanned once.
     """
     far = F.lit("9999-01-01").cast("timestamp")
     nxt = Window.partitionBy("component", "document_id").orderBy("available_at", "version", "row_id")     # versions of one document
@@ -124,24 +125,22 @@ def state_history(linked: DataFrame, keep=lambda df: df) -> DataFrame:
     leads = (linked.groupBy("component", "authority").agg(F.min(F.struct("available_at", "document_id")).alias("_q"))
              .select("component", F.col("authority").alias("_level"), F.col("_q.document_id").alias("document_id"), F.col("_q.available_at").alias("_since")))
     own = rows.join(leads, ["component", "document_id"])
-    line = [linked.select("component", F.col("available_at").alias("at"), F.lit(2).alias("_o"), F.col("row_id").alias("_t")).distinct()]
-    cols = []
-    for a in range(3):
-        cols += [f"rec{a}", f"lead{a}"]
-        at_level = own.where(F.col("_level") == a)
-        line.append(at_level.select("component", F.col("available_at").alias("at"), F.lit(0).alias("_o"), (F.col("version") * 1_000_000_000 + F.col("row_id") % 1_000_000_000).alias("_t"),
-                                    F.struct(*RECORD).alias(f"rec{a}"), *[_stated(f).alias(f"own{a}_{f}") for f in FIELDS]))
-        line.append(leads.where(F.col("_level") == a).select("component", F.col("_since").alias("at"), F.lit(0).alias("_o"), F.lit(0).cast("long").alias("_t"), F.lit(True).alias(f"lead{a}")))
-        cols += [f"own{a}_{f}" for f in FIELDS]
-        for f in FIELDS:
-            cand = (rows.where(F.col("authority") == a).withColumn("_v", _stated(f)).where(F.col("_v").isNotNull())
-                    .select("component", "available_at", "document_id", "row_id", "_until", "_v"))
-            win = running(cand, ["component"], "available_at", ["document_id", "row_id"], max_before={"_covered": "_until"})
-            win = win.where(F.col("_covered").isNull() | (F.col("_until") > F.col("_covered")))
-            start = F.greatest("available_at", F.coalesce("_covered", "available_at"))
-            line.append(win.where(start < far).select("component", start.alias("at"), F.lit(1).alias("_o"), F.col("row_id").alias("_t"), F.struct(F.col("_v.v").alias("v"), F.col("_until").alias("until")).alias(f"other{a}_{f}")))
-            cols.append(f"other{a}_{f}")
-    tl = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), line)
+    levels, at_level = range(3), lambda a, c: F.when(F.col("_level") == a, c)
+    instants = linked.select("component", F.col("available_at").alias("at"), F.lit(2).alias("_o"), F.col("row_id").alias("_t")).distinct()
+    owns = own.select("component", F.col("available_at").alias("at"), F.lit(0).alias("_o"), (F.col("version") * 1_000_000_000 + F.col("row_id") % 1_000_000_000).alias("_t"),
+                      *[at_level(a, F.struct(*RECORD)).alias(f"rec{a}") for a in levels], *[at_level(a, _stated(f)).alias(f"own{a}_{f}") for a in levels for f in FIELDS])
+    starts = leads.select("component", F.col("_since").alias("at"), F.lit(0).alias("_o"), F.lit(0).cast("long").alias("_t"), *[at_level(a, F.lit(True)).alias(f"lead{a}") for a in levels])
+    # one row per stated field, its value in the column of that field
+    kinds = dict(linked.dtypes)
+    stated = [F.when(_stated(f).isNotNull(), F.struct(F.lit(f).alias("field"), *[(F.col(g) if g == f else F.lit(None).cast(kinds[g])).alias(g) for g in FIELDS])) for f in FIELDS]
+    cand = (rows.select("component", F.col("authority").alias("_level"), "available_at", "document_id", "row_id", "_until", F.explode(F.array_compact(F.array(*stated))).alias("_v"))
+                .withColumn("_field", F.col("_v.field")))
+    win = running(cand, ["component", "_level", "_field"], "available_at", ["document_id", "row_id"], max_before={"_covered": "_until"})
+    win = win.where(F.col("_covered").isNull() | (F.col("_until") > F.col("_covered"))).withColumn("at", F.greatest("available_at", F.coalesce("_covered", "available_at"))).where(F.col("at") < far)
+    others = win.select("component", "at", F.lit(1).alias("_o"), F.col("row_id").alias("_t"),
+                        *[at_level(a, F.when(F.col("_field") == f, F.struct(F.col(f"_v.{f}").alias("v"), F.col("_until").alias("until")))).alias(f"other{a}_{f}") for a in levels for f in FIELDS])
+    cols = [c for x in (owns, starts, others) for c in x.columns if c not in ("component", "at", "_o", "_t")]
+    tl = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [instants, owns, starts, others])
     s = running(keep(tl), ["component"], "at", ["_o", "_t"], last=cols).where(F.col("_o") == 2)
     level = F.when(F.col("lead0"), 0).when(F.col("lead1"), 1).otherwise(2)
     pick = lambda prefix, tail="": F.when(level == 0, F.col(f"{prefix}0{tail}")).when(level == 1, F.col(f"{prefix}1{tail}")).otherwise(F.col(f"{prefix}2{tail}"))
