@@ -263,6 +263,19 @@ def overlap_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str,
     return p.join(s, cond).select(*points.columns, *[F.col(f"_s_{c}").alias(c) for c in spans.columns if c not in keys])
 
 
+def over_holding(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, value: str, fn) -> DataFrame:
+    """(keys, at, value): an aggregate (such as F.max) of `value` over the spans of whole numbers that hold each point.
+
+    Spans leave their value in the buckets that cover them, points look up the buckets they lie in, so a span costs a
+    bounded number of rows however many points it holds. Points without a span are absent.
+    """
+    node = lambda: [F.col("_n.level").alias("_level"), F.col("_n.bucket").alias("_bucket")]
+    s = spans.where(F.col(start) <= F.col(end)).withColumn("_n", F.explode(span_buckets(F.col(start), F.col(end)))).select(*keys, *node(), value)
+    s = s.groupBy(*keys, "_level", "_bucket").agg(fn(value).alias(value))
+    p = points.select(*keys, at).distinct().withColumn("_n", F.explode(point_buckets(F.col(at)))).select(*keys, at, *node())
+    return p.join(s, [*keys, "_level", "_bucket"]).groupBy(*keys, at).agg(fn(value).alias(value))
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Newest row per key: largest `order` struct wins. Combined map-side, never sorted."""
     rest = [c for c in df.columns if c not in keys]

@@ -2,7 +2,8 @@
 
 States: series_id, event_id, announcement_available_at, available_at and the state columns of `merging`.
 A state holds from its arrival until the event's next one. Everything additive is built from +1/-1 steps at
-the slots where a state starts and stops counting, summed along the grid; no event meets every slot.
+the slots where a state starts and stops counting, summed along the grid; stretches stay stretches until then, and only
+`active_events` and `restored_slots`, whose rows are slots, open them.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import count_if, r6, share
 from .align import MarketClock
-from .common import asof_join, latest, prefix_sums
+from .common import asof_join, latest, over_holding, overlap_join, prefix_sums
 
 # Event types with a count column, physical effects with a capacity column, and point-like types.
 EVENT_TYPES = ("generation_outage", "generation_restore", "transmission_constraint", "demand_shock", "storage_dispatch", "renewable_supply_change", "fuel_supply_change")
@@ -55,23 +56,45 @@ def slot_of(c, clock: MarketClock):
     return F.ceil(F.unix_micros(c) / (clock.seconds * 1_000_000)).cast("long")
 
 
-def _clip(df: DataFrame, limits: DataFrame) -> DataFrame:
-    """Slot ranges [a, b) cut to the market's grid and opened to one row per slot."""
+def _cut(df: DataFrame, limits: DataFrame) -> DataFrame:
+    """Slot ranges [a, b) cut to the market's grid, as first and last slot a..b."""
     j = df.join(limits, "series_id").withColumn("a", F.greatest("a", "_f")).withColumn("b", F.least(F.col("b") - 1, F.col("_l")))
-    return j.where(F.col("a") <= F.col("b")).withColumn("slot", F.explode(F.sequence("a", "b"))).drop("a", "b", "_f", "_l")
+    return j.where(F.col("a") <= F.col("b")).drop("_f", "_l")
 
 
-def restored_slots(spans: DataFrame, limits: DataFrame, clock: MarketClock) -> DataFrame:
-    """Slots in which an active outage counts as ended: a restoration of the same asset in the same market is known,
-    has taken effect and starts no earlier than the outage. Restorations are reduced to one row per asset and slot first.
+def _open(df: DataFrame) -> DataFrame:
+    """One row per slot of the ranges a..b."""
+    return df.withColumn("slot", F.explode(F.sequence("a", "b"))).drop("a", "b")
+
+
+def restored_spans(spans: DataFrame, limits: DataFrame, clock: MarketClock) -> DataFrame:
+    """Stretches a..b of slots in which an active outage counts as ended: a restoration of the same asset in the same
+    market is known, has taken effect and starts no earlier than the outage.
+
+    The latest start among an asset's effective restorations changes only where one begins or ends; between two changes it
+    is one piece, and outages meet pieces, not slots. Stretches of one outage do not overlap.
     """
+    asset = ["series_id", "asset_key"]
     named = F.col("asset_key").isNotNull() & F.col("effective_start_at").isNotNull()
     r = spans.where(named & (F.col("event_type") == "generation_restore"))
-    r = r.select("series_id", "asset_key", "effective_start_at", slot_of(F.greatest("effective_start_at", "known_from"), clock).alias("a"), slot_of("known_until", clock).alias("b"))
-    r = _clip(r, limits).groupBy("series_id", "asset_key", "slot").agg(F.max("effective_start_at").alias("_rs"))
+    r = _cut(r.select(*asset, F.col("effective_start_at").alias("_rs"), slot_of(F.greatest("effective_start_at", "known_from"), clock).alias("a"), slot_of("known_until", clock).alias("b")), limits)
+    edges = r.select(*asset, F.explode(F.array(F.col("a"), F.col("b") + 1)).alias("_p")).distinct()
+    pieces_ = (edges.join(over_holding(edges, r, asset, "_p", "a", "b", "_rs", F.max), [*asset, "_p"], "left")
+               .withColumn("_q", F.lead("_p").over(Window.partitionBy(*asset).orderBy("_p")) - 1).where(F.col("_rs").isNotNull()))      # changes of one asset
     o = spans.where(named & (F.col("event_type") == "generation_outage") & (F.col("active_from") < F.col("active_until")))
-    o = _clip(o.withColumn("a", slot_of("active_from", clock)).withColumn("b", slot_of("active_until", clock)), limits)
-    return o.join(r, ["series_id", "asset_key", "slot"]).where(F.col("_rs") >= F.col("effective_start_at")).drop("_rs")
+    o = _cut(o.withColumn("a", slot_of("active_from", clock)).withColumn("b", slot_of("active_until", clock)), limits)
+    time = lambda c: F.timestamp_seconds(F.col(c) * clock.seconds)
+    o = o.withColumns({"_ta": time("a"), "_tb": time("b")})
+    pieces_ = pieces_.withColumns({"_tp": time("_p"), "_tq": time("_q")})
+    begins = overlap_join(pieces_, o, asset, "_tp", "_ta", "_tb", closed_end=True)
+    holds = overlap_join(o, pieces_, asset, "_ta", "_tp", "_tq", closed_end=True).where(F.col("_p") < F.col("a"))
+    both = begins.unionByName(holds).where(F.col("_rs") >= F.col("effective_start_at"))
+    return both.withColumns({"a": F.greatest("a", "_p"), "b": F.least("b", "_q")}).drop("_p", "_q", "_rs", "_ta", "_tb", "_tp", "_tq")
+
+
+def restored_slots(spans: DataFrame, limits: DataFrame, clock: MarketClock) -> DataFrame:
+    """`restored_spans`, one row per slot."""
+    return _open(restored_spans(spans, limits, clock))
 
 
 def grid_limits(bounds: DataFrame, clock: MarketClock) -> DataFrame:
@@ -95,7 +118,7 @@ def event_features(states: DataFrame, bounds: DataFrame, clock: MarketClock, cut
     act = F.struct(slot("active_from").alias("a"), slot("active_until").alias("b"), F.lit("act").alias("kind"))
     e = p.withColumn("_x", F.explode(F.array_compact(F.array(F.when(F.col("active_from") < F.col("active_until"), act), F.when(F.col("effective_start_at") > F.col("known_from"), up)))))
     e = e.select(*shared, mw, "_x.*").where(F.col("a") < F.col("b"))
-    closed = restored_slots(p, limits, clock).select(*shared, mw, F.col("slot").alias("a"), (F.col("slot") + 1).alias("b"), F.lit("act").alias("kind"))
+    closed = restored_spans(p, limits, clock).select(*shared, mw, "a", (F.col("b") + 1).alias("b"), F.lit("act").alias("kind"))
     step_rows = lambda df, s: df.withColumn("_d", F.explode(F.array(F.struct(F.col("a").alias("slot"), F.lit(s).alias("sign")), F.struct(F.col("b").alias("slot"), F.lit(-s).alias("sign"))))).select(*shared, "mw", "kind", "_d.slot", "_d.sign")
     ends = step_rows(e, 1).unionByName(step_rows(closed, -1))
     is_act = F.col("kind") == "act"
@@ -110,7 +133,8 @@ def event_features(states: DataFrame, bounds: DataFrame, clock: MarketClock, cut
     steps = steps.join(limits, "series_id").where(F.col("slot") <= F.col("_l")).withColumn("slot", F.greatest("slot", "_f")).groupBy("series_id", "slot").agg(*[F.sum(k).alias(k) for k in sums])
     j = grid.join(steps, ["series_id", "slot"], "left")
     run = prefix_sums(j, ["series_id"], "slot", {f"r_{k}": F.coalesce(F.col(k), F.lit(0)) for k in sums}).drop(*sums)
-    nxt = _clip(e.where(F.col("kind") == "up"), limits).groupBy("series_id", "slot").agg(F.min("effective_start_at").alias("_next"))
+    ahead = _cut(e.where(F.col("kind") == "up"), limits).withColumnRenamed("effective_start_at", "_next")
+    nxt = over_holding(grid, ahead, ["series_id"], "slot", "a", "b", "_next", F.min)
     ann = pieces(states, cutoff)
     newest = ann.withColumn("slot", slot("announcement_available_at")).where(F.timestamp_seconds(F.col("slot") * step).between(F.col("known_from"), F.col("known_until") - F.expr("INTERVAL 1 MICROSECOND")))
     if cutoff is not None:
@@ -135,7 +159,7 @@ def active_events(states: DataFrame, bounds: DataFrame, clock: MarketClock, cuto
     p, limits = active_spans(pieces(states, cutoff), clock), grid_limits(bounds, clock)
     live = p.where(F.col("active_from") < F.col("active_until")).select("series_id", "event_id", "known_from", slot_of("active_from", clock).alias("a"), slot_of("active_until", clock).alias("b"))
     closed = restored_slots(p, limits, clock).select("series_id", "event_id", "known_from", "slot")
-    return _clip(live, limits).join(closed, ["series_id", "event_id", "known_from", "slot"], "left_anti").select("series_id", "event_id", F.timestamp_seconds(F.col("slot") * clock.seconds).alias("ts"))
+    return _open(_cut(live, limits)).join(closed, ["series_id", "event_id", "known_from", "slot"], "left_anti").select("series_id", "event_id", F.timestamp_seconds(F.col("slot") * clock.seconds).alias("ts"))
 
 
 def leak_check(refs: DataFrame, events: DataFrame) -> DataFrame:
