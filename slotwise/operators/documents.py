@@ -121,7 +121,7 @@ def replay(versions: DataFrame) -> DataFrame:
     first = versions.groupBy("document_id").agg(F.min("available_at").alias("instant")).groupBy("instant").agg(F.count(F.lit(1)).alias("new_documents"))
     per = versions.groupBy(F.col("available_at").alias("instant")).agg(F.count(F.lit(1)).alias("new_versions"))
     j = per.join(first, "instant", "left").withColumn("_t", F.unix_seconds("instant")).withColumn("_k", F.lit(0))
-    daily = prefix_sums(j, ["_k"], "_t", {"visible_documents": F.coalesce("new_documents", F.lit(0)), "visible_versions": F.col("new_versions")}, chunk=1, span=86400)
+    daily = prefix_sums(j, ["_k"], "_t", {"visible_documents": F.coalesce("new_documents", F.lit(0)), "visible_versions": F.col("new_versions")}, chunk=1, span=3600)
     return daily.select("instant", F.coalesce("new_documents", F.lit(0)).alias("new_documents"), "new_versions", "visible_documents", "visible_versions")
 
 

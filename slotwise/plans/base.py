@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import plain_times, tie_shift
 from ..operators import align as al
-from ..operators.common import cut
+from ..operators.common import cut, ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,6 +83,12 @@ class Tables:
             F.sum("o_totalprice").alias("value"))
 
 
+def folder(t: Tables) -> str:
+    """A fresh folder beside the checkpoints, shared by all executors."""
+    ensure_checkpoint_dir(t.spark)
+    return f"{t.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/query-{uuid.uuid4().hex}"
+
+
 RAW_SQL = """
 obs AS (SELECT 'm' || CAST(user_id % 2 AS VARCHAR) AS series_id, event_type AS name, ts, value, event_id, user_id FROM events),
 raw AS (SELECT series_id, name, date_trunc('hour', ts) AS ts, avg(value) AS value FROM obs GROUP BY 1, 2, 3)"""

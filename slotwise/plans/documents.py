@@ -271,7 +271,9 @@ def _(t):
     return ex.expand_assets(t.read("events").select("event_id", m.alias("mention"))).select("event_id", "reject_reason", F.array_join("assets", "|").alias("assets"), "group_key")
 
 
-@query("matches_market", """SELECT event_id, CASE user_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false ELSE true END AS matches_market FROM events""")
+@query("matches_market", f"""WITH m AS (SELECT event_id, CASE user_id % 4 WHEN 0 THEN ['GB'] WHEN 1 THEN ['GB', 'ERCOT'] WHEN 2 THEN ['ERCOT'] ELSE ['somewhere'] END AS regions, CASE WHEN user_id % 4 = 2 THEN ['GB', 'ERCOT'] ELSE ['GB'] END AS markets FROM events),
+k AS (SELECT *, list_filter(regions, lambda x: list_contains([{', '.join(f"'{c}'" for c in sorted(set(ex.REGIONS.values())))}], x)) AS known FROM m)
+SELECT event_id, list_contains(markets, 'GB') AND CASE WHEN len(known) > 0 THEN len(known) = 1 AND known[1] = 'GB' ELSE len(markets) = 1 END AS matches_market FROM k""")
 def _(t):
     k = F.col("user_id") % 4
     region = F.when(k == 0, F.array(F.lit("GB"))).when(k == 1, F.array(F.lit("GB"), F.lit("ERCOT"))).when(k == 2, F.array(F.lit("ERCOT"))).otherwise(F.array(F.lit("somewhere")))

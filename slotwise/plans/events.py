@@ -434,15 +434,22 @@ def _(t):
     return sd.evidence_quality(b, rec.select("document_version_id", "quarantine_reason", "effective_start_at", "available_at"), ["event_type", "direction"], spans)
 
 
-def _checks(t):
+def _checks(t, planted=False):
     p, e = study_prices(t), study_events(t)
     res = t.keep(sd.event_study(p, e, HALF, "announcement", HOURS, t.keep))
     m, s = _members(t)
-    st_, b = states(t), bounds(t)
-    leaks = ft.leak_check(ft.active_events(st_, b, CLOCK), st_.groupBy("event_id").agg(F.min("announcement_available_at").alias("announcement_available_at")))
-    docs = t.keep(doc_versions(t).select("document_version_id", "title", "market_tags"))
-    gone, links = t.keep(sd.study_exclusions(e, p, res, HALF, "announcement", HOURS)), t.keep(sd.evidence_links(res, m, s))
-    return sd.result_checks(res, p, e, t.keep(leaks), docs, gone, links, ql.validate_grid(p, HALF), docs.where(F.col("title") == ""), fingerprint(p, ["series_id"]), "m1")
+    st_, b, hit = states(t), bounds(t), lambda n: F.lit(planted) & (F.col("event_id") % n == 0)
+    gone, links = t.keep(sd.study_exclusions(e, p, res, HALF, "announcement", HOURS)), t.keep(sd.evidence_links(res, m, s)).where(~hit(83))
+    refs = ft.active_events(st_, b, CLOCK)
+    prints, bad = fingerprint(p, ["series_id"]), lambda *names: F.lit(planted) & F.col("series_id").isin(*names)
+    if planted:
+        refs = refs.unionByName(b.select("series_id", F.lit("nobody").alias("event_id"), F.col("lo").alias("ts")))
+    leaks = ft.leak_check(refs, st_.groupBy("event_id").agg(F.min("announcement_available_at").alias("announcement_available_at")))
+    docs = t.keep(doc_versions(t).select("document_version_id", F.when(F.lit(planted) & (F.col("doc_id") % 13 == 0), "").otherwise(F.col("title")).alias("title"), "market_tags"))
+    res, gone = res.where(~hit(79)), gone.where(~hit(79))
+    res = res.withColumns({"series_id": F.when(hit(97), "nowhere").otherwise(F.col("series_id")), "p": F.when(hit(89), 2.0).otherwise(F.col("p"))})
+    return sd.result_checks(res, p, e.unionByName(e.where(hit(101))), t.keep(leaks), docs, gone, links, ql.validate_grid(p.unionByName(p.where(bad("m3", "m7"))), HALF), docs.where(F.col("title") == ""),
+                            prints.withColumn("fingerprint", F.when(bad("m5"), "none").otherwise(F.col("fingerprint"))), "m1")
 
 
 @query("result_checks", f"""WITH {DOC_SQL} SELECT code, failures, failures = 0 AS passed FROM (SELECT unnest(['input_records_valid', 'single_market_clock', 'price_grid_and_values', 'unique_event_identity', 'valid_statistics', 'complete_evidence_chain', 'feature_availability', 'complete_event_accounting', 'reproducible_fingerprints']) AS code, 0::BIGINT AS failures
@@ -451,7 +458,20 @@ def _(t):
     return _checks(t)
 
 
-@query("needs_review", f"""WITH {QREC_SQL} SELECT 1::BIGINT AS failed_checks, {big('count_if(reason IS NOT NULL)')} AS unreviewed_quarantine, {big("count_if(relevance = 'short_term' AND (s IS NULL OR NOT carries))")} AS unreviewed_without_start, true AS needs_review FROM qq""")
+@query("result_checks_planted", f"""WITH {STUDY_SQL}, {STATE_SQL}, {DOC_SQL}, rp AS (SELECT * FROM rs WHERE event_id % 79 <> 0), e2 AS (SELECT event_id FROM ev UNION ALL SELECT event_id FROM ev WHERE event_id % 101 = 0),
+c AS (SELECT 'input_records_valid' AS code, count(*) AS failures FROM dv WHERE doc_id % 13 = 0 UNION ALL SELECT 'document_market_coverage', count(*) FROM dv WHERE NOT list_contains(market_tags, 'm1')
+ UNION ALL SELECT 'single_market_clock', count(*) FROM rp WHERE event_id % 97 = 0 UNION ALL SELECT 'price_grid_and_values', count(DISTINCT series_id) FROM price WHERE series_id IN ('m3', 'm7')
+ UNION ALL SELECT 'unique_event_identity', count(DISTINCT event_id) FROM ev WHERE event_id % 101 = 0 UNION ALL SELECT 'valid_statistics', count(*) FROM rp WHERE event_id % 89 = 0
+ UNION ALL SELECT 'complete_evidence_chain', count(DISTINCT event_id) FROM rp WHERE event_id % 83 = 0 UNION ALL SELECT 'feature_availability', count(DISTINCT series_id) FROM st
+ UNION ALL SELECT 'complete_event_accounting', count(*) FROM e2 WHERE event_id % 79 = 0 UNION ALL SELECT 'reproducible_fingerprints', count(DISTINCT series_id) FROM price WHERE series_id = 'm5')
+SELECT code, failures, failures = 0 AS passed FROM c""")
+def _(t):
+    """Every check with rows planted that break its rule, and no more failures than those."""
+    return _checks(t, planted=True)
+
+
+@query("needs_review", f"""WITH {DOC_SQL}, {QREC_SQL}, n AS (SELECT (SELECT CAST(count(*) > 0 AS BIGINT) FROM dv WHERE NOT list_contains(market_tags, 'm1')) AS failed_checks, {big('count_if(reason IS NOT NULL)')} AS unreviewed_quarantine, {big("count_if(relevance = 'short_term' AND (s IS NULL OR NOT carries))")} AS unreviewed_without_start FROM qq)
+SELECT *, failed_checks > 0 OR unreviewed_quarantine > 0 OR unreviewed_without_start > 0 AS needs_review FROM n""")
 def _(t):
     return sd.needs_review(_checks(t), _records(t))
 

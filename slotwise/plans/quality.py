@@ -121,6 +121,11 @@ qy AS (SELECT series_id, min(ts) AS start_at, max(ts) AS end_at, count(*) AS exp
 
 
 def quality_parts(t):
+    evidence, good, aligned, specs = quality_inputs(t)
+    return t.keep(ql.series_quality(evidence, good, aligned, specs, "1h")), aligned
+
+
+def quality_inputs(t):
     v = versions(t)
     loaded = v.withColumn("bad_ts", F.col("ts").isNull()).withColumn("bad_value", F.lit(False))
     from ..sources.readers import load_evidence
@@ -129,7 +134,7 @@ def quality_parts(t):
     aligned = t.keep(al.align(al.resample(good, "1h"), TARGET, "1h"))
     kind = F.when(F.col("name") == "click", "unknown").when(F.col("name") == "view", "forecast").when(F.col("name") == "error", "observed_only").otherwise("known_at_timestamp")
     specs = v.select(*KEYS).distinct().select(*KEYS, F.lit("events").alias("path"), F.lit("MW").alias("unit"), kind.alias("availability_type"), (F.col("name") != "view").alias("availability_present"))
-    return t.keep(ql.series_quality(evidence, good, aligned, specs, "1h")), aligned
+    return evidence, good, aligned, specs
 
 
 @query("series_quality", f"WITH {QUALITY_SQL} SELECT * FROM qq")
@@ -147,6 +152,18 @@ def _(t):
     return ql.alignment_quality(quality_parts(t)[1], TARGET)
 
 
+@query("data_quality", f"""WITH {QUALITY_SQL} SELECT series_id, 'series' AS part, name AS item, raw_rows AS amount FROM qq UNION ALL SELECT series_id, 'issues', code, count(*) FROM qz GROUP BY series_id, code
+UNION ALL SELECT series_id, 'alignment', 'complete_case_rows', complete_case_rows FROM qy""")
+def _(t):
+    """The three parts of a study's evidence from one call."""
+    evidence, good, aligned, specs = quality_inputs(t)
+    q = ql.data_quality(evidence, good, aligned, specs, "1h", TARGET, t.keep)
+    row = lambda part, item, amount: ["series_id", F.lit(part).alias("part"), item.alias("item"), amount.cast("long").alias("amount")]
+    issues = q["issues"].groupBy("series_id", "code").agg(F.count(F.lit(1)).alias("n"))
+    return (q["series"].select(*row("series", F.col("name"), F.col("raw_rows"))).unionByName(issues.select(*row("issues", F.col("code"), F.col("n"))))
+            .unionByName(q["alignment"].select(*row("alignment", F.lit("complete_case_rows"), F.col("complete_case_rows")))))
+
+
 @query("study_gates", f"""WITH {QUALITY_SQL}, i AS (SELECT series_id, {big("count_if(severity = 'critical')")} AS critical_issues, {big("count_if(severity = 'high')")} AS high_issues,
  coalesce(array_to_string(list_sort(list_distinct(list(code) FILTER (severity = 'critical'))), ','), '') AS blocking_codes FROM qz GROUP BY 1)
 SELECT qy.series_id, usable AS target_usable, aligned_coverage_rate >= 0.98 AS target_coverage_ok, coalesce(critical_issues, 0) AS critical_issues, coalesce(high_issues, 0) AS high_issues, coalesce(blocking_codes, '') AS blocking_codes, usable AND coalesce(critical_issues, 0) = 0 AS passed

@@ -7,7 +7,7 @@ from ..operators.align import KEYS
 from ..sources import business as bz
 from ..sources import readers as rd
 from ..sources import snapshot as sn
-from .base import big, query, r
+from .base import big, folder, query, r
 
 # A business-clock table out of `events`: hour-ending clocks (24 rolls over), some impossible clocks, some NULL
 # quantities, and a creation time up to six hours later.
@@ -218,11 +218,14 @@ def _(t):
 @query("parse_articles", f"""SELECT doc_id AS line_no, CASE WHEN doc_id % 17 = 0 THEN 'invalid json' WHEN doc_id % 19 = 0 THEN 'missing fields: title' END AS reason,
  CASE WHEN doc_id % 17 <> 0 THEN source END AS source_name, CASE WHEN doc_id % 17 <> 0 THEN length(text) END::BIGINT AS body_chars FROM documents""")
 def _(t):
+    return rd.parse_articles(article_lines(t)).select("line_no", "reason", "source_name", F.length("body").cast("long").alias("body_chars"))
+
+
+def article_lines(t):
     d = t.read("documents")
     body = F.to_json(F.struct(F.col("source").alias("source_name"), F.col("doc_id").cast("string").alias("source_document_id"), F.when(F.col("doc_id") % 19 == 0, "").otherwise("t").alias("title"),
                               F.col("text").alias("body"), F.lit("2024-01-01T00:00:00Z").alias("published_at"), F.lit("2024-01-01T01:00:00Z").alias("collected_at")))
-    lines = d.select(F.col("doc_id").alias("line_no"), F.when(F.col("doc_id") % 17 == 0, F.expr("concat('{\"source_name\": ', doc_id)")).otherwise(body).alias("value"))
-    return rd.parse_articles(lines).select("line_no", "reason", "source_name", F.length("body").cast("long").alias("body_chars"))
+    return d.select(F.col("doc_id").alias("line_no"), F.when(F.col("doc_id") % 17 == 0, F.expr("concat('{\"source_name\": ', doc_id)")).otherwise(body).alias("value"))
 
 
 @query("fingerprint")
@@ -236,3 +239,37 @@ def _(t):
     v = versions(t)
     changed = v.withColumn("value", F.when(F.col("series_id") == "p2", F.col("value") + 1).otherwise(F.col("value")))
     return sn.verify_fingerprints(sn.fingerprint(v, KEYS), changed, KEYS)
+
+
+@query("freeze_restore", f"WITH {CLOCK_SQL} SELECT series_id, name, ts, {r('value')} AS value, available_at, tie FROM norm")
+def _(t):
+    """A data set frozen under its fingerprint twice, which writes it once, and read back."""
+    data, root = t.keep(bz.normalize_series(versions(t)).select(*KEYS, "ts", "value", "available_at", "tie")), folder(t)
+    fp = sn.fingerprint(data).first()["fingerprint"]
+    for _ in range(2):
+        sn.freeze(data, root, fp, ["series_id"])
+    return sn.restore(t.spark, root, fp).select(*KEYS, "ts", r6("value").alias("value"), "available_at", "tie")
+
+
+@query("write_result", f"WITH {CLOCK_SQL} SELECT fmt, series_id, name, ts, {r('value')} AS value FROM norm CROSS JOIN (VALUES ('csv'), ('parquet')) AS f(fmt)")
+def _(t):
+    """Results written as CSV and as Parquet, and read back."""
+    data, root = bz.normalize_series(versions(t)).select(*KEYS, "ts", "value"), folder(t)
+    parts = []
+    for fmt in ("csv", "parquet"):
+        rd.write_result(data, f"{root}/{fmt}", fmt)
+        back = t.spark.read.schema(data.schema).format(fmt).option("header", True).load(f"{root}/{fmt}")
+        parts.append(back.select(F.lit(fmt).alias("fmt"), *KEYS, "ts", r6("value").alias("value")))
+    return parts[0].unionByName(parts[1])
+
+
+@query("read_articles", """SELECT reason, count(*) AS lines, CAST(sum(chars) AS BIGINT) AS body_chars, true AS numbered FROM (SELECT CASE WHEN doc_id % 17 = 0 THEN 'invalid json' WHEN doc_id % 19 = 0 THEN 'missing fields: title' END AS reason,
+ CASE WHEN doc_id % 17 <> 0 THEN length(text) ELSE 0 END AS chars FROM documents) GROUP BY reason""")
+def _(t):
+    """JSON lines written as text files and read with file and line number: every file counts from 1 without gaps."""
+    root = folder(t)
+    article_lines(t).select("value").write.text(root)
+    a = t.keep(rd.read_articles(t.spark, root))
+    files = a.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("lo"), F.max("line_no").alias("hi"), F.countDistinct("line_no").alias("d"))
+    numbered = files.agg(F.bool_and((F.col("lo") == 1) & (F.col("hi") == F.col("n")) & (F.col("d") == F.col("n"))).alias("numbered"))
+    return a.groupBy("reason").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.coalesce(F.length("body"), F.lit(0))).cast("long").alias("body_chars")).join(F.broadcast(numbered))

@@ -1,23 +1,15 @@
 """Streaming queries: the tables arrive as a file stream and are drained with an available-now trigger."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6
-from ..operators.common import ensure_checkpoint_dir, latest
+from ..operators.common import latest
 from ..sources import business as bz
 from ..streaming import sinks
-from .base import query, r
+from .base import folder, query, r
 from .sources import CLOCK_SQL, clock_table
 
 
-def folder(t) -> str:
-    """A fresh folder beside the checkpoints, shared by all executors."""
-    ensure_checkpoint_dir(t.spark)
-    return f"{t.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
-
-
 class StreamTables:
     """The driver tables as streams: `read` gives a streaming frame with the table's schema."""
 
