@@ -37,6 +37,8 @@ COEF = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x2
 
 def normal(word: bytes) -> str:
     w = word.decode("utf-8", "replace").lower()
+    if w.isalnum():
+        return w
     lo, hi = 0, len(w)
     while lo < hi and not w[lo].isalnum():
         lo += 1
@@ -62,12 +64,13 @@ class WordIds(dict):
 
 
 def seeds_of(ids: np.ndarray):
-    """(place, seed hash) arrays of all seeds of a sequence of word numbers."""
-    x = ids.astype(np.uint64)
+    """(place, seed hash) arrays of all seeds of a sequence of word numbers; unknown words (0) are in no seed."""
+    x, known = ids.astype(np.uint64), ids > 0
     for i, pattern in enumerate(PATTERNS):
         n = len(x) - pattern[-1]
         if n > 0:
-            yield np.arange(n), mix(sum(x[j:j + n] * COEF[k] for k, j in enumerate(pattern)) + np.uint64(i))
+            at = np.flatnonzero(np.logical_and.reduce([known[j:j + n] for j in pattern]))
+            yield at, mix(sum(x[at + j] * COEF[k] for k, j in enumerate(pattern)) + np.uint64(i))
 
 
 class Block:
