@@ -56,22 +56,21 @@ def classify(docs: DataFrame) -> DataFrame:
              .withColumn("quarantine_reason", F.when(F.size("matched_types") > 1, F.lit("ambiguous_multi_event"))))
 
 
-def first_match(pattern: str, group: int) -> Column:
-    """First match in the body, else in the title; NULL when neither has one."""
-    return F.when(F.col("body").rlike(pattern), F.regexp_extract("body", pattern, group)).when(F.col("title").rlike(pattern), F.regexp_extract("title", pattern, group))
+def first_match(pattern: str) -> Column:
+    """First match in the body, else in the title; NULL when neither has one. Groups are taken from the match."""
+    return F.coalesce(F.regexp_substr("body", F.lit(pattern)), F.regexp_substr("title", F.lit(pattern)))
 
 
 def capture_fields(docs: DataFrame) -> DataFrame:
     """Distinct regions and assets (title before body) and the qualified MW with its place in the text."""
     both = lambda p, g: F.array_distinct(F.concat(F.regexp_extract_all("title", F.lit(p), F.lit(g)), F.regexp_extract_all("body", F.lit(p), F.lit(g))))
-    d = docs.withColumn("affected_regions", both(REGION, 0)).withColumn("affected_assets", both(ASSET, 1)).withColumn("capacity_quote", first_match(CAPACITY, 1))
-    field = F.when(F.col("body").rlike(CAPACITY), "body").when(F.col("title").rlike(CAPACITY), "title")
-    source = F.when(F.col("capacity_text_field") == "body", F.col("body")).otherwise(F.col("title"))
-    d = d.withColumn("capacity_text_field", field)
-    whole = first_match(CAPACITY, 0)
-    start = F.regexp_instr(source, F.lit(CAPACITY)) - 1 + F.length(F.regexp_extract(whole, r"^([^0-9]*)", 1))
-    return (d.withColumn("capacity_mw", F.col("capacity_quote").try_cast("double")).withColumn("capacity_start", F.when(F.col("capacity_quote").isNotNull(), start).cast("long"))
-             .withColumn("capacity_end", F.col("capacity_start") + F.length("capacity_quote")))
+    d = docs.withColumns({"affected_regions": both(REGION, 0), "affected_assets": both(ASSET, 1), "_cb": F.regexp_substr("body", F.lit(CAPACITY)), "_ct": F.regexp_substr("title", F.lit(CAPACITY))})
+    whole, in_body = F.coalesce("_cb", "_ct"), F.col("_cb").isNotNull()
+    d = d.withColumns({"capacity_quote": F.regexp_extract(whole, CAPACITY, 1), "capacity_text_field": F.when(in_body, "body").when(F.col("_ct").isNotNull(), "title")})
+    source = F.when(in_body, F.col("body")).otherwise(F.col("title"))
+    start = F.when(whole.isNotNull(), F.regexp_instr(source, F.lit(CAPACITY)) - 1 + F.length(F.regexp_extract(whole, r"^([^0-9]*)", 1)))
+    return (d.withColumn("capacity_mw", F.col("capacity_quote").try_cast("double")).withColumn("capacity_start", start.cast("long"))
+             .withColumn("capacity_end", F.col("capacity_start") + F.length("capacity_quote")).drop("_cb", "_ct"))
 
 
 def _clock_instant(day: Column, clock: Column, tz: str) -> Column:
@@ -88,11 +87,12 @@ def resolve_times(docs: DataFrame, tz: str = "UTC") -> DataFrame:
     A range that reads backwards ends on the next day; several different
     relative times without a range are ambiguous and resolve nothing.
     """
-    at = lambda p: first_match(p, 1).try_cast("timestamp")
+    at = lambda p: F.regexp_extract(first_match(p), p, 1).try_cast("timestamp")
     d = docs.withColumn("_s", at(START)).withColumn("_e", at(END))
     # Matches become columns before they are read several times.
-    for name, pattern, group in (("_rd", RANGE, 1), ("_r1", RANGE, 2), ("_r2", RANGE, 3), ("_pd", POINT, 1), ("_pc", POINT, 2)):
-        d = d.withColumn(name, first_match(pattern, group))
+    d = d.withColumns({"_range": first_match(RANGE), "_point": first_match(POINT)})
+    part = lambda c, pattern, group: F.regexp_extract(c, pattern, group)
+    d = d.withColumns({"_rd": part("_range", RANGE, 1), "_r1": part("_range", RANGE, 2), "_r2": part("_range", RANGE, 3), "_pd": part("_point", POINT, 1), "_pc": part("_point", POINT, 2)})
     d = d.withColumn("_rs", _clock_instant(F.col("_rd"), F.col("_r1"), tz)).withColumn("_re", _clock_instant(F.col("_rd"), F.col("_r2"), tz))
     d = d.withColumn("_re", F.when(F.col("_re") < F.col("_rs"), F.col("_re") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("_re")))
     norm = lambda a: F.transform(a, lambda s: F.regexp_replace(F.regexp_replace(s, "：", ":"), r"\s", ""))
@@ -275,9 +275,11 @@ def check_quantities(claims: DataFrame, docs: DataFrame) -> DataFrame:
 # Operational words and the patterns of power quantities and time expressions.
 OPERATIONAL = ("停运", "跳闸", "检修", "故障", "事故", "停电", "限电", "负荷", "出力", "发电量", "装机", "并网", "解列", "非计划", "电量", "outage", "tripped", "curtailment", "blackout", "derate")
 POWER_QUANTITY = r"\d[\d,]*(?:\.\d+)?\s*(?:万|亿)?\s*(?:[千干]?瓦(?:时)?|[kKmMgG][wW][hH]?)"
-_PART = "(?:凌晨|上午|中午|午间|下午|傍晚|晚间|夜间)?"
-TIME_ANCHOR = (rf"(?:\d{{4}}\s*年\s*)?\d{{1,2}}\s*月\s*\d{{1,2}}\s*日(?:\s*{_PART}\s*\d{{1,2}}\s*[:：时点]\s*\d{{1,2}}\s*分?)?"
-               rf"|\d{{1,2}}\s*日\s*{_PART}\s*\d{{1,2}}\s*[:：时点]\s*\d{{1,2}}\s*分?|\d{{4}}-\d{{2}}-\d{{2}}(?:[T ]\d{{2}}:\d{{2}}(?::\d{{2}})?)?Z?|(?:\d{{4}}\s*年\s*)?\d{{1,2}}\s*月份")
+TIME_ANCHOR = (
+    r"(?:\d{4}\s*年\s*)?\d{1,2}\s*月\s*\d{1,2}\s*日(?:\s*(?:凌晨|上午|中午|午间|下午|傍晚|晚间|夜间)?\s*\d{1,2}\s*[:：时点]\s*\d{1,2}\s*分?)?"
+    r"|\d{1,2}\s*日\s*(?:凌晨|上午|中午|午间|下午|傍晚|晚间|夜间)?\s*\d{1,2}\s*[:：时点]\s*\d{1,2}\s*分?"
+    r"|\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?)?Z?"
+    r"|(?:\d{4}\s*年\s*)?\d{1,2}\s*月份")
 
 
 def source_signals(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -22,6 +22,7 @@ KEYS = ["series_id", "fold_id"]
 # Source column -> model column.
 ACTUAL_MAP = {"actual_load": "actual_load", "total_generation": "act_total_gen", "non_market_output": "non_market_output", "renewable_output": "act_new_energy_total", "actual_wind": "act_new_energy_wind",
               "actual_solar": "act_new_energy_solar", "actual_hydro": "act_hydro", "positive_reserve": "positive_reserve", "negative_reserve": "negative_reserve"}
+# Source column -> model column of forecasts, weather columns, lags and windows of price features.
 FORECAST_MAP = {"forecast_load": "fcst_load_type_11", "forecast_generation": "fcst_total_gen", "forecast_hydro": "fcst_water"}
 WEATHER = ("temperature", "wind_speed_eighty", "cloud_cover", "solar_radiation", "hour_precipitation")
 PRICE_LAGS = (2, 4, 8, 96, 192, 672)
@@ -29,6 +30,7 @@ PRICE_WINDOWS = (4, 16, 96, 672)
 # Daily factor name -> (model column, aggregate).
 FACTORS = {"net_load": ("fcst_net_load", "avg"), "load": ("fcst_load_type_11", "avg"), "renewable": ("fcst_re_total", "avg"), "solar_output": ("fcst_new_energy_pv_unified", "max"), "temperature": ("wx_temperature", "avg"),
            "wind": ("wx_wind_speed_eighty", "avg"), "cloud": ("wx_cloud_cover", "avg"), "radiation": ("wx_solar_radiation", "max"), "precipitation": ("wx_hour_precipitation", "sum")}
+# Price limits and the spike level.
 PRICE_FLOOR, PRICE_CAP, SPIKE = -120.0, 1500.0, 500.0
 
 

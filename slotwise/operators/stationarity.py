@@ -12,6 +12,7 @@ from ..functions.tails import adf_p_udf, kpss_p_udf
 from .align import KEYS, fill_linear, reduce_resolution
 from .common import drop_halo, gram, halo_window, lag_table, prefix_sums, with_halo, with_lags
 
+# Least points and most lags of the unit-root tests.
 MIN_POINTS = 32
 LAG_CAP = 48
 # MacKinnon (2010) 5 % critical value of the unit-root statistic with a constant.

@@ -378,6 +378,7 @@ def autocovariances(filled: DataFrame, keys: list[str], max_lag: int) -> DataFra
     return m.select(*keys, "lag", F.col("sxy").alias("s")).join(n, keys)
 
 
+# Fixed value: the longest lag of a series.
 LAG_CEILING = 400         # longest lag of the recursions that run over the sums of one series
 
 
