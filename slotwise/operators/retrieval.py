@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_if, r6
-from .common import prefix_sums
+from .common import prefix_sums, top_k
 
 # Ranking constants and the wordings that stand for one concept.
 K1, B = 1.5, 0.75
@@ -20,6 +20,11 @@ CONCEPTS = {
     "@concept.feature": ("外生变量", "驱动变量", "驱动因子", "候选特征", "exogenous variable", "driver feature"),
 }
 
+# Wordings of a question that only refers back, wordings that set a task, and the limits of a clear focus.
+REFERENCE_ONLY = ("刚才那个", "之前那个", "前面那个", "上次那个", "按刚才", "按之前", "照刚才", "照之前", "沿用之前", "按原来", "照旧")
+ACTIONS = ("设为", "设置", "调整", "改为", "要求", "限制", "目标", "方案", "参数", "分析", "导出", "保存", "使用", "采用", "窗口")
+FOCUS_TERMS, FOCUS_ACTIONS, ACTION_WEIGHT, FOCUS_LEAST, FOCUS_LEAD, FOCUS_RATIO = 8, 3, 1.25, 4.0, 2.0, 1.35
+
 
 def tokens(text: str) -> Column:
     """ASCII words whole, CJK runs as overlapping pairs; then one term per concept the text names."""
@@ -38,8 +43,10 @@ def tokenize(df: DataFrame, text: str = "text") -> DataFrame:
 def group_turns(messages: DataFrame) -> DataFrame:
     """A user message with the replies that follow it is one turn; replies before any user message are turn 0."""
     m = prefix_sums(messages, ["conv_id"], "turn", {"turn_no": (F.col("role") == "user").cast("long")})
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n")
-    return m.groupBy("conv_id", "turn_no").agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("messages"), joined.alias("text")).withColumn("turn_id", F.concat_ws(":", "conv_id", "turn_no"))
+    said = F.array_sort(F.collect_list(F.struct("turn", "text", "role")))
+    joined = lambda a: F.array_join(F.transform(a, lambda s: s["text"]), "\n")
+    g = m.groupBy("conv_id", "turn_no").agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("messages"), joined(said).alias("text"), joined(F.filter(said, lambda s: s["role"] == "user")).alias("user_text"))
+    return g.withColumn("turn_id", F.concat_ws(":", "conv_id", "turn_no"))
 
 
 def term_counts(turns: DataFrame) -> DataFrame:
@@ -117,6 +124,33 @@ def retrieve(gated: DataFrame, turns: DataFrame, queries: DataFrame, k: int = 3,
     return picks.withColumn("position", F.row_number().over(w).cast("long")).select("query_id", "turn_id", "position", "rank", "score", "coverage", "characters")
 
 
+def reference_focus(turns: DataFrame, candidates: DataFrame, queries: DataFrame, gated: DataFrame) -> DataFrame:
+    """The one earlier turn a question means that only refers back ("as before") and matches nothing itself.
+
+    A turn's focus is the weight of its rarest words, by the turns of its conversation, and of wordings that set a task, in
+    what the user said. It counts only if it is clear: strong enough, and well ahead of the second. Turns in view count in
+    the word statistics, but only `candidates` can be found.
+    """
+    low = F.lower(F.trim("text"))
+    refers = lambda c, words: [c.contains(w) for w in words]
+    q = queries.where(F.greatest(*[x.cast("int") for x in refers(low, REFERENCE_ONLY)]) == 1).join(gated.where(F.col("relevant") & (F.col("score") > 0)).select("query_id").distinct(), "query_id", "left_anti")
+    focus = (turns.join(q.select("conv_id").distinct(), "conv_id", "left_semi")
+                  .select("turn_id", "conv_id", "first_turn", F.when(F.col("user_text") != "", F.col("user_text")).otherwise(F.col("text")).alias("focus_text")))
+    docs = focus.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_docs"))
+    word = focus.select("turn_id", "conv_id", F.explode(F.array_distinct(tokens("focus_text"))).alias("term")).where(~F.col("term").startswith("@concept."))
+    df = word.groupBy("conv_id", "term").agg(F.count(F.lit(1)).alias("df")).join(docs, "conv_id")
+    weight = F.log(1 + (F.col("_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    best = F.slice(F.reverse(F.array_sort(F.collect_list(weight))), 1, FOCUS_TERMS)                       # the words of one turn
+    info = word.join(df, ["conv_id", "term"]).groupBy("turn_id").agg(F.aggregate(best, F.lit(0.0), lambda a, x: a + x).alias("_info"))
+    acts = F.least(F.lit(FOCUS_ACTIONS), sum((x.cast("int") for x in refers(F.lower("focus_text"), ACTIONS)), F.lit(0)))
+    scored = (focus.join(candidates.select("turn_id"), "turn_id", "left_semi").join(info, "turn_id", "left")
+                   .select("turn_id", "conv_id", "first_turn", r6(F.coalesce("_info", F.lit(0.0)) + acts * ACTION_WEIGHT).alias("score")))
+    two = top_k(q.select("query_id", "conv_id").join(scored, "conv_id"), ["query_id"], [F.desc("score"), F.desc("first_turn"), "turn_id"], 2)
+    one = two.groupBy("query_id").agg(F.min_by("turn_id", "rank").alias("turn_id"), F.max("score").alias("score"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("_second"))
+    clear = F.col("_second").isNull() | (F.col("score") >= F.col("_second") + FOCUS_LEAD) | (F.col("score") >= F.col("_second") * FOCUS_RATIO)
+    return one.where((F.col("score") >= FOCUS_LEAST) & clear).select("query_id", "turn_id", "score")
+
+
 def score_retrieval(found: DataFrame, gold: DataFrame) -> DataFrame:
     """Micro precision and recall of (query_id, turn_id) against gold."""
     f, g = found.select("query_id", "turn_id").distinct().withColumn("_f", F.lit(1)), gold.select("query_id", "turn_id").distinct().withColumn("_g", F.lit(1))

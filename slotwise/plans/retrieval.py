@@ -94,6 +94,32 @@ def _(t):
     return retrieved(t)
 
 
+# Questions that only refer back, asked of every conversation after its last turn; every third conversation sets a task early on.
+TASK_SQL = "CASE WHEN turn = 0 AND conv_id % 3 = 0 THEN text || ' 参数 窗口 设为 zeta-' || conv_id || ' quorum_9 fjordline kestrel' ELSE text END"
+FOCUS_SQL = MATCH_SQL.replace("ELSE text END AS text FROM conversations)", f"ELSE text END AS text FROM (SELECT * REPLACE ({TASK_SQL} AS text) FROM conversations))") + f""",
+fo AS (SELECT nm.conv_id, conv_id || ':' || turn_no AS turn_id, min(turn) AS first_turn, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user'), string_agg(text, chr(10) ORDER BY turn)) AS text FROM nm GROUP BY nm.conv_id, turn_no),
+fw AS (SELECT DISTINCT turn_id, conv_id, term FROM {terms_sql('fo', 'turn_id, conv_id')} WHERE NOT starts_with(term, '@concept.')),
+fd AS (SELECT conv_id, term, count(*) AS df FROM fw GROUP BY 1, 2), fn AS (SELECT conv_id, count(*) AS docs FROM fo GROUP BY 1),
+fr AS (SELECT turn_id, ln(1 + (docs - df + 0.5) / (df + 0.5)) AS w, row_number() OVER (PARTITION BY turn_id ORDER BY ln(1 + (docs - df + 0.5) / (df + 0.5)) DESC) AS k FROM fw JOIN fd USING (conv_id, term) JOIN fn USING (conv_id)),
+fs AS (SELECT fo.conv_id, fo.turn_id, first_turn, {r(f"coalesce(i, 0) + least(3, {' + '.join(f'contains(lower(text), {chr(39)}{a}{chr(39)})::INT' for a in rt.ACTIONS)}) * 1.25")} AS score FROM fo JOIN (SELECT turn_id AS t FROM tu) ON t = fo.turn_id LEFT JOIN (SELECT turn_id, sum(w) AS i FROM fr WHERE k <= 8 GROUP BY 1) f ON f.turn_id = fo.turn_id),
+fk AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, first_turn DESC, turn_id) AS k FROM fs)"""
+
+
+@query("reference_focus", f"""WITH {FOCUS_SQL} SELECT a.conv_id AS query_id, a.turn_id, a.score FROM fk a LEFT JOIN fk b ON b.conv_id = a.conv_id AND b.k = 2
+WHERE a.k = 1 AND a.score >= 4.0 AND (b.score IS NULL OR a.score >= b.score + 2.0 OR a.score >= b.score * 1.35)""")
+def _(t):
+    """The turn that "as before" means, where one is clear."""
+    c, k = t.read("conversations"), F.col("conv_id") % 3
+    task = F.concat(F.col("text"), F.lit(" 参数 窗口 设为 zeta-"), F.col("conv_id").cast("string"), F.lit(" quorum_9 fjordline kestrel"))
+    c = c.withColumn("text", F.when((F.col("turn") == 0) & (k == 0), task).otherwise(F.col("text")))
+    c = c.withColumn("text", F.when(k == 0, F.concat(F.col("text"), F.lit(" 导出 chart run_7"))).when(k == 1, F.concat(F.col("text"), F.lit(" 同期 图表 lead-lag"))).otherwise(F.col("text")))
+    all_turns = t.keep(rt.group_turns(c))
+    last = all_turns.groupBy("conv_id").agg(F.max_by("turn_id", "turn_no").alias("turn_id"))
+    found, asked = rt.without_recent(all_turns, last), all_turns.select(F.col("conv_id").alias("query_id"), "conv_id", F.lit("继续按刚才那个做").alias("text")).distinct()
+    gated = rt.relevance_gate(rt.bm25_matches(found, asked, t.keep), asked)
+    return rt.reference_focus(all_turns, found, asked, gated)
+
+
 @query("score_retrieval", f"""WITH {RETRIEVE_SQL}, gd AS (SELECT query_id, turn_id FROM qs JOIN al USING (conv_id) WHERE turn_no = 1), j AS (SELECT re.turn_id IS NOT NULL AS f, gd.turn_id IS NOT NULL AS g FROM re FULL JOIN gd ON re.query_id = gd.query_id AND re.turn_id = gd.turn_id)
 SELECT {big('count_if(f)')} AS found, {big('count_if(g)')} AS relevant, {big('count_if(f AND g)')} AS hits, {r('count_if(f AND g) / count_if(f)')} AS precision, {r('count_if(f AND g) / count_if(g)')} AS recall FROM j""")
 def _(t):
