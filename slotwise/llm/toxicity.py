@@ -18,13 +18,12 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import remember
-from .batches import extend, slices
+from .batches import emit, extend, slices
 from .store import keep, table
 
 SAMPLE_DOCS = 20_000     # labelled documents that teach the scorer; chosen by hash
@@ -315,12 +314,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE
                    .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))
     model = spark.sparkContext.broadcast(logp)
 
-    def learn(batches):
+    def learn():
         restored = Restored(model.value)
-        for pdf in batches:
-            yield pd.DataFrame({"words": [sorted(restored_words(t, restored)) for t in pdf["text"]], "toxic": pdf["toxic"].to_numpy()})
-    sample = keep(docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id").select("text", "toxic")
-                      .mapInPandas(learn, "words array<string>, toxic int"))
+        return lambda text, toxic: [(sorted(restored_words(text, restored)), toxic)]
+    labelled = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    sample = keep(emit(labelled, learn, "words array<string>, toxic int"))
     toxic = (F.col("toxic") == 1).cast("long")
     per_word = sample.select(F.explode("words").alias("word"), "toxic").groupBy("word").agg(F.sum(toxic).alias("pos"), F.sum(1 - toxic).alias("neg"))
     # beginnings are added up in Spark as well; only the sure ones come back
@@ -333,10 +331,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE
             lexicon.sure[key] = v
     shared = spark.sparkContext.broadcast(lexicon)
 
-    def summarize(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"x": [shared.value.summary(set(w)) for w in pdf["words"]], "toxic": pdf["toxic"].to_numpy()})
-    rows = sample.mapInPandas(summarize, "x array<double>, toxic int").collect()
+    def summarize():
+        return lambda words, toxic: [(shared.value.summary(set(words)), toxic)]
+    rows = emit(sample, summarize, "x array<double>, toxic int").collect()
     curve = fit_curve(np.array([r[0] for r in rows]).reshape(-1, 3), np.array([float(r[1] == 1) for r in rows]))
 
     def make():
