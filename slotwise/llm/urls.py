@@ -13,7 +13,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import keep, table
+from .store import keep, table, with_values
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 MIN_SUPPORT = 0.005      # share of labelled urls that must carry the tokens and the block label
@@ -25,16 +25,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def url_parts(url: Column) -> tuple[Column, Column]:
     """(host, path): both empty for a null url or one without `://`."""
     at = F.instr(url, "://")
-    rest = F.when(at > 0, F.expr(f"substring({_sql(url)}, instr({_sql(url)}, '://') + 3)")).otherwise(F.lit(""))
-    rest = F.coalesce(rest, F.lit(""))
+    rest = F.coalesce(F.when(at > 0, F.substr(url, at + 3)), F.lit(""))
     host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, LOWER)
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def _sql(c: Column) -> str:
-    return c._jc.toString()
-
-
 def url_tokens(url: Column, host: Column, path: Column) -> Column:
     """Distinct tokens of a url: host labels, path pieces without their digits, query keys, scheme."""
     flat = lambda c: F.regexp_replace(c, "[0-9]+", "0")
@@ -88,12 +83,12 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_support: f
     labelled = keep(parts.join(known, "page_id").select("tokens", "blocked"))
     index = rule_index(mine_rules(labelled, min_support, min_confidence), labelled)
     # the mined verdict depends on the url alone, so it is found once per distinct token set and joined back
-    sets = parts.groupBy("tokens").agg(F.lit(1).alias("_one")).select("tokens")
+    sets = keep(parts.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")))
     hits = (sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token")
                 .where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
                 .groupBy("tokens").agg(F.max("confidence").alias("confidence")))
     rule, verdict = match_lists(F.col("host"), F.col("path"), rules)
-    return (parts.join(hits, "tokens", "left")
+    return (with_values(parts, hits, "tokens", sets)
                  .select("page_id", "host", "path", rule.alias("rule"),
                          F.coalesce(verdict, F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")).alias("verdict"), "confidence"))
 
@@ -120,11 +115,11 @@ known AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END)
 lab AS (SELECT row_number() OVER () AS id, tokens, bad FROM tok JOIN known USING (page_id)),
 t AS (SELECT id, bad, unnest(tokens) AS x FROM lab),
 need AS (SELECT ceil({MIN_SUPPORT} * count(*)) AS least FROM lab),
-one AS (SELECT [x] AS s, sum(bad) AS bad, count(*) AS n FROM t GROUP BY x),
-two AS (SELECT [a.x, b.x] AS s, sum(a.bad) AS bad, count(*) AS n FROM t a JOIN t b ON a.id = b.id AND a.x < b.x GROUP BY a.x, b.x),
-three AS (SELECT [a.x, b.x, c.x] AS s, sum(a.bad) AS bad, count(*) AS n FROM t a JOIN t b ON a.id = b.id AND a.x < b.x JOIN t c ON b.id = c.id AND b.x < c.x GROUP BY a.x, b.x, c.x),
-rules AS (SELECT s, CAST(bad AS DOUBLE) / n AS conf FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three), need
-  WHERE bad >= greatest(least, 1) AND CAST(bad AS DOUBLE) / n >= {MIN_CONFIDENCE}),
+often AS (SELECT x FROM t, need GROUP BY x, least HAVING sum(bad) >= greatest(least, 1)),
+held AS (SELECT id, any_value(bad) AS bad, list(x ORDER BY x) AS xs FROM t JOIN often USING (x) GROUP BY id),
+parts_of AS (SELECT bad, unnest(list_transform(range(1, 1 << len(xs)), lambda m: list_filter(xs, lambda x, i: (m >> (i - 1)) & 1 = 1))) AS s FROM held),
+rules AS (SELECT s, CAST(sum(bad) AS DOUBLE) / count(*) AS conf FROM parts_of, need GROUP BY s, least
+  HAVING sum(bad) >= greatest(least, 1) AND CAST(sum(bad) AS DOUBLE) / count(*) >= {MIN_CONFIDENCE}),
 fits AS (SELECT page_id, url, max(conf) AS conf FROM tok JOIN rules ON list_has_all(tokens, s) GROUP BY 1, 2),
 lists AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{r}', '{r[:r.index('/')]}', '{r[r.index('/'):]}')" for v, r in RULES)}) v(verdict, rule, rh, rp)),
 best AS (SELECT host, path, max_by(rule, length(rule)) AS rule, max_by(l.verdict, length(rule)) AS verdict FROM (SELECT DISTINCT host, path FROM hp) d JOIN lists l
