@@ -47,19 +47,29 @@ def normal(word: bytes) -> str:
     return w[lo:hi]
 
 
+#: ASCII bytes that `normal` takes from both ends of a word.
+MARKS = bytes(b for b in range(128) if not chr(b).isalnum())
+
+
 class WordIds(dict):
-    """word bytes -> number of its normal form in the block's vocabulary; 0 for other words, -1 for bare marks."""
+    """Lower-cased word without ASCII marks at its ends -> number of its normal form in the block's vocabulary.
+
+    0 for other words, -1 for bare marks. Only words that may have other marks at their ends are brought into normal form.
+    """
 
     def __init__(self, vocabulary: dict[str, int]):
+        super().__init__((w.encode("utf-8", "surrogatepass"), n) for w, n in vocabulary.items())
         self.vocabulary = vocabulary
 
     def __missing__(self, word):
+        if word.isascii():
+            return 0 if word else -1
         w = normal(word)
         return remember(self, word, self.vocabulary.get(w, 0) if w else -1)
 
     def of(self, text: str) -> np.ndarray:
-        tokens = text.encode("utf-8", "surrogatepass").split()
-        ids = np.fromiter(map(self.__getitem__, tokens), dtype=np.int32, count=len(tokens))
+        tokens = text.lower().encode("utf-8", "surrogatepass").split()
+        ids = np.fromiter(map(self.__getitem__, [t.strip(MARKS) for t in tokens]), dtype=np.int32, count=len(tokens))
         return ids[ids >= 0] if len(ids) and ids.min() < 0 else ids
 
 
@@ -233,18 +243,22 @@ def seed_hits(docs: DataFrame, block: Block) -> DataFrame:
     """(doc_id, ids, places, numbers) of the documents with a seed: word numbers, and places and numbers of the seeds, as bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
-    def find():
+    def find(batches):
         own = shared.value
-        ids_of = WordIds(own.vocabulary)
-
-        def one(doc, text):
-            ids = ids_of.of(text)
-            places, numbers = own.hits(ids)
-            if len(places):
-                yield doc, ids.astype("<i4").tobytes(), places.astype("<i8").tobytes(), numbers.astype("<i4").tobytes()
-        return one
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    return emit(rows, find, "doc_id long, ids binary, places binary, numbers binary")
+        ids_of, gap = WordIds(own.vocabulary), np.zeros(SPAN, np.int32)
+        for b in slices(batches):
+            # all documents of a slice in one row of words, apart by unknown ones
+            docs_, words = b.column(0).to_pylist(), [ids_of.of(t) for t in b.column(1).to_pylist()]
+            start = np.cumsum([0] + [len(w) + SPAN for w in words])
+            places, numbers = own.hits(np.concatenate([x for w in words for x in (w, gap)] or [gap]))
+            cut, rows = np.searchsorted(places, start), []
+            for i in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+                lo, hi = cut[i], cut[i + 1]
+                rows.append((docs_[i], words[i].astype("<i4").tobytes(), (places[lo:hi] - start[i]).astype("<i8").tobytes(), numbers[lo:hi].astype("<i4").tobytes()))
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["doc_id", "ids", "places", "numbers"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
+    return rows.mapInArrow(find, "doc_id long, ids binary, places binary, numbers binary")
 
 
 def seed_counts(hits: DataFrame, seeds: int) -> np.ndarray:
