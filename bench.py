@@ -13,7 +13,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ["align", "price_distribution", "price_rolling", "price_autocorr", "price_calendar", "lead_scan_best", "spearman", "mutual_information", "rolling_stability", "granger",
-            "stationarity", "normalize_series", "series_profile", "event_records", "link_events", "merge_fields", "event_features", "restored_slots", "control_windows", "visible_at_folds",
+            "stationarity", "normalize_series", "series_profile", "event_records", "link_events", "merge_fields", "state_history", "event_features", "restored_slots", "control_windows", "event_study", "visible_at_folds",
             "snapshots", "similar_day_prior", "forecast_metrics", "bm25", "retrieve"]
 
 
