@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import mix, remember
+from .arrays import CACHE, LONG, mix
 from .batches import emit, slices
 from .store import keep, table
 
@@ -58,14 +58,21 @@ class WordIds(dict):
     """
 
     def __init__(self, vocabulary: dict[str, int]):
-        super().__init__((w.encode("utf-8", "surrogatepass"), n) for w, n in vocabulary.items())
+        self.fixed = {w.encode("utf-8", "surrogatepass"): n for w, n in vocabulary.items()}
+        super().__init__(self.fixed)
         self.vocabulary = vocabulary
 
     def __missing__(self, word):
         if word.isascii():
             return 0 if word else -1
         w = normal(word)
-        return remember(self, word, self.vocabulary.get(w, 0) if w else -1)
+        n = self.vocabulary.get(w, 0) if w else -1
+        if len(word) <= LONG:
+            if len(self) >= len(self.fixed) + CACHE:
+                self.clear()
+                self.update(self.fixed)         # the vocabulary stays whatever is forgotten
+            self[word] = n
+        return n
 
     def of(self, text: str) -> np.ndarray:
         tokens = text.lower().encode("utf-8", "surrogatepass").split()
