@@ -120,6 +120,17 @@ def test_bound_is_never_below_the_alignment():
         assert aligned.bound(1, ids) >= aligned.align(1, ids)[0]
 
 
+def test_words_of_the_block_are_never_forgotten(monkeypatch):
+    """More distinct words than a task remembers, ASCII and others, before and between copies of items."""
+    monkeypatch.setattr(decontamination, "CACHE", 20)
+    block = decontamination.Block([(1, "Ärger über Öl und Gas heute"), (2, "plain words only in this one")])
+    ids_of = decontamination.WordIds(block.vocabulary)
+    for k in range(30):
+        noise = " ".join(f"wört{k}_{j}é «x{j}»" for j in range(40))
+        ids = ids_of.of(f"{noise} «Ärger» über Öl, und Gas heute! {noise} Plain words only in this one.")
+        assert ids[ids > 0].tolist() == [*block.items[1], *block.items[2]]
+
+
 def test_rarity_decides_nothing(spark):
     """With every seed rare, with none rare, and by counts: the same rows."""
     items = [(i, prose(30, 40 + i)) for i in range(5)]
