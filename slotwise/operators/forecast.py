@@ -34,6 +34,9 @@ FACTORS = {"net_load": ("fcst_net_load", "avg"), "load": ("fcst_load_type_11", "
 PRICE_FLOOR, PRICE_CAP, SPIKE = -120.0, 1500.0, 500.0
 
 
+SHARES = 256
+
+
 def visible(df: DataFrame, as_of: str, future: bool = False, keys: list[str] | None = None) -> DataFrame:
     """Newest version per timestamp that had arrived by `as_of`; actuals also must not lie after it."""
     at = F.lit(as_of).cast("timestamp")
@@ -42,8 +45,12 @@ def visible(df: DataFrame, as_of: str, future: bool = False, keys: list[str] | N
 
 
 def visible_at_folds(df: DataFrame, folds: DataFrame, future: bool = False) -> DataFrame:
-    """`visible` at every fold's cutoff at once; a market has a handful of folds."""
-    v = df.join(folds.select("series_id", "fold_id", "as_of"), "series_id").where(F.col("available_at") <= F.col("as_of"))
+    """`visible` at every fold's cutoff at once; a market has a handful of folds.
+
+    Cutoffs are copied into SHARES shares of the time line, so that the rows of a market do not meet in one task.
+    """
+    cuts = folds.select("series_id", "fold_id", "as_of").withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    v = df.withColumn("_share", F.pmod(F.hash("ts", "available_at"), F.lit(SHARES))).join(cuts, ["series_id", "_share"]).drop("_share").where(F.col("available_at") <= F.col("as_of"))
     v = v if future else v.where(F.col("ts") <= F.col("as_of"))
     return latest(v.drop("as_of"), [*KEYS, "ts"], ["available_at", "tie"])
 
