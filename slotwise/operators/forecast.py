@@ -45,14 +45,20 @@ def visible(df: DataFrame, as_of: str, future: bool = False, keys: list[str] | N
 
 
 def visible_at_folds(df: DataFrame, folds: DataFrame, future: bool = False) -> DataFrame:
-    """`visible` at every fold's cutoff at once; a market has a handful of folds.
+    """`visible` at every fold's cutoff at once; a market has a handful of folds and `tie` is a number.
 
+    Rows of one slot and arrival are one row before cutoffs are met, as every fold sees all of them or none. Both steps hold
+    plain numbers only, which Spark combines in hash maps; a struct would be sorted, every row of a task at once.
     Cutoffs are copied into SHARES shares of the time line, so that the rows of a market do not meet in one task.
     """
+    rest = [c for c in df.columns if c not in ("series_id", "ts", "available_at", "tie")]
+    tie = F.coalesce("tie", F.lit(-(1 << 63)))
+    once = df.groupBy("series_id", "ts", "available_at").agg(*[F.max_by(c, tie).alias(c) for c in [*rest, "tie"]])
     cuts = folds.select("series_id", "fold_id", "as_of").withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    v = df.withColumn("_share", F.pmod(F.hash("ts", "available_at"), F.lit(SHARES))).join(cuts, ["series_id", "_share"]).drop("_share").where(F.col("available_at") <= F.col("as_of"))
+    v = once.withColumn("_share", F.pmod(F.hash("ts", "available_at"), F.lit(SHARES))).join(cuts, ["series_id", "_share"]).drop("_share").where(F.col("available_at") <= F.col("as_of"))
     v = v if future else v.where(F.col("ts") <= F.col("as_of"))
-    return latest(v.drop("as_of"), [*KEYS, "ts"], ["available_at", "tie"])
+    order = [c for c in df.columns if c not in ("series_id", "ts")]
+    return v.groupBy(*KEYS, "ts").agg(*[F.max_by(c, "available_at").alias(c) for c in order])
 
 
 def backtest_anchors(target: DataFrame, now: str, slots: int = 96, folds: int = 3, max_age: int = 90, gap: int = 7) -> DataFrame:
