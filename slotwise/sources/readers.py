@@ -152,18 +152,21 @@ ARTICLE_SCHEMA = T.StructType([
 REQUIRED_ARTICLE_FIELDS = ("source_name", "source_document_id", "title", "body", "published_at", "collected_at")
 
 
-def parse_articles(lines: DataFrame) -> DataFrame:
-    """Lines (line_no, value, and file if known) to articles; `reason` is NULL on good lines, else why the line was set aside."""
+def parse_articles(lines: DataFrame, required: tuple[str, ...] = REQUIRED_ARTICLE_FIELDS) -> DataFrame:
+    """Lines (line_no, value, and file if known) to articles; `reason` is NULL on good lines, else why the line was set aside.
+
+    A line without one of the `required` fields, or with an empty one, is set aside.
+    """
     a = lines.withColumn("_j", F.from_json("value", ARTICLE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    missing = F.array_compact(F.array(*[F.when(F.coalesce(F.col(f"_j.{c}"), F.lit("")) == "", F.lit(c)) for c in REQUIRED_ARTICLE_FIELDS]))
+    missing = F.array_compact(F.array(*[F.when(F.coalesce(F.col(f"_j.{c}"), F.lit("")) == "", F.lit(c)) for c in required]))
     reason = (F.when(F.trim("value") == "", "blank line").when(F.col("_j._bad").isNotNull() | F.col("_j").isNull(), "invalid json")
                .when(F.size(missing) > 0, F.concat(F.lit("missing fields: "), F.array_join(missing, ", "))))
     return a.select(*[c for c in ("file",) if c in lines.columns], "line_no", reason.alias("reason"), *[F.col(f"_j.{f.name}") for f in ARTICLE_SCHEMA.fields if f.name != "_bad"])
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
+def read_articles(spark: SparkSession, path: str, required: tuple[str, ...] = REQUIRED_ARTICLE_FIELDS) -> DataFrame:
     """JSON-lines articles with `file` and their line number in it, from 1."""
-    return parse_articles(numbered_lines(spark, path))
+    return parse_articles(numbered_lines(spark, path), required)
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
